@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, mixing, quality_rules
+from quillspan.llm import chat, mixing, near_dup, quality_rules
 from quillspan.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ FROM j
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document. Rows only: rounding follows hashes that SQL engines don't share."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
+
+
+@_query
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on 4-word shingles. Tested against brute force."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
