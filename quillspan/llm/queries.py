@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, mixing, near_dup, quality_rules
+from quillspan.llm import chat, line_dedup, mixing, near_dup, packing, quality_rules
 from quillspan.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,31 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 4-word shingles. Tested against brute force."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@_query
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket and batch of every piece of every document. The boundaries are tested against brute force."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once lines on ten sites or more are gone from all but their first document."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+ORACLE["op7_site_spread_lines"] = r"""
+WITH l AS (
+  SELECT doc_id, source, u.pos AS pos, u.line AS line,
+         regexp_replace(u.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS h,
+         regexp_matches(u.line, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+') AS long_enough
+  FROM documents, (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) AS u),
+b AS (SELECT h, min(doc_id) AS first_doc FROM l WHERE long_enough GROUP BY h HAVING count(DISTINCT coalesce(source, chr(0))) >= 10),
+j AS (SELECT l.*, long_enough AND b.h IS NOT NULL AND l.doc_id <> b.first_doc AS gone FROM l LEFT JOIN b USING (h)),
+t AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM j GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, length(text) AS n_left, sha256(text) AS text_sha256 FROM t
+"""
