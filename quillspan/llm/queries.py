@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, line_dedup, mixing, near_dup, packing, quality_rules
+from quillspan.llm import chat, line_dedup, media, mixing, near_dup, packing, quality_rules
 from quillspan.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ t AS (
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM j GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, length(text) AS n_left, sha256(text) AS text_sha256 FROM t
 """
+
+
+@_query
+def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every text stored as lossless WebP and read back. Tested by exact round trips."""
+    return media.describe(media.store_texts(table(spark, sf_dir, "documents")))
