@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, line_dedup, media, mixing, near_dup, packing, quality_rules
+from quillspan.llm import chat, line_dedup, media, mixing, near_dup, packing, quality_model, quality_rules
 from quillspan.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,10 @@ SELECT doc_id, n_lines, n_removed, length(text) AS n_left, sha256(text) AS text_
 def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every text stored as lossless WebP and read back. Tested by exact round trips."""
     return media.describe(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op3_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document. Tested by held-out accuracy."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_model.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
