@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, line_dedup, media, mixing, near_dup, packing, quality_model, quality_rules, toxicity
+from quillspan.llm import chat, line_dedup, media, mixing, near_dup, packing, pii, quality_model, quality_rules, toxicity
 from quillspan.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,9 @@ def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document. Tested by held-out accuracy."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.grade(docs.select("doc_id", "text"), labels).select("doc_id", "severity", "grade", "toxic", "kept")
+
+
+@_query
+def op6_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document. Base spans are tested against the plain patterns."""
+    return pii.find(table(spark, sf_dir, "documents"))
