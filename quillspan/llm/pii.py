@@ -11,7 +11,7 @@ all documents of a batch at once. Nodes outside the base spans whose entity labe
 with one label are joined. Base spans always stay.
 
 *Learning*: the base spans of at most ``SAMPLE`` documents (chosen by a hash) are the labels. Spark counts each (feature set, label) and each
-label pair on the two kinds of edges; the driver fits a multinomial logistic model on the ``KINDS_OF_TOKENS`` most frequent of these
+label pair on the two kinds of edges (unlabelled tokens with a skip edge to a labelled one are left out); the driver fits a multinomial logistic model on the ``KINDS_OF_TOKENS`` most frequent of these
 counts, and pair potentials as smoothed log ratios (piecewise training).
 
 Definitions that hold for every row: a null text is empty and has no spans; repeated rows give equal results; a null
@@ -217,10 +217,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = nodes(text) if text else []
             if spans:
                 labels = _base_labels(spans, base_spans(text))
-                for names, y in zip(features(text, spans), labels, strict=True):
-                    seen["\x01".join(("N", str(y), *names))] += 1
-                for i, j, kind in edges(text, spans):
-                    seen[f"E\x01{kind}\x01{labels[i]}\x01{labels[j]}"] += 1
+                links = edges(text, spans)
+                # a token like a labelled one says nothing about what is no entity
+                open_ = {n for i, j, kind in links if kind for n, m in ((i, j), (j, i)) if labels[m] and not labels[n]}
+                for n, (names, y) in enumerate(zip(features(text, spans), labels, strict=True)):
+                    if n not in open_:
+                        seen["\x01".join(("N", str(y), *names))] += 1
+                for i, j, kind in links:
+                    if i not in open_ and j not in open_:
+                        seen[f"E\x01{kind}\x01{labels[i]}\x01{labels[j]}"] += 1
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["key", "n"])
 
 
@@ -243,7 +248,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
             ns.append(n)
     if not xs:
         return None
-    weight = np.log1p(np.array(ns, np.float64))
+    weight = np.array(ns, np.float64)
     weight /= weight.sum()
     row, col, y = np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs), np.eye(k)[ys]
     p = [np.zeros((HASHED, k)), np.zeros(k)]
