@@ -1 +1 @@
-
+"""Column functions shared by operators."""

@@ -1,14 +1,15 @@
-"""Registry of the queries of the library's own operators."""
+"""All queries of the library's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from quillspan.plans import q_retrieval  # noqa: F401
+from quillspan.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """BM25 search of every benchmark text over all documents."""
+    return QUERIES["r3_bm25_search"](spark, sf_dir)
