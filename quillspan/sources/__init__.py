@@ -1 +1 @@
-
+"""Readers and writers of record tables."""
