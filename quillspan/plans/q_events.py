@@ -80,7 +80,7 @@ def w8(get):
 
 
 EDGES = "SELECT event_id AS child, CAST(floor(event_id / 3) AS BIGINT) AS parent FROM {events} UNION ALL SELECT event_id AS child, event_id + 1 AS parent FROM {events} WHERE event_id % 50 = 7"
-STARTS = "SELECT event_id AS start FROM {events} WHERE event_id % 100 = 99 AND event_id < 20000"
+STARTS = "SELECT event_id AS start FROM {events} WHERE event_id % 50 = 0"
 
 
 @query(

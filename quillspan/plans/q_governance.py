@@ -88,7 +88,7 @@ def g2(get):
     return G.derivative_leaks(get(DERIVED))
 
 
-TASKS = f"SELECT CAST(doc_id AS STRING) AS task_id, concat(left(text, 60), CASE WHEN doc_id % 50 = 0 THEN CAST(doc_id AS STRING) ELSE '' END) AS instruction, lang AS answer, {HASH_SPLIT} AS split FROM {{documents}}"
+TASKS = f"SELECT CAST(doc_id AS STRING) AS task_id, concat(text, CASE WHEN doc_id % 50 = 0 THEN CAST(doc_id AS STRING) ELSE '' END) AS instruction, lang AS answer, {HASH_SPLIT} AS split FROM {{documents}}"
 
 
 @query(
@@ -183,7 +183,7 @@ def g9(get):
     return G.ledger_errors(get(REQ), get(REC))
 
 
-RATINGS = "SELECT concat('r', CAST(event_id % 2 AS STRING)) AS rater_id, user_id AS case_id, CASE WHEN event_id % 50 = 0 THEN 'model' ELSE 'human' END AS rater_type, CASE WHEN event_id % 60 = 0 THEN 'v0' ELSE 'v1' END AS packet_version, event_type AS task_success, CASE WHEN event_id % 70 = 0 THEN NULL ELSE 'yes' END AS confidence FROM {events} WHERE event_id < 300"
+RATINGS = "SELECT concat('r', CAST(event_id % 2 AS STRING)) AS rater_id, user_id AS case_id, CASE WHEN event_id % 50 = 0 THEN 'model' ELSE 'human' END AS rater_type, CASE WHEN event_id % 60 = 0 THEN 'v0' ELSE 'v1' END AS packet_version, event_type AS task_success, CASE WHEN event_id % 70 = 0 THEN NULL ELSE 'yes' END AS confidence FROM {events}"
 ALL_CASES = "SELECT DISTINCT user_id AS case_id FROM {events}"
 
 
