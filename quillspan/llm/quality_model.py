@@ -40,9 +40,9 @@ WORDS_KEPT = 300_000
 CHUNK = 200_000  # tokens in work at once
 
 _rng = np.random.default_rng(7)
-INDEX = np.zeros((BUCKETS, DIMS), np.int8)
-for _b in range(BUCKETS):
-    INDEX[_b, _rng.choice(DIMS, NONZERO, replace=False)] = _rng.choice([-1, 1], NONZERO)
+#: places of the values 1 and -1 of each index vector, half of ``NONZERO`` each
+_places = np.argsort(_rng.random((BUCKETS, DIMS)), axis=1)[:, :NONZERO].astype(np.int32)
+PLUS, MINUS = _places[:, : NONZERO // 2].copy(), _places[:, NONZERO // 2 :].copy()
 
 _SYMBOLS = re.compile(rb"[^0-9A-Za-z\x80-\xff]{2,}|[#*$%&|<>@{}\[\]=_~^\\]")
 
@@ -51,42 +51,61 @@ def _bucket(token: bytes) -> int:
     return xxhash.xxh3_64_intdigest(token) % BUCKETS
 
 
-REPEAT = _bucket(b"\0repeat")
+REPEAT, CAPITALS, DIGITS, ALONE = (_bucket(b"\0" + n) for n in (b"repeat", b"capitals", b"digits", b"alone"))
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_DIGIT = re.compile(rb"[0-9]")
 
 
 class Tokens(dict):
-    """word -> its buckets, remembered for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        letters = re.sub(r"[\W_]+", "", text)
-        out = []
-        if letters:
-            out.append(_bucket(letters.lower().encode()))
-            if len(letters) > 1 and letters.isupper():
-                out.append(_bucket(b"\0capitals"))
-            if any(c.isdigit() for c in letters):
-                out.append(_bucket(b"\0digits"))
+    """word -> its number; ``buckets[number]`` holds up to three buckets, filled up with -1. A bounded number of words
+    is remembered."""
+
+    def __init__(self):
+        super().__init__()
+        self.buckets = np.full((WORDS_KEPT, 4), -1, np.int32)
+
+    def clear(self) -> None:
+        super().clear()
+        self.buckets.fill(-1)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        core = word.strip(_PUNCTUATION)
+        if core:
+            if core.isascii():
+                lower, capitals = core.lower(), len(core) > 1 and core.isupper()
+            else:
+                text = core.decode("utf-8", "replace")
+                lower, capitals = text.lower().encode(), len(text) > 1 and text.isupper()
+            self.buckets[number, 0] = _bucket(lower)
+            if capitals:
+                self.buckets[number, 1] = CAPITALS
+            elif not core.isalpha() and _DIGIT.search(core):
+                self.buckets[number, 1] = DIGITS
         else:
-            out.append(_bucket(b"\0alone"))
-        if m := _SYMBOLS.search(word):
-            out.append(_bucket(b"\0symbols" + m[0][:1]))
-        self[word] = tuple(out)
-        return self[word]
+            self.buckets[number, 0] = ALONE
+        if not word.isalpha() and (m := _SYMBOLS.search(word)):
+            self.buckets[number, 2] = _bucket(b"\0symbols" + m[0][:1])
+        return number
 
 
 def token_ids(text: bytes | None, tokens: Tokens) -> np.ndarray:
+    """Buckets of the tokens of a text, in order."""
     words = text.split() if text else []
-    out: list[int] = []
-    last = None
-    for word in words:
-        out += tokens[word]
-        if word == last:
-            out.append(REPEAT)
-        last = word
-    return np.array(out, np.int32)
+    out = []
+    for at in range(0, len(words), WORDS_KEPT // 4):
+        part = words[at : at + WORDS_KEPT // 4]
+        if len(tokens) + len(part) >= WORDS_KEPT:
+            tokens.clear()
+        number = np.fromiter(map(tokens.__getitem__, part), np.int64, len(part))
+        rows = tokens.buckets[number]
+        repeated = np.flatnonzero(number[1:] == number[:-1]) + 1
+        rows[repeated, 3] = REPEAT
+        if at and part[0] == words[at - 1]:
+            rows[0, 3] = REPEAT
+        flat = rows.reshape(-1)
+        out.append(flat[flat >= 0])
+    return np.concatenate(out) if out else np.empty(0, np.int32)
 
 
 def _texts(batch: pa.RecordBatch) -> list:
@@ -95,15 +114,15 @@ def _texts(batch: pa.RecordBatch) -> list:
 
 def _add_context(total: np.ndarray, seen: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> None:
     """Add the index vectors of each token's neighbours in its document to the row of its bucket."""
-    near = np.zeros((len(ids), DIMS), np.int16)
-    vectors = INDEX[ids]
+    centre, near = [], []
     for d in range(1, WINDOW + 1):
-        same = (doc[d:] == doc[:-d])[:, None]
-        near[d:] += vectors[:-d] * same
-        near[:-d] += vectors[d:] * same
-    order = np.argsort(ids, kind="stable")
-    buckets, starts = np.unique(ids[order], return_index=True)
-    total[buckets] += np.add.reduceat(near[order], starts, axis=0, dtype=np.int64)
+        same = doc[d:] == doc[:-d]
+        left, right = ids[:-d][same], ids[d:][same]
+        centre += [right, left]
+        near += [left, right]
+    centre, near = np.concatenate(centre) * DIMS, np.concatenate(near)
+    for places, sign in ((PLUS, 1), (MINUS, -1)):
+        total += sign * np.bincount((centre[:, None] + places[near]).reshape(-1), minlength=BUCKETS * DIMS).reshape(BUCKETS, DIMS)
     seen += np.bincount(ids, minlength=BUCKETS)
 
 
@@ -154,7 +173,10 @@ def word_vectors(total: np.ndarray, seen: np.ndarray) -> np.ndarray:
     context = total - seen[:, None] * mean  # what all words share says nothing
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
     weight = 1e-3 / (1e-3 + seen / max(seen.sum(), 1.0))
-    vectors = (INDEX / np.sqrt(NONZERO) + context) * (0.3 + weight)[:, None]
+    own = np.zeros((BUCKETS, DIMS))
+    np.put_along_axis(own, PLUS, 1 / np.sqrt(NONZERO), axis=1)
+    np.put_along_axis(own, MINUS, -1 / np.sqrt(NONZERO), axis=1)
+    vectors = (own + context) * (0.3 + weight)[:, None]
     return np.where(shown[:, None], vectors, 0).astype(np.float32)
 
 
