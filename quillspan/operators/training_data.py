@@ -295,3 +295,16 @@ def threshold_sweep(scenes: DataFrame) -> DataFrame:
     """Threshold, n_scenes, videos: how many videos have how many scenes at a threshold; scenes: threshold, video_id."""
     return scenes.groupBy("threshold", "video_id").agg(F.count(F.lit(1)).alias("n_scenes")).groupBy("threshold", "n_scenes").agg(F.count(F.lit(1)).alias("videos"))
 
+
+
+def rollout_tables(records: DataFrame, cuts: list[tuple[int, str]], rest: str, holdout: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Inputs (sample_id, subsplit, stage, prompt, snapshot) and labels (sample_id, expected), one to one; the last source groups are
+    held out, the stage follows the position in the trajectory.
+
+    records: record_id, trajectory_id, pos, source_group, prompt, target."""
+    from quillspan.operators.event_log import stages
+    from quillspan.operators.governance import group_holdout
+
+    r = group_holdout(stages(records, "trajectory_id", "pos", cuts, rest), "source_group", holdout)
+    sample = F.sha2(F.concat(F.lit("sample|"), F.col("record_id")), 256).alias("sample_id")
+    return r.select(sample, "subsplit", "stage", "prompt", F.sha2("prompt", 256).alias("snapshot")), r.select(sample, F.col("target").alias("expected"))

@@ -89,11 +89,13 @@ def constraint_results(runs: DataFrame, tools: DataFrame, gold_scenes: DataFrame
     return j.select("run_id", F.col("c_pos").alias("pos"), t.alias("type"), F.col("c_mandatory").alias("mandatory"), F.coalesce(satisfied, F.lit(False)).alias("satisfied"))
 
 
-def evaluate(runs: DataFrame, tools: DataFrame, candidates: DataFrame, gold: DataFrame, gold_scenes: DataFrame, constraints: DataFrame) -> DataFrame:
-    """One row a run with its rates, flags, task success and primary failure cause."""
+def evaluate(runs: DataFrame, tools: DataFrame, candidates: DataFrame, gold: DataFrame, gold_scenes: DataFrame, constraints: DataFrame, all_calls: bool = False) -> DataFrame:
+    """One row a run with its rates, flags, task success and primary failure cause.
+
+    ``all_calls`` is the earlier protocol (E7): required tools may be met by calls that failed."""
     ok = F.col("status") == "success"
     per = tools.groupBy("run_id").agg(
-        F.collect_set(F.when(ok, F.col("tool_name"))).alias("used"),
+        F.collect_set(F.col("tool_name") if all_calls else F.when(ok, F.col("tool_name"))).alias("used"),
         F.count(F.lit(1)).alias("n_tools"),
         F.count_if(F.col("status") == "invalid").alias("n_invalid"),
         F.count_if(~ok).alias("n_failed"),
@@ -237,3 +239,81 @@ def run_performance(runs: DataFrame) -> DataFrame:
 def success_table(rows: DataFrame, categories: list[str]) -> DataFrame:
     """Variant x category successes."""
     return rows.groupBy("variant").pivot("category", categories).agg(F.sum(F.col("success").cast("int"))).fillna(0)
+
+
+def score_edits(runs: DataFrame, tools: DataFrame, cases: DataFrame) -> DataFrame:
+    """Independent scores of edits: duration within 250 ms, a direct trim of the source to the final artifact with both ends
+    within 125 ms, and a successful search before it where the case needs one; refusals are kept apart.
+
+    cases: task_id, category, want_ms, start_ms, end_ms, requires_retrieval."""
+    c = cases.select("task_id", "category", "want_ms", F.col("start_ms").alias("xs"), F.col("end_ms").alias("xe"), "requires_retrieval")
+    r = runs.join(c, "task_id")
+    ok = tools.filter("status = 'success'")
+    searched = ok.filter("tool_name = 'search_video'").groupBy("run_id").agg(F.min("pos").alias("searched"))
+    trims = ok.filter("tool_name = 'trim_video'").select("run_id", "pos", "output_artifact_id", "parent", F.col("start_ms").alias("ts"), F.col("end_ms").alias("te"))
+    t = r.join(trims, "run_id").filter((F.col("output_artifact_id") == F.col("final_artifact_id")) & (F.col("parent") == F.col("source_artifact_id")))
+    t = t.filter((F.abs(F.col("ts") - F.col("xs")) <= 125) & (F.abs(F.col("te") - F.col("xe")) <= 125)).groupBy("run_id").agg(F.max("pos").alias("trimmed"))
+    j = r.join(t, "run_id", "left").join(searched, "run_id", "left")
+    j = j.withColumns(
+        {
+            "media_ok": F.coalesce(F.col("final_artifact_id").isNotNull() & (F.abs(F.col("duration_ms") - F.col("want_ms")) <= 250), F.lit(False)),
+            "lineage_ok": F.col("trimmed").isNotNull(),
+            "retrieval_used": F.coalesce(F.col("searched") < F.col("trimmed"), F.lit(False)),
+        }
+    )
+    success = (F.col("category") != "impossible") & (F.col("terminal_reason") == "SUCCESS") & F.col("media_ok") & F.col("lineage_ok") & (F.col("retrieval_used") | ~F.col("requires_retrieval"))
+    refusal = (F.col("category") == "impossible") & (F.col("terminal_reason") == "CANNOT_COMPLETE") & F.col("final_artifact_id").isNull()
+    return j.select("run_id", "category", "media_ok", "lineage_ok", "retrieval_used", success.alias("edit_success"), refusal.alias("correct_refusal"))
+
+
+def completion_status(checks: DataFrame) -> DataFrame:
+    """run_id, status of (run_id, check, passed, conclusive): failed if a conclusive check fails, else inconclusive if any is open, else passed."""
+    return checks.groupBy("run_id").agg(
+        F.when(F.max(F.col("conclusive") & ~F.col("passed")), "failed").when(F.max(~F.col("conclusive")), "inconclusive").otherwise("passed").alias("status"),
+        F.count_if(F.col("conclusive") & ~F.col("passed")).alias("n_failed"),
+    )
+
+
+def completion_checks(runs: DataFrame, validations: DataFrame, wishes: DataFrame, lineage_tools: DataFrame, unknown: DataFrame) -> DataFrame:
+    """The checks of finished runs.
+
+    runs: run_id, final_artifact_id; validations: run_id, artifact_id, pos, duration_ms, width, height (successful ones); wishes: run_id, type
+    (duration, aspect, tool, semantic), lo, hi, width, height, tool; lineage_tools: run_id, tool (J8); unknown: run_id (J9)."""
+    v = validations.join(runs.select("run_id", F.col("final_artifact_id").alias("artifact_id")), ["run_id", "artifact_id"])
+    v = v.groupBy("run_id").agg(F.max_by(F.struct("duration_ms", "width", "height"), "pos").alias("m"))
+    exists = runs.select("run_id", F.lit("output_exists").alias("check"), F.col("final_artifact_id").isNotNull().alias("passed"), F.lit(True).alias("conclusive"))
+    valid = runs.join(v, "run_id", "left").select("run_id", F.lit("output_validated").alias("check"), F.col("m").isNotNull().alias("passed"), F.lit(True).alias("conclusive"))
+    used = lineage_tools.select("run_id", "tool").distinct().withColumn("used", F.lit(True))
+    w = wishes.join(v, "run_id", "left").join(used, ["run_id", "tool"], "left")
+    passed = (
+        F.when(F.col("type") == "duration", F.col("m.duration_ms").between(F.col("lo"), F.col("hi")))
+        .when(F.col("type") == "aspect", F.col("m.width") * F.col("height") == F.col("m.height") * F.col("width"))
+        .when(F.col("type") == "tool", F.col("used"))
+        .otherwise(F.lit(True))
+    )
+    wished = w.select("run_id", F.col("type").alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"), (F.col("type") != "semantic").alias("conclusive"))
+    known = runs.join(unknown.select("run_id").distinct().withColumn("bad", F.lit(True)), "run_id", "left").select("run_id", F.lit("evidence_known").alias("check"), F.col("bad").isNull().alias("passed"), F.lit(True).alias("conclusive"))
+    return exists.unionByName(valid).unionByName(wished).unionByName(known)
+
+
+MUTATIONS = ("none", "wrong_duration", "no_artifact", "wrong_terminal")
+
+
+def mutate(runs: DataFrame, key: str) -> DataFrame:
+    """Runs with a known fault, chosen by the key modulo the number of faults."""
+    m = F.element_at(F.array(*[F.lit(x) for x in MUTATIONS]), (F.pmod(F.col(key), F.lit(len(MUTATIONS))) + 1).cast("int"))
+    r = runs.withColumn("mutation", m)
+    return r.withColumns(
+        {
+            "duration_ms": F.when(F.col("mutation") == "wrong_duration", F.col("duration_ms") + 10_000_000).otherwise(F.col("duration_ms")),
+            "final_artifact_id": F.when(F.col("mutation") != "no_artifact", F.col("final_artifact_id")),
+            "terminal_reason": F.when(F.col("mutation") == "wrong_terminal", "OTHER").otherwise(F.col("terminal_reason")),
+        }
+    )
+
+
+def calibration(evaluations: DataFrame) -> DataFrame:
+    """Mutation -> runs, passes, and how often the evaluator's verdict equals ``expected_pass``."""
+    return evaluations.groupBy("mutation").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("task_success").alias("n_passed"), F.avg((F.col("task_success") == F.col("expected_pass")).cast("double")).alias("agreement")
+    )

@@ -221,3 +221,30 @@ CONTEXT = "SELECT user_id AS run_id, event_id, event_type FROM {events}"
 def p10(get):
     c = get(CONTEXT).groupBy("run_id").agg(F.array_sort(F.collect_list("event_id")).alias("observations"), F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "ready").otherwise("done").alias("status")))).alias("plan"))
     return T.compact_context(c.withColumn("scenes", F.col("observations")))
+
+
+_STAGE = "CASE WHEN row_number() OVER (PARTITION BY trajectory_id ORDER BY pos) <= 1 THEN 'first' ELSE 'later' END"
+
+
+@query(
+    "t12_rollout_tables",
+    f"""WITH r AS (SELECT {RID} AS record_id, trajectory_id, prompt, target, {_STAGE} AS stage, trajectory_id % 7 AS g FROM ({RECORDS}))
+    SELECT sha256('sample|' || record_id) AS sample_id, CASE WHEN g IN (SELECT DISTINCT g FROM r ORDER BY g DESC LIMIT 2) THEN 'holdout' ELSE 'train' END AS subsplit, stage, sha256(prompt) AS snapshot, sha256(target) AS expected FROM r""",
+)
+def t12(get):
+    i, lab = T.rollout_tables(records(get).withColumn("source_group", F.col("trajectory_id") % 7), [(1, "first")], "later")
+    return i.join(lab, "sample_id").select("sample_id", "subsplit", "stage", "snapshot", F.sha2("expected", 256).alias("expected"))
+
+
+SPOKEN = "SELECT conv_id AS case_id, turn AS pos, role AS text, turn * 1000 AS start_ms, turn * 1000 + 900 AS end_ms FROM {conversations}"
+SPOKEN_GOLD = "SELECT conv_id AS case_id, 'user assistant' AS text, 100 AS start_ms, count(*) * 1000 AS end_ms FROM {conversations} GROUP BY conv_id"
+
+
+@query(
+    "a10_asr_table",
+    f"""WITH s AS (SELECT case_id, count(*) AS n, string_agg(text, ' ' ORDER BY pos) AS h, min(start_ms) AS s, max(end_ms) AS e FROM ({SPOKEN}) GROUP BY 1)
+    SELECT case_id, abs(s - g.start_ms) AS start_error, abs(e - g.end_ms) AS end_error, h = 'user assistant' AS correct, CASE WHEN h = 'user assistant' THEN 'correct' WHEN n < 2 THEN 'deletion' WHEN n > 2 THEN 'insertion' ELSE 'substitution' END AS kind FROM ({SPOKEN_GOLD}) g JOIN s USING (case_id)""",
+)
+def a10(get):
+    t = T.asr_table(get(SPOKEN), get(SPOKEN_GOLD))
+    return t.select("case_id", "start_error", "end_error", (F.col("wer") == 0).alias("correct"), "kind")

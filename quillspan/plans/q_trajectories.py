@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.operators import claims as C
 from quillspan.operators import trajectories as T
+from quillspan.operators.event_log import ancestors, unknown_citations
+from quillspan.operators.intervals import differences
 from quillspan.plans.registry import query
 
 R9 = lambda c: F.round(c, 9).alias(c)
@@ -212,3 +215,137 @@ FINALS = f"SELECT user_id AS run_id, CASE WHEN user_id % 2 = 0 THEN 'view' ELSE
 @query("p9_final_media", f"SELECT v.run_id, arg_max(details, pos) AS details FROM ({VALID}) v JOIN ({FINALS}) r ON r.run_id = v.run_id AND r.final_artifact_id = v.artifact_id WHERE status = 'success' GROUP BY 1")
 def p9(get):
     return T.final_media(get(VALID), get(FINALS))
+
+
+@query(
+    "e7_earlier_protocol",
+    f"WITH {BASE.replace("list(DISTINCT tool_name) FILTER (status = 'success') AS used", "list(DISTINCT tool_name) AS used")} SELECT run_id, success AS task_success, ts AS tools_satisfied, cause AS primary_failure FROM ev",
+)
+def e7(get):
+    return T.evaluate(*parts(get), all_calls=True).select("run_id", "task_success", "tools_satisfied", "primary_failure")
+
+
+EDIT_TOOLS = TOOLS.replace("event_id % 8 AS output_artifact_id", "CASE WHEN event_id % 2 = 0 THEN 'f' ELSE 'g' END AS output_artifact_id, CASE WHEN event_id % 3 = 0 THEN 's' ELSE 'x' END AS parent")
+EDIT_CASES = f"SELECT DISTINCT user_id % 40 AS task_id, CASE WHEN user_id % 40 % 4 = 0 THEN 'impossible' ELSE 'edit' END AS category, user_id % 40 * 100 AS want_ms, user_id % 40 % 9 * 1000 + 100 AS start_ms, user_id % 40 % 9 * 1000 + 1100 AS end_ms, user_id % 40 % 2 = 0 AS requires_retrieval FROM {_U}"
+
+
+@query(
+    "e16_edit_scores",
+    f"""WITH r AS (SELECT r.*, category, want_ms, c.start_ms AS xs, c.end_ms AS xe, requires_retrieval FROM ({RUNS}) r JOIN ({EDIT_CASES}) c USING (task_id)), t AS (SELECT * FROM ({EDIT_TOOLS}) WHERE status = 'success'),
+    x AS (SELECT r.*, (SELECT max(pos) FROM t WHERE t.run_id = r.run_id AND tool_name = 'trim_video' AND output_artifact_id = final_artifact_id AND parent = source_artifact_id AND abs(t.start_ms - xs) <= 125 AND abs(t.end_ms - xe) <= 125) AS trimmed, (SELECT min(pos) FROM t WHERE t.run_id = r.run_id AND tool_name = 'search_video') AS searched FROM r),
+    y AS (SELECT *, final_artifact_id IS NOT NULL AND abs(duration_ms - want_ms) <= 250 AS media_ok, trimmed IS NOT NULL AS lineage_ok, coalesce(searched < trimmed, false) AS retrieval_used FROM x)
+    SELECT run_id, category, media_ok, lineage_ok, retrieval_used, category <> 'impossible' AND terminal_reason = 'SUCCESS' AND media_ok AND lineage_ok AND (retrieval_used OR NOT requires_retrieval) AS edit_success, category = 'impossible' AND terminal_reason = 'CANNOT_COMPLETE' AND final_artifact_id IS NULL AS correct_refusal FROM y""",
+)
+def e16(get):
+    return T.score_edits(get(RUNS), get(EDIT_TOOLS), get(EDIT_CASES))
+
+
+FINISHED = f"SELECT user_id AS run_id, CASE WHEN user_id % 7 <> 0 THEN user_id * 10 + 3 END AS final_artifact_id FROM {_U}"
+CHECKED = "SELECT user_id AS run_id, event_id % 5 + user_id * 10 AS artifact_id, event_id AS pos, event_id % 900 AS duration_ms, 640 AS width, event_id % 2 * 360 AS height FROM {events}"
+WISHES = f"SELECT user_id AS run_id, t.type AS type, 100 AS lo, 700 AS hi, 16 AS width, 9 AS height, CASE WHEN t.type = 'tool' THEN 'add_subtitles' END AS tool FROM {_U} CROSS JOIN (SELECT 'duration' AS type UNION ALL SELECT 'aspect' AS type UNION ALL SELECT 'tool' AS type UNION ALL SELECT 'semantic' AS type) AS t WHERE NOT (t.type = 'semantic' AND user_id % 2 = 0) AND NOT (t.type IN ('tool', 'aspect') AND user_id % 3 = 0)"
+PARENTS = f"SELECT user_id * 10 + 3 AS child, user_id * 10 + 2 AS parent FROM {_U} UNION ALL SELECT user_id * 10 + 2 AS child, user_id * 10 + 1 AS parent FROM {_U} WHERE user_id % 4 <> 0"
+MAKERS = f"SELECT user_id * 10 + 1 AS node, 'add_subtitles' AS tool FROM {_U}"
+CITES = f"SELECT user_id AS run_id, user_id % 9 AS evidence_id FROM {_U}"
+KNOWN = f"SELECT user_id AS run_id, user_id % 8 AS evidence_id FROM {_U}"
+
+
+@query(
+    "e18_completion_check",
+    f"""WITH r AS ({FINISHED}), m AS (SELECT c.run_id, arg_max(duration_ms, pos) AS d, arg_max(width, pos) AS w, arg_max(height, pos) AS h FROM ({CHECKED}) c JOIN r ON r.run_id = c.run_id AND r.final_artifact_id = c.artifact_id GROUP BY 1),
+    k AS (SELECT run_id, final_artifact_id IS NOT NULL AS passed, true AS conclusive FROM r UNION ALL SELECT r.run_id, m.run_id IS NOT NULL, true FROM r LEFT JOIN m USING (run_id)
+      UNION ALL SELECT w.run_id, coalesce(CASE w.type WHEN 'duration' THEN d BETWEEN lo AND hi WHEN 'aspect' THEN m.w * w.height = m.h * w.width WHEN 'tool' THEN r.final_artifact_id IS NOT NULL AND w.run_id % 4 <> 0 ELSE true END, false), w.type <> 'semantic' FROM ({WISHES}) w JOIN r USING (run_id) LEFT JOIN m USING (run_id)
+      UNION ALL SELECT c.run_id, EXISTS (SELECT 1 FROM ({KNOWN}) n WHERE n.run_id = c.run_id AND n.evidence_id = c.evidence_id), true FROM ({CITES}) c)
+    SELECT run_id, CASE WHEN bool_or(conclusive AND NOT passed) THEN 'failed' WHEN bool_or(NOT conclusive) THEN 'inconclusive' ELSE 'passed' END AS status, count(*) FILTER (conclusive AND NOT passed) AS n_failed FROM k GROUP BY 1""",
+)
+def e18(get):
+    runs = get(FINISHED)
+    closure = ancestors(get(PARENTS), runs.filter("final_artifact_id IS NOT NULL").select(F.col("final_artifact_id").alias("start")))
+    tools = closure.join(get(MAKERS), "node").join(runs, F.col("start") == F.col("final_artifact_id")).select("run_id", "tool")
+    bad = unknown_citations(get(CITES), [get(KNOWN)])
+    return T.completion_status(T.completion_checks(runs, get(CHECKED), get(WISHES), tools, bad))
+
+
+_E6 = f"""{" UNION ALL ".join(f"SELECT '{k}' AS metric, round(avg({v}), 8) AS value FROM ev" for k, v in _COLS.items())}
+  UNION ALL SELECT 'impossible_refusal', round(avg(cr::INT), 8) FROM ev WHERE family = 'impossible' UNION ALL SELECT 'recovery_success', round(avg(success::INT), 8) FROM ev WHERE n_failed > 0 UNION ALL SELECT 'recovery_opportunities', count(*) FROM ev WHERE n_failed > 0
+  UNION ALL SELECT 'family:' || family, round(avg(success::INT), 8) FROM ev GROUP BY family UNION ALL SELECT 'failure:' || cause, count(*) FROM ev WHERE cause IS NOT NULL GROUP BY cause"""
+
+
+@query("e19_recomputed_summary", f"WITH {BASE}, s AS ({_E6}) SELECT metric, 'value' AS \"column\" FROM s WHERE metric LIKE 'family:%'")
+def e19(get):
+    """The stored summary differs from the recomputed one in the family rates."""
+    now = T.summarize(evaluated(get)).withColumn("value", F.round("value", 8))
+    stored = now.withColumn("value", F.when(F.col("metric").startswith("family:"), F.col("value") + 1).otherwise(F.col("value")))
+    return differences(now, stored, ["metric"]).select("metric", "column")
+
+
+_MUT = "CASE run_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'wrong_duration' WHEN 2 THEN 'no_artifact' ELSE 'wrong_terminal' END"
+MUTATED = f"SELECT * REPLACE (CASE WHEN {_MUT} = 'wrong_duration' THEN duration_ms + 10000000 ELSE duration_ms END AS duration_ms, CASE WHEN {_MUT} <> 'no_artifact' THEN final_artifact_id END AS final_artifact_id, CASE WHEN {_MUT} = 'wrong_terminal' THEN 'OTHER' ELSE terminal_reason END AS terminal_reason) FROM ({RUNS})"
+
+
+@query(
+    "e20_calibration",
+    f"WITH {BASE.replace(f'runs AS ({RUNS})', f'runs AS ({MUTATED})')} SELECT {_MUT} AS mutation, count(*) AS n, count(*) FILTER (success) AS n_passed, round(avg((success = ({_MUT} IN ('none', 'wrong_duration')))::INT), 9) AS agreement FROM ev GROUP BY 1",
+)
+def e20(get):
+    runs, *rest = parts(get)
+    mutated = T.mutate(runs, "run_id")
+    ev = T.evaluate(mutated, *rest).withColumn("expected_pass", F.col("mutation").isin("none", "wrong_duration"))
+    return T.calibration(ev).withColumn("agreement", F.round("agreement", 9))
+
+
+VGOLD = f"SELECT user_id AS case_id, CASE WHEN user_id % 5 <> 0 THEN 'view' END AS action, 'SALE view' AS visible_text, CASE WHEN user_id % 4 <> 0 THEN user_id * 10 END AS event_start, CASE WHEN user_id % 4 <> 0 THEN user_id * 10 + 400 END AS event_end FROM {_U}"
+VENT = "SELECT user_id AS case_id, concat('a ', event_type) AS text FROM {events} WHERE event_id % 7 <> 0"
+VACT = "SELECT user_id AS case_id, concat('does ', event_type) AS text FROM {events} WHERE user_id % 10 <> 0"
+VTXT = "SELECT user_id AS case_id, concat('sale ', event_type) AS text FROM {events}"
+VEVT = "SELECT user_id AS case_id, event_id AS start_ms, event_id + 300 AS end_ms FROM {events} WHERE user_id % 8 <> 0"
+VISUAL = f"""v AS (SELECT g.*, coalesce((SELECT bool_or(text = 'a view') FROM ({VENT}) e WHERE e.case_id = g.case_id), false) AS entity_correct, (SELECT count(*) FILTER (text NOT IN ('a view', 'a click')) FROM ({VENT}) e WHERE e.case_id = g.case_id) AS n_hallucinated, (SELECT count(*) FROM ({VENT}) e WHERE e.case_id = g.case_id) AS n_entities,
+  CASE WHEN action IS NULL THEN NOT EXISTS (SELECT 1 FROM ({VACT}) a WHERE a.case_id = g.case_id) ELSE coalesce((SELECT bool_or(contains(text, action)) FROM ({VACT}) a WHERE a.case_id = g.case_id), false) END AS action_correct, false AS text_exact, coalesce((SELECT bool_or(text = 'sale view') FROM ({VTXT}) t WHERE t.case_id = g.case_id), false) AS text_normalized,
+  coalesce((SELECT min(levenshtein('saleview', replace(text, ' ', '')) / 8) FROM ({VTXT}) t WHERE t.case_id = g.case_id), 1) AS text_cer,
+  CASE WHEN event_start IS NULL THEN NOT EXISTS (SELECT 1 FROM ({VEVT}) e WHERE e.case_id = g.case_id) ELSE coalesce((SELECT max(greatest(0, least(end_ms, event_end) - greatest(start_ms, event_start)) / (greatest(end_ms, event_end) - least(start_ms, event_start))) >= 0.5 FROM ({VEVT}) e WHERE e.case_id = g.case_id), false) END AS event_correct FROM ({VGOLD}) g)"""
+
+
+def visual(get):
+    gold = get(VGOLD).withColumn("entities", F.array(F.lit("view"), F.lit("a click")))
+    return C.visual_metrics(gold, get(VENT), get(VACT), get(VTXT), get(VEVT))
+
+
+@query("a11_visual_claims", f"WITH {VISUAL} SELECT case_id, entity_correct, n_hallucinated, n_entities, action_correct, text_exact, text_normalized, round(text_cer, 9) AS text_cer, event_correct FROM v")
+def a11(get):
+    return visual(get).withColumn("text_cer", F.round("text_cer", 9))
+
+
+_VR = ", ".join(f"round(avg({c}::INT), 8) AS {c}" for c in ("entity_correct", "action_correct", "text_exact", "text_normalized", "event_correct"))
+
+
+@query("a12_visual_summary", f"WITH {VISUAL} SELECT {_VR}, round(avg(text_cer), 8) AS text_cer, round(sum(n_hallucinated) / sum(n_entities), 8) AS hallucination_rate, count(*) AS n, (SELECT count(*) FROM events) AS n_attempted, round(count(*) / (SELECT count(*) FROM events), 8) AS validity FROM v")
+def a12(get):
+    s = C.visual_summary(visual(get), get("SELECT event_id FROM {events}"))
+    return s.withColumns({c: F.round(c, 8) for c, t in s.dtypes if t == "double"})
+
+
+MGOLD = f"SELECT user_id AS case_id, CASE WHEN user_id % 3 = 0 THEN 'move_left' END AS direction, CASE WHEN user_id % 2 = 0 THEN 'ball' END AS first_actor, CASE WHEN user_id % 2 = 0 THEN 'box' END AS second_actor FROM {_U}"
+MEXP = f"SELECT user_id AS case_id, 0 AS n, 'ball' AS actor, 'move_left' AS action, user_id * 20 AS start_ms, user_id * 20 + 500 AS end_ms FROM {_U} WHERE user_id % 5 <> 0"
+MCLAIM = "SELECT user_id AS case_id, event_id AS claim_id, CASE WHEN event_id % 3 = 0 THEN 'the ball is moving left' WHEN event_id % 3 = 1 THEN 'the box will vanish' ELSE 'Ball_halts' END AS text, CASE WHEN event_id % 4 <> 0 THEN event_id END AS start_ms, CASE WHEN event_id % 4 <> 0 THEN event_id + 450 END AS end_ms FROM {events} WHERE user_id % 50 <> 7"
+MOTION = f"""mc AS (SELECT *, claim_id % 3 = 0 AS m, claim_id % 3 <> 1 AS is_ball FROM ({MCLAIM})), mp AS (SELECT x.case_id, bool_or(m) AS hit, min((abs(x.start_ms - c.start_ms) + abs(x.end_ms - c.end_ms)) / 2) FILTER (m) AS err,
+   max(greatest(0, least(x.end_ms, c.end_ms) - greatest(x.start_ms, c.start_ms)) / (greatest(x.end_ms, c.end_ms) - least(x.start_ms, c.start_ms))) FILTER (m AND c.start_ms IS NOT NULL) AS best FROM ({MEXP}) x LEFT JOIN mc c USING (case_id) GROUP BY 1),
+mn AS (SELECT case_id, count(*) AS n, count(*) FILTER (start_ms IS NOT NULL) AS nt, count(*) FILTER (m) AS nm, min(start_ms) FILTER (is_ball) AS s1, min(start_ms) FILTER (NOT is_ball) AS s2, bool_or(m) AS dir FROM mc GROUP BY 1),
+mo AS (SELECT g.case_id, CASE WHEN p.case_id IS NULL THEN coalesce(n, 0) = 0 ELSE coalesce(hit, false) END AS action_correct, CASE WHEN p.case_id IS NULL THEN coalesce(nt, 0) = 0 ELSE coalesce(best >= 0.3, false) END AS temporal_correct, err AS localisation_error,
+   (coalesce(n, 0) - CASE WHEN p.case_id IS NULL THEN 0 ELSE coalesce(nm, 0) END) / greatest(1, coalesce(n, 0)) AS unsupported_rate, CASE WHEN direction IS NOT NULL THEN coalesce(dir, false) END AS direction_correct, CASE WHEN first_actor IS NOT NULL THEN coalesce(s1 < s2, false) END AS order_correct
+   FROM ({MGOLD}) g LEFT JOIN mp p USING (case_id) LEFT JOIN mn USING (case_id))"""
+
+
+def motion(get):
+    return C.motion_metrics(get(MGOLD), get(MEXP), get(MCLAIM))
+
+
+@query("a13_motion_claims", f"WITH {MOTION} SELECT case_id, action_correct, temporal_correct, round(localisation_error, 9) AS localisation_error, round(unsupported_rate, 9) AS unsupported_rate, direction_correct, order_correct FROM mo")
+def a13(get):
+    return motion(get).withColumns({c: F.round(c, 9) for c in ("localisation_error", "unsupported_rate")})
+
+
+_FLAGS = ["action_correct", "temporal_correct", "direction_correct", "order_correct"]
+
+
+@query("a14_failure_matrix", f"WITH {MOTION} {' UNION ALL '.join(f"SELECT case_id % 2 AS task_type, case_id % 3 AS variant, '{f}' AS failure, count(*) FILTER (NOT {f}) AS n_failed, count(*) AS n FROM mo WHERE {f} IS NOT NULL GROUP BY ALL" for f in _FLAGS)}")
+def a14(get):
+    return C.failure_matrix(motion(get).withColumns({"task_type": F.col("case_id") % 2, "variant": F.col("case_id") % 3}), _FLAGS)
