@@ -173,16 +173,16 @@ def take(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     Copies are joined back by document, source and size. Rows that agree in all three are told apart by their number
     among themselves: the copies of such rows are dealt in order, which leaves their total as it is.
     """
-    plan = mix(docs, weights, share, doc_id, source, text).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    plan = materialize(plan.filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies", "rows"), "taken")
+    plan = mix(docs, weights, share, doc_id, source, text).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"))
+    plan = materialize(plan.filter("__all > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__all", "__rows"), "taken")
     joined = docs.withColumn("__n", word_count(F.col(text))).join(
         plan,
         F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).cast("string").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")),
     )
-    once = joined.filter("rows = 1").withColumn("__copies", F.col("copies"))
+    once = joined.filter("__rows = 1").withColumn("__copies", F.col("__all"))
     w = Window.partitionBy(doc_id, source, "__n").orderBy(F.xxhash64(text))
-    several = joined.filter("rows > 1").withColumn("__at", F.row_number().over(w))
-    several = several.withColumn("__copies", F.floor(F.col("copies") / F.col("rows")) + (F.col("__at") <= F.col("copies") % F.col("rows")).cast("long")).drop("__at")
+    several = joined.filter("__rows > 1").withColumn("__at", F.row_number().over(w))
+    several = several.withColumn("__copies", F.floor(F.col("__all") / F.col("__rows")) + (F.col("__at") <= F.col("__all") % F.col("__rows")).cast("long")).drop("__at")
     dealt = once.unionByName(several).filter("__copies > 0")
     return dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))).select(docs.columns)
 
