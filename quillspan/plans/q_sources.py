@@ -46,7 +46,7 @@ def s4(spark, sf_dir):
     S.write_split(rows, path, ["x"], ["quality", "toxic"], "doc_id", "subsplit")
     a = S.read_records(spark, f"{path}/public", "doc_id long, x string, subsplit string")
     b = S.read_records(spark, f"{path}/private", "doc_id long, quality int, toxic int")
-    return a.join(b, "doc_id").select("doc_id", "subsplit", "x", "quality", "toxic")
+    return a.join(b.drop("subsplit"), "doc_id").select("doc_id", "subsplit", "x", "quality", "toxic")
 
 
 QUERIES |= {"s1_json_lines": s1, "s2_one_per_file": s2, "s3_ratings_csv": s3, "s4_split_sink": s4}
