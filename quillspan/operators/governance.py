@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.plans.scratch import materialize
+
 
 def numbered(rows: DataFrame, order: list[str], name: str = "__n") -> DataFrame:
     """Positions from 0 in a total order without a single-partition sort of wide rows: rows are range partitioned and sorted,
-    counted per partition, and offsets of partitions (one row each) are added."""
+    counted per partition, and offsets of partitions (one row each) are added. The sorted rows are written once, because a
+    second sampling of the ranges could place rows otherwise."""
     s = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
+    s = materialize(s, "numbered")
     first = s.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"), F.min("__i").alias("__first"))
     offsets = first.withColumn("__off", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return s.join(F.broadcast(offsets.select("__p", "__off", "__first")), "__p").withColumn(name, F.col("__off") + F.col("__i") - F.col("__first")).drop("__p", "__i", "__off", "__first")

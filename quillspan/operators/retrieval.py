@@ -113,33 +113,54 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
     (video_id, scene_id, item, embedding) against (query_id, embedding). Queries go to the tasks in blocks of ``block``
     vectors (the bound on what is sent); each task multiplies whole Arrow batches and passes on its own k best a query.
     """
-    ids = [r["query_id"] for r in queries.select("query_id").orderBy("query_id").toLocalIterator()]
     out = None
-    for at in range(0, max(len(ids), 1), block):
-        rows = queries.filter(F.col("query_id").isin(ids[at : at + block])).collect() if len(ids) > block else queries.collect()
-        part = _dense_block(vectors, rows, k, queries.schema["query_id"].dataType.simpleString())
+    for rows in _blocks(queries, block):
+        part = _dense_block(vectors, rows, k, queries.schema["query_id"].dataType.simpleString(), False)
         out = part if out is None else out.unionByName(part)
     return ranked(out, k)
 
 
+def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
+    """The query table in blocks of bounded size, by id; one empty block for an empty table."""
+    rows: list = []
+    some = False
+    for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
+        rows.append(r)
+        if len(rows) == block:
+            yield rows
+            rows, some = [], True
+    if rows or not some:
+        yield rows
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _dense_block(vectors: DataFrame, rows: list, k: int, id_type: str) -> DataFrame:
+def _dense_block(vectors: DataFrame, rows: list, k: int, id_type: str, by_scene: bool) -> DataFrame:
+    """Scores of a block of queries, cut in each Arrow batch to the k best items of a query, or with ``by_scene`` to the best
+    items of its k best scenes. Ties of the k-th best stay, so that the final order settles them."""
     keys = [r["query_id"] for r in rows]
     q = _unit(np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1))
 
+    def least_of_best(s: np.ndarray) -> np.ndarray:
+        at = max(0, s.shape[1] - k)
+        return np.partition(s, at, axis=1)[:, at, None]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("embedding")
             if not batch.num_rows or not keys:
                 continue
-            x = _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
+            x = _unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
             s = np.round(q @ x.T, 9)
-            # all that reach the k-th best stay, so that ties are settled by the final order
-            least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-            i, j = np.nonzero(s >= least[:, None])
+            if by_scene:
+                scenes: dict = {}
+                code = np.array([scenes.setdefault(v, len(scenes)) for v in zip(batch.column("video_id").to_pylist(), batch.column("scene_id").to_pylist(), strict=True)])
+                order = np.argsort(code, kind="stable")
+                best = np.maximum.reduceat(s[:, order], np.flatnonzero(np.diff(code[order], prepend=-1)), axis=1)
+                i, j = np.nonzero((s == best[:, code]) & (best >= least_of_best(best))[:, code])
+            else:
+                i, j = np.nonzero(s >= least_of_best(s))
             picked = batch.select(["video_id", "scene_id", "item"]).take(pa.array(j))
             yield pa.RecordBatch.from_arrays([pa.array([keys[n] for n in i]), *picked.columns, pa.array(s[i, j])], ["query_id", "video_id", "scene_id", "item", "score"])
 
@@ -156,10 +177,14 @@ def best_frames(scores: DataFrame) -> DataFrame:
     )
 
 
-def visual_search(frames: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Every frame is scored, each scene counts by its best frame, the k best scenes stay."""
-    every = _dense_block(frames, queries.collect(), 1 << 30, queries.schema["query_id"].dataType.simpleString())
-    return ranked(best_frames(every), k)
+def visual_search(frames: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+    """Every frame is scored, each scene counts by its best frame, the k best scenes stay. A scene among the k best of all is
+    among the k best of the batch that holds its best frame, so batches pass on no more than that."""
+    out = None
+    for rows in _blocks(queries, block):
+        part = _dense_block(frames, rows, k, queries.schema["query_id"].dataType.simpleString(), True)
+        out = part if out is None else out.unionByName(part)
+    return ranked(best_frames(out), k)
 
 
 def embed_once(references: DataFrame, artifact: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
