@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.text import SPACE
-from quillspan.plans.scratch import materialize
+from quillspan.plans.scratch import materialize, sendable
 
 SALTS = 16
 #: log2 of the sketch size; the relative standard error is about 1.04 / sqrt(2 ** LG_K).
@@ -84,6 +84,9 @@ def dedup_lines(
         .agg(F.collect_set("h").alias("__line_gone"))
     )
     going = materialize(going, "lines-to-remove")
+    # counted in hashes, not in documents: that is what a task would hold
+    held_hashes = going.agg(F.sum(F.size("__line_gone") + 1)).first()[0] or 0
+    going = sendable(going, held_hashes)
     joined = docs.join(going, F.col(doc_id).eqNullSafe(F.col("__line_doc")), "left")
     all_lines = F.split(F.col(text), "\n")
     kept = F.when(

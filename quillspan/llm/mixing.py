@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.text import word_count
-from quillspan.plans.scratch import materialize
+from quillspan.plans.scratch import materialize, sendable
 
 #: Documents of one rounding group, about; the group is folded in one row, so this bounds its memory.
 GROUP = 96
@@ -174,7 +174,7 @@ def take(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     among themselves: the copies of such rows are dealt in order, which leaves their total as it is.
     """
     plan = mix(docs, weights, share, doc_id, source, text).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"))
-    plan = materialize(plan.filter("__all > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__all", "__rows"), "taken")
+    plan = sendable(materialize(plan.filter("__all > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__all", "__rows"), "taken"))
     joined = docs.withColumn("__n", word_count(F.col(text))).join(
         plan,
         F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).cast("string").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")),

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import connected
-from quillspan.plans.scratch import materialize
+from quillspan.plans.scratch import materialize, sendable
 
 HASHES, TREES, DEPTH, LABEL = 128, 48, 6, 12
 AGREE = 82
@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     )
     wanted = agreeing.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct()
     wanted = materialize(wanted.join(reps.select("id", "key"), "id"), "wanted")
-    sets = shingle_sets(texts.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"), width)
+    ids = sendable(materialize(wanted.select(F.col("id").alias("doc_id")).distinct(), "wanted-ids"))
+    sets = shingle_sets(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text"), width)
     sets = materialize(sets.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "shingles"), "sets")
 
     of_a, of_b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -295,7 +296,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id, once. Rows without an id, which
     can't be told apart, all stay."""
-    kept = near_duplicates(docs, width, percent, doc_id, text).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = materialize(kept, "kept-ids")
-    chosen = docs.join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").withColumn("__h", F.xxhash64(text))
-    return chosen.dropDuplicates([doc_id, "__h"]).drop("__h").unionByName(docs.filter(F.col(doc_id).isNull()))
+    judged = near_duplicates(docs, width, percent, doc_id, text).filter("kept")
+    kept = judged.groupBy(F.col("doc_id").alias("__kept")).agg((F.count(F.lit(1)) > 1).alias("__repeated"))
+    kept = sendable(materialize(kept, "kept-ids"))
+    chosen = docs.join(kept, F.col(doc_id) == F.col("__kept")).drop("__kept")
+    # only rows of an id that occurs again are compared with each other
+    once = chosen.filter("NOT __repeated").drop("__repeated")
+    several = chosen.filter("__repeated").drop("__repeated").withColumn("__h", F.xxhash64(text)).dropDuplicates([doc_id, "__h"]).drop("__h")
+    return once.unionByName(several).unionByName(docs.filter(F.col(doc_id).isNull()))
