@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import connected
+from quillspan.llm.text import small
 from quillspan.plans.scratch import materialize, sendable
 
 HASHES, TREES, DEPTH, LABEL = 128, 48, 6, 12
@@ -92,7 +93,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             n, keys, sigs = [], [], []
             for i, text in zip(batch.column("doc_id").to_pylist(), _texts(batch, "text"), strict=True):
                 words = text.lower().split() if text else []
@@ -114,7 +115,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             keys, sets = [], []
             for text in _texts(batch, "text"):
                 words = text.lower().split() if text else []

@@ -30,14 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.text import small
+
 BUCKETS = 1 << 13
 DIMS = 64
 NONZERO = 8
 WINDOW = 2
 SAMPLE = 20_000
 THRESHOLD = 0.3
-WORDS_KEPT = 300_000
-CHUNK = 200_000  # tokens in work at once
+WORDS_KEPT = 150_000
+CHUNK = 50_000  # tokens in work at once
 
 _rng = np.random.default_rng(7)
 #: places of the values 1 and -1 of each index vector, half of ``NONZERO`` each
@@ -139,7 +141,7 @@ def context_sums(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 _add_context(total, seen, np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held]))
             held, n = [], 0
 
-        for batch in batches:
+        for batch in small(batches):
             for text in _texts(batch):
                 ids = token_ids(text, tokens)
                 for at in range(0, len(ids), CHUNK):  # the pieces of a very long text overlap by the window
@@ -257,7 +259,7 @@ def held_out(doc_id: Column) -> Column:
 def _pooled(docs: DataFrame, vectors, keep: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
-        for batch in batches:
+        for batch in small(batches):
             x = pool([token_ids(t, tokens) for t in _texts(batch)], vectors.value)
             yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array([r.tobytes() for r in x], pa.binary())], [keep, "x"])
 
@@ -292,7 +294,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
-        for batch in batches:
+        for batch in small(batches):
             x = pool([token_ids(t, tokens) for t in _texts(batch)], vectors.value)
             score = model.value.score(x) if model.value is not None else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*names, "score"])

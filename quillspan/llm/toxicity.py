@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.quality_model import held_out
+from quillspan.llm.text import small
 
 SAMPLE = 20_000
 FEATURES = 1_500
@@ -78,7 +79,7 @@ def _counts(text: bytes | None, columns: ColumnsOf) -> Counter:
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, y) -> feature, toxic and other documents that hold it."""
     features = WordFeatures()
-    for batch in batches:
+    for batch in small(batches):
         held: dict[int, list[int]] = {}
         for text, y in zip(_texts(batch), batch.column("y").to_pylist(), strict=True):
             for h in {h for word in set(text.split() if text else ()) for h in features[word]}:
@@ -147,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = ColumnsOf(columns)
-        for batch in batches:
+        for batch in small(batches):
             rows = [_counts(t, of) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("y"), pa.array([list(r.keys()) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))],
@@ -171,7 +172,7 @@ def grade(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = ColumnsOf(model.value.columns) if model.value else None
-        for batch in batches:
+        for batch in small(batches):
             p = model.value.above([_counts(t, of) for t in _texts(batch)]) if of is not None else np.zeros((batch.num_rows, GRADES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(axis=1), pa.float64()), pa.array(p[:, 0] >= 0.5, pa.bool_())], [*names, "severity", "toxic"])
 
