@@ -109,20 +109,52 @@ def rollout_groups(rollouts: DataFrame, sample: str, order: str, k: int = 4) ->
     return rollouts.withColumn("__n", n).withColumns({"group": F.floor(F.col("__n") / k).cast("long"), "place": (F.col("__n") % k).cast("long")}).drop("__n")
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:
+#: Rounds of single steps in ``ancestors`` before steps are joined to longer ones.
+SINGLE_STEPS = 16
+
+
+def _doubled(jumps: DataFrame, most: int) -> DataFrame | None:
+    """(child, parent) of two jumps in a row; None if the join has more than ``most`` rows."""
+    here = jumps.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
+    out = here.join(jumps.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n_out")), "node")
+    if (out.agg(F.sum(F.col("n_in").cast("double") * F.col("n_out"))).first()[0] or 0) > most:
+        return None
+    up = jumps.select(F.col("child").alias("middle"), F.col("parent").alias("next"))
+    return materialize(jumps.join(up, F.col("parent") == F.col("middle")).select("child", F.col("next").alias("parent")).distinct(), "jumps")
+
+
+def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node) for all nodes that are reached from a start over child -> parent edges; cycles do no harm.
 
-    Each round joins only the newly found pairs to the edges and drops the known ones, until nothing is new."""
-    e = edges.filter(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("child", "parent").distinct()
+    Each round joins only the newly found pairs to the edges and drops the known ones, until nothing is new. Where that
+    takes more than ``SINGLE_STEPS`` rounds, edges give way to jumps of 2, 4, 8, ... steps, so that a long chain takes
+    rounds in its logarithm; jumps grow no further once they would be more than twice the edges.
+
+    With all pairs of fewer than ``reach`` steps known, one round adds those of fewer than ``reach + length`` (the length
+    of a jump, ``reach`` at most). A round without a new pair ends the search: the shortest path to a farther node would
+    pass one.
+    """
+    jumps = edges.filter(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("child", "parent").distinct()
     known = materialize(starts.select("start", F.col("start").alias("node")).distinct(), "reached")
-    new = known
-    for _ in range(most_rounds):
-        step = new.join(e, F.col("node") == F.col("child")).select("start", F.col("parent").alias("node")).distinct()
+    new, reach, length, most = known, 1, 1, None
+    growing = True
+    while True:
+        if growing and reach > SINGLE_STEPS:
+            if most is None:
+                jumps = materialize(jumps, "jumps")
+                most = 2 * jumps.count()
+            while growing and 2 * length <= reach:
+                longer = _doubled(jumps, most)
+                if longer is None:
+                    growing = False
+                else:
+                    jumps, length, new = longer, 2 * length, known
+        step = new.join(jumps, F.col("node") == F.col("child")).select("start", F.col("parent").alias("node")).distinct()
         new = materialize(step.join(known, ["start", "node"], "left_anti"), "frontier")
         if new.isEmpty():
             return known
         known = materialize(known.unionByName(new), "reached")
-    raise RuntimeError("lineage did not settle")
+        reach += length
 
 
 def unknown_citations(citations: DataFrame, observed: list[DataFrame]) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, line_dedup, media, mixing, near_dup, packing, pii, quality_model, quality_rules, toxicity
+from quillspan.llm import chat, components, line_dedup, media, mixing, near_dup, packing, pii, quality_model, quality_rules, toxicity
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string"
@@ -351,6 +351,19 @@ def test_a_large_family_of_copies(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted(brute_components(rows, 4))
 
 
+def test_components_of_long_paths(spark):
+    rng = random.Random(6)
+    path = [(i, i + 1) for i in range(4999)]
+    far = [(10_000 + i, 10_000 + j) for i in range(1000) for j in range(i + 1, min(i + 5, 1000))]
+    ids = rng.sample(range(20_000, 30_000), 3000)
+    mixed = list(zip(ids, ids[1:]))
+    e = path + far + mixed + [(40_000, 40_000), (None, 3)]
+    got = {r["v"]: r["comp"] for r in components.connected(spark.createDataFrame(e, "a long, b long")).collect()}
+    want = dict.fromkeys(range(5000), 0) | dict.fromkeys(range(10_000, 11_000), 10_000) | dict.fromkeys(ids, min(ids))
+    assert got == want
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_keep_one_and_empty(spark):
     rows = [(3, "a b c d e f g", "s"), (2, "a b c d e f g", "s"), (2, "a b c d e f g", "s"), (9, None, "s"), (None, "a b", "s")]
     got = sorted((r["doc_id"] or 0) for r in near_dup.keep_one(docs(spark, rows)).collect())

@@ -105,6 +105,13 @@ def test_lineage_with_a_cycle(spark):
     assert rows(event_log.ancestors(e, s), "start", "node") == [(1, 1), (1, 2), (1, 3), (4, 4), (9, 9)]
 
 
+def test_lineage_of_a_long_chain(spark):
+    e = [(i, i + 1) for i in range(1500)] + [(1500, 1490), (700, 703), (2000, 700), (5000, 5001), (5001, 5000)]
+    s = spark.createDataFrame([(0,), (2000,), (5000,)], "start int")
+    want = [(0, i) for i in range(1501)] + [(2000, i) for i in [*range(700, 1501), 2000]] + [(5000, 5000), (5000, 5001)]
+    assert rows(event_log.ancestors(spark.createDataFrame(e, "child int, parent int"), s), "start", "node") == want
+
+
 def test_bootstrap_of_equal_and_opposite_arms(spark):
     t = [(i, f"s{i // 2}", b, b) for i, b in enumerate((1, 1, 0, 0, 1, 0))]
     got = {r["quantity"]: r for r in governance.paired_bootstrap(spark.createDataFrame(t, "task_id int, source_id string, base int, other int"), 200, 1).collect()}
