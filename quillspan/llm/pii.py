@@ -5,9 +5,10 @@ kind; matches that fail their check are dropped without another try. Every scan
 
 *Field*: nodes are the tokens (runs without white space) that hold a digit, ``@`` or ``+``; all others are no entity. Labels
 are none or one of the kinds. Unary potentials come from shape features of a token and its neighbour; chain edges
-join adjacent nodes; skip edges join each node to the last one with the same letters and digits, however far back, so
-that repeated and similarly written tokens share evidence. Loopy sum-product messages run for ``ROUNDS`` rounds over
-all documents of a batch at once. Nodes outside the base spans whose entity label has a marginal of ``SURE`` or more become spans; neighbours
+join adjacent nodes; skip edges join all nodes with the same letters and digits to one hub, so that repeated and similarly
+written tokens share evidence however far apart and many they are, in linear size. A hub is observed where base spans hold
+a mention of it: it has their labels, which the open mentions can't outvote. Loopy sum-product messages run over all
+documents of a batch at once until those of a document settle (``ROUNDS`` only stops messages that swing for ever). Nodes outside the base spans whose entity label has a marginal of ``SURE`` or more become spans; neighbours
 with one label are joined. Base spans always stay.
 
 *Learning*: the base spans of at most ``SAMPLE`` documents (chosen by a hash) are the labels. Spark counts each (feature set, label) and each
@@ -36,7 +37,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000
 KINDS_OF_TOKENS = 20_000
 HASHED = 1 << 12
-ROUNDS = 6
+ROUNDS = 500
+SETTLED = 1e-8
 SURE = 0.6
 BATCH_NODES = 50_000
 
@@ -148,18 +150,18 @@ def features(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, ...]]:
     return out
 
 
-def edges(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(i, j, kind): 0 for adjacent nodes, 1 from each node to the last one with the same letters and digits."""
-    out, last = [], {}
+def mentions(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Groups of two nodes or more with the same letters and digits."""
+    groups: dict[str, list[int]] = {}
     for j, (s, e) in enumerate(spans):
-        if j and s - spans[j - 1][1] <= 2:
-            out.append((j - 1, j, 0))
         key = re.sub(r"[\W_]+", "", text[s:e]).lower()
         if len(key) >= 4:
-            if key in last:
-                out.append((last[key], j, 1))
-            last[key] = j
-    return out
+            groups.setdefault(key, []).append(j)
+    return [g for g in groups.values() if len(g) > 1]
+
+
+def adjacent(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [(j - 1, j) for j in range(1, len(spans)) if spans[j][0] - spans[j - 1][1] <= 2]
 
 
 def _base_labels(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
@@ -183,22 +185,30 @@ class Field:
     def __init__(self, w: np.ndarray, bias: np.ndarray, pair: np.ndarray):
         self.w, self.bias, self.pair = w, bias, pair
 
-    def marginals(self, unary: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Loopy sum-product over all edges at once; messages of one round are all sent together, half damped."""
+    def marginals(self, unary: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
+        """Loopy sum-product over all edges at once; messages of one round are all sent together, half damped. ``doc`` numbers the
+        document of each node: its messages stop once they settle, whatever other documents are in the batch."""
         if not len(i):
             return _softmax(unary)
+        doc = np.zeros(len(unary), np.int64) if doc is None else doc
         src, dst = np.concatenate((i, j)), np.concatenate((j, i))
         pot = np.exp(np.concatenate((self.pair[kind], self.pair[kind].transpose(0, 2, 1))))
         back = np.concatenate((np.arange(len(i)) + len(i), np.arange(len(i))))
         message = np.zeros((len(src), unary.shape[1]))
+        live = np.arange(len(src))
         for _ in range(ROUNDS):
             belief = unary.copy()
-            np.add.at(belief, dst, message)
-            out = belief[src] - message[back]
+            np.add.at(belief, dst[live], message[live])
+            out = belief[src[live]] - message[back[live]]
             out = np.exp(out - out.max(axis=1, keepdims=True))
-            new = np.log(np.einsum("ea,eab->eb", out, pot) + 1e-30)
+            new = np.log(np.einsum("ea,eab->eb", out, pot[live]) + 1e-30)
             new -= new.max(axis=1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
+            moved = np.zeros(doc.max() + 1)
+            np.maximum.at(moved, doc[src[live]], np.abs(new - message[live]).max(axis=1))
+            message[live] = 0.5 * message[live] + 0.5 * new
+            live = live[moved[doc[src[live]]] > SETTLED]
+            if not len(live):
+                break
         belief = unary.copy()
         np.add.at(belief, dst, message)
         return _softmax(belief)
@@ -217,9 +227,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = nodes(text) if text else []
             if spans:
                 labels = _base_labels(spans, base_spans(text))
-                links = edges(text, spans)
+                groups = mentions(text, spans)
+                links = [(i, j, 0) for i, j in adjacent(spans)] + [(i, j, 1) for g in groups for i, j in zip(g, g[1:], strict=False)]
                 # a token like a labelled one says nothing about what is no entity
-                open_ = {n for i, j, kind in links if kind for n, m in ((i, j), (j, i)) if labels[m] and not labels[n]}
+                open_ = {n for g in groups if any(labels[m] for m in g) for n in g if not labels[n]}
                 for n, (names, y) in enumerate(zip(features(text, spans), labels, strict=True)):
                     if n not in open_:
                         seen["\x01".join(("N", str(y), *names))] += 1
@@ -281,15 +292,26 @@ def complete(texts: list[str], field: Field | None) -> list[tuple[list, list]]:
     cols = [_columns(f) for f in names]
     unary = np.tile(field.bias, (len(names), 1))
     np.add.at(unary, np.repeat(np.arange(len(cols)), [len(c) for c in cols]), field.w[np.concatenate(cols)])
-    links = [(at + i, at + j, kind) for at, t, s in zip(starts, texts, spans, strict=False) for i, j, kind in edges(t, s)]
+    labels = [_base_labels(s, b) for s, b in zip(spans, base, strict=True)]
+    links = [(at + i, at + j, 0) for at, s in zip(starts, spans, strict=False) for i, j in adjacent(s)]
+    hubs, hub_docs = [], []
+    for n, (t, s) in enumerate(zip(texts, spans, strict=True)):
+        for g in mentions(t, s):
+            links += [(starts[n] + m, len(names) + len(hubs), 1) for m in g]
+            seen = np.bincount([labels[n][m] for m in g], minlength=unary.shape[1])
+            seen[0] = 0
+            # far below what any number of mentions adds up to
+            hubs.append(np.where(seen > 0, np.log(np.maximum(seen, 1) / max(seen.sum(), 1)), -1e7) if seen.any() else np.zeros(unary.shape[1]))
+            hub_docs.append(n)
     i, j, kind = np.array(links, np.int64).reshape(-1, 3).T
-    p = field.marginals(unary, i, j, kind)
+    doc = np.concatenate((np.repeat(np.arange(len(spans)), [len(s) for s in spans]), np.array(hub_docs, np.int64)))
+    p = field.marginals(np.vstack((unary, *hubs)), i, j, kind, doc)[: len(names)]
     best = p.argmax(axis=1)
     sure = p.max(axis=1) >= SURE
     out = []
     for n, b in enumerate(base):
         found: list[list[int]] = []
-        taken = _base_labels(spans[n], b)
+        taken = labels[n]
         for at, (s, e) in enumerate(spans[n]):
             k = int(best[starts[n] + at])
             if k == 0 or not sure[starts[n] + at] or taken[at]:

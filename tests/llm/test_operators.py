@@ -221,6 +221,21 @@ def test_messages_equal_exact_marginals_on_a_tree():
     pii.ROUNDS = old
 
 
+def test_one_clear_mention_reaches_fifty_others_in_any_order():
+    w, bias, pair = np.zeros((pii.HASHED, 5)), np.array([1.0, 0, 0, 0, 0]), np.zeros((2, 5, 5))
+    w[pii._columns(("quad",))[0], 2] = 6
+    pair[1] = np.eye(5) * 3.5 - 1.75
+    field = pii.Field(w, bias, pair)
+    clear, other = "see 10.20.30.40 now", "or 10-20-30-40 later"
+    alone = pii.complete([" ".join([other] * 50)], field)[0]
+    assert alone == ([], [])
+    for at in (0, 1, 25, 50):
+        t = " ".join([other] * at + [clear] + [other] * (50 - at))
+        (base, got), again = pii.complete([t, "x 1"], field)[0], pii.complete([t], field)[0]
+        assert len(base) == 1 and len(got) == 51 and (base, got) == again
+        assert all(t[s:e] in ("10.20.30.40", "10-20-30-40") and k == 1 for s, k, e in got)
+
+
 # 7 line dedup
 
 
