@@ -3,7 +3,9 @@
 For every participant of a conversation the dialogue is rendered once with that speaker as assistant and all others
 as named users; loss masks cover the assistant's own words. One output row is one *part* of one rendering: the turns
 with ``turn div turns_per_part`` alike. A part holds a bounded number of turn numbers, so that a conversation with
-millions of turns never meets in one row; the rendering of a conversation is its parts in order.
+millions of distinct turns never meets in one row; the rendering of a conversation is its parts in order. The bound is
+not one of rows: rows with a null turn, and repeated (conversation, turn) rows, such as those of a hot null conversation
+id, share a part however many they are, and one task renders it.
 
 Definitions that hold for every row:
 
