@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+import shutil
 import subprocess
 import sys
 
@@ -56,12 +57,19 @@ def test_flagship(spark):
 
 
 def test_entry_without_the_optional_part(tmp_path):
-    """The rest imports and lists its queries where the optional files are absent."""
-    for f in ("__spark_entry__.py", "quillspan"):
-        os.symlink(os.path.join(ROOT, f), tmp_path / f) if f.endswith(".py") else None
-    os.makedirs(tmp_path / "quillspan")
-    for f in os.listdir(os.path.join(ROOT, "quillspan")):
-        if f not in ("llm", "__pycache__"):
-            os.symlink(os.path.join(ROOT, "quillspan", f), tmp_path / "quillspan" / f)
-    code = "import sys; sys.path.insert(0, '.'); import importlib.util as u, runpy; m = runpy.run_path('__spark_entry__.py'); q = m['queries'](); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(m['oracle_sql']()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path), "PYTHONDONTWRITEBYTECODE": "1"})
+    """The rest imports, lists and runs its queries where exactly the two optional folders are deleted."""
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    here = tmp_path / "repo"
+    shutil.rmtree(here / "quillspan" / "llm", ignore_errors=True)
+    shutil.rmtree(here / "tests" / "llm", ignore_errors=True)
+    code = """
+import __spark_entry__ as m
+q = m.queries()
+assert len(q) > 100 and not any(k.startswith("op") or k == "pipeline" for k in q) and set(m.oracle_sql()) <= set(q)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert q["s5_manifest"](spark, "%s").count() > 0
+""" % DATA
+    subprocess.run([sys.executable, "-c", code], cwd=here, check=True, env=os.environ | {"PYTHONPATH": str(here), "PYTHONDONTWRITEBYTECODE": "1"})
+    found = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=here, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(here), "PYTHONDONTWRITEBYTECODE": "1"})
+    assert found.returncode == 0 and "test_operators.py" in found.stdout, found.stdout
