@@ -10,8 +10,9 @@ minimum and maximum of the site hash, have spread 1 exactly and need no sketch;
 
 Definitions that hold for every row: a null text stays null and has no lines; a null site is a site of its own; lines
 with fewer than ``min_words`` words are never boilerplate; blank lines stay; repeated lines of a document go or stay
-alike; rows that share an id go or stay alike; rows with a null id count as sites but never as a first document, and
-lose boilerplate that some document with an id holds; an empty table gives an empty result; extra columns pass through
+alike; rows that share an id keep a line where that id is its first document and lose it elsewhere, each by its own text; rows
+with a null id count as sites but never as a first document, and lose boilerplate that some document with an id holds; an empty
+table gives an empty result; extra columns pass through, but for ``n_lines`` and ``n_removed``, which are replaced
 (names starting with ``__line_`` are reserved).
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.text import SPACE
-from quillspan.plans.scratch import materialize, sendable
+from quillspan.plans.scratch import materialize
 
 SALTS = 16
 #: log2 of the sketch size; the relative standard error is about 1.04 / sqrt(2 ** LG_K).
@@ -73,21 +74,24 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and n_lines, n_removed.
 
-    ``drop_emptied`` leaves out documents that lost lines and have no word left.
+    ``drop_emptied`` leaves out documents that lost lines and have no word left. The lines that go from a text are looked up by
+    (id, hash of the text): texts are shuffled once, whatever the size of either side, and a list holds lines of one text only.
     """
     lines = boilerplate(docs, min_sites, min_words, doc_id, site, text)
-    held = docs.select(F.col(doc_id).alias("__line_doc"), F.explode(F.array_distinct(F.transform(F.split(F.col(text), "\n"), lambda x: line_hash(x, min_words)))).alias("h"))
+    held = docs.select(
+        F.col(doc_id).alias("__line_doc"),
+        F.xxhash64(text).alias("__line_text"),
+        F.explode(F.array_distinct(F.transform(F.split(F.col(text), "\n"), lambda x: line_hash(x, min_words)))).alias("h"),
+    )
     going = (
         held.join(lines, "h")
         .filter(F.col("first_doc").isNotNull() & ~F.col("__line_doc").eqNullSafe(F.col("first_doc")))
-        .groupBy("__line_doc")
+        .groupBy("__line_doc", "__line_text")
         .agg(F.collect_set("h").alias("__line_gone"))
     )
     going = materialize(going, "lines-to-remove")
-    # counted in hashes, not in documents: that is what a task would hold
-    held_hashes = going.agg(F.sum(F.size("__line_gone") + 1)).first()[0] or 0
-    going = sendable(going, held_hashes)
-    joined = docs.join(going, F.col(doc_id).eqNullSafe(F.col("__line_doc")), "left")
+    on = F.col(doc_id).eqNullSafe(F.col("__line_doc")) & (F.col("__line_hash") == F.col("__line_text"))
+    joined = docs.withColumn("__line_hash", F.xxhash64(text)).join(going.hint("shuffle_hash"), on, "left")
     all_lines = F.split(F.col(text), "\n")
     kept = F.when(
         F.col("__line_gone").isNotNull(),
@@ -102,4 +106,4 @@ def dedup_lines(
     )
     if drop_emptied:
         out = out.filter((F.col("n_removed") == 0) | F.col(text).rlike("[^\\x20\\x09-\\x0D]"))
-    return out.drop("__line_doc", "__line_gone", "__line_kept")
+    return out.drop("__line_doc", "__line_text", "__line_hash", "__line_gone", "__line_kept")

@@ -12,7 +12,8 @@ Definitions that hold for every row:
 * size is the number of words of the text; null or empty texts have size 0 and are never taken;
 * a null source is a source of its own, ranked last; sources rank by code point and get ``weights`` in turn;
 * a target never exceeds ``max_copies`` times the size of its source, the excess goes to the others by weight;
-* repeated rows are separate candidates; null or repeated ``doc_id`` only take part in a hash, ties break by size;
+* repeated rows are separate candidates, told apart by a number; null or repeated ``doc_id`` only take part in a hash;
+* a target that the duals don't meet raises an error;
 * an empty table, or one without words, gives targets of 0 and takes nothing;
 * reruns agree: all choices come from hashes of the row and total orders.
 """
@@ -22,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.text import word_count
-from quillspan.plans.scratch import materialize, sendable
+from quillspan.llm.text import spread, word_count
+from quillspan.plans.scratch import discard, materialize
 
-#: Documents of one rounding group, about; the group is folded in one row, so this bounds its memory.
-GROUP = 96
+#: Documents of one rounding group, about; the group is folded in one row, so this bounds its memory. What a very long document gets too
+#: much or too little by is made up for by the others of its group, as far as they can.
+GROUP = 256
 MAX_COPIES = 2
 
 
@@ -61,16 +63,17 @@ def _rate(x: Column, lam: Column) -> Column:
     return F.lit(float(MAX_COPIES)) / (1 + F.exp(-lam * x))
 
 
-def solve_duals(hist: DataFrame, goals: DataFrame, steps: int = 60, tolerance: float = 1e-9) -> DataFrame:
+def solve_duals(hist: DataFrame, goals: DataFrame, steps: int = 200, tolerance: float = 1e-9) -> DataFrame:
     """source, mean, lambda of hist (source, size, n) and goals (source, target, source_size, mean).
 
-    Newton in ``lambda`` inside a bracket that shrinks with the sign of the gradient (which rises in ``lambda``);
-    a step that leaves the bracket is replaced by its middle. One aggregation and one small written table a step.
+    Newton in ``lambda`` inside a bracket that shrinks with the sign of the gradient (which rises in ``lambda``). A
+    bracket is open at first; while it is, a step goes no further than to twice the distance from 0, so that it finds the sign change
+    however far out a skewed source has it. A step that leaves a closed bracket is replaced by its middle. One aggregation and
+    one small written table a step. A dual that is not met after ``steps`` steps is an error, not a result.
     """
     open_ = goals.filter((F.col("target") > 0) & (F.col("target") < MAX_COPIES * F.col("source_size") * (1 - 1e-12)))
-    state = open_.select(
-        "source", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-60.0).alias("lo"), F.lit(60.0).alias("hi"), F.lit(1.0).alias("off")
-    )
+    nothing = F.lit(None).cast("double")
+    state = open_.select("source", "target", "mean", F.lit(0.0).alias("lam"), nothing.alias("lo"), nothing.alias("hi"), F.lit(1.0).alias("off"))
     state = materialize(state, "dual")
     for _ in range(steps):
         both = hist.join(state, hist["source"].eqNullSafe(state["source"])).select(
@@ -81,16 +84,18 @@ def solve_duals(hist: DataFrame, goals: DataFrame, steps: int = 60, tolerance: f
             F.sum(F.col("n") * F.col("size") * r).alias("got"),
             F.sum(F.col("n") * F.col("size") * F.col("x") * r * (1 - r / MAX_COPIES)).alias("slope"),
         )
-        gap = F.col("got") - F.col("target")
-        lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - gap / F.greatest(F.col("slope"), F.lit(1e-300))
-        stepped = sums.select(
-            "source", "target", "mean", lo.alias("lo"), hi.alias("hi"), newton.alias("newton"), (F.abs(gap) / F.col("target")).alias("off"), "lam"
-        ).select(
+        gap, lam = F.col("got") - F.col("target"), F.col("lam")
+        lo, hi = F.when(gap < 0, lam).otherwise(F.col("lo")), F.when(gap > 0, lam).otherwise(F.col("hi"))
+        newton = lam - gap / F.greatest(F.col("slope"), F.lit(1e-300))
+        stepped = sums.select("source", "target", "mean", lo.alias("lo"), hi.alias("hi"), newton.alias("newton"), (F.abs(gap) / F.col("target")).alias("off"), "lam")
+        reach = F.greatest(F.lit(4.0), 2 * F.abs(lam))
+        inside = F.greatest(lam - reach, F.least(lam + reach, F.col("newton")))
+        stepped = stepped.select(
             "source",
             "target",
             "mean",
-            F.when(F.col("off") < tolerance, F.col("lam"))
+            F.when(F.col("off") < tolerance, lam)
+            .when(F.col("lo").isNull() | F.col("hi").isNull(), inside)
             .when((F.col("newton") > F.col("lo")) & (F.col("newton") < F.col("hi")), F.col("newton"))
             .otherwise((F.col("lo") + F.col("hi")) / 2)
             .alias("lam"),
@@ -98,11 +103,12 @@ def solve_duals(hist: DataFrame, goals: DataFrame, steps: int = 60, tolerance: f
             "hi",
             "off",
         )
-        state = materialize(stepped, "dual")
+        before, state = state, materialize(stepped, "dual")
+        discard(before)
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst < tolerance:
-            break
-    return state.select("source", "mean", "lam")
+            return state.select("source", "mean", "lam")
+    raise RuntimeError(f"the duals are off by a share of {worst} of their targets after {steps} steps")
 
 
 def mix(
@@ -114,10 +120,15 @@ def mix(
     text: str = "text",
 ) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, rate, copies, taken (copies * size)."""
-    sized = materialize(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "sized"
-    )
-    hist = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-histogram")
+    return _mix(docs, weights, share, doc_id, source, text).drop("h")
+
+
+def _mix(docs: DataFrame, weights: tuple[float, ...], share: float, doc_id: str, source: str, text: str) -> DataFrame:
+    """``mix`` with h, the hash of the text. Rows that agree in id, source, size and h are counted, and told apart by a number."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("h"))
+    counted = materialize(rows.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("n")), "sized")
+    hist = materialize(counted.groupBy("source", "size").agg(F.sum("n").alias("n")), "size-histogram")
+    sized = spread(counted)
     per_source = hist.groupBy("source").agg(
         F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs")
     ).withColumn("mean", F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9)))
@@ -140,10 +151,10 @@ def mix(
         "rate",
         F.when(full, F.when(F.col("target") > 0, F.lit(float(MAX_COPIES))).otherwise(F.lit(0.0))).otherwise(_rate(F.col("size") / F.col("mean"), F.col("lam"))),
     )
-    # bounded groups: as many a source as its documents need, dealt by a hash of the row
-    mixed = rated.withColumn("group", F.pmod(F.xxhash64("doc_id", "size", F.lit(17)), F.ceil(F.col("n_docs") / GROUP)))
+    # groups of a bounded size: as many a source as its documents need, dealt by a hash that differs between any two rows
+    mixed = rated.withColumn("group", F.pmod(F.xxhash64("doc_id", "size", "h", "nth", F.lit(17)), F.ceil(F.col("n_docs") / GROUP)))
     groups = mixed.groupBy("source", "group", "source_size", "target").agg(
-        F.sort_array(F.collect_list(F.struct("size", F.xxhash64("doc_id").alias("h"), "doc_id", "rate")), asc=False).alias("docs")
+        F.sort_array(F.collect_list(F.struct("size", F.xxhash64("doc_id").alias("k"), "doc_id", "h", "nth", "rate")), asc=False).alias("docs")
     )
     copies = F.aggregate(
         "docs",
@@ -157,6 +168,7 @@ def mix(
     dealt = groups.select("source", "source_size", "target", F.explode(F.arrays_zip(F.col("docs").alias("d"), copies.alias("c"))).alias("z"))
     return dealt.select(
         F.col("z.d.doc_id").alias("doc_id"),
+        F.col("z.d.h").alias("h"),
         "source",
         F.col("z.d.size").alias("size"),
         "source_size",
@@ -170,20 +182,32 @@ def mix(
 def take(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """``docs`` as mixed: each row as often as the mix takes it (0, 1 or 2 times).
 
-    Copies are joined back by document, source and size. Rows that agree in all three are told apart by their number
-    among themselves: the copies of such rows are dealt in order, which leaves their total as it is.
+    Copies are looked up by document, source and hash of the text: texts are shuffled once, against a table of numbers. Rows that agree
+    in all three take the copies of their kind in turn, by their number among them; only where such rows exist are texts
+    read a second time. That number comes from counts of the parts of the input, so no group of rows meets in one task.
     """
-    plan = mix(docs, weights, share, doc_id, source, text).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"))
-    plan = sendable(materialize(plan.filter("__all > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__all", "__rows"), "taken"))
-    joined = docs.withColumn("__n", word_count(F.col(text))).join(
-        plan,
-        F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).cast("string").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")),
-    )
-    once = joined.filter("__rows = 1").withColumn("__copies", F.col("__all"))
-    w = Window.partitionBy(doc_id, source, "__n").orderBy(F.xxhash64(text))
-    several = joined.filter("__rows > 1").withColumn("__at", F.row_number().over(w))
-    several = several.withColumn("__copies", F.floor(F.col("__all") / F.col("__rows")) + (F.col("__at") <= F.col("__all") % F.col("__rows")).cast("long")).drop("__at")
-    dealt = once.unionByName(several).filter("__copies > 0")
+    plan = _mix(docs, weights, share, doc_id, source, text).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"))
+    plan = plan.filter("__all > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("h").alias("__hash"), "__all", "__rows")
+    plan = materialize(plan, "taken")
+    keyed = docs.withColumn("__h", F.xxhash64(text))
+    on = F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).cast("string").eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__hash"))
+    dealt = keyed.join(plan.filter("__rows = 1").hint("shuffle_hash"), on).withColumn("__copies", F.col("__all")).select(*docs.columns, "__copies")
+    several = plan.filter("__rows > 1")
+    if not several.isEmpty():
+        parts = keyed.withColumn("__part", F.spark_partition_id())
+        key = ["__id", "__source", "__hash"]
+        held = materialize(parts.join(several.hint("shuffle_hash"), on).select(*docs.columns, *key, "__part", "__all", "__rows"), "repeated-rows")
+        before = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = held.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("__n"))
+        starts = counts.select(*[F.col(c).alias(f"{c}2") for c in [*key, "__part"]], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+        same = F.lit(True)
+        for c in (*key, "__part"):
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}2"))
+        at = F.row_number().over(Window.partitionBy(*key, "__part").orderBy("__part")) - 1 + F.col("__start")
+        numbered = held.join(starts, same).withColumn("__at", at)
+        share_of = lambda i: F.floor(i * F.col("__all") / F.col("__rows"))
+        dealt = dealt.unionByName(numbered.withColumn("__copies", share_of(F.col("__at") + 1) - share_of(F.col("__at"))).select(*docs.columns, "__copies"))
+    dealt = dealt.filter("__copies > 0")
     return dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))).select(docs.columns)
 
 

@@ -1,19 +1,21 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 1. *Sketch* (one pass over the texts): number of distinct word shingles, a 128-bit key of the normalised words, and a
-   MinHash signature of 128 one-byte values. Texts with equal keys form a class; only its representative (smallest id)
-   goes on, so exact copies never meet as pairs.
-2. *Forest*: 48 trees, each a fixed order of signature positions. A label is the signature read in that order; all
-   labels are sorted (range partitioned by label and id, so no prefix, however common, lands in one task).
-   Neighbours in a sorted order that share a prefix of 6 values or more are candidates: the longest common prefixes.
+   MinHash signature of 128 one-byte values. Texts with equal keys form a class; classes are the vertices of everything
+   that follows, so exact copies never meet as pairs and rows that share an id but not a text are never mixed up.
+2. *Forest*: each tree is a fixed order of signature positions. A label is the signature read in that order; all
+   labels are sorted (range partitioned by label and class, so no prefix, however common, lands in one task).
+   Neighbours in a sorted order whose common prefix is long enough are candidates: the longest common prefixes.
 3. *Confirm*: candidates whose signatures agree in 82 of 128 places or more are compared on their full shingle sets.
-4. *Adaptive depth*: a region (documents that share the 6-value prefix) that still holds several components after the
-   neighbours were confirmed is searched to its full width: documents outside its largest component are
-   queries against all of the region, in bounded blocks, each pair in the first tree it shares, on full sets.
+4. *Adaptive depth*: a region is the set of classes that share the prefix of a level. One that still holds several components
+   after its neighbours were confirmed is looked at again: with at most ``OUTS`` classes outside its largest component
+   these are queries against all of the region (work linear in the region); with more, as in a template family in which nothing
+   is linked, the region is split: its classes go to the next level of ``LEVELS``, with longer prefixes and, because a
+   longer prefix is shared more rarely, more trees. Regions of the last level are searched to the end in bounded blocks.
 5. *Components* by contraction; every document gets the smallest id reachable.
 
-A pair of similarity 0.8 shares a region of some tree but for a chance of about 1e-5, and passes the signature test but
-for one of about 3e-6; there are no caps on candidates or partners.
+A pair of similarity 0.8 shares a region of some tree but for a chance of 1e-5 or less on each level, and passes the signature test
+but for one of about 3e-6; there are no caps on candidates or partners.
 
 Definitions that hold for every row: words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased; a text with fewer
 words than ``width`` is one shingle; a null text or one without words has no shingles and is linked with nothing (its
@@ -23,7 +25,8 @@ linked and never kept; rows that share an id but not a text are judged each by i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +36,29 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.components import connected
 from quillspan.llm.text import small
-from quillspan.plans.scratch import materialize, sendable
+from quillspan.plans.scratch import discard, materialize
 
-HASHES, TREES, DEPTH, LABEL = 128, 48, 6, 12
+HASHES = 128
 AGREE = 82
+
+
+class Level(NamedTuple):
+    depth: int  # values of the prefix that makes a region
+    trees: int  # orders of positions; (1 - 0.8 ** depth) ** trees is the chance to miss a pair of similarity 0.8
+    label: int  # values of a label: neighbours are those of the longest common prefix up to here
+
+
+#: 6 values: missed with 5e-7. 14 values: missed with 5e-7.
+LEVELS = (Level(6, 48, 12), Level(14, 320, 18))
+OUTS = 16  # classes outside the largest component that a region searches without a split
 BLOCK = 400_000  # shingles of one block of a region, about
+BLOCK_ROWS = 256  # classes of one block of a region, about
 WORDS_KEPT = 400_000
 
 _rng = np.random.default_rng(20240611)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
-ORDERS = np.array([_rng.permutation(HASHES)[:LABEL] for _ in range(TREES)])
+ORDERS = [np.array([_rng.permutation(HASHES)[: x.label] for _ in range(x.trees)]) for x in LEVELS]
 
 
 class WordHashes(dict):
@@ -88,8 +103,8 @@ def _texts(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, key, sig; key and sig are null without shingles or id."""
+def sketch(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text, h) -> doc_id, h, n_shingles, key, sig; key and sig are null without shingles or id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -103,88 +118,95 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if live else None)
                 sigs.append(signature(s) if live else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "key", "sig"],
+                [batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+                ["doc_id", "h", "n_shingles", "key", "sig"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
+    return texts.mapInArrow(run, "doc_id long, h long, n_shingles long, key binary, sig binary")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text) -> id, key, shingles (sorted distinct hashes as signed longs)."""
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(v, text) -> v, shingles (sorted distinct hashes as signed longs). A class that a task meets again is not repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in small(batches):
-            keys, sets = [], []
-            for text in _texts(batch, "text"):
-                words = text.lower().split() if text else []
-                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                sets.append(shingle_set(words, width, hashes).view(np.int64))
+            fresh = [v not in seen and not seen.add(v) for v in batch.column("v").to_pylist()]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            sets = [shingle_set(t.lower().split() if t else [], width, hashes).view(np.int64) for t in _texts(batch, "text")]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "key", "shingles"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["v", "shingles"])
 
-    return docs.mapInArrow(run, "id long, key binary, shingles array<long>")
+    return texts.mapInArrow(run, "v long, shingles array<long>")
 
 
-def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sig) -> one row a tree: label (tree, then values in the tree's order), id."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            ids = part.column("id").to_numpy(zero_copy_only=False)
+def _labels(n: int) -> Callable:
+    """(v, sig) -> one row a tree of level ``n``: label (tree, then values in the tree's order), v."""
+    orders, size = ORDERS[n], LEVELS[n].label
+    trees = len(orders)
+    number = np.arange(trees, dtype=">u2").view(np.uint8).reshape(trees, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small(batches, 48_000 // trees):
+            vs = part.column("v").to_numpy(zero_copy_only=False)
             sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-            out = np.empty((len(ids), TREES, 1 + LABEL), np.uint8)
-            out[:, :, 0] = np.arange(TREES)
-            out[:, :, 1:] = sigs[:, ORDERS]
-            labels = pa.FixedSizeBinaryArray.from_buffers(pa.binary(1 + LABEL), len(ids) * TREES, [None, pa.py_buffer(out.tobytes())])
-            yield pa.RecordBatch.from_arrays([labels.cast(pa.binary()), pa.array(np.repeat(ids, TREES))], ["label", "id"])
+            out = np.empty((len(vs), trees, 2 + size), np.uint8)
+            out[:, :, :2] = number
+            out[:, :, 2:] = sigs[:, orders]
+            labels = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 + size), len(vs) * trees, [None, pa.py_buffer(out.tobytes())])
+            yield pa.RecordBatch.from_arrays([labels.cast(pa.binary()), pa.array(np.repeat(vs, trees))], ["label", "v"])
+
+    return run
+
+
+def _regions(labels: list[bytes], level: Level) -> np.ndarray:
+    """A number a label: the tree in the high bits, then a hash of the prefix."""
+    rows = np.frombuffer(b"".join(labels), np.uint8).reshape(-1, 2 + level.label).astype(np.uint64)
+    acc = np.zeros(len(rows), np.uint64)
+    for j in range(level.depth):
+        acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + rows[:, 2 + j] + np.uint64(1))
+    return ((rows[:, 0] << np.uint64(8) | rows[:, 1]) << np.uint64(52) | acc >> np.uint64(12)).view(np.int64)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(level: Level) -> Callable:
     """Sorted labels -> adjacent pairs that share a region; the ends of the partition come out with b null."""
-    keep_label: bytes | None = None
-    keep_id = None
 
     def pack(region, a, b, label):
         return pa.RecordBatch.from_arrays(
             [pa.array(region, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(label, pa.binary())], ["region", "a", "b", "label"]
         )
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        labels = batch.column("label").to_pylist()
-        if keep_label is None:
-            yield pack([None], [ids[0]], [None], [labels[0]])
-        else:
-            ids, labels = np.concatenate(([keep_id], ids)), [keep_label, *labels]
-        keep_label, keep_id = labels[-1], ids[-1]
-        rows = np.frombuffer(b"".join(labels), np.uint8).reshape(-1, 1 + LABEL)[:, : 1 + DEPTH].astype(np.int64)
-        region = rows @ (1 << (8 * np.arange(DEPTH, -1, -1, dtype=np.int64)))
-        same = (region[1:] == region[:-1]) & (ids[1:] != ids[:-1])
-        yield pack(region[1:][same], ids[:-1][same], ids[1:][same], [None] * int(same.sum()))
-    if keep_label is not None:
-        yield pack([None], [keep_id], [None], [keep_label])
-
-
-def forest_neighbours(reps: DataFrame) -> DataFrame:
-    """(id, sig) -> region, a, b: neighbours in the sorted orders with a common prefix of ``DEPTH`` values or more."""
-    labels = reps.mapInArrow(_labels, "label binary, id long")
-    ordered = labels.repartitionByRange("label", "id").sortWithinPartitions("label", "id")
-    found = materialize(ordered.mapInArrow(_neighbours, "region long, a long, b long, label binary"), "neighbours")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vs, labels = batch.column("v").to_numpy(zero_copy_only=False), batch.column("label").to_pylist()
+            if kept is None:
+                yield pack(_regions(labels[:1], level), vs[:1], [None], labels[:1])
+            else:
+                vs, labels = np.concatenate(([kept[0]], vs)), [kept[1], *labels]
+            kept = vs[-1], labels[-1]
+            region = _regions(labels, level)
+            same = (region[1:] == region[:-1]) & (vs[1:] != vs[:-1])
+            yield pack(region[1:][same], vs[:-1][same], vs[1:][same], [None] * int(same.sum()))
+        if kept is not None:
+            yield pack(_regions([kept[1]], level), [kept[0]], [None], [kept[1]])
+
+    return run
+
+
+def forest_neighbours(classes: DataFrame, n: int = 0) -> DataFrame:
+    """(v, sig) -> region, a, b: neighbours in the sorted orders of level ``n`` that share a region."""
+    labels = classes.mapInArrow(_labels(n), "label binary, v long")
+    ordered = labels.repartitionByRange("label", "v").sortWithinPartitions("label", "v")
+    found = materialize(ordered.mapInArrow(_neighbours(LEVELS[n]), "region long, a long, b long, label binary"), "neighbours")
     # the two ends of each partition meet here: two rows a partition
     w = Window.orderBy("label", "a")
-    prefix = F.substring("label", 1, 1 + DEPTH)
-    ends = found.filter(F.col("b").isNull()).select(
-        F.conv(F.hex(prefix), 16, 10).cast("long").alias("region"), "a", F.lead("a").over(w).alias("b"), prefix.alias("p"), F.lead(prefix).over(w).alias("q")
-    )
+    ends = found.filter(F.col("b").isNull()).select("region", "a", F.lead("a").over(w).alias("b"), F.lead("region").over(w).alias("next"))
     return found.filter(F.col("b").isNotNull()).select("region", "a", "b").union(
-        ends.filter((F.col("p") == F.col("q")) & (F.col("a") != F.col("b"))).select("region", "a", "b")
+        ends.filter((F.col("region") == F.col("next")) & (F.col("a") != F.col("b"))).select("region", "a", "b")
     )
 
 
@@ -198,15 +220,17 @@ def _is_link(inter, union, percent: int):
     return 100 * inter >= percent * union
 
 
-def _search_region(percent: int):
+def _search_region(percent: int, n: int) -> Callable:
+    orders, depth = ORDERS[n], LEVELS[n].depth
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        tree = key[0].as_py() >> (8 * DEPTH)
+        tree = key[0].as_py() >> 52
         cols = {c: table.column(c).combine_chunks() for c in table.column_names}
-        ids, comp, query = (cols[c].to_numpy(zero_copy_only=False) for c in ("id", "comp", "query"))
+        vs, comp, query = (cols[c].to_numpy(zero_copy_only=False) for c in ("v", "comp", "query"))
         sigs = np.frombuffer(b"".join(cols["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
         lists = cols["shingles"]
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        sets = [flat[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
+        sets = [flat[offsets[i] : offsets[i + 1]] for i in range(len(vs))]
         root: dict[int, int] = {}
 
         def find(c):
@@ -223,7 +247,7 @@ def _search_region(percent: int):
             if not len(near):
                 continue
             # a pair is searched in the first tree whose region it shares
-            first = (sigs[near] == sigs[q])[:, ORDERS[:, :DEPTH]].all(axis=2).argmax(axis=1)
+            first = (sigs[near] == sigs[q])[:, orders[:, :depth]].all(axis=2).argmax(axis=1)
             for r in near[first == tree]:
                 if find(comp[q]) == find(comp[r]):
                     continue
@@ -237,71 +261,118 @@ def _search_region(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a row of ``docs``."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = materialize(sketch(texts, width), "sketches")
-    live = sketched.filter(F.col("key").isNotNull())
-    reps = materialize(
-        live.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")),
-        "classes",
-    )
-    near = materialize(forest_neighbours(reps.select("id", "sig")), "forest")
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sig = reps.select("id", "sig")
-    joined = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    agreeing = materialize(joined.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long"), "agreeing")
-    crowded = near.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
-    members = materialize(
-        near.join(crowded, "region").select("region", F.explode(F.array("a", "b")).alias("id")).distinct(), "region-members"
-    )
-    wanted = agreeing.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct()
-    wanted = materialize(wanted.join(reps.select("id", "key"), "id"), "wanted")
-    ids = sendable(materialize(wanted.select(F.col("id").alias("doc_id")).distinct(), "wanted-ids"))
-    sets = shingle_sets(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text"), width)
-    sets = materialize(sets.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "shingles"), "sets")
-
-    of_a, of_b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    links = agreeing.join(of_a, "a").join(of_b, "b").filter(_is_link(inter, F.size("sa") + F.size("sb") - inter, percent)).select("a", "b").distinct()
-    first = connected(materialize(links, "links"))
-
-    placed = members.join(first, F.col("id") == F.col("v"), "left").select("region", "id", F.coalesce("comp", "id").alias("comp"))
+def plan_regions(near: DataFrame, labels: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """What is left to do in the regions of ``near`` (region, a, b) that hold several components of ``labels`` (v, comp):
+    (region, v, comp, out) of those to be searched on this level, and the classes v of those to be split on the next."""
+    # a region of one pair is done once that pair is
+    several = near.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
+    members = near.join(several, "region").select("region", F.explode(F.array("a", "b")).alias("v")).distinct()
+    placed = members.join(labels, "v", "left").select("region", "v", F.coalesce("comp", "v").alias("comp"))
     by_comp = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_comp.groupBy("region").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    size = reps.groupBy("id").agg(F.max("n").alias("weight"))
-    rows = materialize(
-        placed.join(mixed.select("region", "main"), "region").join(size, "id").select("region", "id", "comp", (F.col("comp") != F.col("main")).alias("out"), (F.col("weight") + 64).alias("weight")),
-        "mixed-regions",
+    mixed = by_comp.groupBy("region").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("outs"), F.count(F.lit(1)).alias("comps")
     )
+    here = F.lit(True) if n + 1 == len(LEVELS) else F.col("outs") <= OUTS
+    rows = placed.join(mixed.filter("comps > 1").select("region", "main", here.alias("here")), "region")
+    rows = materialize(rows.select("region", "v", "comp", (F.col("comp") != F.col("main")).alias("out"), "here"), "mixed-regions")
+    return rows.filter("here").drop("here"), rows.filter("NOT here").select("v").distinct()
+
+
+def _search(rows: DataFrame, classes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of the regions ``rows``: classes outside the largest component against all of the
+    region, in blocks of bounded size."""
+    rows = rows.join(classes.select("v", (F.col("n") + 64).alias("weight")), "v")
+    parts = lambda weight, count: F.ceil(F.greatest(F.sum(weight) / BLOCK, F.sum(count) / BLOCK_ROWS)).cast("int")
     blocks = rows.groupBy("region").agg(
-        F.ceil(F.sum("weight") / BLOCK).cast("int").alias("nr"), F.ceil(F.sum(F.when(F.col("out"), F.col("weight"))) / BLOCK).cast("int").alias("nq")
+        parts(F.col("weight"), F.lit(1)).alias("nr"), parts(F.when(F.col("out"), F.col("weight")), F.col("out").cast("int")).alias("nq")
+    )
+    dealt = rows.join(blocks, "region").withColumn("h", F.xxhash64("v"))
+    all_rows = dealt.select("region", "v", "comp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.pmod("h", F.col("nr")).cast("int").alias("r"))
+    asked = dealt.filter("out").select("region", "v", "comp", F.lit(True).alias("query"), F.pmod("h", F.col("nq")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"))
+    work = all_rows.union(asked).join(sets, "v").join(classes.select("v", "sig"), "v")
+    return work.groupBy("region", "q", "r").applyInArrow(_search_region(percent, n), "a long, b long").distinct()
+
+
+def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(v, comp) of the classes that are linked once ``links`` (a, b) are added to ``labels``."""
+    if labels is None:
+        return connected(links)
+    of = lambda c: labels.select(F.col("v").alias(c), F.col("comp").alias(f"c{c}"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = connected(lifted)
+    moved = labels.join(more.select(F.col("v").alias("c1"), F.col("comp").alias("c2")), F.col("comp") == F.col("c1"), "left").select("v", F.coalesce("c2", "comp").alias("comp"))
+    fresh = more.join(labels.select(F.col("v").alias("known")), F.col("v") == F.col("known"), "left_anti")
+    return materialize(moved.union(fresh.select("v", "comp")), "components")
+
+
+def _judge(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, group (null for a row that is linked with nothing), component_id: one row a row."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    sketched = materialize(sketch(texts, width), "sketches")
+    found = sketched.filter(F.col("key").isNotNull()).groupBy("key").agg(
+        F.min(F.struct("doc_id", "h")).alias("row"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")
     )
-    dealt = rows.join(blocks, "region").withColumn("h", F.xxhash64("id"))
-    all_rows = dealt.select("region", "id", "comp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.pmod("h", F.col("nr")).cast("int").alias("r"))
-    asked = dealt.filter("out").select("region", "id", "comp", F.lit(True).alias("query"), F.pmod("h", F.col("nq")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"))
-    work = all_rows.union(asked).join(sets, "id").join(reps.groupBy("id").agg(F.first("sig").alias("sig")), "id")
-    more = materialize(work.groupBy("region", "q", "r").applyInArrow(_search_region(percent), "a long, b long").distinct(), "region-links")
-    second = connected(more)
-
-    final = first.join(second.select(F.col("v").alias("c1"), F.col("comp").alias("c2")), F.col("comp") == F.col("c1"), "left").select("v", F.coalesce("c2", "comp").alias("comp"))
-    alone = second.join(first.select(F.col("v").alias("known")), F.col("v") == F.col("known"), "left_anti")
-    final = materialize(final.union(alone.select("v", "comp")), "near-components")
-    # classes of several rows, or whose representative is linked, are looked up; all others are their own component
-    known = reps.join(final, F.col("id") == F.col("v"), "left").filter("copies > 1 OR comp IS NOT NULL").select("key", F.coalesce("comp", "id").alias("comp"))
-    known = materialize(known, "class-components")
-    out = sketched.join(known, "key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    # written once, so that the number of a class stays what it is
+    classes = materialize(found.select(F.monotonically_increasing_id().alias("v"), "key", "row.doc_id", "row.h", "sig", "n", "copies"), "classes")
+    labels, sets, live = None, None, classes.select("v", "sig")
+    for n in range(len(LEVELS)):
+        near = materialize(forest_neighbours(live, n), "forest")
+        pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        sig = classes.select("v", "sig")
+        joined = pairs.join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
+        agreeing = materialize(joined.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long"), "agreeing")
+        if sets is None:
+            # the full sets of all classes that may be compared on any level: later levels look at members of crowded regions only
+            crowded = near.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
+            wanted = agreeing.select(F.explode(F.array("a", "b")).alias("v")).union(near.join(crowded, "region").select(F.explode(F.array("a", "b")).alias("v"))).distinct()
+            wanted = materialize(wanted.join(classes.select("v", "doc_id", "h"), "v"), "wanted")
+            # the only time that texts move: by hash of (id, text), against a table of numbers
+            read = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "h"]).select("v", "text")
+            sets = materialize(shingle_sets(read, width).dropDuplicates(["v"]), "sets")
+        of_a, of_b = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"))
+        inter = F.size(F.array_intersect("sa", "sb"))
+        links = agreeing.join(of_a, "a").join(of_b, "b").filter(_is_link(inter, F.size("sa") + F.size("sb") - inter, percent)).select("a", "b")
+        labels = _merge(labels, materialize(links, "links"))
+        rows, split = plan_regions(near, labels, n)
+        labels = _merge(labels, materialize(_search(rows, classes, sets, n, percent), "region-links"))
+        discard(near)
+        if n + 1 == len(LEVELS):
+            break
+        split = materialize(split, "crowded")
+        if split.isEmpty():
+            break
+        live = classes.join(split, "v").select("v", "sig")
+    placed = classes.join(labels, "v", "left").select("key", "doc_id", "copies", "comp")
+    of_comp = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("key").alias("group"))
+    # classes of several rows and linked ones are looked up; every other row is its own group
+    known = placed.filter("copies > 1 OR comp IS NOT NULL").join(of_comp, "comp", "left")
+    known = materialize(known.select("key", F.coalesce("group", "key").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id")), "class-components")
+    out = sketched.select("doc_id", "h", "n_shingles", "key").join(known, "key", "left")
+    return out.select("doc_id", "h", "n_shingles", F.coalesce("group", "key").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row a row of ``docs``."""
+    out = _judge(docs, width, percent, doc_id, text).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id, once. Rows without an id, which
-    can't be told apart, all stay."""
-    judged = near_duplicates(docs, width, percent, doc_id, text).filter("kept")
-    kept = judged.groupBy(F.col("doc_id").alias("__kept")).agg((F.count(F.lit(1)) > 1).alias("__repeated"))
-    kept = sendable(materialize(kept, "kept-ids"))
-    chosen = docs.join(kept, F.col(doc_id) == F.col("__kept")).drop("__kept")
-    # only rows of an id that occurs again are compared with each other
-    once = chosen.filter("NOT __repeated").drop("__repeated")
-    several = chosen.filter("__repeated").drop("__repeated").withColumn("__h", F.xxhash64(text)).dropDuplicates([doc_id, "__h"]).drop("__h")
-    return once.unionByName(several).unionByName(docs.filter(F.col(doc_id).isNull()))
+    """``docs`` with one document of each component: the one with the smallest id (of several texts of that id, the one with
+    the smallest hash; of rows that agree in both, any one). Rows that are linked with nothing, because they have no word or no id, all stay.
+
+    Texts are shuffled once, by hash of (id, text), against a table of numbers; once more only where rows repeat id and text."""
+    judged = _judge(docs, width, percent, doc_id, text).filter(F.col("group").isNotNull())
+    rows = judged.groupBy("group", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("group").agg(F.min(F.struct("doc_id", "h", "n")).alias("m"))
+    first = materialize(first.select(F.col("m.doc_id").alias("__kept_id"), F.col("m.h").alias("__kept_h"), F.col("m.n").alias("__kept_n")), "kept-rows")
+    has_words = F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)) & F.col(doc_id).isNotNull()
+    keyed = docs.filter(has_words).withColumns({"__id": F.col(doc_id).cast("long"), "__h": F.xxhash64(text)})
+    on = (F.col("__id") == F.col("__kept_id")) & (F.col("__h") == F.col("__kept_h"))
+    out = keyed.join(first.filter("__kept_n = 1").hint("shuffle_hash"), on).select(docs.columns).unionByName(docs.filter(~has_words))
+    several = first.filter("__kept_n > 1")
+    if not several.isEmpty():
+        # equal rows are merged where they lie before they meet
+        merged = keyed.groupBy("__id", "__h").agg(F.first(F.struct(docs.columns)).alias("__row"))
+        out = out.unionByName(merged.join(several, on).select("__row.*"))
+    return out

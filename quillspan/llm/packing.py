@@ -6,7 +6,8 @@ inside each bucket sequences form batches under a token budget.
 1. Documents longer than ``max_len`` are cut into consecutive pieces of ``max_len`` tokens and a rest, so no token is
    lost; the histogram therefore has ``max_len`` rows at most, whatever the corpus, and may go to the driver.
 2. ``optimal_boundaries`` solves ``cost[k][j] = min_i cost[k-1][i] + padding(i, j)`` exactly.
-3. Every bucket is dealt into shards of a bounded number of sequences by a hash of the row, and a batch is
+3. Every bucket is dealt into shards of a bounded number of sequences by a hash of the row (of its number among equal rows, too,
+   so that a null or repeated id is dealt like any other), and a batch is
    ``max(1, budget div boundary)`` neighbours of a shard in length order. Windows run inside a shard only, so a
    bucket with most of the corpus is spread over the cluster; only the last batch of a shard may be short.
 
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.text import word_count
+from quillspan.llm.text import spread, word_count
 from quillspan.plans.scratch import materialize
 
 SHARD = 2_000
@@ -81,11 +82,13 @@ def pack(
     text: str = "text",
 ) -> DataFrame:
     """doc_id, piece, start, length, bucket_len, batch_id, slot: one row a piece."""
-    rows = materialize(pieces(docs, max_len, word_count(F.col(text)) if tokens is None else tokens, doc_id), "pieces")
+    cut = pieces(docs, max_len, word_count(F.col(text)) if tokens is None else tokens, doc_id)
+    # rows that agree in all of their result are counted, and told apart by a number that deals them to shards
+    rows = materialize(spread(cut.groupBy("doc_id", "piece", "start", "length").agg(F.count(F.lit(1)).alias("n"))), "pieces")
     hist = rows.filter("length > 0").groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # max_len rows at most
     bounds = optimal_boundaries(np.array([r["length"] for r in hist], np.int64), np.array([r["n"] for r in hist], np.int64), buckets)
     if not bounds:
-        return rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket_len", "long"), ("batch_id", "string"), ("slot", "long"))])
+        return rows.drop("nth").select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket_len", "long"), ("batch_id", "string"), ("slot", "long"))])
     held = [sum(r["n"] for r in hist if low < r["length"] <= high) for low, high in zip([0, *bounds], bounds, strict=False)]
     bucket, shards = F.lit(None).cast("long"), F.lit(1)
     for bound, n in reversed(list(zip(bounds, held, strict=True))):
@@ -95,10 +98,10 @@ def pack(
     placed = rows.withColumns(
         {
             "bucket_len": F.when(F.col("length") > 0, bucket),
-            "shard": F.pmod(F.xxhash64("doc_id", "piece", F.lit(29)), F.when(F.col("length") > 0, shards).otherwise(F.lit(1 << 20))),
+            "shard": F.pmod(F.xxhash64("doc_id", "piece", "length", "nth", F.lit(29)), F.when(F.col("length") > 0, shards).otherwise(F.lit(1 << 20))),
         }
     )
-    w = Window.partitionBy("bucket_len", "shard").orderBy("length", "doc_id", "piece")
+    w = Window.partitionBy("bucket_len", "shard").orderBy("length", "doc_id", "piece", "nth")
     room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("bucket_len")).cast("long"))
     at = (F.row_number().over(w) - 1).cast("long")
     numbered = placed.withColumns({"at": at, "room": room})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -31,3 +31,14 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def spread(counted: DataFrame, n: str = "n", nth: str = "nth", per: int = 1000) -> DataFrame:
+    """One row for each of the ``n`` equal rows that a row of ``counted`` stands for, numbered from 0 by ``nth``.
+
+    Counts over ``per`` leave the task that counted them in parts of ``per`` rows, so that no task writes out a hot row alone."""
+    parts = lambda df: df.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / per).cast("long"))))
+    hot = parts(counted.filter(F.col(n) > per))
+    dealt = parts(counted.filter(F.col(n) <= per)).unionByName(hot.repartition(F.xxhash64(*[F.col(f"`{c}`") for c in hot.columns])))
+    last = F.least(F.col(n), (F.col("__part") + 1) * per) - 1
+    return dealt.withColumn(nth, F.explode(F.sequence(F.col("__part") * per, last))).drop(n, "__part")
