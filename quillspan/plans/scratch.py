@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -44,13 +43,3 @@ def discard(*tables: DataFrame) -> None:
             spark = t.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-#: Rows of a few numbers that may be sent to every task: 32 MB or so.
-SENDABLE = 1_000_000
-
-
-def sendable(df: DataFrame, rows: int | None = None, most: int = SENDABLE) -> DataFrame:
-    """A written table with a broadcast hint if it has ``most`` rows or fewer (``rows``, if already known), else as it is: beyond
-    the bound Spark shuffles both sides. This keeps whole texts where they are while the other side is small."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
