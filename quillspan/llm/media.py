@@ -9,6 +9,7 @@ harm; a broken file gives one row with ``error`` set and no pixels; an empty tab
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,9 @@ UNIT = 64
 WIDTH = 16  # pixels: 64 bytes a row
 IMAGE_BYTES = 1 << 20
 SLICE = 512  # rows in work at once
+MOST_PIXELS = 1 << 24  # 64 MB of samples
+#: transforms by the checksum of an image's bytes
+DEALT = ((), (), (), (), (), (webp.SUBTRACT_GREEN,), (webp.PREDICTOR,), (webp.CROSS_COLOUR,))
 
 
 def store(text: bytes | None) -> bytes:
@@ -30,7 +34,8 @@ def store(text: bytes | None) -> bytes:
     data += b"\0" * (-len(data) % UNIT or (0 if data else UNIT))
     samples = np.frombuffer(data, np.uint8).reshape(-1, WIDTH, 4)
     rows = IMAGE_BYTES // UNIT
-    return b"".join(webp.encode(samples[at : at + rows]) for at in range(0, len(samples), rows))
+    images = (samples[at : at + rows] for at in range(0, len(samples), rows))
+    return b"".join(webp.encode(x, DEALT[zlib.crc32(x) % len(DEALT)]) for x in images)
 
 
 def read(media: bytes) -> bytes:
@@ -88,26 +93,25 @@ def describe(stored: DataFrame) -> DataFrame:
     )
 
 
-def pixels(files: DataFrame, key: str, media: str) -> DataFrame:
-    """key, image, width, height, pixels (RGBA bytes, row by row), error: one row an image of a column of WebP files."""
+def pixels(files: DataFrame, key: str, media: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """key, image, width, height, pixels (RGBA bytes, row by row), error: one row an image of a column of WebP files, each
+    passed on before the next is read. An image of more than ``most_pixels`` is an error row, refused by its declared size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+
+        def row(key, *values):
+            return pa.RecordBatch.from_arrays([pa.array([key.as_py()], key.type), *[pa.array([v], k) for v, k in zip(values, kinds, strict=True)]], ["key", "image", "width", "height", "pixels", "error"])
+
         for batch in batches:
-            for i, data in enumerate(batch.column("media").to_pylist()):
-                rows = []
+            for key, data in zip(batch.column("key"), batch.column("media"), strict=True):
+                n = 0
                 try:
-                    for n, file in enumerate(webp.files(data or b"")):
-                        w, h, px = webp.decode(file)
-                        rows.append((n, w, h, px[..., [2, 1, 0, 3]].tobytes(), None))
-                except (ValueError, IndexError) as e:
-                    rows = [(0, None, None, None, str(e))]
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column("key")[i].as_py()] * len(rows), batch.column("key").type), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]],
-                        ["key", "image", "width", "height", "pixels", "error"],
-                    )
+                    for n, file in enumerate(webp.files(data.as_py() or b"")):
+                        w, h, px = webp.decode(file, most_pixels)
+                        yield row(key, n, w, h, px[..., [2, 1, 0, 3]].tobytes(), None)
+                except (ValueError, IndexError, struct.error) as e:
+                    yield row(key, n, None, None, None, str(e))
 
     rows = files.select(F.col(key).alias("key"), F.col(media).alias("media"))
     kind = rows.schema["key"].dataType.simpleString()
