@@ -59,6 +59,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     )
 
 
+def _group() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "size", "h", "nth", F.lit(17)), F.ceil(F.col("n_docs") / GROUP))
+
+
 def _rate(x: Column, lam: Column) -> Column:
     return F.lit(float(MAX_COPIES)) / (1 + F.exp(-lam * x))
 
@@ -152,8 +156,7 @@ def _mix(docs: DataFrame, weights: tuple[float, ...], share: float, doc_id: str,
         F.when(full, F.when(F.col("target") > 0, F.lit(float(MAX_COPIES))).otherwise(F.lit(0.0))).otherwise(_rate(F.col("size") / F.col("mean"), F.col("lam"))),
     )
     # groups of a bounded size: as many a source as its documents need, dealt by a hash that differs between any two rows
-    mixed = rated.withColumn("group", F.pmod(F.xxhash64("doc_id", "size", "h", "nth", F.lit(17)), F.ceil(F.col("n_docs") / GROUP)))
-    groups = mixed.groupBy("source", "group", "source_size", "target").agg(
+    groups = rated.withColumn("group", _group()).groupBy("source", "group", "source_size", "target").agg(
         F.sort_array(F.collect_list(F.struct("size", F.xxhash64("doc_id").alias("k"), "doc_id", "h", "nth", "rate")), asc=False).alias("docs")
     )
     copies = F.aggregate(

@@ -27,6 +27,7 @@ def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         "perspective",
         "part",
+        "piece",
         F.col("n_turns").cast("long"),
         F.col("n_assistant").cast("long"),
         F.sha2("rendered", 256).alias("rendered_sha256"),
@@ -36,26 +37,27 @@ def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op1_chat_rotation"] = """
-WITH r AS (
+WITH t AS (
   SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
          CAST(floor(coalesce(turn, -1) / 256.0) AS BIGINT) AS part
   FROM conversations),
+r AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, role, text) - 1) // 4096 AS piece FROM t),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
 s AS (
-  SELECT r.conv_id, p.perspective, r.part, r.turn, r.role, r.text, r.role = p.perspective AS own,
+  SELECT r.conv_id, p.perspective, r.part, r.piece, r.turn, r.role, r.text, r.role = p.perspective AS own,
          CASE WHEN r.role = 'system' THEN '<|system|>' || chr(10)
               WHEN r.role = p.perspective THEN '<|assistant|>' || chr(10)
               ELSE '<|user name=' || regexp_replace(r.role, '[^A-Za-z0-9_-]', '_', 'g') || '|>' || chr(10) END AS head
   FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
   SELECT *, coalesce(sum(length(head) + length(text) + 8) OVER (
-      PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head_at
+      PARTITION BY conv_id, perspective, part, piece ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head_at
   FROM s)
-SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (own) AS n_assistant,
+SELECT conv_id, perspective, part, piece, count(*) AS n_turns, count(*) FILTER (own) AS n_assistant,
        sha256(string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text)) AS rendered_sha256,
        CAST(sum(length(head) + length(text) + 8) AS BIGINT) AS n_chars,
        coalesce(string_agg(CAST(CAST(head_at + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(head_at + length(head) + length(text) + 7 AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (own), '') AS mask_spans
-FROM o GROUP BY conv_id, perspective, part
+FROM o GROUP BY conv_id, perspective, part, piece
 """
 
 
