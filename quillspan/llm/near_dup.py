@@ -8,10 +8,11 @@
    Neighbours in a sorted order whose common prefix is long enough are candidates: the longest common prefixes.
 3. *Confirm*: candidates whose signatures agree in 82 of 128 places or more are compared on their full shingle sets.
 4. *Adaptive depth*: a region is the set of classes that share the prefix of a level. One that still holds several components
-   after its neighbours were confirmed is looked at again: with at most ``OUTS`` classes outside its largest component
-   these are queries against all of the region (work linear in the region); with more, as in a template family in which nothing
-   is linked, the region is split: its classes go to the next level of ``LEVELS``, with longer prefixes and, because a
-   longer prefix is shared more rarely, more trees. Regions of the last level are searched to the end in bounded blocks.
+   after its neighbours were confirmed is looked at again: where few classes are outside its largest component (``OUTS``, or
+   ``MOST_OUTS`` if that is half of the region or more), these are queries against all of the region (work linear in the region);
+   else, as in a template family in which nothing is linked, the region is split: its classes go to the next level of
+   ``LEVELS``, with longer prefixes and, because a longer prefix is shared more rarely, more trees. Regions of the last
+   level are searched to the end in bounded blocks.
 5. *Components* by contraction; every document gets the smallest id reachable.
 
 A pair of similarity 0.8 shares a region of some tree but for a chance of 1e-5 or less on each level, and passes the signature test
@@ -50,7 +51,8 @@ class Level(NamedTuple):
 
 #: 6 values: missed with 5e-7. 14 values: missed with 5e-7.
 LEVELS = (Level(6, 48, 12), Level(14, 320, 18))
-OUTS = 16  # classes outside the largest component that a region searches without a split
+OUTS = 16  # classes outside the largest component that any region searches without a split
+MOST_OUTS = 1024  # the same where the largest component is at least half of the region, as among near copies
 BLOCK = 400_000  # shingles of one block of a region, about
 BLOCK_ROWS = 256  # classes of one block of a region, about
 WORDS_KEPT = 400_000
@@ -264,15 +266,16 @@ def _search_region(percent: int, n: int) -> Callable:
 def plan_regions(near: DataFrame, labels: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """What is left to do in the regions of ``near`` (region, a, b) that hold several components of ``labels`` (v, comp):
     (region, v, comp, out) of those to be searched on this level, and the classes v of those to be split on the next."""
-    # a region of one pair is done once that pair is
+    # on the first level the neighbours themselves were confirmed, so that a region of one pair is done
     several = near.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
-    members = near.join(several, "region").select("region", F.explode(F.array("a", "b")).alias("v")).distinct()
+    members = (near if n else near.join(several, "region")).select("region", F.explode(F.array("a", "b")).alias("v")).distinct()
     placed = members.join(labels, "v", "left").select("region", "v", F.coalesce("comp", "v").alias("comp"))
     by_comp = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_comp.groupBy("region").agg(
-        F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("outs"), F.count(F.lit(1)).alias("comps")
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("outs"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")
     )
-    here = F.lit(True) if n + 1 == len(LEVELS) else F.col("outs") <= OUTS
+    few = (F.col("outs") <= OUTS) | ((F.col("outs") <= MOST_OUTS) & (2 * F.col("outs") <= F.col("size")))
+    here = F.lit(True) if n + 1 == len(LEVELS) else few
     rows = placed.join(mixed.filter("comps > 1").select("region", "main", here.alias("here")), "region")
     rows = materialize(rows.select("region", "v", "comp", (F.col("comp") != F.col("main")).alias("out"), "here"), "mixed-regions")
     return rows.filter("here").drop("here"), rows.filter("NOT here").select("v").distinct()
@@ -293,10 +296,8 @@ def _search(rows: DataFrame, classes: DataFrame, sets: DataFrame, n: int, percen
     return work.groupBy("region", "q", "r").applyInArrow(_search_region(percent, n), "a long, b long").distinct()
 
 
-def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(v, comp) of the classes that are linked once ``links`` (a, b) are added to ``labels``."""
-    if labels is None:
-        return connected(links)
     of = lambda c: labels.select(F.col("v").alias(c), F.col("comp").alias(f"c{c}"))
     lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     more = connected(lifted)
@@ -317,11 +318,12 @@ def _judge(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
     labels, sets, live = None, None, classes.select("v", "sig")
     for n in range(len(LEVELS)):
         near = materialize(forest_neighbours(live, n), "forest")
-        pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sig = classes.select("v", "sig")
-        joined = pairs.join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
-        agreeing = materialize(joined.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long"), "agreeing")
-        if sets is None:
+        if n == 0:
+            # neighbours of the first level make most of the links; what they leave open is searched region by region
+            pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            sig = classes.select("v", "sig")
+            joined = pairs.join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
+            agreeing = materialize(joined.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long"), "agreeing")
             # the full sets of all classes that may be compared on any level: later levels look at members of crowded regions only
             crowded = near.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
             wanted = agreeing.select(F.explode(F.array("a", "b")).alias("v")).union(near.join(crowded, "region").select(F.explode(F.array("a", "b")).alias("v"))).distinct()
@@ -329,10 +331,10 @@ def _judge(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
             # the only time that texts move: by hash of (id, text), against a table of numbers
             read = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "h"]).select("v", "text")
             sets = materialize(shingle_sets(read, width).dropDuplicates(["v"]), "sets")
-        of_a, of_b = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"))
-        inter = F.size(F.array_intersect("sa", "sb"))
-        links = agreeing.join(of_a, "a").join(of_b, "b").filter(_is_link(inter, F.size("sa") + F.size("sb") - inter, percent)).select("a", "b")
-        labels = _merge(labels, materialize(links, "links"))
+            of_a, of_b = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"))
+            inter = F.size(F.array_intersect("sa", "sb"))
+            links = agreeing.join(of_a, "a").join(of_b, "b").filter(_is_link(inter, F.size("sa") + F.size("sb") - inter, percent)).select("a", "b")
+            labels = connected(materialize(links, "links"))
         rows, split = plan_regions(near, labels, n)
         labels = _merge(labels, materialize(_search(rows, classes, sets, n, percent), "region-links"))
         discard(near)
