@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy.
 
 1. *Tokens*: a word gives a token for its lower-cased letters and, where it has any, tokens for its shape (capitals,
-   runs of symbols, digits, standing alone) and for repeating the word before it. Tokens are hashed into ``BUCKETS``.
+   runs of symbols, digits, standing alone) and for repeating the word before it. Tokens are hashed into ``BUCKETS``: the vector and the
+   rarity of a rare word are those of all words of its bucket.
 2. *Random indexing* over all documents: every bucket has a fixed sparse vector of -1, 0 and 1; the context vector
    of a bucket is the sum of the index vectors of its neighbours at every occurrence in the corpus. Each task adds up its
    own texts and emits a row a bucket; rows are summed by Spark. The table has ``BUCKETS`` rows whatever the corpus (2 MB as float32), a proven bound,
@@ -114,18 +115,19 @@ def _texts(batch: pa.RecordBatch) -> list:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def _add_context(total: np.ndarray, seen: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> None:
-    """Add the index vectors of each token's neighbours in its document to the row of its bucket."""
+def _add_context(total: np.ndarray, seen: np.ndarray, ids: np.ndarray, doc: np.ndarray, fresh: np.ndarray) -> None:
+    """Add the index vectors of each token's neighbours in its document to the row of its bucket. Tokens that are not ``fresh``
+    lead a later piece of a long text: they are neighbours of fresh ones, and else counted with the piece before."""
     centre, near = [], []
     for d in range(1, WINDOW + 1):
-        same = doc[d:] == doc[:-d]
+        same = (doc[d:] == doc[:-d]) & fresh[d:]
         left, right = ids[:-d][same], ids[d:][same]
         centre += [right, left]
         near += [left, right]
     centre, near = np.concatenate(centre) * DIMS, np.concatenate(near)
     for places, sign in ((PLUS, 1), (MINUS, -1)):
         total += sign * np.bincount((centre[:, None] + places[near]).reshape(-1), minlength=BUCKETS * DIMS).reshape(BUCKETS, DIMS)
-    seen += np.bincount(ids, minlength=BUCKETS)
+    seen += np.bincount(ids[fresh], minlength=BUCKETS)
 
 
 def context_sums(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -133,19 +135,23 @@ def context_sums(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, total, seen = Tokens(), np.zeros((BUCKETS, DIMS), np.int64), np.zeros(BUCKETS, np.int64)
-        held, n = [], 0
+        held, lead, n = [], [], 0
 
         def flush():
-            nonlocal held, n
+            nonlocal held, lead, n
             if n:
-                _add_context(total, seen, np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held]))
-            held, n = [], 0
+                sizes = [len(x) for x in held]
+                starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+                fresh = np.arange(n) - starts >= np.repeat(lead, sizes)
+                _add_context(total, seen, np.concatenate(held), np.repeat(np.arange(len(held)), sizes), fresh)
+            held, lead, n = [], [], 0
 
         for batch in small(batches):
             for text in _texts(batch):
                 ids = token_ids(text, tokens)
                 for at in range(0, len(ids), CHUNK):  # the pieces of a very long text overlap by the window
-                    held.append(ids[at : at + CHUNK])
+                    lead.append(min(at, WINDOW))
+                    held.append(ids[at - lead[-1] : at + CHUNK])
                     n += len(held[-1])
                     if n >= CHUNK:
                         flush()

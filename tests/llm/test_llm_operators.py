@@ -95,6 +95,25 @@ def test_classifier_is_accurate_on_held_out_rows_and_ignores_their_labels(spark)
     assert all(again[i] == r["score"] for i, r in got.items())
 
 
+def test_context_sums_match_brute_force_beyond_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(quality_model, "CHUNK", 50)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["ein", "zwei", "drei", "vier", "X1", "##"]) for _ in range(n)) for n in (0, 1, 49, 50, 51, 52, 100, 101, 333)]
+    total, seen = quality_model.context_sums(docs(spark, [(i, t, None) for i, t in enumerate(texts)]))
+    index = np.zeros((quality_model.BUCKETS, quality_model.DIMS))
+    np.put_along_axis(index, quality_model.PLUS, 1, axis=1)
+    np.put_along_axis(index, quality_model.MINUS, -1, axis=1)
+    want, counts = np.zeros_like(total), np.zeros_like(seen)
+    for t in texts:
+        ids = quality_model.token_ids(t.encode(), quality_model.Tokens())
+        for i, b in enumerate(ids):
+            counts[b] += 1
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(ids):
+                    want[b] += index[ids[j]]
+    assert (seen == counts).all() and (total == want).all()
+
+
 def test_classifier_edge_cases(spark):
     d = docs(spark, [(1, None, "a"), (1, None, "a"), (2, "", "a"), (None, "x " * 9000, "a")]).withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(1, None), (2, 1)], "doc_id long, quality int")
