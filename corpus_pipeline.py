@@ -11,11 +11,14 @@ kept; between stages the rows are written as Parquet and read again, by ``run``
 5. packing: length buckets and token-budget batches; one row a piece of a copy.
 
 All stages but the last return the columns of ``documents``; ``n_chars`` follows the text. Nulls, empty and very long
-texts, ties, repeated rows and empty tables are handled as the operators state; extra columns pass through the stages.
+texts, ties, repeated rows and empty tables are handled as the operators state; extra columns pass through all stages but the
+last, whatever their names (names that begin with ``__`` are reserved).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +27,26 @@ from quillspan.plans.scratch import materialize
 from quillspan.plans.tables import table
 
 
+def _apart(docs: DataFrame, step: Callable[[DataFrame], DataFrame], *own: str) -> DataFrame:
+    """``step`` of ``docs`` with the columns of ``docs``; those named like a column that the step adds are put aside meanwhile."""
+    aside = {c: f"__aside_{c}" for c in docs.columns if c in own}
+    out = step(docs.withColumnsRenamed(aside))
+    return out.select([F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality_model.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 1").select(docs.columns)
+    def step(d: DataFrame) -> DataFrame:
+        return quality_model.classify(d, table(spark, sf_dir, "labels")).filter("predicted = 1")
+
+    return _apart(docs, step, "held_out", "score", "predicted")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs, drop_emptied=True)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    def step(d: DataFrame) -> DataFrame:
+        out = line_dedup.dedup_lines(d, drop_emptied=True)
+        return out.withColumn("n_chars", F.length("text").cast(d.schema["n_chars"].dataType)) if "n_chars" in d.columns else out
+
+    return _apart(docs, step, "n_lines", "n_removed")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: A learned classifier and hashed rounding have no SQL form; each stage is tested against brute force instead.
+#: A learned classifier and hashed rounding have no SQL form; the stages are tested one by one instead.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}
