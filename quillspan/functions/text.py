@@ -35,16 +35,15 @@ def words(x: Column) -> Column:
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance between two arrays of words: each distinct word becomes one character of a private code range."""
+    """Edit distance between two arrays of words: each distinct word of the two becomes one character (a million at most)."""
     vocabulary = F.array_union(a, b)
     spell = lambda xs: F.array_join(F.transform(xs, lambda w: _code(F.array_position(vocabulary, w).cast("int"))), "")
     return F.levenshtein(spell(a), spell(b))
 
 
 def _code(i: Column) -> Column:
-    """A single character for a small number (from U+4E00 on, some 20,000 of them)."""
-    n = i + 0x4DFF
-    return F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+    """A single character for a number from 1 to about a million: the code points from U+10000 on."""
+    return F.decode(F.unhex(F.lpad(F.hex(i + 0xFFFF), 8, "0")), "UTF-32")
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:

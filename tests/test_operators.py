@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import tokens
+from quillspan.functions.text import _code, tokens, word_distance
 from quillspan.operators import event_log, governance, intervals, retrieval, training_data
 from quillspan.sources import records
 
@@ -52,6 +54,27 @@ def test_error_rates(spark):
     assert [g[0] for g in got[:2]] == [0.5, 0.0] and got[2][1] == 0.0 and got[3][0] == 2.0 and got[4][1] == 0.5
 
 
+def test_word_distances_match_brute_force(spark):
+    rng = random.Random(3)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    pairs = [([rng.choice("abcdef") for _ in range(rng.randint(0, 12))], [rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))]) for _ in range(60)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    got = {r["i"]: r["d"] for r in df.select("i", word_distance(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert got == {i: distance(a, b) for i, (a, b) in enumerate(pairs)}
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("w"), i)).alias("a"))
+    assert many.select(word_distance(F.slice("a", 59_000, 1001), F.slice("a", 1, 3)).alias("d")).first()["d"] == 1001
+    codes = many.select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), _code).alias("c")).select(F.size(F.array_distinct("c")).alias("n"), F.length(F.array_join("c", "")).alias("l")).first()
+    assert (codes["n"], codes["l"]) == (60_000, 60_000)
+
+
 def test_asr_table(spark):
     spans = spark.createDataFrame([("a", 1, "square", 600, 1100), ("a", 0, "red", 50, 500)], "case_id string, pos int, text string, start_ms long, end_ms long")
     gold = spark.createDataFrame([("a", "red square", 0, 1000), ("b", "x", 0, 10)], "case_id string, text string, start_ms long, end_ms long")
