@@ -11,6 +11,7 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
 
 
 def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """Intersection over hull length, as a double; 0 for disjoint intervals."""
+    """Intersection over hull length, as a double; 0 for disjoint intervals, null where an end is null."""
     both = F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
-    return both / (F.greatest(a_end, b_end) - F.least(a_start, b_start))
+    known = a_start.isNotNull() & a_end.isNotNull() & b_start.isNotNull() & b_end.isNotNull()
+    return F.when(known, both / (F.greatest(a_end, b_end) - F.least(a_start, b_start)))

@@ -12,16 +12,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.intervals import iou
+from quillspan.operators.intervals import differences
 
 
 def _iou(a: str, b: str) -> Column:
     return iou(F.col(f"{a}_start"), F.col(f"{a}_end"), F.col(f"{b}_start"), F.col(f"{b}_end"))
 
 
-def public_view(observations: DataFrame, last: int = 8) -> DataFrame:
-    """The last observations of each run, newest first; only public columns."""
-    w = Window.partitionBy("run_id").orderBy(F.col("seq").desc())
-    return observations.select("run_id", "seq", "kind", "summary").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= last)
+def public_view(observations: DataFrame, verifications: DataFrame, scenes: DataFrame, keyframes: DataFrame, last: int = 8, first_scenes: int = 5, frames: int = 4) -> DataFrame:
+    """What a policy may see of each run: run_id, part, n, seq, kind, summary; only public columns.
+
+    The last ``last`` observations and verifications, newest first; the first ``first_scenes`` retrieved scenes; up to ``frames`` distinct key frames,
+    newest first. All four tables: run_id, seq, kind, summary; a key frame's summary names it."""
+    newest, oldest = F.col("seq").desc(), F.col("seq").asc()
+    once = keyframes.groupBy("run_id", "summary").agg(F.max("seq").alias("seq"), F.max_by("kind", "seq").alias("kind"))
+
+    def cut(df: DataFrame, part: str, order: Column, most: int) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy("run_id").orderBy(order, "summary"))
+        return df.select("run_id", F.lit(part).alias("part"), n.alias("n"), "seq", "kind", "summary").filter(F.col("n") <= most)
+
+    parts = cut(observations, "observation", newest, last).unionByName(cut(verifications, "verification", newest, last))
+    return parts.unionByName(cut(scenes, "scene", oldest, first_scenes)).unionByName(cut(once, "keyframe", newest, frames))
+
+
+def tool_facts(runs: DataFrame) -> DataFrame:
+    """One row a tool record of run_id, records (JSON text of an array): pos, tool_name, status, start_ms, end_ms; records
+    that are no objects or name no tool are skipped, and so are fields of another type."""
+    r = runs.select("run_id", F.posexplode(F.try_parse_json("records").cast("array<variant>")).alias("pos", "v"))
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    return r.select("run_id", "pos", get("$.tool_name", "string").alias("tool_name"), get("$.status", "string").alias("status"), get("$.arguments.time_range.start_ms", "long").alias("start_ms"), get("$.arguments.time_range.end_ms", "long").alias("end_ms")).filter("tool_name IS NOT NULL")
+
+
+def search_candidates(runs: DataFrame) -> DataFrame:
+    """One row a candidate of the successful searches of run_id, records: pos, rank (from 1, over the well-formed ones of all searches of the
+    call), video_id, scene_id, start_ms, end_ms; candidates without a scene or a range that holds something are skipped."""
+    r = runs.select("run_id", F.posexplode(F.try_parse_json("records").cast("array<variant>")).alias("pos", "v"))
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    s = r.filter((get("v", "$.tool_name", "string") == "search_video") & (get("v", "$.status", "string") == "success"))
+    c = s.select("run_id", "pos", F.posexplode(get("v", "$.details.response.candidates", "array<variant>")).alias("i", "c"))
+    c = c.select("run_id", "pos", "i", get("c", "$.video_id", "string").alias("video_id"), get("c", "$.scene_id", "string").alias("scene_id"), get("c", "$.time_range.start_ms", "long").alias("start_ms"), get("c", "$.time_range.end_ms", "long").alias("end_ms"))
+    good = c.filter("scene_id IS NOT NULL AND start_ms < end_ms")
+    return good.withColumn("rank", F.row_number().over(Window.partitionBy("run_id", "pos").orderBy("i"))).drop("i")
 
 
 def final_media(validations: DataFrame, runs: DataFrame) -> DataFrame:
@@ -90,7 +121,8 @@ def constraint_results(runs: DataFrame, tools: DataFrame, gold_scenes: DataFrame
 
 
 def evaluate(runs: DataFrame, tools: DataFrame, candidates: DataFrame, gold: DataFrame, gold_scenes: DataFrame, constraints: DataFrame, all_calls: bool = False) -> DataFrame:
-    """One row a run with its rates, flags, task success and primary failure cause.
+    """One row a run with its rates, flags, task success, primary failure cause and, beside invalid arguments, a premature
+    refusal as the secondary one.
 
     ``all_calls`` is the earlier protocol (E7): required tools may be met by calls that failed."""
     ok = F.col("status") == "success"
@@ -147,7 +179,8 @@ def evaluate(runs: DataFrame, tools: DataFrame, candidates: DataFrame, gold: Dat
         .when(~F.col("correct_termination"), F.col("unsolved_cause"))
         .otherwise("verification_error")
     )
-    return j.withColumn("primary_failure", cause)
+    refused = ~F.col("task_success") & (cause == "invalid_arguments") & (F.col("n_invalid") > 0) & (reason == "CANNOT_COMPLETE")
+    return j.withColumns({"primary_failure": cause, "secondary_failure": F.when(refused, "premature_refusal")})
 
 
 def summarize(evaluations: DataFrame) -> DataFrame:
@@ -164,29 +197,134 @@ def summarize(evaluations: DataFrame) -> DataFrame:
     return rows.unionByName(family).unionByName(failures.select(F.concat(F.lit("failure:"), "primary_failure").alias("metric"), "value"))
 
 
-def first_error(tools: DataFrame, runs: DataFrame, gold: DataFrame) -> DataFrame:
-    """run_id, pos, cause of the first observable error: a failed call, a failed search (no hit), or a tool that is not required."""
-    t = tools.join(runs.select("run_id", "task_id"), "run_id").join(gold.select("task_id", "required_tools"), "task_id")
-    cause = (
-        F.when((F.col("tool_name") == "search_video") & (F.col("status") != "success"), "empty_search")
-        .when(F.col("status") != "success", "failed_call")
-        .when(~F.array_contains("required_tools", F.col("tool_name")), "tool_not_required")
+# The tools that change media, and whose fault each failure cause is.
+EDITING = ("trim_video", "concat_videos", "change_speed", "add_subtitles", "reframe_video", "normalize_audio")
+ORIGINS = {
+    "protocol": ("handoff_error", "recovery_patch_error", "verification_error", "system_error"),
+    "policy": ("planning_error", "wrong_tool", "invalid_arguments", "recovery_decision_error", "premature_success", "premature_refusal", "loop_stagnation", "budget_exhaustion", "model_format_error", "tool_execution_failure"),
+    "upstream": ("retrieval_error", "upstream_perception_error"),
+}
+
+
+def first_error(tools: DataFrame, runs: DataFrame, gold: DataFrame, gold_scenes: DataFrame, hits: DataFrame) -> DataFrame:
+    """run_id, pos, cause of the first observable error of each run that has one. In this order a call counts as an error if it
+    failed; if it is a search without a hit, or whose first hit meets no relevant range at IoU 0.9; if it is a trim without a range or
+    whose range meets none; if it is an editing tool that the task does not require. Tasks without relevant ranges skip the range rules.
+
+    hits: run_id, pos (of the search), rank, start_ms, end_ms."""
+    ranges = gold_scenes.groupBy("task_id").agg(F.collect_set(F.struct("start_ms", "end_ms")).alias("ranges"))  # scenes of one task
+    top = hits.groupBy("run_id", "pos").agg(F.min_by(F.struct("start_ms", "end_ms"), "rank").alias("top"))
+    t = tools.join(runs.select("run_id", "task_id"), "run_id").join(gold.select("task_id", "required_tools"), "task_id").join(ranges, "task_id", "left").join(top, ["run_id", "pos"], "left")
+    own = F.when(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull(), F.struct("start_ms", "end_ms"))
+    tool, wanted = F.col("tool_name"), F.col("ranges").isNotNull()
+    meets = lambda x: F.exists("ranges", lambda g: iou(x["start_ms"], x["end_ms"], g["start_ms"], g["end_ms"]) >= 0.9)
+    cause = F.coalesce(
+        F.when(F.col("status") == "invalid", "invalid_arguments").when(F.col("status") != "success", "tool_execution_failure"),
+        F.when((tool == "search_video") & wanted, F.when(F.col("top").isNull(), "upstream_perception_error").when(~meets(F.col("top")), "retrieval_error")),
+        F.when((tool == "trim_video") & wanted & F.coalesce(~meets(own), F.lit(True)), "invalid_arguments"),
+        F.when(tool.isin(*EDITING) & ~F.array_contains("required_tools", tool), "wrong_tool"),
     )
     return t.withColumn("cause", cause).filter("cause IS NOT NULL").groupBy("run_id").agg(F.min("pos").alias("pos"), F.min_by("cause", "pos").alias("cause"))
 
 
-def recovery(tools: DataFrame, errors: DataFrame) -> DataFrame:
-    """Per run with an error: tool calls, valid calls and latency after it; steps before it are not counted."""
-    j = tools.join(errors.select("run_id", F.col("pos").alias("at"), "cause"), "run_id").filter(F.col("pos") > F.col("at"))
-    agg = j.groupBy("run_id").agg(F.count(F.lit(1)).alias("extra_steps"), F.count_if(F.col("status") == "success").alias("valid_steps"), F.sum("latency_ms").alias("extra_latency"))
-    return errors.join(agg, "run_id", "left").fillna(0, ["extra_steps", "valid_steps", "extra_latency"])
+def recovery(evaluations: DataFrame, tools: DataFrame, errors: DataFrame, steps: DataFrame) -> DataFrame:
+    """The evaluations with first_error, opportunity, attempted, succeeded, attempts, decision_validity, patch_acceptance, n_rejected, and extra_steps
+    and extra_latency after the first error (null where no recovery was attempted).
+
+    evaluations: run_id, task_success, expected_terminal, designed (the task offers a recovery); steps: run_id, step, operation, call_pos (the
+    tool call that it made), valid (false for a policy failure), accepted (of its patch, else null), latency_ms. A recovery is attempted where
+    the policy replans or recovers, or calls a tool after the error."""
+    again = F.col("operation").isin("replan", "recover")
+    tries = steps.groupBy("run_id").agg(
+        F.count_if(again).alias("attempts"),
+        F.count_if(again & F.col("valid")).alias("n_valid"),
+        F.count_if(again & F.col("valid") & F.coalesce("accepted", F.lit(False))).alias("n_accepted"),
+        F.count_if(again & F.col("valid") & ~F.coalesce("accepted", F.lit(True))).alias("n_rejected"),
+    )
+    at = errors.select("run_id", F.col("pos").alias("at"), F.col("cause").alias("first_error"))
+    later_tools = tools.join(at, "run_id").filter("pos > at").groupBy("run_id").agg(F.count(F.lit(1)).alias("later_tools"), F.sum("latency_ms").alias("tool_ms"))
+    first = steps.filter("valid").join(at, "run_id").filter("call_pos = at").groupBy("run_id").agg(F.min("step").alias("first_step"))
+    later = steps.join(first, "run_id").filter("step > first_step").groupBy("run_id").agg(F.count(F.lit(1)).alias("later_steps"), F.sum("latency_ms").alias("step_ms"))
+    j = evaluations.join(at, "run_id", "left").join(tries, "run_id", "left").join(later_tools, "run_id", "left").join(later, "run_id", "left")
+    j = j.fillna(0, ["attempts", "n_valid", "n_accepted", "n_rejected", "later_tools", "tool_ms", "later_steps", "step_ms"])
+    opportunity = F.col("at").isNotNull() & F.col("designed") & (F.col("expected_terminal") == "SUCCESS")
+    attempted = opportunity & ((F.col("attempts") > 0) | (F.col("later_tools") > 0))
+    return j.withColumns(
+        {
+            "opportunity": opportunity,
+            "attempted": attempted,
+            "succeeded": attempted & F.col("task_success"),
+            "decision_validity": F.when(F.col("attempts") > 0, F.col("n_valid") / F.col("attempts")),
+            "patch_acceptance": F.when(F.col("n_valid") > 0, F.col("n_accepted") / F.col("n_valid")),
+            "extra_steps": F.when(attempted, F.col("later_steps")),
+            "extra_latency": F.when(attempted, F.col("step_ms") + F.col("tool_ms")),
+        }
+    ).drop("at", "n_valid", "n_accepted", "later_tools", "tool_ms", "later_steps", "step_ms")
 
 
-def recovery_summary(recoveries: DataFrame, origins: dict[str, str]) -> DataFrame:
-    """Origin of the first error -> runs, medians of extra steps and latency, share with a valid step after it."""
-    origin = F.create_map(*[F.lit(x) for kv in origins.items() for x in kv])
-    return recoveries.withColumn("origin", F.coalesce(F.element_at(origin, F.col("cause")), F.lit("upstream"))).groupBy("origin").agg(
-        F.count(F.lit(1)).alias("n"), F.median("extra_steps").alias("median_steps"), F.median("extra_latency").alias("median_latency"), F.avg((F.col("valid_steps") > 0).cast("double")).alias("recovered")
+def attributed(recoveries: DataFrame) -> DataFrame:
+    """Recoveries with failure, the primary cause by ordered rules; needs terminal_reason, primary_failure (E5) and repeated_editor."""
+    reason = F.coalesce("terminal_reason", F.lit(""))
+    cause = (
+        F.when(F.col("task_success"), F.lit(None).cast("string"))
+        .when(reason == "MODEL_OUTPUT_FAILURE", "model_format_error")
+        .when(reason == "SYSTEM_ERROR", "system_error")
+        .when(reason == "BUDGET_EXHAUSTED", "budget_exhaustion")
+        .when(reason == "LOOP_DETECTED", F.when(F.col("repeated_editor"), "handoff_error").otherwise("loop_stagnation"))
+        .when((reason == "CANNOT_COMPLETE") & (F.col("expected_terminal") == "SUCCESS"), "premature_refusal")
+        .when((reason == "SUCCESS") & (F.col("expected_terminal") != "SUCCESS"), "premature_success")
+        .when(F.col("n_rejected") > 0, "recovery_patch_error")
+        .when(F.col("first_error").isNotNull(), F.col("first_error"))
+        .when(F.col("primary_failure").isin("verification_error", "wrong_tool"), F.col("primary_failure"))
+        .otherwise("planning_error")
+    )
+    return recoveries.withColumn("failure", cause)
+
+
+def recovery_summary(recoveries: DataFrame) -> DataFrame:
+    """Metric, value of attributed recoveries: rates over opportunities and over attempts, medians over attempted rows, means of validity
+    and acceptance where there are any, the share of each origin among the failures, successes by category (``family``)."""
+    d = lambda c: F.col(c).cast("double")
+    rates = {
+        "opportunities": F.count_if("opportunity").cast("double"),
+        "attempt_rate": F.avg(F.when(F.col("opportunity"), d("attempted"))),
+        "success_rate": F.avg(F.when(F.col("opportunity"), d("succeeded"))),
+        "conditional_success": F.avg(F.when(F.col("attempted"), d("succeeded"))),
+        "decision_validity": F.avg("decision_validity"),
+        "patch_acceptance": F.avg("patch_acceptance"),
+        "median_extra_steps": F.median(F.when(F.col("attempted"), F.col("extra_steps"))),
+        "median_extra_latency": F.median(F.when(F.col("attempted"), F.col("extra_latency"))),
+    }
+    for origin, causes in ORIGINS.items():
+        rates[f"origin:{origin}"] = F.count_if(F.col("failure").isin(*causes)) / F.greatest(F.count("failure"), F.lit(1))
+    one = recoveries.agg(*[v.alias(k) for k, v in rates.items()])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(f"`{k}`").alias("value")) for k in rates])).alias("x")).select("x.*")
+    category = recoveries.groupBy("family").agg(F.avg(d("task_success")).alias("value")).select(F.concat(F.lit("category:"), "family").alias("metric"), "value")
+    return rows.unionByName(category)
+
+
+def protocol_rates(steps: DataFrame, diagnostics: DataFrame, tools: DataFrame, errors: DataFrame) -> DataFrame:
+    """Per run of the earlier protocol: structured_validity (valid steps of all inferences), repair_rate (inferences that were repaired),
+    repeated_rate (repeat diagnostics by valid step), and after the first error the further tool calls, steps and latency.
+
+    steps: as in E9 with repairs; diagnostics: run_id, kind."""
+    per = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("inferences"), F.count_if("valid").alias("n_valid"), F.count_if(F.col("repairs") > 0).alias("repaired"))
+    repeats = diagnostics.filter(F.col("kind").isin("identical_tool_call", "no_information_gain")).groupBy("run_id").agg(F.count(F.lit(1)).alias("repeats"))
+    at = errors.select("run_id", F.col("pos").alias("at"))
+    later_tools = tools.join(at, "run_id").filter("pos > at").groupBy("run_id").agg(F.count(F.lit(1)).alias("extra_calls"), F.sum("latency_ms").alias("tool_ms"))
+    first = steps.filter("valid").join(at, "run_id").groupBy("run_id").agg(F.min(F.when(F.col("call_pos") == F.col("at"), F.col("step"))).alias("first_step"))
+    # without the step that made the call, all steps count as later ones
+    later = steps.join(first, "run_id").filter("step > coalesce(first_step, -1)").groupBy("run_id").agg(F.count(F.lit(1)).alias("extra_steps"), F.sum("latency_ms").alias("step_ms"))
+    j = per.join(repeats, "run_id", "left").join(later_tools, "run_id", "left").join(later, "run_id", "left")
+    tail = F.col("extra_calls").isNotNull()
+    return j.select(
+        "run_id",
+        (F.col("n_valid") / F.greatest("inferences", F.lit(1))).alias("structured_validity"),
+        (F.col("repaired") / F.greatest("inferences", F.lit(1))).alias("repair_rate"),
+        (F.coalesce("repeats", F.lit(0)) / F.greatest("n_valid", F.lit(1))).alias("repeated_rate"),
+        "extra_calls",
+        F.when(tail, F.coalesce("extra_steps", F.lit(0))).alias("extra_steps"),
+        F.when(tail, F.col("tool_ms") + F.coalesce("step_ms", F.lit(0))).alias("extra_latency"),
     )
 
 
@@ -205,10 +343,33 @@ def funnel(stages: DataFrame, names: list[str]) -> DataFrame:
     return stages.withColumn("level", level)
 
 
+def recovery_failure(runs: DataFrame) -> DataFrame:
+    """Runs with recovery_failure, the first of these that holds, else null.
+
+    runs: triggered, n_format_errors, decided, appropriate and accepted (null if unknown), executable, attempted, terminal_reason, useful,
+    repaired, task_success."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    wrong = lambda c: ~F.coalesce(c, F.lit(True))
+    cause = (
+        F.when(no("triggered"), "recovery_not_triggered")
+        .when(F.coalesce("n_format_errors", F.lit(0)) > 0, "recovery_format_error")
+        .when(no("decided"), "recovery_not_triggered")
+        .when(wrong("appropriate"), "recovery_wrong_operation")
+        .when(wrong("accepted"), "recovery_invalid_patch")
+        .when(no("executable") | no("attempted"), "recovery_no_state_change")
+        .when(F.col("terminal_reason") == "BUDGET_EXHAUSTED", "recovery_budget_exhaustion")
+        .when(no("useful"), "recovery_wrong_tool_after_patch")
+        .when(no("repaired"), "recovery_repeat_failure")
+        .when(no("task_success"), "recovery_success_but_task_failed_later")
+    )
+    return runs.withColumn("recovery_failure", cause)
+
+
 def funnel_summary(levels: DataFrame, top: int, by: str) -> DataFrame:
-    """Per group and over all: runs, cumulative counts of each level, and rates given the level before."""
+    """Per group and over all: runs, cumulative counts of each level, runs whose highest level it is, and rates given the level before."""
     c = [F.count_if(F.col("level") >= k).alias(f"at_least_{k}") for k in range(1, top + 1)]
-    out = levels.groupingSets([[], [F.col(by)]], by).agg(F.count(F.lit(1)).alias("n"), *c).withColumn(by, F.coalesce(by, F.lit("all")))
+    h = [F.count_if(F.col("level") == k).alias(f"highest_{k}") for k in range(top + 1)]
+    out = levels.groupingSets([[], [F.col(by)]], by).agg(F.count(F.lit(1)).alias("n"), *c, *h).withColumn(by, F.coalesce(by, F.lit("all")))
     rates = {f"rate_{k}": F.when(F.col("n" if k == 1 else f"at_least_{k - 1}") > 0, F.col(f"at_least_{k}") / F.col("n" if k == 1 else f"at_least_{k - 1}")) for k in range(1, top + 1)}
     return out.withColumns(rates)
 
@@ -227,13 +388,32 @@ def tool_cases(cases: DataFrame) -> DataFrame:
     )
 
 
-def run_performance(runs: DataFrame) -> DataFrame:
-    """Per variant: p50 and p95 of the run latency at index ``round((n - 1) q)`` (halves to even), total and mean."""
+STAGE_TIMES = ("policy_ms", "recovery_policy_ms", "retrieval_ms", "editing_ms", "verification_ms")
+
+
+def run_performance(runs: DataFrame, steps: DataFrame, tools: DataFrame) -> DataFrame:
+    """Per variant: p50 and p95 of the run latency at index ``round((n - 1) q)`` (halves to even), total and mean, totals of each stage,
+    latency an inference, tokens a valid step, memory peaks of valid steps, cache hits and misses of tools.
+
+    runs: variant, run_id, latency_ms, STAGE_TIMES; steps: variant, valid, latency_ms, input_tokens, output_tokens, peak_allocated, peak_reserved; tools:
+    variant, cache_hit."""
     w = Window.partitionBy("variant").orderBy("latency_ms", "run_id")
     n = F.count(F.lit(1)).over(Window.partitionBy("variant"))
     r = runs.withColumns({"i": F.row_number().over(w) - 1, "n": n})
     at = lambda q: F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * q, 0).cast("int"), F.col("latency_ms")))
-    return r.groupBy("variant").agg(F.count(F.lit(1)).alias("runs"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.sum("latency_ms").alias("total"), F.avg("latency_ms").alias("mean"))
+    times = [F.sum(c).alias(f"total_{c}") for c in STAGE_TIMES]
+    per_run = r.groupBy("variant").agg(F.count(F.lit(1)).alias("runs"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.sum("latency_ms").alias("total"), F.avg("latency_ms").alias("mean"), *times)
+    ok = lambda c: F.when(F.col("valid"), F.col(c))
+    per_step = steps.groupBy("variant").agg(
+        F.avg("latency_ms").alias("mean_inference_ms"),
+        F.avg(ok("input_tokens")).alias("mean_input_tokens"),
+        F.avg(ok("output_tokens")).alias("mean_output_tokens"),
+        F.max(ok("peak_allocated")).alias("peak_allocated"),
+        F.max(ok("peak_reserved")).alias("peak_reserved"),
+    )
+    per_tool = tools.groupBy("variant").agg(F.count_if("cache_hit").alias("cache_hits"), F.count_if(~F.col("cache_hit")).alias("cache_misses"))
+    j = per_run.join(per_step, "variant", "left").join(per_tool, "variant", "left")
+    return j.fillna(0, ["mean_inference_ms", "mean_input_tokens", "mean_output_tokens", "peak_allocated", "peak_reserved", "cache_hits", "cache_misses"])
 
 
 def success_table(rows: DataFrame, categories: list[str]) -> DataFrame:
@@ -296,20 +476,62 @@ def completion_checks(runs: DataFrame, validations: DataFrame, wishes: DataFrame
     return exists.unionByName(valid).unionByName(wished).unionByName(known)
 
 
-MUTATIONS = ("none", "wrong_duration", "no_artifact", "wrong_terminal")
+def recomputed(summary: DataFrame, stored: DataFrame, inputs: DataFrame, columns: list[str]) -> DataFrame:
+    """Metric, column, input_digest: where a recomputed summary (metric, value) differs from the stored one, and a digest of the input rows
+    that does not depend on their order."""
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), 256)
+    digest = inputs.agg(F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("long")).alias("input_digest"))  # one row
+    return differences(summary, stored, ["metric"]).select("metric", "column").join(F.broadcast(digest))
+
+
+# The known faults in their order, and those that an evaluator must let pass.
+MUTATIONS = (
+    "exact_success", "wrong_scene", "wrong_duration", "wrong_aspect_ratio", "wrong_subtitle", "wrong_order", "partial_constraints",
+    "false_refusal", "premature_finish", "loop", "invalid_arguments", "recovery_success", "recovery_failure",
+)
+PASSING = ("exact_success", "correct_refusal", "recovery_success")
 
 
-def mutate(runs: DataFrame, key: str) -> DataFrame:
-    """Runs with a known fault, chosen by the key modulo the number of faults."""
+def mutate(runs: DataFrame, tools: DataFrame, candidates: DataFrame, gold_scenes: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs (with mutation), tools and candidates with a known fault each, chosen by the key modulo the number of faults.
+
+    Wrong scenes move every trim to the first stretch of 3 s (of 0 to 12 s) at which no relevant scene begins, and take the hits away."""
     m = F.element_at(F.array(*[F.lit(x) for x in MUTATIONS]), (F.pmod(F.col(key), F.lit(len(MUTATIONS))) + 1).cast("int"))
     r = runs.withColumn("mutation", m)
-    return r.withColumns(
+    x = F.col("mutation")
+    gone = x.isin("false_refusal", "loop", "invalid_arguments", "recovery_failure")
+    end = x == "premature_finish"
+    put = lambda c, v: F.when(end, v).otherwise(F.col(c))
+    changed = r.withColumns(
+        {
+            "terminal_reason": F.when(x.isin("false_refusal", "invalid_arguments"), "CANNOT_COMPLETE").when(x == "loop", "LOOP_DETECTED").when(x == "recovery_failure", "BUDGET_EXHAUSTED").when(end, "SUCCESS").otherwise(F.col("terminal_reason")),
+            "final_artifact_id": F.when(~gone, put("final_artifact_id", F.lit("calibration-final"))),
+            "duration_ms": F.when(x == "wrong_duration", 99_000).when(~gone, put("duration_ms", F.lit(3000))),
+            "width": F.when(x == "wrong_aspect_ratio", 640).when(~gone, put("width", F.lit(384))),
+            "height": F.when(x == "wrong_aspect_ratio", 360).when(~gone, put("height", F.lit(256))),
+        }
+    )
+    starts = gold_scenes.groupBy("task_id").agg(F.collect_set("start_ms").alias("starts"))  # scenes of one task
+    free = F.element_at(F.array_except(F.sequence(F.lit(0), F.lit(12_000), F.lit(3000)).cast("array<long>"), F.col("starts").cast("array<long>")), 1)
+    of = r.join(starts, "task_id", "left").select("run_id", "mutation", free.alias("free"), "starts")
+    t = tools.join(of, "run_id")
+    moved = x.isin("wrong_scene", "partial_constraints") & F.col("starts").isNotNull()
+    trim, cue = moved & (F.col("tool_name") == "trim_video"), (x == "wrong_subtitle") & (F.col("tool_name") == "add_subtitles")
+    first = tools.groupBy("run_id").agg(F.min("pos").alias("first_pos"))
+    t = t.join(first, "run_id").withColumns(
         {
-            "duration_ms": F.when(F.col("mutation") == "wrong_duration", F.col("duration_ms") + 10_000_000).otherwise(F.col("duration_ms")),
-            "final_artifact_id": F.when(F.col("mutation") != "no_artifact", F.col("final_artifact_id")),
-            "terminal_reason": F.when(F.col("mutation") == "wrong_terminal", "OTHER").otherwise(F.col("terminal_reason")),
+            "start_ms": F.when(trim, F.col("free")).when(cue, 0).otherwise(F.col("start_ms")),
+            "end_ms": F.when(trim, F.col("free") + 3000).when(cue, 1000).otherwise(F.col("end_ms")),
+            "text": F.when(cue, "WRONG").otherwise(F.col("text")),
+            "inputs": F.when((x == "wrong_order") & (F.col("tool_name") == "concat_videos"), F.reverse("inputs")).otherwise(F.col("inputs")),
+            "status": F.when((x == "invalid_arguments") & (F.col("pos") == F.col("first_pos")), "invalid").otherwise(F.col("status")),
         }
     )
+    # a failed call before all others
+    failed = t.filter(x.isin("recovery_success", "recovery_failure") & (F.col("pos") == F.col("first_pos")))
+    failed = failed.withColumns({"pos": F.col("pos") - 1, "tool_name": F.lit("trim_video"), "status": F.lit("error")})
+    hits = candidates.join(of, "run_id").filter(~moved)
+    return changed, t.unionByName(failed).select(tools.columns), hits.select(candidates.columns)
 
 
 def calibration(evaluations: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from quillspan.operators import claims as C
 from quillspan.operators import trajectories as T
 from quillspan.operators.event_log import ancestors, unknown_citations
-from quillspan.operators.intervals import differences
 from quillspan.plans.registry import query
+from quillspan.plans.scratch import materialize
 
 R9 = lambda c: F.round(c, 9).alias(c)
 _U = "(SELECT DISTINCT user_id FROM {events}) AS u"
@@ -25,17 +25,18 @@ CONSTRAINTS = f"""SELECT DISTINCT user_id % 40 AS task_id, t.pos AS pos, t.type
   'view' AS text, user_id % 40 % 9 * 1000 AS start_ms, user_id % 40 % 9 * 1000 + 1000 AS end_ms, 1.5 AS speed, true AS require_video, user_id % 40 % 2 = 1 AS require_audio FROM {_U} CROSS JOIN ({" UNION ALL ".join(f"SELECT {i} AS pos, '{t}' AS type" for i, t in enumerate(_TYPES))}) AS t"""
 
 IOU = "greatest(0, least({0}_e, {1}_e) - greatest({0}_s, {1}_s)) / (greatest({0}_e, {1}_e) - least({0}_s, {1}_s))"
+TOOLS2 = f"SELECT *, output_artifact_id AS in0, (output_artifact_id + 1) % 8 AS in1 FROM ({TOOLS})"
 BASE = f"""
-runs AS ({RUNS}), tools AS ({TOOLS}), cands AS ({CANDS}), gold AS ({GOLD}), scenes AS ({SCENES}), cons AS ({CONSTRAINTS}),
+runs AS ({RUNS}), tools AS ({TOOLS2}), cands AS ({CANDS}), gold AS ({GOLD}), scenes AS ({SCENES}), cons AS ({CONSTRAINTS}),
 gs AS (SELECT r.run_id, s.pos AS gp, s.scene_id AS gsc, s.start_ms AS g_s, s.end_ms AS g_e FROM runs r JOIN scenes s USING (task_id)),
 vids AS (SELECT DISTINCT r.run_id, s.video_id FROM runs r JOIN scenes s USING (task_id)),
 cx AS (SELECT gs.run_id, gp, c.rank, c.scene_id = gsc AS same, {IOU.format("c", "g")} AS x FROM gs JOIN (SELECT run_id, video_id, scene_id, rank, start_ms AS c_s, end_ms AS c_e FROM cands) c ON c.run_id = gs.run_id JOIN vids v ON v.run_id = gs.run_id AND v.video_id = c.video_id),
 pe AS (SELECT gs.run_id, gs.gp, min(rank) FILTER (same OR x >= 0.5) AS best, coalesce(max(x) FILTER (rank = 1), 0) AS top FROM gs LEFT JOIN cx ON cx.run_id = gs.run_id AND cx.gp = gs.gp GROUP BY ALL),
 e1 AS (SELECT run_id, count(*) AS n_scenes, avg(coalesce((best = 1)::INT, 0)) AS recall_1, avg(coalesce((best <= 5)::INT, 0)) AS recall_5, avg(coalesce(1 / best, 0)) AS mrr, avg(top) AS iou FROM pe GROUP BY 1),
 ok AS (SELECT * FROM tools WHERE status = 'success'),
-gr AS (SELECT run_id, min(b) >= 0.9 AS grounded FROM (SELECT gs.run_id, gp, coalesce(max({IOU.format("t", "g")}), 0) AS b FROM gs LEFT JOIN (SELECT run_id, start_ms AS t_s, end_ms AS t_e FROM ok WHERE tool_name = 'trim_video') t ON t.run_id = gs.run_id GROUP BY ALL) GROUP BY 1),
+gr AS (SELECT run_id, min(b) >= 0.9 AS grounded FROM (SELECT gs.run_id, gp, coalesce(max({IOU.format("t", "g")}) FILTER (t_s IS NOT NULL), 0) AS b FROM gs LEFT JOIN (SELECT run_id, start_ms AS t_s, end_ms AS t_e FROM ok WHERE tool_name = 'trim_video') t ON t.run_id = gs.run_id GROUP BY ALL) GROUP BY 1),
 tr AS (SELECT run_id, output_artifact_id AS input, arg_max(start_ms, pos) AS t_s, arg_max(end_ms, pos) AS t_e FROM ok WHERE tool_name = 'trim_video' GROUP BY ALL),
-cc AS (SELECT run_id, pos AS call, 0 AS i, output_artifact_id AS input FROM ok WHERE tool_name = 'concat_videos' UNION ALL SELECT run_id, pos, 1, (output_artifact_id + 1) % 8 FROM ok WHERE tool_name = 'concat_videos'),
+cc AS (SELECT run_id, pos AS call, 0 AS i, in0 AS input FROM ok WHERE tool_name = 'concat_videos' UNION ALL SELECT run_id, pos, 1, in1 FROM ok WHERE tool_name = 'concat_videos'),
 od AS (SELECT DISTINCT run_id FROM (SELECT cc.run_id, call FROM cc JOIN tr USING (run_id, input) JOIN gs ON gs.run_id = cc.run_id AND gs.gp = cc.i WHERE {IOU.format("t", "g")} >= 0.9 GROUP BY ALL HAVING count(*) = 2)),
 e2 AS (SELECT r.run_id, c.pos, c.type, c.mandatory, coalesce(CASE c.type WHEN 'grounding' THEN coalesce(grounded, true) WHEN 'duration' THEN abs(r.duration_ms - c.target_ms) <= c.tolerance_ms WHEN 'resolution' THEN r.width = c.width AND r.height = c.height
    WHEN 'subtitle' THEN EXISTS (SELECT 1 FROM ok k WHERE k.run_id = r.run_id AND k.tool_name = 'add_subtitles' AND k.text = c.text AND k.start_ms = c.start_ms AND k.end_ms = c.end_ms) WHEN 'scene_order' THEN r.run_id IN (SELECT run_id FROM od)
@@ -93,9 +94,9 @@ def e4(get):
     )
 
 
-@query("e5_failure_causes", f"WITH {BASE} SELECT run_id, cause AS primary_failure FROM ev")
+@query("e5_failure_causes", f"WITH {BASE} SELECT run_id, cause AS primary_failure, CASE WHEN NOT success AND cause = 'invalid_arguments' AND n_invalid > 0 AND terminal_reason = 'CANNOT_COMPLETE' THEN 'premature_refusal' END AS secondary_failure FROM ev")
 def e5(get):
-    return evaluated(get).select("run_id", "primary_failure")
+    return evaluated(get).select("run_id", "primary_failure", "secondary_failure")
 
 
 _COLS = {"task_success": "success::INT", "satisfaction": "satisfaction", "correct_artifact": "ca::INT", "recall_1": "recall_1", "recall_5": "recall_5", "mrr": "mrr", "iou": "iou", "tool_selection": "tool_selection", "argument_validity": "argument_validity", "n_tools": "n_tools", "n_search": "n_search", "correct_termination": "ct::INT"}
@@ -111,14 +112,32 @@ def e6(get):
     return T.summarize(evaluated(get)).withColumn("value", F.round("value", 8))
 
 
-ERR = """err AS (SELECT t.run_id, pos, latency_ms, status, CASE WHEN tool_name = 'search_video' AND status <> 'success' THEN 'empty_search' WHEN status <> 'success' THEN 'failed_call' WHEN NOT list_contains(required, tool_name) THEN 'tool_not_required' END AS cause FROM tools t JOIN runs r USING (run_id) JOIN rq USING (task_id)),
+HITS = f"SELECT user_id AS run_id, event_id AS pos, h.rank AS rank, event_id % 9 * 1000 + event_id % 3 * 40 + h.rank * 7000 - 7000 AS start_ms, event_id % 9 * 1000 + event_id % 3 * 40 + h.rank * 7000 - 6000 AS end_ms FROM {{events}} CROSS JOIN (SELECT 1 AS rank UNION ALL SELECT 2 AS rank) AS h WHERE {_TOOL} = 'search_video' AND props NOT LIKE '%7%'"
+STEPS = "SELECT user_id AS run_id, event_id AS step, CASE WHEN event_id % 12 = 3 THEN 'replan' WHEN event_id % 12 = 7 THEN 'recover' ELSE 'act' END AS operation, CASE WHEN event_id % 12 IN (3, 7) THEN NULL ELSE event_id END AS call_pos, event_id % 13 <> 0 AS valid, CASE WHEN event_id % 12 = 3 THEN event_id % 8 = 3 END AS accepted, event_id % 50 AS latency_ms, event_id % 17 % 2 AS repairs FROM {events}"
+_NEAR = "EXISTS (SELECT 1 FROM gs WHERE gs.run_id = t.run_id AND {0} >= 0.9)".format("(greatest(0, least({0}.end_ms, g_e) - greatest({0}.start_ms, g_s)) / (greatest({0}.end_ms, g_e) - least({0}.start_ms, g_s)))")
+ERR = f"""hits AS ({HITS}), steps AS ({STEPS}), err AS (SELECT t.run_id, t.pos, CASE WHEN status = 'invalid' THEN 'invalid_arguments' WHEN status <> 'success' THEN 'tool_execution_failure'
+   WHEN tool_name = 'search_video' AND t.run_id IN (SELECT run_id FROM gs) AND h.run_id IS NULL THEN 'upstream_perception_error' WHEN tool_name = 'search_video' AND t.run_id IN (SELECT run_id FROM gs) AND NOT {_NEAR.format("h")} THEN 'retrieval_error'
+   WHEN tool_name = 'trim_video' AND t.run_id IN (SELECT run_id FROM gs) AND NOT {_NEAR.format("t")} THEN 'invalid_arguments' WHEN tool_name <> 'search_video' AND NOT list_contains(required, tool_name) THEN 'wrong_tool' END AS cause
+   FROM tools t JOIN runs r USING (run_id) JOIN rq USING (task_id) LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h ON h.run_id = t.run_id AND h.pos = t.pos),
 fe AS (SELECT run_id, min(pos) AS pos, arg_min(cause, pos) AS cause FROM err WHERE cause IS NOT NULL GROUP BY 1),
-rec AS (SELECT fe.run_id, fe.pos, fe.cause, count(t.pos) AS extra_steps, count(t.pos) FILTER (t.status = 'success') AS valid_steps, coalesce(sum(t.latency_ms), 0)::BIGINT AS extra_latency FROM fe LEFT JOIN tools t ON t.run_id = fe.run_id AND t.pos > fe.pos GROUP BY ALL)"""
+tries AS (SELECT run_id, count(*) FILTER (operation <> 'act') AS attempts, count(*) FILTER (operation <> 'act' AND valid) AS nv, count(*) FILTER (operation <> 'act' AND valid AND accepted) AS na, count(*) FILTER (operation <> 'act' AND valid AND NOT accepted) AS n_rejected FROM steps GROUP BY 1),
+lt AS (SELECT fe.run_id, count(*) AS n, sum(latency_ms) AS ms FROM fe JOIN tools t ON t.run_id = fe.run_id AND t.pos > fe.pos GROUP BY 1),
+fs AS (SELECT fe.run_id, min(step) AS first_step FROM fe JOIN steps x ON x.run_id = fe.run_id AND x.call_pos = fe.pos AND x.valid GROUP BY 1),
+ls AS (SELECT fs.run_id, count(*) AS n, sum(latency_ms) AS ms FROM fs JOIN steps x ON x.run_id = fs.run_id AND x.step > first_step GROUP BY 1),
+rec AS (SELECT *, opportunity AND (attempts > 0 OR later > 0) AS attempted FROM (SELECT ev.run_id, ev.family, ev.success, ev.terminal_reason, ev.expected_terminal, ev.cause AS base_cause, fe.cause AS first_error, fe.pos IS NOT NULL AND ev.task_id % 3 <> 1 AND ev.expected_terminal = 'SUCCESS' AS opportunity, coalesce(attempts, 0) AS attempts, coalesce(nv, 0) AS nv, coalesce(na, 0) AS na, coalesce(n_rejected, 0) AS n_rejected,
+   coalesce(lt.n, 0) AS later, coalesce(ls.n, 0) AS ls_n, coalesce(lt.ms, 0) + coalesce(ls.ms, 0) AS ms FROM ev LEFT JOIN fe ON fe.run_id = ev.run_id LEFT JOIN tries ON tries.run_id = ev.run_id LEFT JOIN lt ON lt.run_id = ev.run_id LEFT JOIN ls ON ls.run_id = ev.run_id)),
+atr AS (SELECT *, CASE WHEN success THEN NULL WHEN terminal_reason = 'MODEL_OUTPUT_FAILURE' THEN 'model_format_error' WHEN terminal_reason = 'BUDGET_EXHAUSTED' THEN 'budget_exhaustion' WHEN terminal_reason = 'LOOP_DETECTED' THEN CASE WHEN run_id % 26 = 0 THEN 'handoff_error' ELSE 'loop_stagnation' END WHEN terminal_reason = 'CANNOT_COMPLETE' AND expected_terminal = 'SUCCESS' THEN 'premature_refusal'
+   WHEN terminal_reason = 'SUCCESS' AND expected_terminal <> 'SUCCESS' THEN 'premature_success' WHEN n_rejected > 0 THEN 'recovery_patch_error' WHEN first_error IS NOT NULL THEN first_error WHEN base_cause IN ('verification_error', 'wrong_tool') THEN base_cause ELSE 'planning_error' END AS failure FROM rec)"""
 
 
 def errors(get):
-    runs, t, _, gold, _, _ = parts(get)
-    return t, T.first_error(t, runs, gold)
+    runs, t, _, gold, scenes, _ = parts(get)
+    return t, T.first_error(t, runs, gold, scenes, get(HITS))
+
+
+def recoveries(get):
+    ev = evaluated(get).withColumns({"designed": F.col("task_id") % 3 != 1, "repeated_editor": F.col("run_id") % 26 == 0})
+    return T.attributed(T.recovery(ev, *errors(get), get(STEPS)))
 
 
 @query("e8_first_error", f"WITH {BASE}, {ERR} SELECT run_id, pos, cause FROM fe")
@@ -126,17 +145,27 @@ def e8(get):
     return errors(get)[1]
 
 
-@query("e9_recovery", f"WITH {BASE}, {ERR} SELECT run_id, pos, cause, extra_steps, valid_steps, extra_latency FROM rec")
+@query(
+    "e9_recovery",
+    f"""WITH {BASE}, {ERR} SELECT run_id, first_error, opportunity, attempted, attempted AND success AS succeeded, attempts, round(nv / nullif(attempts, 0), 9) AS decision_validity, round(na / nullif(nv, 0), 9) AS patch_acceptance, n_rejected,
+    CASE WHEN attempted THEN ls_n END AS extra_steps, CASE WHEN attempted THEN ms::BIGINT END AS extra_latency, failure FROM atr""",
+)
 def e9(get):
-    return T.recovery(*errors(get))
+    return recoveries(get).select("run_id", "first_error", "opportunity", "attempted", "succeeded", "attempts", R9("decision_validity"), R9("patch_acceptance"), "n_rejected", "extra_steps", "extra_latency", "failure")
+
+
+_ORIGINS = " UNION ALL ".join(f"SELECT 'origin:{o}', round(count(*) FILTER (failure IN ({', '.join(repr(c) for c in cs)})) / greatest(count(failure), 1), 8) FROM atr" for o, cs in T.ORIGINS.items())
 
 
 @query(
     "e10_recovery_summary",
-    f"""WITH {BASE}, {ERR} SELECT CASE cause WHEN 'failed_call' THEN 'protocol' WHEN 'tool_not_required' THEN 'policy' ELSE 'upstream' END AS origin, count(*) AS n, median(extra_steps) AS median_steps, median(extra_latency) AS median_latency, round(avg((valid_steps > 0)::INT), 9) AS recovered FROM rec GROUP BY 1""",
+    f"""WITH {BASE}, {ERR} SELECT 'opportunities' AS metric, (count(*) FILTER (opportunity))::DOUBLE AS value FROM atr UNION ALL SELECT 'attempt_rate', round(avg(attempted::INT), 8) FROM atr WHERE opportunity UNION ALL SELECT 'success_rate', round(avg((attempted AND success)::INT), 8) FROM atr WHERE opportunity
+    UNION ALL SELECT 'conditional_success', round(avg(success::INT), 8) FROM atr WHERE attempted UNION ALL SELECT 'decision_validity', round(avg(nv / attempts), 8) FROM atr WHERE attempts > 0 UNION ALL SELECT 'patch_acceptance', round(avg(na / nv), 8) FROM atr WHERE nv > 0
+    UNION ALL SELECT 'median_extra_steps', median(ls_n) FROM atr WHERE attempted UNION ALL SELECT 'median_extra_latency', median(ms) FROM atr WHERE attempted UNION ALL {_ORIGINS}
+    UNION ALL SELECT 'category:' || family, round(avg(success::INT), 8) FROM atr GROUP BY family""",
 )
 def e10(get):
-    return T.recovery_summary(T.recovery(*errors(get)), {"failed_call": "protocol", "tool_not_required": "policy"}).withColumn("recovered", F.round("recovered", 9))
+    return T.recovery_summary(recoveries(get)).withColumn("value", F.round("value", 8))
 
 
 EDITS = f"SELECT user_id AS run_id, event_id AS pos, {_TOOL} AS tool_name, event_id % 3 AS arguments, event_id % 2 AS parents FROM {{events}} WHERE event_id % 5 <> 0"
@@ -147,17 +176,23 @@ def e11(get):
     return T.repeated_edit_rate(get(EDITS)).withColumn("repeated_rate", F.round("repeated_rate", 9))
 
 
-FUNNEL = "SELECT event_id AS run_id, event_type AS failure_type, event_id % 2 = 0 AS detected, event_id % 3 <> 0 AS attempted, event_id % 5 <> 0 AS repaired FROM {events}"
-_LEVEL = "CASE WHEN detected AND attempted AND repaired THEN 3 WHEN detected AND attempted THEN 2 WHEN detected THEN 1 ELSE 0 END"
+FUNNEL = """SELECT event_id AS run_id, event_type AS failure_type, event_id % 7 <> 0 AS triggered, CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END AS n_format_errors, event_id % 2 = 0 AS decided, CASE WHEN event_id % 4 <> 0 THEN event_id % 10 <> 6 END AS appropriate, CASE WHEN event_id % 6 <> 0 THEN event_id % 22 <> 2 END AS accepted,
+  event_id % 3 <> 0 AS executable, event_id % 3 <> 0 AS attempted, CASE WHEN event_id % 14 = 4 THEN 'BUDGET_EXHAUSTED' ELSE 'SUCCESS' END AS terminal_reason, event_id % 5 <> 0 AS useful, event_id % 11 <> 0 AS repaired, event_id % 13 <> 0 AS task_success FROM {events}"""
+_STAGES = ["triggered", "decided", "executable", "useful", "repaired"]
+_LEVEL = "CASE " + " ".join(f"WHEN {' AND '.join(_STAGES[:k])} THEN {k}" for k in range(len(_STAGES), 0, -1)) + " ELSE 0 END"
 
 
-@query("e12_recovery_funnel", f"SELECT run_id, {_LEVEL} AS level FROM ({FUNNEL})")
+@query(
+    "e12_recovery_funnel",
+    f"""SELECT run_id, {_LEVEL} AS level, CASE WHEN NOT triggered THEN 'recovery_not_triggered' WHEN n_format_errors > 0 THEN 'recovery_format_error' WHEN NOT decided THEN 'recovery_not_triggered' WHEN NOT appropriate THEN 'recovery_wrong_operation' WHEN NOT accepted THEN 'recovery_invalid_patch'
+    WHEN NOT executable OR NOT attempted THEN 'recovery_no_state_change' WHEN terminal_reason = 'BUDGET_EXHAUSTED' THEN 'recovery_budget_exhaustion' WHEN NOT useful THEN 'recovery_wrong_tool_after_patch' WHEN NOT repaired THEN 'recovery_repeat_failure' WHEN NOT task_success THEN 'recovery_success_but_task_failed_later' END AS recovery_failure FROM ({FUNNEL})""",
+)
 def e12(get):
-    return T.funnel(get(FUNNEL), ["detected", "attempted", "repaired"]).select("run_id", "level")
+    return T.recovery_failure(T.funnel(get(FUNNEL), _STAGES)).select("run_id", "level", "recovery_failure")
 
 
-_FS = ", ".join(f"count(*) FILTER (level >= {k}) AS at_least_{k}" for k in (1, 2, 3))
-_FR = "round(at_least_1 / n, 9) AS rate_1, round(at_least_2 / nullif(at_least_1, 0), 9) AS rate_2, round(at_least_3 / nullif(at_least_2, 0), 9) AS rate_3"
+_FS = ", ".join([f"count(*) FILTER (level >= {k}) AS at_least_{k}" for k in range(1, 6)] + [f"count(*) FILTER (level = {k}) AS highest_{k}" for k in range(6)])
+_FR = ", ".join(f"round(at_least_{k} / {'n' if k == 1 else f'nullif(at_least_{k - 1}, 0)'}, 9) AS rate_{k}" for k in range(1, 6))
 
 
 @query(
@@ -165,8 +200,8 @@ _FR = "round(at_least_1 / n, 9) AS rate_1, round(at_least_2 / nullif(at_least_1,
     f"WITH l AS (SELECT failure_type, {_LEVEL} AS level FROM ({FUNNEL})), a AS (SELECT 'all' AS failure_type, count(*) AS n, {_FS} FROM l UNION ALL SELECT failure_type, count(*), {_FS} FROM l GROUP BY 1) SELECT *, {_FR} FROM a",
 )
 def e13(get):
-    out = T.funnel_summary(T.funnel(get(FUNNEL), ["detected", "attempted", "repaired"]), 3, "failure_type")
-    return out.withColumns({f"rate_{k}": F.round(f"rate_{k}", 9) for k in (1, 2, 3)})
+    out = T.funnel_summary(T.funnel(get(FUNNEL), _STAGES), 5, "failure_type")
+    return out.withColumns({f"rate_{k}": F.round(f"rate_{k}", 9) for k in range(1, 6)})
 
 
 TCASES = "SELECT event_type AS tool, CASE WHEN event_id % 6 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN event_id % 4 = 0 THEN 'error' ELSE 'success' END AS expected, event_id % 251 AS error_ms, event_id % 997 AS latency_ms FROM {events}"
@@ -180,16 +215,22 @@ def e14(get):
     return T.tool_cases(get(TCASES)).withColumns({c: F.round(c, 9) for c in ("success", "as_expected")})
 
 
-PERF = "SELECT event_type AS variant, event_id AS run_id, event_id % 1009 AS latency_ms FROM {events}"
+PERF = "SELECT event_type AS variant, event_id AS run_id, event_id % 1009 AS latency_ms, event_id % 503 AS policy_ms, event_id % 3 AS recovery_policy_ms, event_id % 101 AS retrieval_ms, event_id % 211 AS editing_ms, event_id % 5 AS verification_ms FROM {events}"
+PSTEPS = "SELECT event_type AS variant, event_id % 9 <> 0 AS valid, event_id % 77 AS latency_ms, event_id % 4096 AS input_tokens, event_id % 300 AS output_tokens, event_id % 60000 AS peak_allocated, event_id % 60000 + 1000 AS peak_reserved FROM {events}"
+PTOOLS = "SELECT event_type AS variant, event_id % 3 = 0 AS cache_hit FROM {events}"
+_TIMES = ", ".join(f"sum({c})::BIGINT AS total_{c}" for c in T.STAGE_TIMES)
 
 
 @query(
     "e15_run_performance",
-    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY latency_ms, run_id) - 1 AS i, count(*) OVER (PARTITION BY variant) AS n FROM ({PERF}))
-    SELECT variant, count(*) AS runs, max(latency_ms) FILTER (i = round_even((n - 1) * 0.5, 0)) AS p50, max(latency_ms) FILTER (i = round_even((n - 1) * 0.95, 0)) AS p95, sum(latency_ms)::BIGINT AS total, round(avg(latency_ms), 9) AS mean FROM r GROUP BY 1""",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY latency_ms, run_id) - 1 AS i, count(*) OVER (PARTITION BY variant) AS n FROM ({PERF})),
+    a AS (SELECT variant, count(*) AS runs, max(latency_ms) FILTER (i = round_even((n - 1) * 0.5, 0)) AS p50, max(latency_ms) FILTER (i = round_even((n - 1) * 0.95, 0)) AS p95, sum(latency_ms)::BIGINT AS total, round(avg(latency_ms), 9) AS mean, {_TIMES} FROM r GROUP BY 1),
+    b AS (SELECT variant, round(avg(latency_ms), 9) AS mean_inference_ms, round(avg(input_tokens) FILTER (valid), 9) AS mean_input_tokens, round(avg(output_tokens) FILTER (valid), 9) AS mean_output_tokens, max(peak_allocated) FILTER (valid) AS peak_allocated, max(peak_reserved) FILTER (valid) AS peak_reserved FROM ({PSTEPS}) GROUP BY 1),
+    c AS (SELECT variant, count(*) FILTER (cache_hit) AS cache_hits, count(*) FILTER (NOT cache_hit) AS cache_misses FROM ({PTOOLS}) GROUP BY 1) SELECT * FROM a JOIN b USING (variant) JOIN c USING (variant)""",
 )
 def e15(get):
-    return T.run_performance(get(PERF)).withColumn("mean", F.round("mean", 9))
+    out = T.run_performance(get(PERF), get(PSTEPS), get(PTOOLS))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean", "mean_inference_ms", "mean_input_tokens", "mean_output_tokens")})
 
 
 WINS = "SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS variant, event_type AS category, event_id % 3 = 0 AS success FROM {events}"
@@ -200,12 +241,45 @@ def e17(get):
     return T.success_table(get(WINS), ["view", "click", "error"])
 
 
-OBS = "SELECT user_id AS run_id, event_id AS seq, event_type AS kind, props AS summary FROM {events}"
+SEEN = "SELECT user_id AS run_id, event_id AS seq, event_type AS kind, props AS summary, event_id % 4 AS part FROM {events}"
+FRAMES = "SELECT user_id AS run_id, event_id AS seq, 'frame' AS kind, concat('frame ', CAST(event_id % 6 AS STRING)) AS summary FROM {events}"
 
 
-@query("p2_public_view", f"SELECT run_id, seq, kind, summary, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS n FROM ({OBS}) QUALIFY n <= 8")
+@query(
+    "p2_public_view",
+    f"""WITH o AS ({SEEN}), f AS (SELECT run_id, max(seq) AS seq, kind, summary FROM ({FRAMES.replace("STRING", "VARCHAR")}) GROUP BY ALL), u AS (SELECT run_id, CASE part WHEN 1 THEN 'verification' WHEN 2 THEN 'scene' ELSE 'observation' END AS part, seq, kind, summary FROM o UNION ALL SELECT run_id, 'keyframe', seq, kind, summary FROM f)
+    SELECT run_id, part, row_number() OVER (PARTITION BY run_id, part ORDER BY CASE WHEN part = 'scene' THEN seq ELSE -seq END, summary) AS n, seq, kind, summary FROM u QUALIFY n <= CASE part WHEN 'scene' THEN 5 WHEN 'keyframe' THEN 4 ELSE 8 END""",
+)
 def p2(get):
-    return T.public_view(get(OBS))
+    o = get(SEEN)
+    return T.public_view(o.filter("part IN (0, 3)"), o.filter("part = 1"), o.filter("part = 2"), get(FRAMES))
+
+
+FACTS = """SELECT user_id AS run_id, event_id AS pos, event_id % 9 * 1000 AS start_ms, event_id % 9 * 1000 + 1000 AS end_ms, CASE WHEN event_id % 5 = 0 THEN 'search_video' ELSE 'trim_video' END AS tool_name, CASE WHEN event_id % 7 = 0 THEN 'error' ELSE 'success' END AS status, event_id % 11 = 3 AS broken FROM {events}"""
+
+
+def records(get):
+    """Runs with their tool records as one JSON text; some records name no tool, some candidates have no range or an empty one."""
+    span = F.struct("start_ms", "end_ms")
+    good = F.struct(F.lit("v").alias("video_id"), F.concat(F.lit("s"), F.col("pos")).alias("scene_id"), span.alias("time_range"))
+    bad = F.struct(F.lit("v").alias("video_id"), F.concat(F.lit("s"), F.col("pos")).alias("scene_id"), F.struct(F.col("end_ms").alias("start_ms"), F.col("end_ms")).alias("time_range"))
+    details = F.struct(F.struct(F.array(F.when(F.col("broken"), bad).otherwise(good), bad, good).alias("candidates")).alias("response"))
+    record = F.to_json(F.struct(F.when(~F.col("broken") | (F.col("tool_name") == "search_video"), F.col("tool_name")).alias("tool_name"), "status", F.struct(span.alias("time_range")).alias("arguments"), details.alias("details")))
+    r = get(FACTS).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", record.alias("x")))).alias("rs"))
+    return r.select("run_id", F.concat(F.lit("["), F.array_join(F.transform("rs", lambda x: x["x"]), ","), F.lit("]")).alias("records"))
+
+
+_FACTS = f"f AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos) - 1 AS n FROM ({FACTS}))"
+
+
+@query("p9_tool_facts", f"WITH {_FACTS} SELECT run_id, n AS pos, tool_name, status, start_ms, end_ms FROM f WHERE tool_name = 'search_video' OR NOT broken")
+def p9_tools(get):
+    return T.tool_facts(records(get))
+
+
+@query("p9_search_candidates", f"WITH {_FACTS} SELECT run_id, n AS pos, c.r AS rank, 'v' AS video_id, 's' || CAST(pos AS VARCHAR) AS scene_id, start_ms, end_ms FROM f, (SELECT unnest([1, 2]) AS r) AS c WHERE tool_name = 'search_video' AND status = 'success' AND (r = 1 OR NOT broken)")
+def p9_candidates(get):
+    return T.search_candidates(records(get))
 
 
 VALID = "SELECT user_id AS run_id, event_id AS pos, event_type AS artifact_id, CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'success' END AS status, props AS details FROM {events}"
@@ -217,12 +291,21 @@ def p9(get):
     return T.final_media(get(VALID), get(FINALS))
 
 
+DIAG = "SELECT user_id AS run_id, CASE WHEN event_id % 9 = 1 THEN 'identical_tool_call' WHEN event_id % 9 = 2 THEN 'no_information_gain' ELSE 'other' END AS kind FROM {events}"
+
+
 @query(
     "e7_earlier_protocol",
-    f"WITH {BASE.replace("list(DISTINCT tool_name) FILTER (status = 'success') AS used", "list(DISTINCT tool_name) AS used")} SELECT run_id, success AS task_success, ts AS tools_satisfied, cause AS primary_failure FROM ev",
+    f"""WITH {BASE.replace("list(DISTINCT tool_name) FILTER (status = 'success') AS used", "list(DISTINCT tool_name) AS used")}, {ERR},
+    ps AS (SELECT run_id, count(*) AS n, count(*) FILTER (valid) AS v, count(*) FILTER (repairs > 0) AS rp FROM steps GROUP BY 1), dg AS (SELECT run_id, count(*) FILTER (kind <> 'other') AS n FROM ({DIAG}) GROUP BY 1),
+    l7 AS (SELECT fe.run_id, count(*) AS n, sum(latency_ms) AS ms FROM fe LEFT JOIN fs ON fs.run_id = fe.run_id JOIN steps x ON x.run_id = fe.run_id AND x.step > coalesce(first_step, -1) WHERE EXISTS (SELECT 1 FROM steps y WHERE y.run_id = fe.run_id AND y.valid) GROUP BY 1)
+    SELECT ev.run_id, success AS task_success, ts AS tools_satisfied, ev.cause AS primary_failure, round(ps.v / ps.n, 9) AS structured_validity, round(rp / ps.n, 9) AS repair_rate, round(dg.n / greatest(ps.v, 1), 9) AS repeated_rate, lt.n AS extra_calls, CASE WHEN lt.n IS NOT NULL THEN coalesce(l7.n, 0) END AS extra_steps, (lt.ms + coalesce(l7.ms, 0))::BIGINT AS extra_latency
+    FROM ev JOIN ps ON ps.run_id = ev.run_id LEFT JOIN dg ON dg.run_id = ev.run_id LEFT JOIN lt ON lt.run_id = ev.run_id LEFT JOIN l7 ON l7.run_id = ev.run_id""",
 )
 def e7(get):
-    return T.evaluate(*parts(get), all_calls=True).select("run_id", "task_success", "tools_satisfied", "primary_failure")
+    ev = T.evaluate(*parts(get), all_calls=True).select("run_id", "task_success", "tools_satisfied", "primary_failure")
+    rates = T.protocol_rates(get(STEPS), get(DIAG), *errors(get))
+    return ev.join(rates, "run_id").withColumns({c: F.round(c, 9) for c in ("structured_validity", "repair_rate", "repeated_rate")})
 
 
 EDIT_TOOLS = TOOLS.replace("event_id % 8 AS output_artifact_id", "CASE WHEN event_id % 2 = 0 THEN 'f' ELSE 'g' END AS output_artifact_id, CASE WHEN event_id % 3 = 0 THEN 's' ELSE 'x' END AS parent")
@@ -270,26 +353,43 @@ _E6 = f"""{" UNION ALL ".join(f"SELECT '{k}' AS metric, round(avg({v}), 8) AS va
   UNION ALL SELECT 'family:' || family, round(avg(success::INT), 8) FROM ev GROUP BY family UNION ALL SELECT 'failure:' || cause, count(*) FROM ev WHERE cause IS NOT NULL GROUP BY cause"""
 
 
-@query("e19_recomputed_summary", f"WITH {BASE}, s AS ({_E6}) SELECT metric, 'value' AS \"column\" FROM s WHERE metric LIKE 'family:%'")
+_DIGEST = "sum(('0x' || left(sha256(concat_ws('|', run_id, terminal_reason, coalesce(final_artifact_id, '-'), duration_ms)), 8))::BIGINT)::BIGINT"
+
+
+@query("e19_recomputed_summary", f"WITH {BASE}, s AS ({_E6}) SELECT metric, 'value' AS \"column\", (SELECT {_DIGEST} FROM runs) AS input_digest FROM s WHERE metric LIKE 'family:%'")
 def e19(get):
-    """The stored summary differs from the recomputed one in the family rates."""
+    """A summary was stored by an earlier evaluator, here one whose family rates are off by one; what the recomputation changes, with a digest of
+    the runs that it read."""
+    stored = T.summarize(evaluated(get))
+    off = F.when(F.col("metric").startswith("family:"), F.col("value") + 1).otherwise(F.col("value"))
+    stored = materialize(stored.withColumn("value", F.round(off, 8)), "stored-summary")
     now = T.summarize(evaluated(get)).withColumn("value", F.round("value", 8))
-    stored = now.withColumn("value", F.when(F.col("metric").startswith("family:"), F.col("value") + 1).otherwise(F.col("value")))
-    return differences(now, stored, ["metric"]).select("metric", "column")
+    return T.recomputed(now, stored, get(RUNS), ["run_id", "terminal_reason", "final_artifact_id", "duration_ms"])
 
 
-_MUT = "CASE run_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'wrong_duration' WHEN 2 THEN 'no_artifact' ELSE 'wrong_terminal' END"
-MUTATED = f"SELECT * REPLACE (CASE WHEN {_MUT} = 'wrong_duration' THEN duration_ms + 10000000 ELSE duration_ms END AS duration_ms, CASE WHEN {_MUT} <> 'no_artifact' THEN final_artifact_id END AS final_artifact_id, CASE WHEN {_MUT} = 'wrong_terminal' THEN 'OTHER' ELSE terminal_reason END AS terminal_reason) FROM ({RUNS})"
+_X = f"[{', '.join(repr(m) for m in T.MUTATIONS)}][run_id % {len(T.MUTATIONS)} + 1]"
+_GONE = "x IN ('false_refusal', 'loop', 'invalid_arguments', 'recovery_failure')"
+_MUT_RUNS = f"""SELECT * REPLACE (CASE WHEN x IN ('false_refusal', 'invalid_arguments') THEN 'CANNOT_COMPLETE' WHEN x = 'loop' THEN 'LOOP_DETECTED' WHEN x = 'recovery_failure' THEN 'BUDGET_EXHAUSTED' WHEN x = 'premature_finish' THEN 'SUCCESS' ELSE terminal_reason END AS terminal_reason,
+  CASE WHEN {_GONE} THEN NULL WHEN x = 'premature_finish' THEN 'calibration-final' ELSE final_artifact_id END AS final_artifact_id, CASE WHEN x = 'wrong_duration' THEN 99000 WHEN {_GONE} THEN NULL WHEN x = 'premature_finish' THEN 3000 ELSE duration_ms END AS duration_ms,
+  CASE WHEN x = 'wrong_aspect_ratio' THEN 640 WHEN {_GONE} THEN NULL WHEN x = 'premature_finish' THEN 384 ELSE width END AS width, CASE WHEN x = 'wrong_aspect_ratio' THEN 360 WHEN {_GONE} THEN NULL WHEN x = 'premature_finish' THEN 256 ELSE height END AS height) FROM (SELECT *, {_X} AS x FROM ({RUNS}))"""
+_OF = f"(SELECT r.run_id, {_X} AS x, starts, list_filter([0, 3000, 6000, 9000, 12000], lambda v: NOT list_contains(starts, v))[1] AS free FROM ({RUNS}) r LEFT JOIN (SELECT task_id, list(DISTINCT start_ms) AS starts FROM ({SCENES}) GROUP BY 1) USING (task_id))"
+_MOVED = "x IN ('wrong_scene', 'partial_constraints') AND starts IS NOT NULL"
+_MUT_TOOLS = f"""SELECT t.* REPLACE (CASE WHEN {_MOVED} AND tool_name = 'trim_video' THEN free WHEN x = 'wrong_subtitle' AND tool_name = 'add_subtitles' THEN 0 ELSE start_ms END AS start_ms, CASE WHEN {_MOVED} AND tool_name = 'trim_video' THEN free + 3000 WHEN x = 'wrong_subtitle' AND tool_name = 'add_subtitles' THEN 1000 ELSE end_ms END AS end_ms,
+  CASE WHEN x = 'wrong_subtitle' AND tool_name = 'add_subtitles' THEN 'WRONG' ELSE text END AS text, CASE WHEN x = 'wrong_order' AND tool_name = 'concat_videos' THEN in1 ELSE in0 END AS in0, CASE WHEN x = 'wrong_order' AND tool_name = 'concat_videos' THEN in0 ELSE in1 END AS in1,
+  CASE WHEN x = 'invalid_arguments' AND pos = first_pos THEN 'invalid' ELSE status END AS status) FROM ({TOOLS2}) t JOIN {_OF} o ON o.run_id = t.run_id JOIN (SELECT run_id, min(pos) AS first_pos FROM ({TOOLS2}) GROUP BY 1) f ON f.run_id = t.run_id
+  UNION ALL SELECT t.* REPLACE (pos - 1 AS pos, 'trim_video' AS tool_name, 'error' AS status) FROM ({TOOLS2}) t JOIN {_OF} o ON o.run_id = t.run_id WHERE x IN ('recovery_success', 'recovery_failure') AND pos = (SELECT min(pos) FROM ({TOOLS2}) u WHERE u.run_id = t.run_id)"""
+_MUT_CANDS = f"SELECT c.* FROM ({CANDS}) c JOIN {_OF} o ON o.run_id = c.run_id WHERE NOT ({_MOVED})"
+_PASSING = ", ".join(repr(m) for m in T.PASSING)
 
 
 @query(
     "e20_calibration",
-    f"WITH {BASE.replace(f'runs AS ({RUNS})', f'runs AS ({MUTATED})')} SELECT {_MUT} AS mutation, count(*) AS n, count(*) FILTER (success) AS n_passed, round(avg((success = ({_MUT} IN ('none', 'wrong_duration')))::INT), 9) AS agreement FROM ev GROUP BY 1",
+    f"WITH {BASE.replace(f'runs AS ({RUNS})', f'runs AS ({_MUT_RUNS})').replace(f'tools AS ({TOOLS2})', f'tools AS ({_MUT_TOOLS})').replace(f'cands AS ({CANDS})', f'cands AS ({_MUT_CANDS})')} SELECT x AS mutation, count(*) AS n, count(*) FILTER (success) AS n_passed, round(avg((success = (x IN ({_PASSING})))::INT), 9) AS agreement FROM ev GROUP BY 1",
 )
 def e20(get):
-    runs, *rest = parts(get)
-    mutated = T.mutate(runs, "run_id")
-    ev = T.evaluate(mutated, *rest).withColumn("expected_pass", F.col("mutation").isin("none", "wrong_duration"))
+    runs, tools, cands, gold, scenes, cons = parts(get)
+    mutated, tools, cands = T.mutate(runs, tools, cands, scenes, "run_id")
+    ev = T.evaluate(mutated, tools, cands, gold, scenes, cons).withColumn("expected_pass", F.col("mutation").isin(*T.PASSING))
     return T.calibration(ev).withColumn("agreement", F.round("agreement", 9))
 
 
