@@ -20,7 +20,7 @@ METRICS = f"""
 cand AS ({CAND}), qrels AS ({QRELS}), gold AS ({GOLD}),
 hits AS (SELECT c.*, q.scene_id IS NOT NULL AS rel FROM cand c LEFT JOIN (SELECT DISTINCT query_id, video_id, scene_id FROM qrels) q USING (query_id, video_id, scene_id)),
 nrel AS (SELECT query_id, count(*) AS n FROM (SELECT DISTINCT query_id, video_id, scene_id FROM qrels) GROUP BY 1),
-top AS (SELECT query_id, method, coalesce(max(greatest(0, least(h.end_ms, q.end_ms) - greatest(h.start_ms, q.start_ms)) / (greatest(h.end_ms, q.end_ms) - least(h.start_ms, q.start_ms))), 0) AS iou
+top AS (SELECT query_id, method, coalesce(max(greatest(0, least(h.end_ms, q.end_ms) - greatest(h.start_ms, q.start_ms)) / (greatest(h.end_ms, q.end_ms) - least(h.start_ms, q.start_ms))) FILTER (q.start_ms IS NOT NULL), 0) AS iou
   FROM (SELECT * FROM hits WHERE rank = 1) h LEFT JOIN qrels q USING (query_id, video_id) GROUP BY ALL),
 per AS (SELECT query_id, method, min(rank) FILTER (rel) AS first_rank, coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 10), 0) AS gain FROM hits GROUP BY ALL),
 mx AS (SELECT g.query_id, m.method, query_type, hard_category, coalesce(first_rank <= 1, false)::INT::DOUBLE AS hit_1, coalesce(first_rank <= 5, false)::INT::DOUBLE AS hit_5, coalesce(first_rank <= 10, false)::INT::DOUBLE AS hit_10,
@@ -46,7 +46,7 @@ TRUE = "SELECT user_id, event_type AS video_id, event_id * 10 + 100 AS start_ms,
 
 @query(
     "a2_best_temporal_match",
-    f"""SELECT p.event_id, round(coalesce(max(greatest(0, least(p.end_ms, g.end_ms) - greatest(p.start_ms, g.start_ms)) / (greatest(p.end_ms, g.end_ms) - least(p.start_ms, g.start_ms))), 0), 9) AS iou
+    f"""SELECT p.event_id, round(coalesce(max(greatest(0, least(p.end_ms, g.end_ms) - greatest(p.start_ms, g.start_ms)) / (greatest(p.end_ms, g.end_ms) - least(p.start_ms, g.start_ms))) FILTER (g.start_ms IS NOT NULL), 0), 9) AS iou
     FROM ({PRED}) p LEFT JOIN ({TRUE}) g USING (user_id, video_id) GROUP BY 1""",
 )
 def a2(get):

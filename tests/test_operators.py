@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import _code, tokens, word_distance
-from quillspan.operators import event_log, governance, intervals, retrieval, training_data
+from quillspan.operators import event_log, governance, intervals, ranking_metrics, retrieval, training_data
 from quillspan.sources import records
 
 
@@ -83,6 +83,12 @@ def test_asr_table(spark):
     assert (got["b"]["wer"], got["b"]["kind"]) == (1.0, "deletion")
 
 
+def test_a_prediction_without_gold_in_its_video_scores_nothing(spark):
+    p = spark.createDataFrame([(1, "v", 0, 10), (2, "w", 0, 10)], "k int, video_id string, start_ms int, end_ms int")
+    g = spark.createDataFrame([("v", 0, 5), ("v", 0, 8)], "video_id string, start_ms int, end_ms int")
+    assert rows(ranking_metrics.best_match(p, g, ["video_id"]), "k", "iou") == [(1, 0.8), (2, 0.0)]
+
+
 def test_rounding_of_ticks(spark):
     df = spark.createDataFrame([(3, 0, 1, 2000), (-3, 0, 1, 2000), (1, 0, 1, 3), (10**15, 1, 1001, 90000)], "p long, o long, n long, d long")
     ms = lambda r: intervals.ticks_to_ms(F.col("p"), F.col("o"), F.col("n"), F.col("d"), r)
