@@ -94,6 +94,21 @@ def visual_summary(metrics: DataFrame, attempted: DataFrame) -> DataFrame:
     return m.join(attempted.agg(F.count(F.lit(1)).alias("n_attempted"))).withColumn("validity", F.when(F.col("n_attempted") > 0, F.col("n") / F.col("n_attempted")).otherwise(0.0))
 
 
+def claim_counts(claims: DataFrame) -> DataFrame:
+    """clip_id, kind, n of (clip_id, kind)."""
+    return claims.groupBy("clip_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def clip_costs(records: DataFrame, prefix: str) -> DataFrame:
+    """Per clip, over the model calls whose operation begins with ``prefix``: latency, frames and tokens in all, peaks of memory.
+
+    records: clip_id, operation, latency_ms, frames, input_tokens, peak_allocated, peak_reserved; what is unknown counts as 0."""
+    r = records.filter(F.col("operation").startswith(prefix)).fillna(0, ["input_tokens", "peak_allocated", "peak_reserved"])
+    return r.groupBy("clip_id").agg(
+        F.sum("latency_ms").alias("latency_ms"), F.sum("frames").alias("frames"), F.sum("input_tokens").alias("input_tokens"), F.max("peak_allocated").alias("peak_allocated"), F.max("peak_reserved").alias("peak_reserved")
+    )
+
+
 def motion_metrics(gold: DataFrame, expected: DataFrame, claims: DataFrame) -> DataFrame:
     """One row a case: action_correct, temporal_correct, localisation error, unsupported rate, direction and order.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.plans.scratch import materialize
+from quillspan.sources.records import manifest
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "__n") -> DataFrame:
@@ -94,6 +95,23 @@ def prompt_collisions(tasks: DataFrame) -> DataFrame:
     return shared.unionByName(own)
 
 
+# Names that no public record may have.
+PRIVATE_FIELDS = ("split", "source_group_id", "difficulty", "ground_truth", "benchmark_gold", "evaluator_metadata", "failure_injection")
+
+
+def public_leaks(tasks: DataFrame, names: tuple[str, ...] = PRIVATE_FIELDS) -> DataFrame:
+    """Finding, value: private field names in the public record of a task, and task ids of others in its instruction.
+
+    tasks: task_id, instruction, record (JSON text). Ids are met as whole tokens, by an equi join on the token."""
+    keys = F.coalesce(F.json_object_keys("record"), F.array().cast("array<string>"))
+    fields = tasks.filter(F.arrays_overlap(keys, F.array(*[F.lit(n) for n in names]))).select(F.lit("private_field").alias("finding"), F.col("task_id").alias("value"))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("instruction", F.lit(""))), F.lit("[a-z0-9_-]+"), 0))
+    said = tasks.select("task_id", F.explode(tokens).alias("token"))
+    ids = tasks.select(F.lower("task_id").alias("token")).distinct()
+    foreign = said.join(ids, "token").filter(F.col("token") != F.lower("task_id")).select(F.lit("foreign_id").alias("finding"), F.col("task_id").alias("value")).distinct()
+    return fields.unionByName(foreign)
+
+
 def leakage_report(findings: dict[str, DataFrame]) -> DataFrame:
     """One row a check with its number of findings; ``passed`` is over all checks."""
     out = None
@@ -119,6 +137,28 @@ def health(cases: DataFrame) -> DataFrame:
     return out.select(level.alias("level"), F.coalesce("split", "family", "difficulty").alias("value"), "n", "mean_tools", "mean_constraints", "share_hard", "share_impossible", "share_recovery")
 
 
+def trivial_policies(cases: DataFrame) -> DataFrame:
+    """Baseline, success: what always refusing, returning the source, always taking the first scene (an upper bound) and the evaluator's own
+    answers would reach.
+
+    cases: family, expected_terminal, first_start_ms (of the first acceptable range, null without one), constraint_types array."""
+    special = F.arrays_overlap("constraint_types", F.array(*[F.lit(x) for x in ("resolution", "subtitle", "scene_order", "speed")]))
+    first = (F.col("expected_terminal") == "SUCCESS") & F.coalesce(F.col("first_start_ms") == 0, F.lit(False)) & ~special
+    one = cases.agg(F.avg((F.col("family") == "impossible").cast("double")).alias("always_refuse"), F.lit(0.0).alias("unchanged_source"), F.avg(first.cast("double")).alias("first_scene"), F.lit(1.0).alias("oracle"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("baseline"), F.col(c).alias("success")) for c in one.columns])).alias("x")).select("x.*")
+
+
+def split_manifest(cases: DataFrame, public: list[str], private: list[str], group: str, split: str) -> DataFrame:
+    """Per split: tasks, groups, digests of the public and of the private columns; and whether the splits add up to all tasks and groups
+    (a group in two splits is counted twice and breaks the sum)."""
+    one = manifest(cases, public, group, [split]).withColumnRenamed("digest", "public_digest")
+    two = manifest(cases, private, group, [split]).select(split, F.col("digest").alias("private_digest"))
+    total = cases.agg(F.count(F.lit(1)).alias("__rows"), F.count_distinct(F.col(group)).alias("__groups"))  # one row
+    sums = one.agg(F.sum("n_rows").alias("__r"), F.sum("n_groups").alias("__g"))  # one row
+    j = one.join(two, split).join(F.broadcast(total)).join(F.broadcast(sums))
+    return j.withColumn("adds_up", (F.col("__r") == F.col("__rows")) & (F.col("__g") == F.col("__groups"))).drop("__rows", "__groups", "__r", "__g")
+
+
 def difficulty(n_tools: Column, n_scenes: Column, n_constraints: Column, hard: Column, recovery: Column) -> Column:
     """Grade of the sum of counts, +2 for hard negatives, +3 for recovery: up to 3 L1, 6 L2, 9 L3, else L4."""
     s = n_tools + n_scenes + n_constraints + F.when(hard, 2).otherwise(0) + F.when(recovery, 3).otherwise(0)
@@ -158,11 +198,37 @@ def rating_errors(ratings: DataFrame, cases: DataFrame, domains: dict[str, list[
     rows = ratings.select("rater_id", "case_id", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(n)) for n, bad in checks.items()]))).alias("rule"))
     n = ratings.groupBy("rater_id", "case_id").agg(F.count(F.lit(1)).alias("n"))
     twice = n.filter("n > 1").select("rater_id", "case_id", F.lit("duplicate").alias("rule"))
-    every = ratings.select("rater_id").distinct().join(F.broadcast(cases.select("case_id").distinct()))
-    missing = every.join(n, ["rater_id", "case_id"], "left_anti").select("rater_id", "case_id", F.lit("missing").alias("rule"))
+    # only raters who rated fewer of the cases than there are meet the list of cases
+    known = cases.select("case_id").distinct()
+    rated = n.join(known, "case_id").groupBy("rater_id").agg(F.count(F.lit(1)).alias("rated"))
+    total = known.agg(F.count(F.lit(1)).alias("total"))
+    short = ratings.select("rater_id").distinct().join(rated, "rater_id", "left").join(F.broadcast(total)).filter("coalesce(rated, 0) < total").select("rater_id")
+    missing = short.crossJoin(known).join(n, ["rater_id", "case_id"], "left_anti").select("rater_id", "case_id", F.lit("missing").alias("rule"))
     return rows.unionByName(twice).unionByName(missing)
 
 
+# Parts of names that no person has.
+MODEL_NAMES = ("gpt", "claude", "llm", "qwen", "gemini", "codex", "model", "bot")
+
+
+def submission_errors(ratings: DataFrame, columns: list[str], markers: tuple[str, ...] = MODEL_NAMES) -> DataFrame:
+    """File, rule: more than one rater in a file; a rater whose name is too short or a model's; a rater of two files; two files with the
+    same rows. ratings: file, rater_id, and ``columns``, which make a row."""
+    name = F.lower(F.trim("rater_id"))
+    machine = F.coalesce(F.length(name), F.lit(0)) < 2
+    for m in markers:
+        machine = machine | F.coalesce(name.contains(m), F.lit(False))
+    per = manifest(ratings.withColumn("__g", name), columns, "__g", ["file"]).select("file", "n_groups", "digest")
+    several = per.filter("n_groups > 1").select("file", F.lit("several_raters").alias("rule"))
+    unfit = ratings.filter(machine).select("file", F.lit("no_person").alias("rule")).distinct()
+    owners = ratings.select("file", name.alias("rater")).distinct()
+    twice = owners.groupBy("rater").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rater")
+    same_rater = owners.join(twice, "rater").select("file", F.lit("same_rater").alias("rule")).distinct()
+    copies = per.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    same_file = per.join(copies, "digest").select("file", F.lit("same_file").alias("rule"))
+    return several.unionByName(unfit).unionByName(same_rater).unionByName(same_file)
+
+
 def agreement(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Field, n, agreement, kappa of (field, a, b). Where expected agreement is 1 kappa is 1 if all agree, else null."""
     total = pairs.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))

@@ -119,10 +119,8 @@ def resolve_aliases(claims: DataFrame, available: DataFrame) -> tuple[DataFrame,
     return every.filter("evidence_id IS NOT NULL").select("claim_id", "alias", "evidence_id"), errors
 
 
-def ticks_to_ms(pts: Column, origin: Column, num: Column, den: Column, rounding: str = "nearest") -> Column:
-    """(pts - origin) * num * 1000 / den in whole milliseconds; nearest rounds halves away from zero."""
-    wide = (pts - origin).cast("decimal(20,0)") * num.cast("decimal(9,0)") * F.lit(1000).cast("decimal(4,0)")
-    n, d = wide.cast("decimal(38,0)"), den.cast("decimal(18,0)")
+def _divide(n: Column, d: Column, rounding: str) -> Column:
+    """Whole quotient of decimals, ``d`` above 0; nearest rounds halves away from zero."""
     rest = F.pmod(n, d)  # in [0, den)
     low = ((n - rest) / d).cast("decimal(38,0)")
     if rounding == "floor":
@@ -135,6 +133,18 @@ def ticks_to_ms(pts: Column, origin: Column, num: Column, den: Column, rounding:
     return out.cast("long")
 
 
+def ticks_to_ms(pts: Column, origin: Column, num: Column, den: Column, rounding: str = "nearest") -> Column:
+    """(pts - origin) * num * 1000 / den in whole milliseconds; nearest rounds halves away from zero."""
+    wide = (pts - origin).cast("decimal(20,0)") * num.cast("decimal(9,0)") * F.lit(1000).cast("decimal(4,0)")
+    return _divide(wide.cast("decimal(38,0)"), den.cast("decimal(18,0)"), rounding)
+
+
+def ms_to_ticks(ms: Column, origin: Column, num: Column, den: Column, rounding: str = "nearest") -> Column:
+    """Origin + ms * den / (num * 1000), the inverse mapping."""
+    wide = ms.cast("decimal(20,0)") * den.cast("decimal(9,0)")
+    return origin.cast("long") + _divide(wide.cast("decimal(38,0)"), (num * 1000).cast("decimal(18,0)"), rounding)
+
+
 def clip_range(start: Column, end: Column, duration: Column) -> Column:
     """struct(start, end) inside [0, duration), null if nothing is left."""
     s, e = F.greatest(F.lit(0), start), F.least(duration, end)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import character_error_rate, word_error_rate, words
+from quillspan.functions.text import casefold, character_error_rate, word_error_rate, words
 
 
 def digest(*columns: Column | str) -> Column:
@@ -14,12 +14,19 @@ def digest(*columns: Column | str) -> Column:
 
 
 def sft_records(steps: DataFrame, runs: DataFrame) -> DataFrame:
-    """record_id, trajectory_id, pos, operation, prompt, target, evidence_ids of the steps of runs that ended as expected.
+    """record_id, trajectory_id, pos, operation, prompt, target, target_source, evidence_ids of the steps of runs that ended as expected.
 
-    steps: trajectory_id, pos, operation, prompt, target, verification_ids; plans are not targets; the last three ids stay."""
+    steps: trajectory_id, pos, operation, decision, prompt, target, verification_ids; plans are not targets; the last three ids stay, each once."""
     ok = runs.filter(F.col("terminal").eqNullSafe(F.col("expected"))).select("trajectory_id")
     s = steps.filter("operation <> 'plan' AND target IS NOT NULL").join(ok, "trajectory_id", "left_semi")
     ids = F.coalesce("verification_ids", F.array().cast("array<string>"))
+    source = (
+        F.when(F.col("operation") == "recover", "observable_recovery")
+        .when(F.col("decision") == "finish", "valid_finish")
+        .when(F.col("decision") == "cannot_complete", "correct_cannot_complete")
+        .when(F.col("decision") == "tool", "executed_oracle")
+        .otherwise("verified_repair")
+    )
     return s.select(
         F.sha2(F.concat_ws("|", "trajectory_id", "pos", "prompt", "target"), 256).alias("record_id"),
         "trajectory_id",
@@ -27,23 +34,55 @@ def sft_records(steps: DataFrame, runs: DataFrame) -> DataFrame:
         "operation",
         "prompt",
         "target",
-        F.slice(ids, F.greatest(F.lit(1), F.size(ids) - 2), 3).alias("evidence_ids"),
+        source.alias("target_source"),
+        F.array_distinct(F.slice(ids, F.greatest(F.lit(1), F.size(ids) - 2), 3)).alias("evidence_ids"),
     )
 
 
+def repeated_ids(records: DataFrame, key: str) -> DataFrame:
+    """Key, n of the ids that stand on more than one row."""
+    return records.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+# What no prompt may hold, and what tells an observation from a decision.
+PRIVATE_MARKERS = ("benchmarkgold", "benchmark_gold", '"split"', "source_group_id", "ground_truth", "evaluator_metadata", '"uri"', '"sha256"', "file://")
+OBSERVATION_MARKER = '"event_type":"tool_observation"'
+
+
+def _holds(text: Column, markers: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for m in markers:
+        out = out | F.coalesce(F.lower(text).contains(m), F.lit(False))
+    return out
+
+
 def target_errors(records: DataFrame, tools: DataFrame) -> DataFrame:
-    """record_id, rule: tool not in the manifest, an observation as target, an empty target."""
-    j = records.join(F.broadcast(tools.select("tool").distinct().withColumn("known", F.lit(True))), "tool", "left")  # the manifest is a list of tool names
+    """record_id, rule: a tool that is not in the manifest; an observation or nothing as target; message roles other than user, then
+    assistant; an assistant message that is not the target's text; private names in the prompt.
+
+    records: record_id, tool, operation, prompt, target (canonical text), roles array, content (of the assistant message)."""
+    j = records.join(tools.select("tool").distinct().withColumn("known", F.lit(True)), "tool", "left")
+    target = F.coalesce("target", F.lit(""))
     rules = F.array_compact(
         F.array(
             F.when(F.col("tool").isNotNull() & F.col("known").isNull(), F.lit("unknown_tool")),
-            F.when(F.col("operation") == "observation", F.lit("observation_target")),
-            F.when(F.trim(F.coalesce("target", F.lit(""))) == "", F.lit("empty_target")),
+            F.when((F.col("operation") == "observation") | _holds(target, (OBSERVATION_MARKER,)), F.lit("observation_target")),
+            F.when(F.trim(target) == "", F.lit("empty_target")),
+            F.when(~F.col("roles").eqNullSafe(F.array(F.lit("user"), F.lit("assistant"))), F.lit("message_roles")),
+            F.when(~F.col("content").eqNullSafe(F.col("target")), F.lit("not_canonical")),
+            F.when(_holds(F.col("prompt"), PRIVATE_MARKERS), F.lit("private_prompt")),
         )
     )
     return j.select("record_id", F.explode(rules).alias("rule"))
 
 
+def sft_leaks(records: DataFrame, markers: tuple[str, ...] = PRIVATE_MARKERS) -> DataFrame:
+    """record_id, marker of the prompts and targets that hold a private marker."""
+    text = F.lower(F.concat_ws("\x1f", "prompt", "target"))
+    found = F.array_compact(F.array(*[F.when(text.contains(m), F.lit(m)) for m in markers]))
+    return records.select("record_id", F.explode(found).alias("marker"))
+
+
 def sft_audit(records: DataFrame, by: list[str]) -> DataFrame:
     """Level, value, n, n_distinct, length min / median / p95 (linear) / max, over all and by each column."""
     long = records.select(
@@ -77,7 +116,8 @@ def preference_pairs(records: DataFrame) -> DataFrame:
 
 
 def preference_audit(pairs: DataFrame) -> DataFrame:
-    """T5: reason ('all' for all), n, duplicates, share of shorter chosen texts, mean length gap."""
+    """T5: reason ('all' for all), n, duplicates, share of shorter chosen texts, mean length gap, and the least, median, 95 % (linear) and
+    greatest length of chosen and of rejected texts."""
     h = F.sha2(F.concat_ws("\x1f", "prompt", "chosen", "rejected"), 256)
     p = pairs.select("reason", h.alias("h"), F.length("chosen").alias("c"), F.length("rejected").alias("r"))
     return p.groupingSets([[], [F.col("reason")]], "reason").agg(
@@ -85,6 +125,11 @@ def preference_audit(pairs: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) - F.count_distinct("h")).alias("duplicates"),
         F.avg((F.col("c") < F.col("r")).cast("double")).alias("chosen_shorter"),
         F.avg(F.col("c") - F.col("r")).alias("mean_gap"),
+        *[
+            f.alias(f"{name}_{label}")
+            for name, c in (("chosen", "c"), ("rejected", "r"))
+            for label, f in (("min", F.min(c)), ("median", F.median(c)), ("p95", F.percentile(c, 0.95)), ("max", F.max(c)))
+        ],
     ).withColumn("reason", F.coalesce("reason", F.lit("all")))
 
 
@@ -96,13 +141,57 @@ def reward_tables(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return inputs, pairs.select(ids, F.when(odd, "b").otherwise("a").alias("chosen_side"), "reason")
 
 
+def reward_check(inputs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Check, value, n: inputs without a label, labels without an input, ids on several rows (all should be 0), and the
+    labels by reason."""
+    i, lab = inputs.select("input_id").withColumn("i", F.lit(1)), labels.select("input_id").withColumn("l", F.lit(1))
+    apart = i.join(lab, "input_id", "full_outer").agg(F.count_if(F.col("l").isNull()).alias("without_label"), F.count_if(F.col("i").isNull()).alias("without_input"))
+    apart = apart.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("n")) for c in ("without_label", "without_input")])).alias("x")).select("x.*")
+    twice = lambda df, name: repeated_ids(df, "input_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+    one = apart.unionByName(twice(inputs, "repeated_input")).unionByName(twice(labels, "repeated_label")).select("check", F.lit("").alias("value"), "n")
+    classes = labels.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit("class").alias("check"), F.col("reason").alias("value"), "n")
+    return one.unionByName(classes)
+
+
+TERMINAL_KINDS = ("finish", "cannot_complete")
+
+
+def decision_kind(text: Column) -> Column:
+    """The ``decision`` of a candidate's JSON text; candidates without one are tool calls."""
+    return F.coalesce(F.get_json_object(text, "$.decision"), F.lit("tool"))
+
+
 def shortcut_audit(inputs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Heuristic, accuracy: how well length alone tells the chosen side (ties count as side a)."""
-    j = inputs.join(labels, "input_id")
+    """Heuristic, accuracy, n_right, n: how well length alone tells the chosen side (ties count as side a), and, over the pairs where exactly one
+    side is terminal, or a tool call, how often the other, or that, is the chosen one."""
+    j = inputs.join(labels, "input_id").withColumns({"ka": decision_kind(F.col("a")), "kb": decision_kind(F.col("b"))})
     la, lb, side = F.length("a"), F.length("b"), F.col("chosen_side")
-    guesses = {"shorter": F.when(lb < la, "b").otherwise("a"), "longer": F.when(lb > la, "b").otherwise("a"), "always_a": F.lit("a")}
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("heuristic"), (g == side).cast("double").alias("hit")) for n, g in guesses.items()])).alias("x")
-    return j.select(rows).groupBy("x.heuristic").agg(F.avg("x.hit").alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    ta, tb = F.col("ka").isin(*TERMINAL_KINDS), F.col("kb").isin(*TERMINAL_KINDS)
+    tool_a, tool_b = F.col("ka") == "tool", F.col("kb") == "tool"
+    guesses = {
+        "shorter": F.when(lb < la, "b").otherwise("a"),
+        "longer": F.when(lb > la, "b").otherwise("a"),
+        "always_a": F.lit("a"),
+        "nonterminal": F.when(~ta & tb, "a").when(ta & ~tb, "b"),
+        "tool": F.when(tool_a & ~tool_b, "a").when(~tool_a & tool_b, "b"),
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("heuristic"), (g == side).cast("int").alias("hit")) for n, g in guesses.items()])).alias("x")
+    return j.select(rows).groupBy("x.heuristic").agg(F.avg("x.hit").alias("accuracy"), F.coalesce(F.sum("x.hit"), F.lit(0)).alias("n_right"), F.count("x.hit").alias("n"))
+
+
+def type_pairs(inputs: DataFrame) -> DataFrame:
+    """Kind of a, kind of b, n."""
+    return inputs.groupBy(decision_kind(F.col("a")).alias("kind_a"), decision_kind(F.col("b")).alias("kind_b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit_failure_head(rows: DataFrame, iterations: int = 50, l2: float = 1e-3):
+    """Failure head: multinomial logistic regression of the class ``label`` (0, 1, ..) on ``features`` (array), both candidates of a pair
+    one row each. Returns the fitted model: ``coefficientMatrix`` and ``interceptVector`` are its weights."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    data = rows.select(array_to_vector(F.col("features").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
+    return LogisticRegression(family="multinomial", maxIter=iterations, regParam=l2).fit(data)
 
 
 def fit_pairwise(pairs: DataFrame, dims: int, iterations: int = 50, l2: float = 1e-3):
@@ -176,11 +265,42 @@ def select_candidates(scores: DataFrame) -> DataFrame:
     return g.select("case_id", F.explode(F.array(*[F.struct(F.lit(c).alias("method"), F.col(c).alias("choice")) for c in ("rule", "model", "hybrid")])).alias("x")).select("case_id", "x.*")
 
 
-def compact_context(runs: DataFrame, observations: int = 2, scenes: int = 5) -> DataFrame:
-    """P10: the last observations, the first scenes and the active plan nodes of a context, as JSON text."""
-    obs = F.slice("observations", F.greatest(F.lit(1), F.size("observations") - observations + 1), observations)
+def public_rule_score(candidates: DataFrame) -> DataFrame:
+    """Candidates with rule: -4 for an invalid decision, -2 for one that calls no tool, -1 for another tool than the search, else 2 + the
+    share of the instruction's terms (four letters or more) that the query holds.
+
+    candidates: valid, kind, tool, query, instruction; terms are separated by white space and folded."""
+    split = lambda c: F.array_distinct(F.array_remove(F.split(casefold(F.coalesce(c, F.lit(""))), "\\s+"), ""))
+    wanted = F.filter(split("instruction"), lambda t: F.length(t) >= 4)
+    share = F.size(F.array_intersect(wanted, split("query"))) / F.greatest(F.size(wanted), F.lit(1))
+    score = F.when(~F.coalesce("valid", F.lit(False)), -4.0).when(F.col("kind") != "tool", -2.0).when(F.col("tool") != "search_video", -1.0).otherwise(2.0 + share)
+    return candidates.withColumn("rule", score)
+
+
+def selection_report(choices: DataFrame, acceptable: DataFrame, policy: DataFrame) -> DataFrame:
+    """Method, n, accuracy, and against the policy's own choice: corrected, no_effect, harmed.
+
+    choices: case_id, method, choice; acceptable: case_id, choice; policy: case_id, choice."""
+    good = acceptable.select("case_id", "choice").distinct().withColumn("good", F.lit(True))
+    right = F.coalesce("good", F.lit(False))
+    base = policy.join(good, ["case_id", "choice"], "left").select("case_id", right.alias("base"))
+    every = choices.unionByName(policy.select("case_id", F.lit("policy").alias("method"), "choice"))
+    j = every.join(good, ["case_id", "choice"], "left").select("case_id", "method", right.alias("right")).join(base, "case_id")
+    return j.groupBy("method").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.col("right").cast("double")).alias("accuracy"),
+        F.count_if(F.col("right") & ~F.col("base")).alias("corrected"),
+        F.count_if(F.col("right") == F.col("base")).alias("no_effect"),
+        F.count_if(~F.col("right") & F.col("base")).alias("harmed"),
+    )
+
+
+def compact_context(runs: DataFrame, last: int = 2, scenes: int = 5) -> DataFrame:
+    """P10: the last observations and verifications, the first scenes and the active plan nodes of a context, as JSON text."""
+    tail = lambda c: F.slice(c, F.greatest(F.lit(1), F.size(c) - last + 1), last)
     active = F.filter("plan", lambda n: n["status"].isin("ready", "running"))
-    return runs.select("run_id", F.to_json(F.struct(obs.alias("observations"), F.slice("scenes", 1, scenes).alias("scenes"), active.alias("plan")), {"ignoreNullFields": "false"}).alias("context"))
+    parts = F.struct(tail("observations").alias("observations"), tail("verifications").alias("verifications"), F.slice("scenes", 1, scenes).alias("scenes"), active.alias("plan"))
+    return runs.select("run_id", F.to_json(parts, {"ignoreNullFields": "false"}).alias("context"))
 
 
 def json_object(raw: Column) -> Column:
@@ -234,17 +354,49 @@ def score_rollouts(rollouts: DataFrame, kinds: list[str], terminal: tuple[str, .
     return r.withColumns({k: F.when(first, p).otherwise(0.0) for k, p in parts.items()} | {"total": F.round(F.when(first, total).otherwise(repeat), 9)}).drop("v", "e", "a", "b")
 
 
-def rollout_summary(rollouts: DataFrame, k: int = 4) -> DataFrame:
-    """Groups, complete groups, groups of one snapshot, mean population variance of the reward in a group, mean reward.
+COMPONENTS = ("structured", "kind_reward", "operation", "arguments", "progress", "malformed", "invalid", "premature", "unsafe_penalty", "total")
 
-    rollouts: group, snapshot, total."""
-    g = rollouts.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("snapshot").alias("s"), F.var_pop("total").alias("v"), F.sum("total").alias("t"))
+
+def rollout_summary(rollouts: DataFrame, k: int = 4) -> DataFrame:
+    """Rollouts, groups, complete groups; of the complete ones, those of one snapshot, those whose rewards differ, and the mean population
+    variance (0 without any); over all rollouts, validity, exact matches, mean length and the mean of each reward component.
+
+    rollouts: group, snapshot, valid, exact, length, and COMPONENTS."""
+    means = [F.sum(c).alias(f"s_{c}") for c in COMPONENTS]
+    g = rollouts.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("snapshot").alias("s"), F.var_pop("total").alias("v"), F.min("total").alias("lo"), F.max("total").alias("hi"),
+        F.count_if("valid").alias("valid"), F.count_if("exact").alias("exact"), F.sum("length").alias("len"), *means,
+    )
+    full = F.col("n") == k
     return g.agg(
+        F.sum("n").alias("rollouts"),
         F.count(F.lit(1)).alias("groups"),
-        F.count_if(F.col("n") == k).alias("complete"),
-        F.count_if(F.col("s") == 1).alias("one_snapshot"),
-        F.avg("v").alias("mean_variance"),
-        (F.sum("t") / F.sum("n")).alias("mean_reward"),
+        F.count_if(full).alias("complete"),
+        F.count_if(full & (F.col("s") == 1)).alias("one_snapshot"),
+        F.count_if(full & (F.col("hi") > F.col("lo"))).alias("varied"),
+        F.coalesce(F.avg(F.when(full, F.col("v"))), F.lit(0.0)).alias("mean_variance"),
+        (F.sum("valid") / F.sum("n")).alias("validity"),
+        (F.sum("exact") / F.sum("n")).alias("exact"),
+        (F.sum("len") / F.sum("n")).alias("mean_length"),
+        *[(F.sum(f"s_{c}") / F.sum("n")).alias(f"mean_{c}") for c in COMPONENTS],
+    )
+
+
+def hacking_summary(rollouts: DataFrame) -> DataFrame:
+    """One row: rollouts, correlation of length and reward (0 for a constant), exact duplicates, empty and invalid outputs, partial rewards of
+    invalid ones, and terminal actions that are neither right nor punished. rollouts: raw, total, valid, exact, kind, premature."""
+    raw = F.coalesce(F.col("raw"), F.lit(""))
+    r = rollouts.withColumns({"h": F.sha2(raw, 256), "len": F.length(raw).cast("double"), "blank": F.trim(raw) == ""})
+    flat = (F.coalesce(F.var_pop("len"), F.lit(0.0)) == 0) | (F.coalesce(F.var_pop("total"), F.lit(0.0)) == 0)
+    escape = (F.col("premature") == 0) & F.coalesce(F.col("kind").isin(*TERMINAL_KINDS), F.lit(False)) & ~F.col("exact")
+    return r.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.when(flat, 0.0).otherwise(F.covar_pop("len", "total") / (F.stddev_pop("len") * F.stddev_pop("total"))).alias("length_correlation"),
+        (F.count(F.lit(1)) - F.count_distinct("h")).alias("duplicates"),
+        F.count_if("blank").alias("empty"),
+        F.count_if(~F.col("valid")).alias("invalid"),
+        F.count_if((F.col("total") > -1.25) & ~F.col("valid")).alias("partial_reward_invalid"),
+        F.count_if(escape).alias("terminal_escapes"),
     )
 
 
@@ -273,6 +425,31 @@ def training_log(log: DataFrame) -> DataFrame:
     )
 
 
+def policy_detail(scores: DataFrame, base: str) -> DataFrame:
+    """Per policy: cases, accuracies of kind, operation and arguments, invalid rate, premature and repeated actions, exact success, mean
+    reward, p50 and p95 of the latency (nearest rank), and success and reward less those of the policy ``base``.
+
+    scores: policy, valid, exact, kind_reward, operation, arguments, premature, repeated, total, latency_ms."""
+    share = lambda c: F.avg(c.cast("double"))
+    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY latency_ms)")
+    out = scores.groupBy("policy").agg(
+        F.count(F.lit(1)).alias("cases"),
+        share(F.col("kind_reward") > 0).alias("kind_accuracy"),
+        share(F.col("operation") > 0).alias("operation_accuracy"),
+        share(F.col("arguments") == 0.5).alias("argument_accuracy"),
+        share(~F.col("valid")).alias("invalid_rate"),
+        F.count_if(F.col("premature") < 0).alias("premature"),
+        F.count_if("repeated").alias("repeated"),
+        share(F.col("exact")).alias("success"),
+        F.avg("total").alias("mean_reward"),
+        disc(0.5).alias("latency_p50"),
+        disc(0.95).alias("latency_p95"),
+    )
+    one = out.filter(F.col("policy") == base).select(F.col("success").alias("s"), F.col("mean_reward").alias("r"))  # one row
+    j = out.join(F.broadcast(one), how="left")
+    return j.withColumns({"success_delta": F.col("success") - F.col("s"), "reward_delta": F.col("mean_reward") - F.col("r")}).drop("s", "r")
+
+
 def error_rates(pairs: DataFrame) -> DataFrame:
     """Word and character error rates of (reference, hypothesis)."""
     return pairs.withColumns({"wer": word_error_rate(F.col("reference"), F.col("hypothesis")), "cer": character_error_rate(F.col("reference"), F.col("hypothesis"))})

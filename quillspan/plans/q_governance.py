@@ -100,6 +100,18 @@ def g3(get):
     return G.prompt_collisions(get(TASKS)).groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
 
 
+RECORDED = f"""SELECT task_id, concat('see ', task_id, CASE WHEN lang = 'en' THEN ' and 3 or 17' ELSE ' alone' END) AS instruction, concat('{{{{"task_id":1,', CASE WHEN split = 'dev' THEN '"difficulty":2' ELSE '"title":"x"' END, '}}}}') AS record FROM (SELECT CAST(doc_id AS STRING) AS task_id, lang, {HASH_SPLIT} AS split FROM {{documents}}) AS d"""
+
+
+@query(
+    "g3_public_leaks",
+    f"""WITH t AS ({RECORDED.replace("STRING", "VARCHAR")}) SELECT 'private_field' AS finding, task_id AS value FROM t WHERE contains(record, '"difficulty"')
+    UNION ALL SELECT DISTINCT 'foreign_id', t.task_id FROM t JOIN t AS o ON o.task_id IN ('3', '17') AND contains(t.instruction, ' and 3 or 17') AND o.task_id <> t.task_id""",
+)
+def g3_public(get):
+    return G.public_leaks(get(RECORDED))
+
+
 @query(
     "g4_leakage_report",
     f"""WITH r AS (SELECT 'cross_split' AS "check", count(*) AS n_findings FROM (SELECT 1 FROM ({VALUES}) WHERE value IS NOT NULL GROUP BY kind, value HAVING count(DISTINCT split) > 1)
@@ -130,6 +142,17 @@ def g5(get):
     return G.health(graded(get)).select("level", "value", "n", *[R9(c) for c in ("mean_tools", "mean_constraints", "share_hard", "share_impossible", "share_recovery")])
 
 
+TRIVIAL = "SELECT CASE WHEN doc_id % 9 = 0 THEN 'impossible' ELSE lang END AS family, CASE WHEN doc_id % 9 = 0 THEN 'CANNOT_COMPLETE' ELSE 'SUCCESS' END AS expected_terminal, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 3 * 1000 END AS first_start_ms, CASE WHEN doc_id % 4 = 0 THEN 'speed' ELSE 'duration' END AS one FROM {documents}"
+
+
+@query(
+    "g5_trivial_policies",
+    f"WITH t AS ({TRIVIAL}) SELECT 'always_refuse' AS baseline, round(avg((family = 'impossible')::INT), 9) AS success FROM t UNION ALL SELECT 'unchanged_source', 0 UNION ALL SELECT 'first_scene', round(avg((expected_terminal = 'SUCCESS' AND coalesce(first_start_ms = 0, false) AND one <> 'speed')::INT), 9) FROM t UNION ALL SELECT 'oracle', 1",
+)
+def g5_trivial(get):
+    return G.trivial_policies(get(TRIVIAL).withColumn("constraint_types", F.array("one"))).select("baseline", R9("success"))
+
+
 @query("g6_difficulty", f"SELECT doc_id, grade AS difficulty FROM ({GRADED})")
 def g6(get):
     return graded(get).select("doc_id", "difficulty")
@@ -151,9 +174,18 @@ def s5(get):
     return S.manifest(get(DOCS), ["doc_id", "text"], "source")
 
 
-@query("g8_split_manifest", f"SELECT split, {_MANIFEST} FROM ({_DIGEST}) GROUP BY split")
+_PAIRED = "concat_ws('|', CAST(count(*) AS VARCHAR), CAST(sum(('0x' || left({0}, 15))::HUGEINT) AS VARCHAR), min({0}), max({0}))"
+_GROUP = "doc_id % 10"
+
+
+@query(
+    "g8_split_manifest",
+    f"""WITH d AS (SELECT *, sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), lang)) AS e, {_GROUP} AS g FROM ({_DIGEST})), m AS (SELECT split, count(*) AS n_rows, count(DISTINCT g) AS n_groups, sha256({_PAIRED.format("d")}) AS public_digest, sha256({_PAIRED.format("e")}) AS private_digest FROM d GROUP BY split)
+    SELECT *, (SELECT sum(n_rows) FROM m) = (SELECT count(*) FROM d) AND (SELECT sum(n_groups) FROM m) = (SELECT count(DISTINCT g) FROM d) AS adds_up FROM m""",
+)
 def g8(get):
-    return S.manifest(get(f"SELECT doc_id, source, text, {HASH_SPLIT} AS split FROM {{documents}}"), ["doc_id", "text"], "source", ["split"])
+    d = get(f"SELECT doc_id, lang, text, {_GROUP} AS grp, {HASH_SPLIT} AS split FROM {{documents}}")
+    return G.split_manifest(d, ["doc_id", "text"], ["doc_id", "lang"], "grp", "split")
 
 
 MEDIA = "SELECT user_id AS source_id, CASE WHEN user_id % 40 = 3 THEN ' ' ELSE 'cc' END AS license, event_id % 3000 AS clip_id, event_id % 17 - 1 AS start_ms, event_id % 19 AS end_ms FROM {events} WHERE event_id % 3 = 0"
@@ -197,6 +229,20 @@ def g10(get):
     return G.rating_errors(get(RATINGS), get(ALL_CASES), {"task_success": ["view", "click", "error"], "confidence": ["yes", "no"]}, "v1")
 
 
+FILES = "SELECT user_id % 12 AS file, CASE WHEN user_id % 12 = 3 THEN concat('rater ', CAST(event_id % 2 AS STRING)) WHEN user_id % 12 = 4 THEN 'Some GPT' WHEN user_id % 12 IN (5, 6) THEN concat(CASE WHEN user_id % 12 = 5 THEN 'Ann' ELSE ' ann' END, ' Lee') WHEN user_id % 12 = 7 THEN 'x' ELSE concat('rater of ', CAST(user_id % 12 AS STRING)) END AS rater_id, CASE WHEN user_id % 12 IN (8, 9) THEN 'same' ELSE CAST(event_id AS STRING) END AS answer FROM {events}"
+
+
+@query(
+    "g10_submissions",
+    f"""WITH f AS ({FILES.replace("STRING", "VARCHAR")}), c AS (SELECT file, string_agg(answer, ',' ORDER BY answer) AS body FROM f GROUP BY 1)
+    SELECT file, 'several_raters' AS rule FROM f GROUP BY file HAVING count(DISTINCT lower(trim(rater_id))) > 1 UNION ALL SELECT DISTINCT file, 'no_person' FROM f WHERE length(trim(rater_id)) < 2 OR contains(lower(rater_id), 'gpt')
+    UNION ALL SELECT DISTINCT a.file, 'same_rater' FROM f a JOIN (SELECT DISTINCT file, lower(trim(rater_id)) AS r FROM f) b ON b.r = lower(trim(a.rater_id)) AND b.file <> a.file
+    UNION ALL SELECT file, 'same_file' FROM c WHERE body IN (SELECT body FROM c GROUP BY body HAVING count(*) > 1)""",
+)
+def g10_files(get):
+    return G.submission_errors(get(FILES), ["answer"])
+
+
 PAIR = "SELECT 'quality' AS field, doc_id AS case_id, CAST(quality AS STRING) AS a, CAST(CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS STRING) AS b FROM {labels} UNION ALL SELECT 'toxic' AS field, doc_id AS case_id, CAST(toxic AS STRING) AS a, CAST(CASE WHEN doc_id % 11 = 0 THEN 1 - toxic ELSE toxic END AS STRING) AS b FROM {labels} UNION ALL SELECT 'same' AS field, doc_id AS case_id, 'x' AS a, 'x' AS b FROM {labels}"
 
 

@@ -159,6 +159,17 @@ def p4(get):
     return t.select("event_id", "floor_ms", "ceil_ms", "nearest_ms", c["start_ms"].alias("clip_start"), c["end_ms"].alias("clip_end"))
 
 
+@query(
+    "p4_inverse",
+    f"""WITH t AS (SELECT *, (event_id % 100000 - 50000) * den AS n, num * 1000 AS d FROM ({TICKS})), q AS (SELECT *, CAST(floor(n / CAST(d AS DOUBLE)) AS BIGINT) AS lo FROM t), z AS (SELECT *, n - lo * d AS rest FROM q)
+    SELECT event_id, origin + lo AS floor_ticks, origin + lo + (rest > 0)::INT AS ceil_ticks, origin + lo + (2 * rest > d OR (2 * rest = d AND n > 0))::INT AS nearest_ticks FROM z""",
+)
+def p4_inverse(get):
+    t = get(TICKS)
+    back = lambda r: I.ms_to_ticks(F.col("event_id") % 100000 - 50000, F.col("origin"), F.col("num"), F.col("den"), r)
+    return t.select("event_id", *[back(r).alias(f"{r}_ticks") for r in ("floor", "ceil", "nearest")])
+
+
 CHUNKS = """SELECT user_id AS video_id, event_id AS pos, CASE WHEN event_id % 7 = 0 THEN '  ' ELSE concat(' ', event_type) END AS text, CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 500 AS DECIMAL(18,6)) / 8 END AS start_s,
   CASE WHEN event_id % 13 <> 0 THEN CAST(event_id % 700 AS DECIMAL(18,6)) / 8 END AS end_s, event_id % 3 * 1000 AS offset_ms, 50000 AS duration_ms FROM {events}"""
 

@@ -8,7 +8,7 @@ from quillspan.operators import training_data as T
 from quillspan.plans.registry import query
 
 R9 = lambda c: F.round(c, 9).alias(c)
-STEPS = """SELECT trajectory_id, pos, operation, prompt, target FROM (SELECT conv_id AS trajectory_id, turn AS pos, CASE WHEN turn % 5 = 4 THEN 'plan' WHEN turn % 2 = 0 THEN 'decide' ELSE 'recover' END AS operation, role, text AS prompt,
+STEPS = """SELECT trajectory_id, pos, operation, decision, prompt, target FROM (SELECT conv_id AS trajectory_id, turn AS pos, CASE WHEN turn % 5 = 4 THEN 'plan' WHEN turn % 2 = 0 THEN 'decide' ELSE 'recover' END AS operation, CASE WHEN conv_id % 4 = 1 THEN 'tool' WHEN conv_id % 4 = 2 THEN 'finish' WHEN conv_id % 4 = 3 THEN 'cannot_complete' ELSE 'replan' END AS decision, role, text AS prompt,
   lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS target, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM {conversations}) AS s WHERE role = 'user' AND next_role = 'assistant'"""
 RUNS = "SELECT DISTINCT conv_id AS trajectory_id, CASE WHEN conv_id % 4 = 0 THEN 'BUDGET' ELSE 'SUCCESS' END AS terminal, 'SUCCESS' AS expected FROM {conversations}"
 RECORDS = f"SELECT s.* FROM ({STEPS}) AS s JOIN ({RUNS}) AS r ON s.trajectory_id = r.trajectory_id WHERE r.terminal = r.expected AND s.operation <> 'plan' AND s.target IS NOT NULL"
@@ -16,24 +16,37 @@ RID = "sha256(concat_ws('|', trajectory_id, pos, prompt, target))"
 
 
 def records(get):
-    steps = get(STEPS).withColumn("verification_ids", F.transform(F.sequence(F.lit(0), F.col("pos").cast("int")), lambda i: F.concat(F.lit("v"), i)))
+    steps = get(STEPS).withColumn("verification_ids", F.transform(F.sequence(F.lit(0), F.col("pos").cast("int")), lambda i: F.concat(F.lit("v"), F.floor(i / 2))))
     return T.sft_records(steps, get(RUNS))
 
 
-@query("t1_sft_records", f"SELECT {RID} AS record_id, trajectory_id, pos, operation, sha256(target) AS target_sha, (SELECT string_agg('v' || CAST(i AS VARCHAR), ',' ORDER BY i) FROM range(0, 1000) t(i) WHERE i <= pos AND i > pos - 3) AS evidence FROM ({RECORDS})")
+_SOURCE = "CASE WHEN operation = 'recover' THEN 'observable_recovery' WHEN decision = 'finish' THEN 'valid_finish' WHEN decision = 'cannot_complete' THEN 'correct_cannot_complete' WHEN decision = 'tool' THEN 'executed_oracle' ELSE 'verified_repair' END"
+
+
+@query("t1_sft_records", f"SELECT {RID} AS record_id, trajectory_id, pos, operation, sha256(target) AS target_sha, {_SOURCE} AS target_source, (SELECT string_agg('v' || CAST(i AS VARCHAR), ',' ORDER BY i) FROM (SELECT DISTINCT j // 2 AS i FROM range(0, 1000) t(j) WHERE j <= pos AND j > pos - 3)) AS evidence FROM ({RECORDS})")
 def t1(get):
-    return records(get).select("record_id", "trajectory_id", "pos", "operation", F.sha2("target", 256).alias("target_sha"), F.array_join("evidence_ids", ",").alias("evidence"))
+    return records(get).select("record_id", "trajectory_id", "pos", "operation", F.sha2("target", 256).alias("target_sha"), "target_source", F.array_join("evidence_ids", ",").alias("evidence"))
+
 
+@query("t1_repeated_ids", f"SELECT id AS record_id, count(*) AS n FROM (SELECT {RID.replace('pos, prompt', "'0', prompt")} AS id FROM ({RECORDS})) GROUP BY 1 HAVING count(*) > 1")
+def t1_ids(get):
+    """Ids that leave the position out: turns that repeat in a trajectory collide."""
+    r = records(get).withColumn("record_id", F.sha2(F.concat_ws("|", "trajectory_id", F.lit("0"), "prompt", "target"), 256))
+    return T.repeated_ids(r, "record_id")
 
-TARGETS = "SELECT event_id AS record_id, event_type AS tool, CASE WHEN event_id % 7 = 0 THEN 'observation' ELSE 'decide' END AS operation, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE props END AS target FROM {events}"
+
+TARGETS = """SELECT event_id AS record_id, event_type AS tool, CASE WHEN event_id % 7 = 0 THEN 'observation' ELSE 'decide' END AS operation, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE props END AS target, CASE WHEN event_id % 13 = 0 THEN 'x' WHEN event_id % 11 = 0 THEN ' ' ELSE props END AS content,
+  CASE WHEN event_id % 17 = 0 THEN 'open FILE:///tmp' ELSE 'go on' END AS prompt, CASE WHEN event_id % 19 = 0 THEN 'system' ELSE 'user' END AS first_role, CASE WHEN event_id % 23 = 0 THEN NULL ELSE 'assistant' END AS second_role FROM {events}"""
 
 
 @query(
     "t2_target_validity",
-    f"WITH t AS ({TARGETS}) SELECT record_id, 'unknown_tool' AS rule FROM t WHERE tool NOT IN ('view', 'click') UNION ALL SELECT record_id, 'observation_target' FROM t WHERE operation = 'observation' UNION ALL SELECT record_id, 'empty_target' FROM t WHERE trim(target) = ''",
+    f"""WITH t AS ({TARGETS}) SELECT record_id, 'unknown_tool' AS rule FROM t WHERE tool NOT IN ('view', 'click') UNION ALL SELECT record_id, 'observation_target' FROM t WHERE operation = 'observation' UNION ALL SELECT record_id, 'empty_target' FROM t WHERE trim(target) = ''
+    UNION ALL SELECT record_id, 'message_roles' FROM t WHERE first_role <> 'user' OR second_role IS NULL UNION ALL SELECT record_id, 'not_canonical' FROM t WHERE content <> target UNION ALL SELECT record_id, 'private_prompt' FROM t WHERE contains(lower(prompt), 'file://')""",
 )
 def t2(get):
-    return T.target_errors(get(TARGETS), get("SELECT DISTINCT event_type AS tool FROM {events} WHERE event_type IN ('view', 'click')"))
+    t = get(TARGETS).withColumn("roles", F.array("first_role", "second_role"))
+    return T.target_errors(t, get("SELECT DISTINCT event_type AS tool FROM {events} WHERE event_type IN ('view', 'click')"))
 
 
 _AUDIT = "count(*) AS n, count(DISTINCT prompt || chr(31) || target) AS n_distinct, min(length(target)) AS len_min, median(length(target)) AS len_median, round(quantile_cont(length(target), 0.95), 9) AS len_p95, max(length(target)) AS len_max"
@@ -44,6 +57,11 @@ def t3(get):
     return T.sft_audit(records(get), ["operation"]).withColumn("len_p95", F.round("len_p95", 9))
 
 
+@query("t3_sft_leaks", f"SELECT {RID} AS record_id, m AS marker FROM ({RECORDS}), (SELECT unnest(['tion', 'about', 'ß']) AS m) WHERE contains(lower(prompt || chr(31) || target), m)")
+def t3_leaks(get):
+    return T.sft_leaks(records(get), ("tion", "about", "ß"))
+
+
 PAIRED = """SELECT event_id AS record_id, CASE WHEN event_id % 3 = 0 THEN 'tool' WHEN event_id % 3 = 1 THEN 'recover' ELSE 'finish' END AS decision, concat('p', CAST(user_id AS STRING)) AS prompt, CASE WHEN event_id % 20 = 2 THEN '{{"decision":"finish"}}' ELSE props END AS target FROM {events}"""
 PREF = f"""
 b AS ({PAIRED}), o AS (SELECT *, unnest(CASE decision WHEN 'tool' THEN ['unneeded_refusal', 'altered_arguments', 'repeated_call'] WHEN 'recover' THEN ['bad_recovery', 'unneeded_refusal'] ELSE ['premature_finish', 'unneeded_refusal'] END) AS reason FROM b),
@@ -61,12 +79,12 @@ def t4(get):
     return pairs(get).select("pair_id", "record_id", "reason", F.sha2("chosen", 256).alias("chosen"), F.sha2("rejected", 256).alias("rejected"), "snapshot_sha256")
 
 
-_PA = "count(*) AS n, count(*) - count(DISTINCT prompt || chr(31) || chosen || chr(31) || rejected) AS duplicates, round(avg((length(chosen) < length(rejected))::INT), 9) AS chosen_shorter, round(avg(length(chosen) - length(rejected)), 9) AS mean_gap"
+_PA = "count(*) AS n, count(*) - count(DISTINCT prompt || chr(31) || chosen || chr(31) || rejected) AS duplicates, round(avg((length(chosen) < length(rejected))::INT), 9) AS chosen_shorter, round(avg(length(chosen) - length(rejected)), 9) AS mean_gap, min(length(chosen)) AS chosen_min, median(length(chosen)) AS chosen_median, round(quantile_cont(length(chosen), 0.95), 9) AS chosen_p95, max(length(chosen)) AS chosen_max, min(length(rejected)) AS rejected_min, median(length(rejected)) AS rejected_median, round(quantile_cont(length(rejected), 0.95), 9) AS rejected_p95, max(length(rejected)) AS rejected_max"
 
 
 @query("t5_preference_audit", f"WITH {PREF} SELECT 'all' AS reason, {_PA} FROM pref UNION ALL SELECT reason, {_PA} FROM pref GROUP BY reason")
 def t5(get):
-    return T.preference_audit(pairs(get)).select("reason", "n", "duplicates", R9("chosen_shorter"), R9("mean_gap"))
+    return T.preference_audit(pairs(get)).withColumns({c: F.round(c, 9) for c in ("chosen_shorter", "mean_gap", "chosen_p95", "rejected_p95")})
 
 
 SIDES = f"""{PREF}, s AS (SELECT *, ('0x' || right(sha256(pair_id), 1))::INT % 2 = 1 AS odd, sha256('input|' || pair_id) AS input_id FROM pref),
@@ -80,12 +98,40 @@ def t6(get):
 
 
 @query(
-    "t7_shortcut_audit",
-    f"""WITH {SIDES} SELECT 'shorter' AS heuristic, round(avg((CASE WHEN length(b) < length(a) THEN 'b' ELSE 'a' END = side)::INT), 9) AS accuracy, count(*) AS n FROM rm
-    UNION ALL SELECT 'longer', round(avg((CASE WHEN length(b) > length(a) THEN 'b' ELSE 'a' END = side)::INT), 9), count(*) FROM rm UNION ALL SELECT 'always_a', round(avg((side = 'a')::INT), 9), count(*) FROM rm""",
+    "t6_reward_check",
+    f"""WITH {SIDES}, i AS (SELECT input_id FROM rm), l AS (SELECT input_id, reason FROM rm WHERE reason <> 'bad_recovery' UNION ALL SELECT input_id, reason FROM rm WHERE reason = 'premature_finish')
+    SELECT 'without_label' AS "check", '' AS value, count(*) AS n FROM i WHERE input_id NOT IN (SELECT input_id FROM l) UNION ALL SELECT 'without_input', '', 0 UNION ALL SELECT 'repeated_input', '', count(*) FROM (SELECT 1 FROM i GROUP BY input_id HAVING count(*) > 1)
+    UNION ALL SELECT 'repeated_label', '', count(*) FROM (SELECT 1 FROM l GROUP BY input_id HAVING count(*) > 1) UNION ALL SELECT 'class', reason, count(*) FROM l GROUP BY reason""",
 )
+def t6_check(get):
+    """Labels of which one class is left out and another stands twice."""
+    i, lab = T.reward_tables(pairs(get))
+    return T.reward_check(i, lab.filter("reason <> 'bad_recovery'").unionByName(lab.filter("reason = 'premature_finish'")))
+
+
+_KINDS = f"""{SIDES}, ty AS (SELECT *, coalesce(CASE WHEN json_valid(a) THEN json_extract_string(a, '$.decision') END, 'tool') AS ka, coalesce(CASE WHEN json_valid(b) THEN json_extract_string(b, '$.decision') END, 'tool') AS kb FROM rm),
+gu AS (SELECT side, ka, kb, CASE WHEN length(b) < length(a) THEN 'b' ELSE 'a' END AS shorter, CASE WHEN length(b) > length(a) THEN 'b' ELSE 'a' END AS longer, 'a' AS always_a, CASE WHEN ka NOT IN ('finish', 'cannot_complete') AND kb IN ('finish', 'cannot_complete') THEN 'a' WHEN ka IN ('finish', 'cannot_complete') AND kb NOT IN ('finish', 'cannot_complete') THEN 'b' END AS nonterminal,
+  CASE WHEN ka = 'tool' AND kb <> 'tool' THEN 'a' WHEN ka <> 'tool' AND kb = 'tool' THEN 'b' END AS tool FROM ty)"""
+_GUESSES = " UNION ALL ".join(f"SELECT '{h}' AS heuristic, round(avg(({h} = side)::INT), 9) AS accuracy, coalesce(sum(({h} = side)::INT), 0)::BIGINT AS n_right, count({h}) AS n FROM gu" for h in ("shorter", "longer", "always_a", "nonterminal", "tool"))
+
+
+@query("t7_shortcut_audit", f"WITH {_KINDS} {_GUESSES}")
 def t7(get):
-    return T.shortcut_audit(*T.reward_tables(pairs(get))).select("heuristic", R9("accuracy"), "n")
+    return T.shortcut_audit(*T.reward_tables(pairs(get))).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("t7_type_pairs", f"WITH {_KINDS} SELECT ka AS kind_a, kb AS kind_b, count(*) AS n FROM ty GROUP BY ALL")
+def t7_types(get):
+    return T.type_pairs(T.reward_tables(pairs(get))[0])
+
+
+@query("t8_failure_head")
+def t8_failure(get):
+    """Rows only: the fitted class weights on all embeddings; a separable case is tested."""
+    e = get("SELECT embedding AS features, label FROM {embeddings}")
+    m = T.fit_failure_head(e, 20)
+    rows = [(k, d, float(x)) for k, line in enumerate(m.coefficientMatrix.toArray()) for d, x in enumerate(line)]
+    return e.sparkSession.createDataFrame(rows, "class int, dimension int, weight double")
 
 
 @query("t8_pairwise_head")
@@ -148,6 +194,32 @@ def t11(get):
     return T.select_candidates(get(CHOICES).withColumn("rule", F.col("rule").cast("double")))
 
 
+_CHOSEN = f"""s AS (SELECT case_id, position, rule::DOUBLE AS rule, model, round(rule::DOUBLE + 0.25 * (model - avg(model) OVER w) / greatest(stddev_pop(model) OVER w, 1e-8), 9) AS hybrid FROM ({CHOICES}) WINDOW w AS (PARTITION BY case_id)),
+u AS (SELECT case_id, position, unnest(['rule', 'model', 'hybrid']) AS method, unnest([rule, model, hybrid]) AS v FROM s),
+ch AS (SELECT case_id, method, position AS choice FROM u QUALIFY row_number() OVER (PARTITION BY case_id, method ORDER BY v DESC, position) = 1),
+pol AS (SELECT user_id AS case_id, min(event_id) AS choice FROM events GROUP BY 1)"""
+
+
+@query(
+    "t11_selection_report",
+    f"""WITH {_CHOSEN}, e AS (SELECT * FROM ch UNION ALL SELECT case_id, 'policy', choice FROM pol), j AS (SELECT e.*, e.choice % 3 = 0 AS ok, pol.choice % 3 = 0 AS base FROM e JOIN pol USING (case_id))
+    SELECT method, count(*) AS n, round(avg(ok::INT), 9) AS accuracy, count(*) FILTER (ok AND NOT base) AS corrected, count(*) FILTER (ok = base) AS no_effect, count(*) FILTER (NOT ok AND base) AS harmed FROM j GROUP BY 1""",
+)
+def t11_report(get):
+    chosen = T.select_candidates(get(CHOICES).withColumn("rule", F.col("rule").cast("double")))
+    events = get("SELECT user_id AS case_id, event_id AS choice, event_id % 3 = 0 AS good FROM {events}")
+    policy = events.groupBy("case_id").agg(F.min("choice").alias("choice"))
+    return T.selection_report(chosen, events.filter("good").drop("good"), policy).withColumn("accuracy", F.round("accuracy", 9))
+
+
+RULED = "SELECT event_id, event_id % 9 <> 0 AS valid, CASE WHEN event_id % 4 = 0 THEN 'finish' ELSE 'tool' END AS kind, CASE WHEN event_id % 5 = 0 THEN 'trim_video' ELSE 'search_video' END AS tool, concat('FIND ', event_type, ' now') AS query, concat('find  every ', event_type, ' item by me') AS instruction FROM {events}"
+
+
+@query("t11_rule_scores", f"SELECT event_id, round(CASE WHEN NOT valid THEN -4 WHEN kind <> 'tool' THEN -2 WHEN tool <> 'search_video' THEN -1 ELSE 2 + CASE WHEN length(split_part(query, ' ', 2)) >= 4 THEN 2 / 4 ELSE 1 / 3 END END, 9) AS rule FROM ({RULED})")
+def t11_rules(get):
+    return T.public_rule_score(get(RULED)).select("event_id", R9("rule"))
+
+
 ROLL = """SELECT event_id AS rollout_id, user_id AS sample_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n,
   CASE WHEN event_id % 6 = 0 THEN 'not json' WHEN event_id % 6 = 1 THEN '{{"decision_type":"finish"}}' WHEN event_id % 6 = 2 THEN 'text {{"arguments":{{"x":"1"}},"decision_type":"tool","name":"trim"}} end' WHEN event_id % 6 = 3 THEN '{{"arguments":{{"x":"1","y":"2"}},"decision_type":"tool","name":"trim"}}'
     WHEN event_id % 6 = 4 THEN '{{"decision_type":"odd","name":"trim"}}' ELSE '{{"arguments":{{"x":"file://"}},"decision_type":"tool","name":"cut"}}' END AS raw,
@@ -165,14 +237,31 @@ def t13(get):
     return scored(get).select("rollout_id", "sample_id", "n", "total", "valid")
 
 
+_COMPONENTS = {
+    "structured": "CASE WHEN k IN (0, 4) THEN 0 ELSE 0.25 END",
+    "kind_reward": "CASE WHEN k IN (2, 3, 5) THEN 0.4 ELSE 0 END",
+    "operation": "CASE WHEN k IN (2, 3, 4) THEN 0.6 ELSE 0 END",
+    "arguments": "CASE k WHEN 2 THEN 0.25 WHEN 3 THEN 0.5 ELSE 0 END",
+    "progress": "CASE k WHEN 2 THEN 0.25 WHEN 3 THEN 1.25 ELSE 0 END",
+    "malformed": "CASE WHEN k IN (0, 4) THEN -1 ELSE 0 END",
+    "invalid": "CASE WHEN k IN (0, 4) THEN -0.25 ELSE 0 END",
+    "premature": "CASE WHEN k = 1 THEN -0.75 ELSE 0 END",
+    "unsafe_penalty": "CASE WHEN k = 5 THEN -2 ELSE 0 END",
+}
+_RAWLEN = "CASE k " + " ".join(f"WHEN {k} THEN {n}" for k, n in enumerate((8, 26, 69, 68, 37, 65))) + " END"
+_PARTS = f"""p AS (SELECT rollout_id, sample_id, n, total, valid, rollout_id % 6 AS k FROM ({TOTALS})), c AS (SELECT *, {", ".join(f"CASE WHEN n = 0 THEN ({x}) ELSE 0 END AS {c}" for c, x in _COMPONENTS.items())}, k = 3 AS exact, {_RAWLEN} AS len FROM p)"""
+
+
 @query(
     "t14_rollout_summary",
-    f"""WITH g AS (SELECT sample_id, n // 4 AS grp, count(*) AS c, count(DISTINCT rollout_id % 2) AS s, var_pop(total) AS v, sum(total) AS t FROM ({TOTALS}) GROUP BY ALL)
-    SELECT count(*) AS groups, count(*) FILTER (c = 4) AS complete, count(*) FILTER (s = 1) AS one_snapshot, round(avg(v), 8) AS mean_variance, round(sum(t) / sum(c), 8) AS mean_reward FROM g""",
+    f"""WITH {_PARTS}, g AS (SELECT sample_id, n // 4 AS grp, count(*) AS m, count(DISTINCT rollout_id % 2) AS s, var_pop(total) AS v, min(total) AS lo, max(total) AS hi FROM c GROUP BY ALL),
+    a AS (SELECT count(*) AS rollouts, round(avg(valid::INT), 8) AS validity, round(avg(exact::INT), 8) AS exact, round(avg(len), 8) AS mean_length, {", ".join(f"round(avg({x}), 8) AS mean_{x}" for x in (*_COMPONENTS, "total"))} FROM c)
+    SELECT a.*, b.* FROM a, (SELECT count(*) AS groups, count(*) FILTER (m = 4) AS complete, count(*) FILTER (m = 4 AND s = 1) AS one_snapshot, count(*) FILTER (m = 4 AND hi > lo) AS varied, round(coalesce(avg(v) FILTER (m = 4), 0), 8) AS mean_variance FROM g) b""",
 )
 def t14(get):
-    r = scored(get).select(F.concat_ws("-", "sample_id", F.floor(F.col("n") / 4)).alias("group"), (F.col("rollout_id") % 2).alias("snapshot"), "total")
-    return T.rollout_summary(r).withColumns({c: F.round(c, 8) for c in ("mean_variance", "mean_reward")})
+    r = scored(get).withColumns({"group": F.concat_ws("-", "sample_id", F.floor(F.col("n") / 4)), "snapshot": F.col("rollout_id") % 2, "length": F.length("raw")})
+    out = T.rollout_summary(r)
+    return out.withColumns({c: F.round(c, 8) for c, t in out.dtypes if t == "double"})
 
 
 @query(
@@ -184,6 +273,28 @@ def t15(get):
     return T.hacking_findings(scored(get), {"invalid_discriminator": ['"decision_type":"odd"']})
 
 
+@query(
+    "t15_hacking_summary",
+    f"""WITH {_PARTS} SELECT count(*) AS n, round(coalesce(corr(len, total), 0), 8) AS length_correlation, count(*) - count(DISTINCT k) AS duplicates, 0 AS empty, count(*) FILTER (NOT valid) AS invalid, count(*) FILTER (NOT valid AND total > -1.25) AS partial_reward_invalid, count(*) FILTER (k = 1 AND premature = 0) AS terminal_escapes FROM c""",
+)
+def t15_summary(get):
+    return T.hacking_summary(scored(get)).withColumn("length_correlation", F.round("length_correlation", 8))
+
+
+_PD = ", ".join(["count(*) AS cases", "round(avg((kind_reward > 0)::INT), 8) AS kind_accuracy", "round(avg((operation > 0)::INT), 8) AS operation_accuracy", "round(avg((arguments = 0.5)::INT), 8) AS argument_accuracy", "round(avg((NOT valid)::INT), 8) AS invalid_rate", "count(*) FILTER (premature < 0) AS premature", "count(*) FILTER (n > 0) AS repeated", "round(avg(exact::INT), 8) AS success", "round(avg(total), 8) AS mean_reward", "quantile_disc(rollout_id % 997, 0.5) AS latency_p50", "quantile_disc(rollout_id % 997, 0.95) AS latency_p95"])
+
+
+@query(
+    "t16_policy_detail",
+    f"""WITH {_PARTS}, d AS (SELECT CASE WHEN rollout_id % 4 < 2 THEN 'base' ELSE 'tuned' END AS policy, * FROM c), o AS (SELECT policy, {_PD}, avg(exact::INT) AS s, avg(total) AS r FROM d GROUP BY 1)
+    SELECT o.* EXCLUDE (s, r), round(o.s - b.s, 8) AS success_delta, round(o.r - b.r, 8) AS reward_delta FROM o, (SELECT s, r FROM o WHERE policy = 'base') b""",
+)
+def t16_detail(get):
+    r = scored(get).withColumns({"policy": F.when(F.col("rollout_id") % 4 < 2, "base").otherwise("tuned"), "repeated": F.col("n") > 0, "latency_ms": F.col("rollout_id") % 997})
+    out = T.policy_detail(r, "base")
+    return out.withColumns({c: F.round(c, 8) for c, t in out.dtypes if t == "double"})
+
+
 LOGS = "SELECT event_type AS policy, event_id AS step, value AS loss, user_id AS kl FROM {events}"
 
 
@@ -215,11 +326,11 @@ CONTEXT = "SELECT user_id AS run_id, event_id, event_type FROM {events}"
 
 @query(
     "p10_compact_context",
-    f"""WITH c AS ({CONTEXT}), r AS (SELECT run_id, list(event_id ORDER BY event_id) AS ids, list(event_id ORDER BY event_id) FILTER (event_type = 'view') AS ready FROM c GROUP BY 1)
-    SELECT run_id, '{{{{"observations":[' || array_to_string(list_transform(ids[-2:], lambda x: CAST(x AS VARCHAR)), ',') || '],"scenes":[' || array_to_string(list_transform(ids[:5], lambda x: CAST(x AS VARCHAR)), ',') || '],"plan":[' || coalesce(array_to_string(list_transform(ready, lambda x: '{{{{"id":' || CAST(x AS VARCHAR) || ',"status":"ready"}}}}'), ','), '') || ']}}}}' AS context FROM r""",
+    f"""WITH c AS ({CONTEXT}), r AS (SELECT run_id, list(event_id ORDER BY event_id) AS ids, list(event_id ORDER BY event_id) FILTER (event_type = 'view') AS ready, list(event_id ORDER BY event_id) FILTER (event_type <> 'view') AS done FROM c GROUP BY 1)
+    SELECT run_id, '{{{{"observations":[' || array_to_string(list_transform(ids[-2:], lambda x: CAST(x AS VARCHAR)), ',') || '],"verifications":[' || coalesce(array_to_string(list_transform(done[-2:], lambda x: CAST(x AS VARCHAR)), ','), '') || '],"scenes":[' || array_to_string(list_transform(ids[:5], lambda x: CAST(x AS VARCHAR)), ',') || '],"plan":[' || coalesce(array_to_string(list_transform(ready, lambda x: '{{{{"id":' || CAST(x AS VARCHAR) || ',"status":"ready"}}}}'), ','), '') || ']}}}}' AS context FROM r""",
 )
 def p10(get):
-    c = get(CONTEXT).groupBy("run_id").agg(F.array_sort(F.collect_list("event_id")).alias("observations"), F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "ready").otherwise("done").alias("status")))).alias("plan"))
+    c = get(CONTEXT).groupBy("run_id").agg(F.array_sort(F.collect_list("event_id")).alias("observations"), F.array_sort(F.collect_list(F.when(F.col("event_type") != "view", F.col("event_id")))).alias("verifications"), F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "ready").otherwise("done").alias("status")))).alias("plan"))
     return T.compact_context(c.withColumn("scenes", F.col("observations")))
 
 

@@ -423,6 +423,19 @@ def a12(get):
     return s.withColumns({c: F.round(c, 8) for c, t in s.dtypes if t == "double"})
 
 
+CALLS = "SELECT user_id AS clip_id, CASE WHEN event_id % 4 = 0 THEN 'transcribe' ELSE concat('visual_', event_type) END AS operation, event_id % 700 AS latency_ms, event_id % 9 AS frames, CASE WHEN event_id % 5 <> 0 THEN event_id % 3000 END AS input_tokens, CASE WHEN event_id % 6 <> 0 THEN event_id % 90000 END AS peak_allocated, event_id % 95000 AS peak_reserved FROM {events}"
+
+
+@query("a12_clip_costs", f"SELECT clip_id, sum(latency_ms)::BIGINT AS latency_ms, sum(frames)::BIGINT AS frames, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(max(peak_allocated), 0) AS peak_allocated, max(peak_reserved) AS peak_reserved FROM ({CALLS}) WHERE starts_with(operation, 'visual') GROUP BY 1")
+def a12_costs(get):
+    return C.clip_costs(get(CALLS), "visual")
+
+
+@query("a12_claim_counts", "SELECT user_id AS clip_id, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
+def a12_counts(get):
+    return C.claim_counts(get("SELECT user_id AS clip_id, event_type AS kind FROM {events}"))
+
+
 MGOLD = f"SELECT user_id AS case_id, CASE WHEN user_id % 3 = 0 THEN 'move_left' END AS direction, CASE WHEN user_id % 2 = 0 THEN 'ball' END AS first_actor, CASE WHEN user_id % 2 = 0 THEN 'box' END AS second_actor FROM {_U}"
 MEXP = f"SELECT user_id AS case_id, 0 AS n, 'ball' AS actor, 'move_left' AS action, user_id * 20 AS start_ms, user_id * 20 + 500 AS end_ms FROM {_U} WHERE user_id % 5 <> 0"
 MCLAIM = "SELECT user_id AS case_id, event_id AS claim_id, CASE WHEN event_id % 3 = 0 THEN 'the ball is moving left' WHEN event_id % 3 = 1 THEN 'the box will vanish' ELSE 'Ball_halts' END AS text, CASE WHEN event_id % 4 <> 0 THEN event_id END AS start_ms, CASE WHEN event_id % 4 <> 0 THEN event_id + 450 END AS end_ms FROM {events} WHERE user_id % 50 <> 7"

@@ -47,8 +47,8 @@ def row_digest(*columns: str) -> Column:
 def manifest(rows: DataFrame, columns: list[str], group: str, by: list[str] | None = None) -> DataFrame:
     """Counts, distinct groups, and a digest of the content that does not depend on row order.
 
-    The digest is over the counts of the sixteen row-digest classes and the exact sum of their first 15 hex digits: it is computed by partial
-    aggregation, no row list is gathered anywhere."""
+    The digest is over the count of rows, the exact sum of the first 15 hex digits of their digests, and the least and the greatest of
+    these: it is computed by partial aggregation, no row list is gathered anywhere."""
     d = rows.withColumn("__d", row_digest(*columns))
     number = F.conv(F.substring("__d", 1, 15), 16, 10).cast("decimal(38,0)")
     agg = d.groupBy(*(by or [])).agg(
