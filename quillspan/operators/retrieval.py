@@ -7,6 +7,7 @@ scene up. Scores are rounded to 9 digits before they are compared, so that the o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,14 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.intervals import overlaps
 from quillspan.functions.text import casefold, squeeze, tokens
+from quillspan.plans.scratch import materialize
+
+def small(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``rows`` rows of the batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
 
 K1, B = 1.5, 0.75
 RRF = 60
@@ -51,48 +60,89 @@ def bm25_index(docs: DataFrame, text: str = "text") -> DataFrame:
     return postings.join(df, "term").join(F.broadcast(totals))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
-    """query_id, video_id, scene_id, score > 0 of all documents that share a term with a query.
+class Postings(NamedTuple):
+    """What queries need of a corpus: postings (term, video_id, scene_id, length, tf) of the terms asked for; one row of totals (n_docs,
+    mean_length); asked (query_id, term, qtf)."""
+
+    postings: DataFrame
+    totals: DataFrame
+    asked: DataFrame
+
 
-    Postings are cut to the terms that queries use before anything is counted, so the shuffle holds no other terms."""
+def postings(docs: DataFrame, queries: DataFrame, text: str = "text") -> Postings:
+    """One pass over the texts. Every token is looked up among the terms that queries use where it stands (Spark sends these to the tasks if
+    they are few); those that are not used go at once, but for the first place of a document, which carries its length. What is left is written,
+    so that totals, document frequencies and all channels read a table of hits, not the texts."""
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    used = asked.select(F.col("term").alias("used")).distinct()
     split = docs.select("video_id", "scene_id", tokens(F.col(text)).alias("terms")).withColumn("length", F.size("terms").cast("long"))
-    totals = split.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-    used = asked.select("term").distinct()
-    postings = (
-        split.select("video_id", "scene_id", "length", F.explode("terms").alias("term"))
-        .join(used, "term", "left_semi")
-        .groupBy("term", "video_id", "scene_id", "length")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    placed = split.select("video_id", "scene_id", "length", F.posexplode_outer("terms").alias("pos", "term"))
+    found = placed.join(used, F.col("term") == F.col("used"), "left").filter(F.col("used").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
+    found = materialize(found.select("video_id", "scene_id", "length", (F.coalesce("pos", F.lit(0)) == 0).alias("first"), "used"), "term-hits")
+    totals = found.filter("first").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+    counted = found.filter("used IS NOT NULL").groupBy(F.col("used").alias("term"), "video_id", "scene_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    return Postings(materialize(counted, "postings"), totals, asked)
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, text: str = "text", found: Postings | None = None) -> DataFrame:
+    """query_id, video_id, scene_id, score > 0 of all documents that share a term with a query."""
+    held, totals, asked = found or postings(docs, queries, text)
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(df, "term").join(F.broadcast(totals)).select(
         "query_id", "term", (F.col("qtf") * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"), "mean_length"
     )
     tf = F.col("tf")
     part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.greatest("mean_length", F.lit(1e-9))))
     return (
-        postings.join(weighted, "term")
+        held.join(weighted, "term")
         .groupBy("query_id", "video_id", "scene_id")
         .agg(F.round(F.sum(part), 9).alias("score"))
         .filter("score > 0")
     )
 
 
-def eligible(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, video_id, scene_id) pairs that a query's own filters allow: same video, overlap with its range,
-    and all evidence types that it requires. Filters without a value allow all."""
-    q = queries.select("query_id", F.col("video_id").alias("qv"), F.col("start_ms").alias("qs"), F.col("end_ms").alias("qe"), "required_evidence_types")
+def shared_terms(found: Postings) -> DataFrame:
+    """query_id, video_id, scene_id, score: the number of distinct terms that a document shares with a query."""
+    return found.postings.join(found.asked, "term").groupBy("query_id", "video_id", "scene_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+
+
+def _filters(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.col("video_id").alias("qv"), F.col("start_ms").alias("qs"), F.col("end_ms").alias("qe"), "required_evidence_types")
+
+
+def _permits() -> Column:
     held = F.forall(F.coalesce("required_evidence_types", F.array().cast("array<string>")), lambda t: F.array_contains("evidence_types", t))
-    cond = (
+    return (
         (F.col("qv").isNull() | (F.col("qv") == F.col("video_id")))
         & (F.col("qs").isNull() | overlaps(F.col("start_ms"), F.col("end_ms"), F.col("qs"), F.col("qe")))
         & held
     )
-    # queries that name a video meet its scenes by an equi join; only those that name none need all scenes
+
+
+def allowed(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """P1 inside a search: the (query_id, video_id, scene_id, ..) rows that the filters of the query permit. Two equi joins, whatever the
+    filters; no scene meets a query that did not score it."""
+    d = docs.select("video_id", "scene_id", "start_ms", "end_ms", "evidence_types")
+    return pairs.join(d, ["video_id", "scene_id"]).join(_filters(queries), "query_id").filter(_permits()).select(pairs.columns)
+
+
+def eligible(docs: DataFrame, queries: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """P1 as a table: all (query_id, video_id, scene_id) that a query's own filters permit: same video, overlap with its range,
+    and all evidence types that it requires. Filters without a value permit all.
+
+    Queries that name a video meet its scenes, those with a range only the scenes of its time buckets, by equi joins. A query with neither
+    permits all scenes of the corpus: searches use ``allowed``, which writes no such table."""
+    q, cond = _filters(queries), _permits()
     named = docs.join(q.filter("qv IS NOT NULL"), F.col("video_id") == F.col("qv")).filter(cond)
-    free = docs.join(q.filter("qv IS NULL"), cond)
-    return named.unionByName(free).select("query_id", "video_id", "scene_id")
+    at = lambda c: F.floor(F.col(c) / bucket_ms).cast("long")
+    buckets = lambda lo, hi: F.explode(F.sequence(at(lo), F.greatest(at(lo), F.floor((F.col(hi) - 1) / bucket_ms).cast("long"))))
+    ranged = q.filter("qv IS NULL AND qs IS NOT NULL").withColumn("bucket", buckets("qs", "qe"))
+    placed = docs.filter("start_ms IS NOT NULL AND end_ms IS NOT NULL").withColumn("bucket", buckets("start_ms", "end_ms"))
+    # a pair counts in the first bucket that both reach
+    near = placed.join(ranged, "bucket").filter(cond & (F.col("bucket") == F.greatest(at("start_ms"), at("qs"))))
+    free = docs.join(q.filter("qv IS NULL AND qs IS NULL"), cond)
+    keys = ["query_id", "video_id", "scene_id"]
+    return named.select(keys).unionByName(near.select(keys)).unionByName(free.select(keys))
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -102,72 +152,72 @@ def ranked(scores: DataFrame, k: int | None = None, by: tuple[str, ...] = ("quer
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text") -> DataFrame:
-    """The k best documents of each query."""
-    return ranked(bm25_scores(docs, queries, text), k)
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", filtered: bool = False) -> DataFrame:
+    """The k best documents of each query; with ``filtered``, of those that the query's own filters permit."""
+    scores = bm25_scores(docs, queries, text)
+    return ranked(allowed(scores, docs, queries) if filtered else scores, k)
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
     """Exact search by dot products of unit vectors: query_id, video_id, scene_id, item, score, rank.
 
-    (video_id, scene_id, item, embedding) against (query_id, embedding). Queries go to the tasks in blocks of ``block``
-    vectors (the bound on what is sent); each task multiplies whole Arrow batches and passes on its own k best a query.
+    (video_id, scene_id, item, embedding) against (query_id, embedding). Both sides are packed into blocks of ``block`` vectors, one row each;
+    every pair of blocks is one product in a task, which passes on its k best a query. Nothing goes through the driver.
     """
-    out = None
-    for rows in _blocks(queries, block):
-        part = _dense_block(vectors, rows, k, queries.schema["query_id"].dataType.simpleString(), False)
-        out = part if out is None else out.unionByName(part)
-    return ranked(out, k)
-
-
-def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
-    """The query table in blocks of bounded size, by id; one empty block for an empty table."""
-    rows: list = []
-    some = False
-    for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            yield rows
-            rows, some = [], True
-    if rows or not some:
-        yield rows
+    return ranked(_block_products(vectors, queries, k, block, False), k)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _dense_block(vectors: DataFrame, rows: list, k: int, id_type: str, by_scene: bool) -> DataFrame:
-    """Scores of a block of queries, cut in each Arrow batch to the k best items of a query, or with ``by_scene`` to the best
-    items of its k best scenes. Ties of the k-th best stay, so that the final order settles them."""
-    keys = [r["query_id"] for r in rows]
-    q = _unit(np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1))
+def _packed(rows: DataFrame, keys: list[str], prefix: str, block: int) -> DataFrame:
+    """One row a block of ``block`` rows or fewer: the key columns as arrays, and the unit vectors as bytes."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, block):
+            if batch.num_rows:
+                x = _unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
+                lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c)) for c in keys]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([x.tobytes()], pa.binary())], [*[prefix + c for c in keys], prefix + "x"])
+
+    schema = ", ".join(f"{prefix}{c} array<{kinds[c]}>" for c in keys) + f", {prefix}x binary"
+    return materialize(rows.select(*keys, "embedding").mapInArrow(run, schema), "vector-blocks")
+
+
+def _block_products(vectors: DataFrame, queries: DataFrame, k: int, block: int, by_scene: bool) -> DataFrame:
+    """Scores of all pairs of blocks, cut in each pair to the k best items of a query, or with ``by_scene`` to the best items of its k best
+    scenes. Ties of the k-th best stay, so that the final order settles them."""
+    v = _packed(vectors, ["video_id", "scene_id", "item"], "v_", block)
+    q = _packed(queries, ["query_id"], "q_", block)
 
     def least_of_best(s: np.ndarray) -> np.ndarray:
         at = max(0, s.shape[1] - k)
         return np.partition(s, at, axis=1)[:, at, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not keys:
-                continue
-            x = _unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
-            s = np.round(q @ x.T, 9)
-            if by_scene:
-                scenes: dict = {}
-                code = np.array([scenes.setdefault(v, len(scenes)) for v in zip(batch.column("video_id").to_pylist(), batch.column("scene_id").to_pylist(), strict=True)])
-                order = np.argsort(code, kind="stable")
-                best = np.maximum.reduceat(s[:, order], np.flatnonzero(np.diff(code[order], prepend=-1)), axis=1)
-                i, j = np.nonzero((s == best[:, code]) & (best >= least_of_best(best))[:, code])
-            else:
-                i, j = np.nonzero(s >= least_of_best(s))
-            picked = batch.select(["video_id", "scene_id", "item"]).take(pa.array(j))
-            yield pa.RecordBatch.from_arrays([pa.array([keys[n] for n in i]), *picked.columns, pa.array(s[i, j])], ["query_id", "video_id", "scene_id", "item", "score"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
-    return vectors.select("video_id", "scene_id", "item", "embedding").mapInArrow(
-        run, f"query_id {id_type}, video_id {kinds['video_id']}, scene_id {kinds['scene_id']}, item {kinds['item']}, score double"
-    )
+        for whole in batches:
+            for at in range(whole.num_rows):
+                batch = whole.slice(at, 1)
+                of = {c: batch.column(c).flatten() for c in batch.schema.names if not c.endswith("_x")}
+                x, y = (np.frombuffer(batch.column(c)[0].as_py(), np.float64).reshape(n, -1) for c, n in (("v_x", len(of["v_item"])), ("q_x", len(of["q_query_id"]))))
+                s = np.round(y @ x.T, 9)
+                if by_scene:
+                    scenes: dict = {}
+                    code = np.array([scenes.setdefault(w, len(scenes)) for w in zip(of["v_video_id"].to_pylist(), of["v_scene_id"].to_pylist(), strict=True)])
+                    order = np.argsort(code, kind="stable")
+                    best = np.maximum.reduceat(s[:, order], np.flatnonzero(np.diff(code[order], prepend=-1)), axis=1)
+                    i, j = np.nonzero((s == best[:, code]) & (best >= least_of_best(best))[:, code])
+                else:
+                    i, j = np.nonzero(s >= least_of_best(s))
+                picked = [of[c].take(pa.array(j)) for c in ("v_video_id", "v_scene_id", "v_item")]
+                yield pa.RecordBatch.from_arrays([of["q_query_id"].take(pa.array(i)), *picked, pa.array(s[i, j])], ["query_id", "video_id", "scene_id", "item", "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema} | {f.name: f.dataType.simpleString() for f in queries.schema if f.name == "query_id"}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "video_id", "scene_id", "item")) + ", score double"
+    # a stated set of queries against all rows, block by block
+    return v.crossJoin(q).mapInArrow(run, schema)
 
 
 def best_frames(scores: DataFrame) -> DataFrame:
@@ -177,14 +227,10 @@ def best_frames(scores: DataFrame) -> DataFrame:
     )
 
 
-def visual_search(frames: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+def visual_search(frames: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
     """Every frame is scored, each scene counts by its best frame, the k best scenes stay. A scene among the k best of all is
-    among the k best of the batch that holds its best frame, so batches pass on no more than that."""
-    out = None
-    for rows in _blocks(queries, block):
-        part = _dense_block(frames, rows, k, queries.schema["query_id"].dataType.simpleString(), True)
-        out = part if out is None else out.unionByName(part)
-    return ranked(best_frames(out), k)
+    among the k best of the block that holds its best frame, so blocks pass on no more than that."""
+    return ranked(best_frames(_block_products(frames, queries, k, block, True)), k)
 
 
 def embed_once(references: DataFrame, artifact: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -35,11 +35,9 @@ def searched(get, k=10):
 def channels(get, k=100):
     """Two rankings of each query: BM25, and the number of shared terms."""
     docs, queries = get(DOCS), get(QUERIES_SQL)
-    bm = R.ranked(R.bm25_scores(docs, queries), k).withColumn("channel", F.lit("bm25_combined"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
-    held = docs.select("video_id", "scene_id", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
-    ov = held.join(asked, "term").groupBy("query_id", "video_id", "scene_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return bm.unionByName(R.ranked(ov, k).withColumn("channel", F.lit("dense_text")))
+    found = R.postings(docs, queries)
+    bm = R.ranked(R.bm25_scores(docs, queries, found=found), k).withColumn("channel", F.lit("bm25_combined"))
+    return bm.unionByName(R.ranked(R.shared_terms(found), k).withColumn("channel", F.lit("dense_text")))
 
 
 @query("r2_bm25_index", f"WITH {INDEX} SELECT term, count(*) AS postings, sum(tf) AS occurrences, min(df) AS df, min(n_docs) AS n_docs, round(min(mean_length), 9) AS mean_length, sum(length) AS lengths FROM p JOIN f USING (term), t GROUP BY term")
@@ -276,6 +274,21 @@ def p1(get):
     return R.eligible(docs, queries)
 
 
+TIMED = "SELECT source AS video_id, doc_id AS scene_id, text, doc_id * 10 AS start_ms, doc_id * 10 + 5000 AS end_ms, lang FROM {documents}"
+ASKED_IN = "SELECT item_id AS query_id, text, CASE WHEN item_id % 3 = 1 THEN (SELECT min(source) FROM {documents}) END AS video_id, CASE WHEN item_id % 3 = 2 THEN 1000 END AS start_ms, CASE WHEN item_id % 3 = 2 THEN 4000 END AS end_ms, CASE WHEN item_id % 2 = 0 THEN 'en' END AS need FROM {benchmark}"
+
+
+@query(
+    "p1_filtered_search",
+    f"""WITH {SCORES}, x AS (SELECT bm.* FROM bm JOIN ({TIMED}) t USING (video_id, scene_id) JOIN ({ASKED_IN}) a USING (query_id) WHERE (a.video_id IS NULL OR a.video_id = bm.video_id) AND (a.start_ms IS NULL OR (t.start_ms < a.end_ms AND a.start_ms < t.end_ms)) AND (need IS NULL OR need = lang))
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id, scene_id) AS rank FROM x QUALIFY rank <= 10""",
+)
+def p1_search(get):
+    docs = get(TIMED).withColumn("evidence_types", F.array("lang"))
+    queries = get(ASKED_IN).withColumn("required_evidence_types", F.when(F.col("need").isNotNull(), F.array("need")))
+    return R.bm25_search(docs, queries, 10, filtered=True).select("query_id", "video_id", "scene_id", "score", "rank")
+
+
 PARTS = """SELECT user_id AS video_id, event_id % 10 AS scene_id, event_id AS pos, event_id % 9 = 0 AS inferred, props AS text,
   CASE WHEN event_id % 3 = 0 THEN 'transcript' WHEN event_id % 3 = 1 THEN 'ocr' ELSE 'semantic' END AS kind FROM {events}"""
 _AGG = ", ".join(f"coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (kind = '{k}' AND NOT inferred), '') AS {k}_text" for k in ("transcript", "ocr", "semantic"))

@@ -1,6 +1,6 @@
 """Online guards over an event stream (ST1, ST2).
 
-Both are keyed by run and hold their state in Spark's state store. A watermark on the event time bounds the state: a
+Both hold a few numbers a key in Spark's state store. A watermark on the event time bounds the state: a
 run that stays silent for ``ttl_minutes`` of event time is forgotten, and events later than the watermark are dropped by
 Spark. The policy for late events is ours; the batch forms are ``event_log.nth_repeat`` and ``event_log.audit_log``.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,66 +22,57 @@ GUARD = "run_id string, event_id long, violation string"
 def repeat_alerts(stream: DataFrame, limit: int, ttl_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
     """ST1: an alert for each event whose fingerprint occurred more than ``limit`` times in its run.
 
-    stream: run_id string, event_id long, ts timestamp, fingerprint string. Inside a micro batch events are taken by event_id."""
+    stream: run_id string, event_id long, ts timestamp, fingerprint string. The key is (run, fingerprint) and the state one counter, so that a run
+    with many fingerprints is spread like many runs. Inside a micro batch events are taken by event_id."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        prints, counts = state.get if state.exists else ([], [])
-        seen = dict(zip(prints, counts, strict=True))
-        rows = []
-        for r in pd.concat(list(frames)).sort_values("event_id").itertuples():
-            seen[r.fingerprint] = seen.get(r.fingerprint, 0) + 1
-            if seen[r.fingerprint] > limit:
-                rows.append((key[0], r.event_id, r.fingerprint, seen[r.fingerprint]))
-        state.update((list(seen), list(seen.values())))
+        (seen,) = state.get if state.exists else (0,)
+        ids = np.sort(np.concatenate([f["event_id"].to_numpy() for f in frames]))
+        state.update((seen + len(ids),))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + ttl_minutes * 60_000)
-        if rows:
-            yield pd.DataFrame(rows, columns=["run_id", "event_id", "fingerprint", "occurrence"])
+        occurrence = seen + 1 + np.arange(len(ids))
+        late = occurrence > limit
+        if late.any():
+            yield pd.DataFrame({"run_id": key[0], "event_id": ids[late], "fingerprint": key[1], "occurrence": occurrence[late]})
 
-    return (
-        stream.withWatermark("ts", delay)
-        .groupBy("run_id")
-        .applyInPandasWithState(update, ALERTS, "prints array<string>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    return stream.withWatermark("ts", delay).groupBy("run_id", "fingerprint").applyInPandasWithState(update, ALERTS, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def order_guard(stream: DataFrame, budget: int, ttl_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
     """ST2: duplicate, gap, after_terminal and over_budget events, as they arrive.
 
     stream: run_id string, event_id long, ts timestamp, sequence_no long, kind string, delta long. A sequence number at or below the last one
-    is a duplicate; a gap moves the expectation on, so that one gap is one alert."""
+    is a duplicate; a gap moves the expectation on, so that one gap is one alert. Order is a property of a run, so the run is the key; its state is three
+    values, and a micro batch of it is judged in whole arrays."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last, used, ended = state.get if state.exists else (0, 0, False)
-        rows = []
-        for r in pd.concat(list(frames)).sort_values(["sequence_no", "event_id"]).itertuples():
-            if r.sequence_no <= last:
-                rows.append((key[0], r.event_id, "duplicate"))
-                continue
-            if ended:
-                rows.append((key[0], r.event_id, "after_terminal"))
-            elif r.sequence_no != last + 1:
-                rows.append((key[0], r.event_id, "gap"))
-            last = int(r.sequence_no)
-            used += int(r.delta or 0)
-            if used > budget:
-                rows.append((key[0], r.event_id, "over_budget"))
-            ended = ended or r.kind == "terminal"
-        state.update((last, used, ended))
+        batch = pd.concat(list(frames)).sort_values(["sequence_no", "event_id"])
+        ids, seq = batch["event_id"].to_numpy(), batch["sequence_no"].to_numpy()
+        highest = np.maximum.accumulate(np.concatenate(([last], seq)))
+        fresh = seq > highest[:-1]
+        ends = fresh & (batch["kind"] == "terminal").to_numpy()
+        over_before = np.concatenate(([ended], ended | np.logical_or.accumulate(ends)))[:-1]
+        spent = used + np.cumsum(np.where(fresh, batch["delta"].fillna(0).to_numpy(), 0))
+        found = {
+            "duplicate": ~fresh,
+            "after_terminal": fresh & over_before,
+            "gap": fresh & ~over_before & (seq != highest[:-1] + 1),
+            "over_budget": fresh & (spent > budget),
+        }
+        state.update((int(highest[-1]), int(spent[-1]), bool(ended or ends.any())))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + ttl_minutes * 60_000)
+        rows = [pd.DataFrame({"run_id": key[0], "event_id": ids[hit], "violation": name}) for name, hit in found.items() if hit.any()]
         if rows:
-            yield pd.DataFrame(rows, columns=["run_id", "event_id", "violation"])
+            yield pd.concat(rows)
 
-    return (
-        stream.withWatermark("ts", delay)
-        .groupBy("run_id")
-        .applyInPandasWithState(update, GUARD, "last long, used long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    return stream.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(update, GUARD, "last long, used long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

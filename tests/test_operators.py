@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,34 @@ def test_filters_apply_before_ranking(spark):
     assert rows(retrieval.eligible(docs, q), "query_id", "scene_id") == [(1, 1), (2, 1), (2, 3), (3, 2)]
 
 
+def test_filters_inside_a_search_equal_the_table_of_permitted_pairs(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(rng.choice("ab"), i, (s := rng.randint(0, 300_000)), s + rng.randint(0, 90_000), rng.sample(["ocr", "asr"], rng.randint(0, 2)), "w" + str(i % 7)) for i in range(120)], "video_id string, scene_id int, start_ms int, end_ms int, evidence_types array<string>, text string")
+    qs = [(i, rng.choice(["a", None]), *((s, s + 100_000) if rng.random() < 0.6 else (None, None)), rng.choice([None, ["ocr"], []]), f"w{i % 7} w{(i + 1) % 7}") for i, s in enumerate(rng.choices(range(250_000), k=30))]
+    q = spark.createDataFrame(qs, "query_id int, video_id string, start_ms int, end_ms int, required_evidence_types array<string>, text string")
+    pairs = {tuple(r) for r in retrieval.eligible(docs, q).collect()}
+    want = {(i, d["video_id"], d["scene_id"]) for d in docs.collect() for i, v, s, e, need, _ in qs if (v is None or v == d["video_id"]) and (s is None or (d["start_ms"] < e and s < d["end_ms"])) and set(need or []) <= set(d["evidence_types"])}
+    assert pairs == want
+    found = rows(retrieval.bm25_search(docs, q, 1000, filtered=True), "query_id", "video_id", "scene_id")
+    scored = rows(retrieval.bm25_scores(docs, q), "query_id", "video_id", "scene_id")
+    assert found == [p for p in scored if p in want]
+
+
+def test_dense_blocks_equal_all_products(spark):
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(300, 8)), rng.normal(size=(23, 8))
+    vectors = spark.createDataFrame([("v", int(i) // 3, int(i), [float(x) for x in r]) for i, r in enumerate(v)], "video_id string, scene_id int, item int, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in enumerate(q)], "query_id int, embedding array<double>").repartition(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(unit(q) @ unit(v).T, 9)
+    got = retrieval.dense_search(vectors, queries, 4, block=50).collect()
+    assert sorted((r["query_id"], r["rank"], r["item"]) for r in got) == sorted((i, n + 1, int(j)) for i in range(23) for n, j in enumerate(np.argsort(-s[i], kind="stable")[:4]))
+    scenes = s.reshape(23, 100, 3).max(axis=2)
+    seen = retrieval.visual_search(vectors, queries, 4, block=50).collect()
+    assert sorted((r["query_id"], r["rank"], r["scene_id"]) for r in seen) == sorted((i, n + 1, int(j)) for i in range(23) for n, j in enumerate(np.argsort(-scenes[i], kind="stable")[:4]))
+    assert retrieval.dense_search(vectors.limit(0), queries, 4).count() == 0 and retrieval.dense_search(vectors, queries.limit(0), 4).count() == 0
+
+
 def test_intents(spark):
     q = spark.createDataFrame([(1, 'visible exact text "SALE 42"'), (2, "找到红色方块向右移动的场景"), (3, None)], "query_id int, text string")
     got = {r["query_id"]: r for r in retrieval.analyse(q).collect()}
