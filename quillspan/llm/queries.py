@@ -103,10 +103,29 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents on 4-word shingles. Tested against brute force."""
+    """Near-duplicate components of all documents on 4-word shingles. The SQL pairs documents by shared shingles and follows links."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+ORACLE["op9_lsh_forest"] = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT k, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM w),
+u AS (SELECT k, len(g) AS n, unnest(g) AS x FROM s WHERE doc_id IS NOT NULL),
+i AS (SELECT a.k AS a, b.k AS b, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k),
+e AS (SELECT a, b FROM i WHERE 100 * m >= 80 * (na + nb - m)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(k, o) AS (SELECT k, k FROM s WHERE k IN (SELECT a FROM both_ways) UNION SELECT r.k, t.b FROM r JOIN both_ways t ON t.a = r.o),
+c AS (SELECT r.k, min(s.doc_id) AS component_id FROM r JOIN s ON s.k = r.o GROUP BY r.k)
+SELECT s.doc_id, len(g) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, coalesce(s.doc_id = coalesce(c.component_id, s.doc_id), false) AS kept
+FROM s LEFT JOIN c USING (k)
+"""
+
+
 @_query
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket and batch of every piece of every document. The boundaries are tested against brute force."""
