@@ -13,7 +13,7 @@ codes, where the code depends on the place of the pixel, are read symbol by symb
 from __future__ import annotations
 
 import struct
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -46,6 +46,10 @@ class Bits:
         byte = self.at >> 3
         return (int.from_bytes(self.data[byte : byte + 8], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
+    def span(self, at: int, n: int) -> int:
+        """The ``n`` bits from ``at`` on, as one number."""
+        return (int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         value = self.peek(n)
         self.at += n
@@ -59,7 +63,7 @@ class Code:
 
     def __init__(self, lengths: np.ndarray):
         lengths = np.asarray(lengths)
-        self.symbols = np.flatnonzero(lengths)
+        self.symbols = lengths.nonzero()[0]
         self.single = int(self.symbols[0]) if len(self.symbols) == 1 else None
         used = lengths[self.symbols]
         if self.single is None:
@@ -95,6 +99,11 @@ class Code:
         return entry >> 4
 
 
+@lru_cache(4096)
+def _code_of_lengths(lengths: bytes) -> Code:
+    return Code(np.frombuffer(lengths, np.uint8))
+
+
 def _read_code(bits: Bits, n: int, known: dict[bytes, Code]) -> Code:
     """The next code, over ``n`` symbols. Channels often share their lengths: a code in ``known`` is not built again."""
     lengths = np.zeros(n, np.uint8)
@@ -109,7 +118,7 @@ def _read_code(bits: Bits, n: int, known: dict[bytes, Code]) -> Code:
     each = bits.read(3 * several)
     for i in range(several):
         of_lengths[CODE_LENGTH_ORDER[i]] = each >> (3 * i) & 7
-    code = Code(of_lengths)
+    code = _code_of_lengths(of_lengths.tobytes())
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else n
     if code.even is not None and not (code.symbols > 15).any():
         # lengths without runs, in codes of one length: read as an array
@@ -209,11 +218,11 @@ def _steps(bits: Bits, codes: list[Code], n: int) -> tuple[np.ndarray, ...]:
         # where a code that starts at each place ends; codes of several channels are often the same
         ends: dict[int, np.ndarray] = {}
         step = [ends[id(c)] if id(c) in ends else ends.setdefault(id(c), places + (entries(c) & 15)) for c in (red, blue, alpha)]
-        last = len(places) - 1
+        # a pixel has 60 bits at most, and there are 128 places beyond the last start
         after_red = step[0][after_green]
-        after_blue = step[1][np.minimum(after_red, last)]
-        goes = step[2][np.minimum(after_blue, last)]
-        special = np.flatnonzero(symbol >= 256)
+        after_blue = step[1][after_red]
+        goes = step[2][after_blue]
+        special = (symbol >= 256).nonzero()[0]
         if len(special):
             goes[special] = after_green[special]
             ref = special[symbol[special] < 256 + N_LENGTH_CODES]
@@ -233,7 +242,7 @@ def _steps(bits: Bits, codes: list[Code], n: int) -> tuple[np.ndarray, ...]:
         true = np.array(walk, np.int64)
         s = symbol[true]
         gives, code = np.ones(len(s), np.int64), np.zeros(len(s), np.int64)
-        copies = np.flatnonzero((s >= 256) & (s < 256 + N_LENGTH_CODES))
+        copies = ((s >= 256) & (s < 256 + N_LENGTH_CODES)).nonzero()[0]
         if len(copies):
             where = np.searchsorted(ref, true[copies])
             gives[copies], code[copies] = length[where], distance[where]
@@ -274,7 +283,7 @@ def _resolve(symbol: np.ndarray, gives: np.ndarray, code: np.ndarray, argb: np.n
     start = np.cumsum(gives) - gives
     pointer, literal = np.arange(n + 1), np.zeros(n + 1, np.uint32)  # the last one is the colour 0 of an empty cache
     literal[start] = argb
-    copy = np.flatnonzero((symbol >= 256) & (symbol < 256 + N_LENGTH_CODES))
+    copy = ((symbol >= 256) & (symbol < 256 + N_LENGTH_CODES)).nonzero()[0]
     if len(copy):
         c = code[copy]
         near = np.minimum(c, 120) - 1
@@ -285,7 +294,7 @@ def _resolve(symbol: np.ndarray, gives: np.ndarray, code: np.ndarray, argb: np.n
         place = np.repeat(start[copy] - np.cumsum(size) + size, size) + np.arange(size.sum())
         pointer[place] = place - np.repeat(distance, size)
         pointer = _follow(pointer)
-    cached = np.flatnonzero(symbol >= 256 + N_LENGTH_CODES)
+    cached = (symbol >= 256 + N_LENGTH_CODES).nonzero()[0]
     if len(cached):
         key = _hash(literal[:n], cache_bits).astype(np.int64)
         key[start[cached]] = symbol[cached] - 256 - N_LENGTH_CODES
@@ -314,7 +323,20 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_size = (1 << cache_bits) if cache_bits else 0
     sizes = (256 + N_LENGTH_CODES + cache_size, 256, 256, 256, N_DISTANCE_CODES)
     known: dict[bytes, Code] = {}
-    codes = [[_read_code(bits, n, known) for n in sizes] for _ in range(groups)]
+    codes = []
+    for _ in range(groups):
+        group: list[Code] = []
+        before = 0, 0, 0
+        for n in sizes:
+            start = bits.at
+            # channels often share their code: the same bits over as many symbols are the same code
+            if before[0] == n and bits.span(start, before[2] - before[1]) == bits.span(before[1], before[2] - before[1]):
+                bits.at += before[2] - before[1]
+                group.append(group[-1])
+            else:
+                group.append(_read_code(bits, n, known))
+                before = n, start, bits.at
+        codes.append(group)
     n = width * height
     if groups == 1:
         if not cache_bits and all(c.even is not None and c.even <= 8 for c in codes[0][:4]) and codes[0][0].symbols[-1] < 256:
@@ -427,7 +449,7 @@ def _row_plan(mode: np.ndarray) -> tuple[list[tuple[int, np.ndarray | slice]], l
     left = mode == 1
     left[0] = False
     edges = np.flatnonzero(np.diff(np.concatenate(([False], left, [False])))).reshape(-1, 2)
-    return [(m, np.flatnonzero(mode[1:] == m)) for m in held if m != 1], [(int(a), int(b)) for a, b in edges]
+    return [(m, (mode[1:] == m).nonzero()[0]) for m in held if m != 1], [(int(a), int(b)) for a, b in edges]
 
 
 def _fill_row(row: np.ndarray, above: np.ndarray, over: list, along: list) -> None:
@@ -578,9 +600,9 @@ class Writer:
         end = np.cumsum(size)
         word, shift = (end - size) >> 6, (end - size) & 63
         out = np.zeros((int(end[-1]) >> 6) + 2, np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))
+        first = np.concatenate(([0], (word[1:] != word[:-1]).nonzero()[0] + 1))
         out[word[first]] = np.bitwise_or.reduceat(value << shift.astype(np.uint64), first)
-        over = np.flatnonzero(shift + size > 64)  # one value at most reaches over the end of a word
+        over = (shift + size > 64).nonzero()[0]  # one value at most reaches over the end of a word
         out[word[over] + 1] |= value[over] >> (64 - shift[over]).astype(np.uint64)
         return out.tobytes()[: (int(end[-1]) + 7) >> 3]
 
@@ -591,7 +613,7 @@ LONGEST = 12
 def code_lengths(counts: np.ndarray) -> np.ndarray:
     """Lengths of a complete prefix code for the symbols that occur, ``LONGEST`` at most, near the logarithm of their share."""
     out = np.zeros(len(counts), np.int64)
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     if len(used) < 2:
         return out
     c = np.maximum(counts[used], counts.sum() / (1 << (LONGEST - 1)))
@@ -610,7 +632,7 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
 
 def _codes(lengths: np.ndarray) -> np.ndarray:
     """The code of each symbol, first bit lowest."""
-    used = np.flatnonzero(lengths)
+    used = lengths.nonzero()[0]
     out = np.zeros(len(lengths), np.uint64)
     if len(used):
         order = used[np.argsort(lengths[used], kind="stable")]
@@ -620,7 +642,7 @@ def _codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def _put_code(w: Writer, lengths: np.ndarray, counts: np.ndarray) -> None:
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     if len(used) < 2:
         w.put((1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8))
         return
@@ -657,7 +679,7 @@ def repeated(argb: np.ndarray) -> list[tuple[int, int, int]]:
         key = (key ^ argb[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     order = np.argsort(key, kind="stable")
-    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    again = (key[order[1:]] == key[order[:-1]]).nonzero()[0]
     if not len(again):
         return []
     before = dict(zip(order[again + 1].tolist(), order[again].tolist(), strict=True))
@@ -779,8 +801,7 @@ def _palette(argb: np.ndarray) -> np.ndarray | None:
     """The colours in order if there are few enough of them to be worth a palette."""
     if len(argb) < 16:
         return None
-    some = np.unique(argb[:1024])
-    if len(some) > min(256, len(argb) // 3):
+    if len(set(argb[:300].tolist())) > min(128, len(argb) // 3):
         return None
     colours = np.unique(argb)
     return colours if len(colours) <= min(256, len(argb) // 3) else None
