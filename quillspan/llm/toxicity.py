@@ -51,17 +51,23 @@ class WordFeatures(dict):
 
 
 class ColumnsOf(dict):
-    """word -> columns of the model that it counts for, remembered for a bounded number of words."""
+    """word -> number of the set of model columns that it counts for (0: none), remembered for a bounded number of words."""
 
     def __init__(self, columns: dict[int, int]):
         super().__init__()
         self.columns, self.features = columns, WordFeatures()
+        self.numbers: dict[tuple[int, ...], int] = {(): 0}
+        self.sets: list[tuple[int, ...]] = [()]
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        self[word] = tuple(self.columns[h] for h in self.features[word] if h in self.columns)
-        return self[word]
+        held = tuple(self.columns[h] for h in self.features[word] if h in self.columns)
+        number = self.numbers.setdefault(held, len(self.sets))
+        if number == len(self.sets):
+            self.sets.append(held)
+        self[word] = number
+        return number
 
 
 def _texts(batch: pa.RecordBatch) -> list:
@@ -69,10 +75,13 @@ def _texts(batch: pa.RecordBatch) -> list:
 
 
 def _counts(text: bytes | None, columns: ColumnsOf) -> Counter:
+    """Column -> occurrences in the text. Words without a column, nearly all, are passed over in one array."""
+    words = text.split() if text else []
+    numbers = np.fromiter(map(columns.__getitem__, words), np.int64, len(words))
     out: Counter = Counter()
-    for word in text.split() if text else ():
-        for c in columns[word]:
-            out[c] += 1
+    for number, n in zip(*map(np.ndarray.tolist, np.unique(numbers[numbers > 0], return_counts=True)), strict=True):
+        for c in columns.sets[number]:
+            out[c] += n
     return out
 
 
@@ -127,7 +136,7 @@ def fit(rows: list[Counter], grades: np.ndarray, n_columns: int, epochs: int = 4
     return p[0], p[1] + np.concatenate(([0.0], np.cumsum(np.exp(p[2]))))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, least_docs: int = LEAST_DOCS) -> Ordinal | None:
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     # at most ``sample`` rows of two numbers: small enough to be sent to all tasks
@@ -135,14 +144,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal |
     # a document that the table repeats counts once
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     counted = rows.select("text", "y").mapInArrow(_feature_counts, "feature long, toxic_docs long, other_docs long")
-    summed = counted.groupBy("feature").agg(F.sum("toxic_docs").alias("a"), F.sum("other_docs").alias("b")).filter(F.col("a") + F.col("b") >= LEAST_DOCS)
+    summed = counted.groupBy("feature").agg(F.sum("toxic_docs").alias("a"), F.sum("other_docs").alias("b")).filter(F.col("a") + F.col("b") >= least_docs)
     size = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
     toxic, other = size.get(1, 0), size.get(0, 0)
     if not toxic or not other:
         return None
     rate = (F.col("a") + F.col("b")) / (toxic + other)
     z = (F.col("a") / toxic - F.col("b") / other) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * (1 / toxic + 1 / other))
-    top = summed.withColumn("z", z).orderBy(F.abs("z").desc(), "feature").limit(FEATURES).collect()
+    top = summed.withColumn("z", z).orderBy(F.abs("z").desc(), "feature").limit(features).collect()
     columns = {r["feature"]: i for i, r in enumerate(top)}
     speaks = {i for i, r in enumerate(top) if r["z"] > 0 and r["a"] / toxic > 8 * r["b"] / other}
 
@@ -164,9 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal |
     return Ordinal(columns, *fit(found, grades, len(columns)))
 
 
-def grade(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``docs`` with severity (0 to ``GRADES``), grade (its rounding), toxic (P(grade >= 1) >= 0.5) and kept (not toxic)."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, features, least_docs))
     base = docs.drop(*RESULT)
     names = base.columns
 

@@ -143,6 +143,62 @@ def test_ordinal_thresholds_are_ordered_and_weights_shared():
     assert (np.diff(p, axis=1) <= 0).all() and (np.diff(p.sum(axis=1)) > 0).all()
 
 
+def test_ordinal_fit_is_a_minimum_of_its_loss():
+    """Brute force: no small step of any weight or threshold lowers the loss by more than the optimiser's tolerance, and the model beats
+    a fit that gives each threshold weights of its own on fresh rows drawn from shared weights."""
+    rng = np.random.default_rng(6)
+    w, theta = np.array([1.5, -1.0, 0.5]), np.array([0.5, 2.0, 3.0])
+
+    def draw(n):
+        x = rng.poisson(1.5, (n, 3))
+        above = rng.random((n, 1)) < 1 / (1 + np.exp(-(np.log1p(x) @ w)[:, None] + theta))
+        return [collections.Counter({c: int(v) for c, v in enumerate(r) if v}) for r in x], above.sum(axis=1)
+
+    rows, grades = draw(600)
+    got_w, got_theta = toxicity.fit(rows, grades, 3)
+
+    def loss(w, theta):
+        z = np.array([sum(w[c] * np.log1p(n) for c, n in r.items()) for r in rows])[:, None] - theta
+        y = grades[:, None] >= np.arange(1, 4)
+        return (np.logaddexp(0, z) - y * z).sum(axis=1).mean() + 1e-4 * (w**2).sum()
+
+    best = loss(got_w, got_theta)
+    for i in range(3):
+        for step in (-0.05, 0.05):
+            e = np.eye(3)[i] * step
+            assert loss(got_w + e, got_theta) > best - 1e-4 and loss(got_w, got_theta + e) > best - 1e-4
+    assert np.corrcoef(got_w, w)[0, 1] > 0.9
+
+
+def test_severity_rises_with_toxic_content_on_held_out_documents(spark):
+    """Severity is measured on documents that teach nothing: clean text with 0, 2, 8 and 30 of the words that mark toxic documents."""
+    p = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{p}/documents.parquet").join(spark.read.parquet(f"{p}/labels.parquet").select("doc_id"), "doc_id", "left_semi"), spark.read.parquet(f"{p}/labels.parquet")
+    model = toxicity.train(d, labels)
+    strongest = sorted(model.columns.items(), key=lambda x: -model.w[x[1]])
+    texts = [r["text"] for r in d.join(labels.filter("toxic = 1"), "doc_id").limit(200).collect()]
+    of = toxicity.WordFeatures()
+    top = {h for h, _ in strongest[:300]}
+    words = sorted({x for t in texts for x in t.encode().split() if set(of[x]) & top})[:60]
+    clean = next(r["text"] for r in d.join(labels.filter("toxic = 0 AND quality = 1"), "doc_id").collect() if 500 < len(r["text"]) < 2000)
+    made = [" ".join([clean, *(w.decode() for w in words[:n])]).encode() for n in (0, 2, 8, 30)]
+    columns = toxicity.ColumnsOf(model.columns)
+    severity = model.above([toxicity._counts(t, columns) for t in made]).sum(axis=1)
+    assert len(words) >= 30 and (np.diff(severity) > 0).all() and severity[0] < 0.5 < severity[-1]
+
+
+def test_column_counts_match_brute_force():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["badword", "badwords", "good", "Bad!", "worse,"]) for _ in range(rng.randint(0, 30))).encode() for _ in range(50)]
+    of = toxicity.WordFeatures()
+    columns = {h: i for i, h in enumerate(sorted({h for w in (b"badword", b"worse") for h in of[w]}))}
+    fast = toxicity.ColumnsOf(columns)
+    for t in texts:
+        want = collections.Counter(columns[h] for w in t.split() for h in of[w] if h in columns)
+        assert toxicity._counts(t, fast) == want
+    assert toxicity._counts(None, fast) == collections.Counter()
+
+
 def test_toxicity_edge_cases(spark):
     d = docs(spark, [(1, None, "a"), (None, "bad bad", "a"), (1, None, "a")]).withColumn("grade", F.lit("clash"))
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
