@@ -49,8 +49,8 @@ class Level(NamedTuple):
     label: int  # values of a label: neighbours are those of the longest common prefix up to here
 
 
-#: 6 values: missed with 5e-7. 14 values: missed with 5e-7.
-LEVELS = (Level(6, 48, 12), Level(14, 320, 18))
+#: 6 values: missed with 5e-7. 14 values: missed with 1e-5.
+LEVELS = (Level(6, 48, 12), Level(14, 256, 14))
 OUTS = 16  # classes outside the largest component that any region searches without a split
 MOST_OUTS = 1024  # the same where the largest component is at least half of the region, as among near copies
 BLOCK = 400_000  # shingles of one block of a region, about
@@ -199,11 +199,43 @@ def _neighbours(level: Level) -> Callable:
     return run
 
 
+def _sorted_labels(classes: DataFrame, n: int) -> DataFrame:
+    labels = classes.mapInArrow(_labels(n), "label binary, v long")
+    return labels.repartitionByRange("label", "v").sortWithinPartitions("label", "v")
+
+
+def _shared(level: Level) -> Callable:
+    """Sorted labels -> (region, v) of those that share their region with the label before or after; the ends of the
+    partition, whose other neighbour is not seen, come out too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int, bool] | None = None  # the last label so far, and whether it shares its region
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            region, vs = _regions(batch.column("label").to_pylist(), level), batch.column("v").to_numpy(zero_copy_only=False)
+            first = held is None
+            if not first:
+                region, vs = np.concatenate(([held[0]], region)), np.concatenate(([held[1]], vs))
+            same = region[1:] == region[:-1]
+            keep = np.concatenate(([True if first else held[2]], same)) | np.concatenate((same, [False]))
+            held = region[-1], vs[-1], bool(keep[-1])
+            keep[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(vs[keep])], ["region", "v"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["region", "v"])
+
+    return run
+
+
+def forest_members(classes: DataFrame, n: int) -> DataFrame:
+    """(v, sig) -> region, v: the classes of level ``n`` that share a region with another one, and a few that may."""
+    return materialize(_sorted_labels(classes, n).mapInArrow(_shared(LEVELS[n]), "region long, v long"), "members")
+
+
 def forest_neighbours(classes: DataFrame, n: int = 0) -> DataFrame:
     """(v, sig) -> region, a, b: neighbours in the sorted orders of level ``n`` that share a region."""
-    labels = classes.mapInArrow(_labels(n), "label binary, v long")
-    ordered = labels.repartitionByRange("label", "v").sortWithinPartitions("label", "v")
-    found = materialize(ordered.mapInArrow(_neighbours(LEVELS[n]), "region long, a long, b long, label binary"), "neighbours")
+    found = materialize(_sorted_labels(classes, n).mapInArrow(_neighbours(LEVELS[n]), "region long, a long, b long, label binary"), "neighbours")
     # the two ends of each partition meet here: two rows a partition
     w = Window.orderBy("label", "a")
     ends = found.filter(F.col("b").isNull()).select("region", "a", F.lead("a").over(w).alias("b"), F.lead("region").over(w).alias("next"))
@@ -263,12 +295,9 @@ def _search_region(percent: int, n: int) -> Callable:
     return run
 
 
-def plan_regions(near: DataFrame, labels: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """What is left to do in the regions of ``near`` (region, a, b) that hold several components of ``labels`` (v, comp):
+def plan_regions(members: DataFrame, labels: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """What is left to do in the regions of ``members`` (region, v) that hold several components of ``labels`` (v, comp):
     (region, v, comp, out) of those to be searched on this level, and the classes v of those to be split on the next."""
-    # on the first level the neighbours themselves were confirmed, so that a region of one pair is done
-    several = near.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
-    members = (near if n else near.join(several, "region")).select("region", F.explode(F.array("a", "b")).alias("v")).distinct()
     placed = members.join(labels, "v", "left").select("region", "v", F.coalesce("comp", "v").alias("comp"))
     by_comp = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_comp.groupBy("region").agg(
@@ -317,16 +346,18 @@ def _judge(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
     classes = materialize(found.select(F.monotonically_increasing_id().alias("v"), "key", "row.doc_id", "row.h", "sig", "n", "copies"), "classes")
     labels, sets, live = None, None, classes.select("v", "sig")
     for n in range(len(LEVELS)):
-        near = materialize(forest_neighbours(live, n), "forest")
         if n == 0:
+            near = materialize(forest_neighbours(live), "forest")
             # neighbours of the first level make most of the links; what they leave open is searched region by region
             pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             sig = classes.select("v", "sig")
             joined = pairs.join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
             agreeing = materialize(joined.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long"), "agreeing")
             # the full sets of all classes that may be compared on any level: later levels look at members of crowded regions only
-            crowded = near.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
-            wanted = agreeing.select(F.explode(F.array("a", "b")).alias("v")).union(near.join(crowded, "region").select(F.explode(F.array("a", "b")).alias("v"))).distinct()
+            # (the neighbours themselves are confirmed, so that a region of one pair is done)
+            several = near.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
+            members = materialize(near.join(several, "region").select("region", F.explode(F.array("a", "b")).alias("v")).distinct(), "members")
+            wanted = agreeing.select(F.explode(F.array("a", "b")).alias("v")).union(members.select("v")).distinct()
             wanted = materialize(wanted.join(classes.select("v", "doc_id", "h"), "v"), "wanted")
             # the only time that texts move: by hash of (id, text), against a table of numbers
             read = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "h"]).select("v", "text")
@@ -335,9 +366,12 @@ def _judge(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
             inter = F.size(F.array_intersect("sa", "sb"))
             links = agreeing.join(of_a, "a").join(of_b, "b").filter(_is_link(inter, F.size("sa") + F.size("sb") - inter, percent)).select("a", "b")
             labels = connected(materialize(links, "links"))
-        rows, split = plan_regions(near, labels, n)
+            discard(near)
+        else:
+            members = forest_members(live, n)
+        rows, split = plan_regions(members, labels, n)
         labels = _merge(labels, materialize(_search(rows, classes, sets, n, percent), "region-links"))
-        discard(near)
+        discard(members)
         if n + 1 == len(LEVELS):
             break
         split = materialize(split, "crowded")
