@@ -5,7 +5,8 @@ Every document gets a rate in [0, 2] (the expected number of copies). Per source
 an exponential tilt of the odds ``rate / (2 - rate)`` by the token count. ``lambda_s`` minimises a convex dual, one
 number a source, found by safeguarded Newton steps: each step is one distributed aggregation of gradient and Hessian
 over the (source, size) histogram, for all sources at once. Rates are rounded into 0, 1 or 2 copies with the error
-carried from large to small documents inside bounded groups, so that each group meets its own expected tokens.
+carried from large to small documents inside bounded groups, so that each group meets its own expected tokens, as far as
+its smaller documents can make up for a very long one.
 
 Definitions that hold for every row:
 
