@@ -295,30 +295,30 @@ def _search_region(percent: int, n: int) -> Callable:
     return run
 
 
-def plan_regions(members: DataFrame, labels: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+def plan_regions(members: DataFrame, labels: DataFrame, classes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """What is left to do in the regions of ``members`` (region, v) that hold several components of ``labels`` (v, comp):
-    (region, v, comp, out) of those to be searched on this level, and the classes v of those to be split on the next."""
-    placed = members.join(labels, "v", "left").select("region", "v", F.coalesce("comp", "v").alias("comp"))
-    by_comp = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
+    (region, v, comp, out, nr, nq) of those to be searched on this level, in ``nr`` blocks of all rows by ``nq`` of those outside the largest
+    component, and the classes v of those to be split on the next."""
+    weight = classes.select("v", (F.col("n") + 64).alias("weight"))
+    placed = members.join(labels, "v", "left").join(weight, "v").select("region", "v", F.coalesce("comp", "v").alias("comp"), "weight")
+    by_comp = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    order = F.struct("n", "comp")
     mixed = by_comp.groupBy("region").agg(
-        F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("outs"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")
+        F.max_by("comp", order).alias("main"), (F.sum("n") - F.max("n")).alias("outs"), F.sum("n").alias("size"), F.sum("w").alias("all"), (F.sum("w") - F.max_by("w", order)).alias("beside"), F.count(F.lit(1)).alias("comps")
     )
     few = (F.col("outs") <= OUTS) | ((F.col("outs") <= MOST_OUTS) & (2 * F.col("outs") <= F.col("size")))
     here = F.lit(True) if n + 1 == len(LEVELS) else few
-    rows = placed.join(mixed.filter("comps > 1").select("region", "main", here.alias("here")), "region")
-    rows = materialize(rows.select("region", "v", "comp", (F.col("comp") != F.col("main")).alias("out"), "here"), "mixed-regions")
+    parts = lambda w, count: F.ceil(F.greatest(F.col(w) / BLOCK, F.col(count) / BLOCK_ROWS)).cast("int")
+    mixed = mixed.filter("comps > 1").select("region", "main", here.alias("here"), parts("all", "size").alias("nr"), parts("beside", "outs").alias("nq"))
+    rows = placed.join(mixed, "region").select("region", "v", "comp", (F.col("comp") != F.col("main")).alias("out"), "here", "nr", "nq")
+    rows = materialize(rows, "mixed-regions")
     return rows.filter("here").drop("here"), rows.filter("NOT here").select("v").distinct()
 
 
 def _search(rows: DataFrame, classes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between components of the regions ``rows``: classes outside the largest component against all of the
     region, in blocks of bounded size."""
-    rows = rows.join(classes.select("v", (F.col("n") + 64).alias("weight")), "v")
-    parts = lambda weight, count: F.ceil(F.greatest(F.sum(weight) / BLOCK, F.sum(count) / BLOCK_ROWS)).cast("int")
-    blocks = rows.groupBy("region").agg(
-        parts(F.col("weight"), F.lit(1)).alias("nr"), parts(F.when(F.col("out"), F.col("weight")), F.col("out").cast("int")).alias("nq")
-    )
-    dealt = rows.join(blocks, "region").withColumn("h", F.xxhash64("v"))
+    dealt = rows.withColumn("h", F.xxhash64("v"))
     all_rows = dealt.select("region", "v", "comp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.pmod("h", F.col("nr")).cast("int").alias("r"))
     asked = dealt.filter("out").select("region", "v", "comp", F.lit(True).alias("query"), F.pmod("h", F.col("nq")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"))
     work = all_rows.union(asked).join(sets, "v").join(classes.select("v", "sig"), "v")
@@ -369,7 +369,7 @@ def _judge(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
             discard(near)
         else:
             members = forest_members(live, n)
-        rows, split = plan_regions(members, labels, n)
+        rows, split = plan_regions(members, labels, classes, n)
         labels = _merge(labels, materialize(_search(rows, classes, sets, n, percent), "region-links"))
         discard(members)
         if n + 1 == len(LEVELS):
