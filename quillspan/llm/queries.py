@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, line_dedup, media, mixing, near_dup, packing, pii, quality_model, quality_rules, toxicity
+from quillspan.llm import chat, fill_middle, line_dedup, media, mixing, near_dup, packing, pii, quality_model, quality_rules, toxicity
 from quillspan.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,33 @@ def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data of every document. Base spans are tested against the plain patterns."""
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, and the text rebuilt from it."""
+    out = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+ORACLE["op12_fill_in_middle"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents),
+u AS (
+  SELECT *, len(lines) - CAST(lines[-1] = '' AS INT) AS n,
+         CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+v AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (
+  SELECT *, CASE WHEN low = 0 THEN 0 WHEN low = n THEN length(text) ELSE length(array_to_string(lines[1:low], chr(10))) + 1 END AS a,
+            CASE WHEN high = 0 THEN 0 WHEN high = n THEN length(text) ELSE length(array_to_string(lines[1:high], chr(10))) + 1 END AS b FROM v)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a)
+                   WHEN 'spm' THEN '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a)
+                   ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""
