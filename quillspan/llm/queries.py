@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, fill_middle, line_dedup, media, mixing, near_dup, packing, pii, quality_model, quality_rules, toxicity
+from quillspan.llm import chat, fill_middle, line_dedup, media, mixing, near_dup, packing, pii, quality_model, quality_rules, token_align, toxicity
 from quillspan.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +208,9 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a EN
   sha256(text) AS restored_sha256
 FROM c
 """
+
+
+@_query
+def op13_token_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over every document. Tested against brute force."""
+    return token_align.align(table(spark, sf_dir, "documents"))[0]
