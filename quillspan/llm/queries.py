@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chat, fill_middle, line_dedup, media, mixing, near_dup, packing, pii, quality_model, quality_rules, token_align, toxicity
+from quillspan.llm import chat, fill_middle, line_dedup, media, mixing, near_dup, packing, passage_dedup, pii, quality_model, quality_rules, token_align, toxicity
 from quillspan.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,11 @@ FROM c
 def op13_token_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of two tokenizers over every document. Tested against brute force."""
     return token_align.align(table(spark, sf_dir, "documents"))[0]
+
+
+@_query
+def op11_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of documents with smaller ids. Tested against brute force."""
+    out = passage_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
