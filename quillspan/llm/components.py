@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.plans.scratch import materialize
+from quillspan.plans.scratch import discard, materialize
 
 #: Rounds after which the labels are written, so that their plan stays short.
 WRITE_EVERY = 4
@@ -14,15 +14,18 @@ WRITE_EVERY = 4
 def _roots(parent: DataFrame) -> DataFrame:
     """(u, p) with p followed to the end of its path: pointers double until none moves, so paths of n steps take log n joins.
 
-    Pointers go to smaller vertices only, hence never in a circle."""
+    Pointers go to smaller vertices only, hence never in a circle. The table that is given is deleted."""
+    given = parent
     while True:
         # two doublings a table: the second one moves nothing where all paths have two steps or fewer
         for _ in range(2):
             up = parent.select(F.col("u").alias("u2"), F.col("p").alias("p2"))
             parent = parent.select("u", "p").join(up, F.col("p") == F.col("u2"), "left").select("u", F.coalesce("p2", "p").alias("p"), (F.col("p2") != F.col("p")).alias("moved"))
-        parent = materialize(parent, "parents")
+        last, parent = given, materialize(parent, "parents")
+        discard(last)
         if parent.filter("moved").isEmpty():
-            return parent.select("u", "p")
+            return parent
+        given = parent
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,7 +40,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("w")).filter(F.col("u") != F.col("w"))
     live = materialize(both.union(both.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "edges")
-    labels, rounds = None, 0
+    labels, rounds, done = None, 0, []
     while not live.isEmpty():
         rounds += 1
         parent = live.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("p"))
@@ -46,12 +49,18 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels = parent.select(F.col("u").alias("v"), F.col("p").alias("comp"))
         else:
             labels = labels.join(parent, F.col("comp") == F.col("u"), "left").select("v", F.coalesce("p", "comp").alias("comp"))
-        if rounds % WRITE_EVERY == 0:
-            labels = materialize(labels, "components")
+        done.append(parent)
         of_u, of_w = parent.select(F.col("u"), F.col("p").alias("pu")), parent.select(F.col("u").alias("w"), F.col("p").alias("pw"))
-        live = materialize(
+        read, live = live, materialize(
             live.join(of_u, "u").join(of_w, "w").filter(F.col("pu") != F.col("pw")).select(F.col("pu").alias("u"), F.col("pw").alias("w")).distinct(), "edges"
         )
+        discard(read)
+        if rounds % WRITE_EVERY == 0:
+            labels = materialize(labels, "components")
+            discard(*done)
+            done = [labels]
     if labels is None:
         return live.select(F.col("u").alias("v"), F.col("w").alias("comp"))
-    return materialize(labels, "components")
+    out = materialize(labels, "components")
+    discard(live, *done)
+    return out

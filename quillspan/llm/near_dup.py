@@ -11,8 +11,9 @@
    after its neighbours were confirmed is looked at again: where few classes are outside its largest component (``OUTS``, or
    ``MOST_OUTS`` if that is half of the region or more), these are queries against all of the region (work linear in the region);
    else, as in a template family in which nothing is linked, the region is split: its classes go to the next level of
-   ``LEVELS``, with longer prefixes and, because a longer prefix is shared more rarely, more trees. Regions of the last
-   level are searched to the end in bounded blocks.
+   ``LEVELS``, with longer prefixes and, because a longer prefix is shared more rarely, more trees. On later levels regions of up
+   to ``MOST_COMPARED`` comparisons are searched, too, and those of the last level to the end in bounded blocks. A region of one
+   block takes one row a class.
 5. *Components* by contraction; every document gets the smallest id reachable.
 
 A pair of similarity 0.8 shares a region of some tree but for a chance of 1e-5 or less on each level, and passes the signature test
@@ -49,12 +50,13 @@ class Level(NamedTuple):
     label: int  # values of a label: neighbours are those of the longest common prefix up to here
 
 
-#: 6 values: missed with 5e-7. 14 values: missed with 1e-5.
-LEVELS = (Level(6, 48, 12), Level(14, 256, 14))
+#: 6 values: missed with 5e-7. 10 and 14 values: missed with 1e-5.
+LEVELS = (Level(6, 48, 12), Level(10, 102, 10), Level(14, 256, 14))
 OUTS = 16  # classes outside the largest component that any region searches without a split
 MOST_OUTS = 1024  # the same where the largest component is at least half of the region, as among near copies
-BLOCK = 400_000  # shingles of one block of a region, about
-BLOCK_ROWS = 256  # classes of one block of a region, about
+MOST_COMPARED = 1 << 22  # comparisons of signatures for which no region below the first level is split: 2,048 a class of a region of strangers
+BLOCK = 1_500_000  # shingles of one block of a region, about
+BLOCK_ROWS = 1024  # classes of one block of a region, about
 WORDS_KEPT = 400_000
 
 _rng = np.random.default_rng(20240611)
@@ -260,7 +262,7 @@ def _search_region(percent: int, n: int) -> Callable:
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         tree = key[0].as_py() >> 52
         cols = {c: table.column(c).combine_chunks() for c in table.column_names}
-        vs, comp, query = (cols[c].to_numpy(zero_copy_only=False) for c in ("v", "comp", "query"))
+        vs, comp, query, row = (cols[c].to_numpy(zero_copy_only=False) for c in ("v", "comp", "query", "row"))
         sigs = np.frombuffer(b"".join(cols["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
         lists = cols["shingles"]
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -273,7 +275,7 @@ def _search_region(percent: int, n: int) -> Callable:
                 c = root[c]
             return c
 
-        rows = np.flatnonzero(~query)
+        rows = np.flatnonzero(row)
         a, b = [], []
         for q in np.flatnonzero(query):
             same = sigs[rows] == sigs[q]
@@ -307,7 +309,7 @@ def plan_regions(members: DataFrame, labels: DataFrame, classes: DataFrame, n: i
         F.max_by("comp", order).alias("main"), (F.sum("n") - F.max("n")).alias("outs"), F.sum("n").alias("size"), F.sum("w").alias("all"), (F.sum("w") - F.max_by("w", order)).alias("beside"), F.count(F.lit(1)).alias("comps")
     )
     few = (F.col("outs") <= OUTS) | ((F.col("outs") <= MOST_OUTS) & (2 * F.col("outs") <= F.col("size")))
-    here = F.lit(True) if n + 1 == len(LEVELS) else few
+    here = F.lit(True) if n + 1 == len(LEVELS) else few if n == 0 else few | (F.col("outs") * F.col("size") <= MOST_COMPARED)
     parts = lambda w, count: F.ceil(F.greatest(F.col(w) / BLOCK, F.col(count) / BLOCK_ROWS)).cast("int")
     mixed = mixed.filter("comps > 1").select("region", "main", here.alias("here"), parts("all", "size").alias("nr"), parts("beside", "outs").alias("nq"))
     rows = placed.join(mixed, "region").select("region", "v", "comp", (F.col("comp") != F.col("main")).alias("out"), "here", "nr", "nq")
@@ -319,9 +321,13 @@ def _search(rows: DataFrame, classes: DataFrame, sets: DataFrame, n: int, percen
     """Links (a, b) between components of the regions ``rows``: classes outside the largest component against all of the
     region, in blocks of bounded size."""
     dealt = rows.withColumn("h", F.xxhash64("v"))
-    all_rows = dealt.select("region", "v", "comp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.pmod("h", F.col("nr")).cast("int").alias("r"))
-    asked = dealt.filter("out").select("region", "v", "comp", F.lit(True).alias("query"), F.pmod("h", F.col("nq")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"))
-    work = all_rows.union(asked).join(sets, "v").join(classes.select("v", "sig"), "v")
+    whole, cut = dealt.filter("nr = 1 AND nq = 1"), dealt.filter("nr > 1 OR nq > 1")
+    alone = whole.select("region", "v", "comp", F.lit(True).alias("row"), F.col("out").alias("query"), F.lit(0).alias("q"), F.lit(0).alias("r"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod("h", F.col(n)).cast("int")
+    all_rows = cut.select("region", "v", "comp", F.lit(True).alias("row"), F.lit(False).alias("query"), each("nq").alias("q"), one("nr").alias("r"))
+    asked = cut.filter("out").select("region", "v", "comp", F.lit(False).alias("row"), F.lit(True).alias("query"), one("nq").alias("q"), each("nr").alias("r"))
+    work = alone.union(all_rows).union(asked).join(sets, "v").join(classes.select("v", "sig"), "v")
     return work.groupBy("region", "q", "r").applyInArrow(_search_region(percent, n), "a long, b long").distinct()
 
 
