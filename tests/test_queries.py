@@ -70,6 +70,8 @@ from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 assert q["s5_manifest"](spark, "%s").count() > 0
 """ % DATA
-    subprocess.run([sys.executable, "-c", code], cwd=here, check=True, env=os.environ | {"PYTHONPATH": str(here), "PYTHONDONTWRITEBYTECODE": "1"})
-    found = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=here, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(here), "PYTHONDONTWRITEBYTECODE": "1"})
+    path = os.pathsep.join([str(here), *filter(None, [os.environ.get("PYTHONPATH")])])
+    env = os.environ | {"PYTHONPATH": path, "PYTHONDONTWRITEBYTECODE": "1"}
+    subprocess.run([sys.executable, "-c", code], cwd=here, check=True, env=env)
+    found = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=here, capture_output=True, text=True, env=env)
     assert found.returncode == 0 and "test_operators.py" in found.stdout, found.stdout
