@@ -3,7 +3,7 @@
 A sparse suffix array, refined by bucket pointers. The identifier of the bucket of q bytes (q: half of ``length``) at an offset is a 64-bit digest,
 so that all tasks give a bucket the same one without sorting the corpus.
 
-1. *Initial buckets* hold offsets that are minimisers: of each string of ``length`` bytes the q bytes with the least digest. Equal strings have their
+1. *Initial buckets* hold offsets that are minimisers: of each string of ``length`` bytes the q bytes with the least low bits of the digest. Equal strings have their
    minimiser at the same place, so buckets that only one document uses are closed for good: none of their strings is repeated.
 2. *Refinement by neighbours*: open buckets are sorted on the identifiers at the offsets ``length - q`` before and after theirs. A suffix whose refined
    bucket begins with a smaller document is repeated with everything around it; a bucket that was not parted is done. What stays open are the
@@ -101,7 +101,8 @@ class Chunk:
         n = np.maximum(sizes - length + 1, 0)
         self.windows = np.repeat(self.starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         low = np.uint64((1 << 20) - 1)
-        packed = (self.ids & ~low) | np.arange(len(self.ids), dtype=np.uint64)
+        # the least by the low 44 bits: the high ones, by which buckets are dealt to ranges, stay even
+        packed = (self.ids << np.uint64(20)) | np.arange(len(self.ids), dtype=np.uint64)
         own = (sliding_min(packed, step + 1)[self.windows] & low).astype(np.int64)
         self.anchors, self.own = np.unique(own, return_inverse=True)
         self.doc = np.array([d for _, d, _ in pieces], np.int64)[np.searchsorted(self.starts, self.anchors, "right") - 1]
