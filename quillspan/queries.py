@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import q_events, q_governance, q_intervals, q_metrics, q_retrieval, q_sources, q_training, q_trajectories  # noqa: F401
+from quillspan.plans import q_events, q_governance, q_intervals, q_metrics, q_retrieval, q_sources, q_training, q_trajectories, q_vectors  # noqa: F401
 from quillspan.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
