@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.operators import inverted_index as I
 from quillspan.operators import retrieval as R
 from quillspan.plans.registry import query
 
@@ -28,16 +29,19 @@ chan AS (
 c100 AS (SELECT * FROM chan WHERE rank <= 100)"""
 
 
+def indexed(get) -> I.Index:
+    return I.build_index(get(DOCS).withColumnRenamed("text", "combined"), ["combined"])
+
+
 def searched(get, k=10):
-    return R.bm25_search(get(DOCS), get(QUERIES_SQL), k)
+    return I.search(indexed(get), get(QUERIES_SQL), k=k)
 
 
 def channels(get, k=100):
-    """Two rankings of each query: BM25, and the number of shared terms."""
-    docs, queries = get(DOCS), get(QUERIES_SQL)
-    found = R.postings(docs, queries)
-    bm = R.ranked(R.bm25_scores(docs, queries, found=found), k).withColumn("channel", F.lit("bm25_combined"))
-    return bm.unionByName(R.ranked(R.shared_terms(found), k).withColumn("channel", F.lit("dense_text")))
+    """Two rankings of each query from one index: BM25, and the number of shared terms."""
+    index, queries = indexed(get), get(QUERIES_SQL)
+    bm = I.search(index, queries, k=k).withColumn("channel", F.lit("bm25_combined"))
+    return bm.unionByName(R.ranked(I.matched_terms(index, queries), k).withColumn("channel", F.lit("dense_text")))
 
 
 @query("r2_bm25_index", f"WITH {INDEX} SELECT term, count(*) AS postings, sum(tf) AS occurrences, min(df) AS df, min(n_docs) AS n_docs, round(min(mean_length), 9) AS mean_length, sum(length) AS lengths FROM p JOIN f USING (term), t GROUP BY term")
@@ -57,6 +61,42 @@ def r3(get):
     return searched(get).select("query_id", "video_id", "scene_id", "score", "rank")
 
 
+FIELDS = "SELECT source AS video_id, doc_id AS scene_id, split_part(text, chr(10), 1) AS ocr, substr(text, length(split_part(text, chr(10), 1)) + 2) AS transcript, text AS combined FROM {documents}"
+
+
+def _field_sql(field: str) -> str:
+    docs = f"SELECT video_id, scene_id, {field} AS text FROM ({FIELDS})"
+    return SCORES.replace(DOCS, docs)
+
+
+@query(
+    "r2_field_index",
+    " UNION ALL ".join(
+        f"SELECT * FROM (WITH {INDEX.replace(DOCS, f'SELECT video_id, scene_id, {f} AS text FROM ({FIELDS})')} SELECT '{f}' AS field, term, count(*) AS df, sum(tf) AS occurrences, min(n_docs) AS n_docs, round(min(mean_length), 9) AS mean_length FROM p, t GROUP BY term)"
+        for f in ("ocr", "transcript", "combined")
+    ),
+)
+def r2_fields(get):
+    """The kept index of three fields, by term."""
+    index = I.build_index(get(FIELDS), ["ocr", "transcript", "combined"])
+    held = index.blocks.select("field", "term", F.explode("docs").alias("d")).groupBy("field", "term").agg(F.sum("d.tf").alias("occurrences"))
+    totals = index.totals.withColumn("mean_length", F.round("mean_length", 9))
+    return held.join(index.terms, ["field", "term"]).join(F.broadcast(totals), "field").select("field", "term", "df", "occurrences", "n_docs", "mean_length")
+
+
+@query(
+    "r3_field_search",
+    " UNION ALL ".join(
+        f"SELECT * FROM (WITH {_field_sql(f)} SELECT '{f}' AS field, query_id, video_id, scene_id, score, rank FROM chan WHERE channel = 'bm25_combined' AND rank <= 5)" for f in ("ocr", "transcript")
+    ),
+)
+def r3_fields(get):
+    """The five best documents by their first line, and by the rest, from one index."""
+    index, queries = I.build_index(get(FIELDS), ["ocr", "transcript"], span=64), get(QUERIES_SQL)
+    both = [I.search(index, queries, f, 5).withColumn("field", F.lit(f)) for f in ("ocr", "transcript")]
+    return both[0].unionByName(both[1]).select("field", "query_id", "video_id", "scene_id", "score", "rank")
+
+
 VECTORS = "SELECT label AS video_id, vec_id AS scene_id, vec_id AS item, embedding FROM {embeddings}"
 ASKED = "SELECT vec_id AS query_id, embedding FROM {embeddings} WHERE vec_id % 50 = 0"
 FRAMES = "SELECT label AS video_id, CAST(floor(vec_id / 5) AS BIGINT) AS scene_id, vec_id AS item, embedding FROM {embeddings}"
