@@ -23,10 +23,12 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +39,11 @@ BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 8_000_000  # text of one block, about
 BLOCK_ROWS = 20_000
-REMEMBERED = 400_000  # words, and windows, that a task remembers at most
+REMEMBERED = 150_000  # words, and windows, that a task remembers, about
 PART = 1 << 20  # characters of a long text that are aligned at once, about
+SHORT = 100  # characters
+# Fixed value: how byte-level entries of this kind split a text before merging.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 GAP = re.compile(r"(?<=\S) (?=\S)")
 LETTERS = re.compile(r"(?<=[a-z]) (?=[a-z])")
 
@@ -58,7 +63,7 @@ class Vocabulary:
 
     def _finish(self) -> None:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.spaced = np.array([t[:1] == b" " for t in self.tokens])
+        self.spaced = [t[:1] == b" " for t in self.tokens]
         # no entry leads from something visible to a space: encoding never joins what stands left and right of a single space
         self.words = not any(re.search(r"\S ", t.decode("utf-8", "replace")) for t in self.tokens)
 
@@ -70,16 +75,27 @@ class ByteVocabulary(Vocabulary):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True
-        byte = _byte_level()
-        entries = json.loads(data)["model"]["vocab"]
+        byte, model = _byte_level(), json.loads(data)["model"]
+        entries = model["vocab"]
         self.tokens = [b""] * self.tokenizer.get_vocab_size()
         for entry, i in entries.items():
             self.tokens[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
+        merged = [entries["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        self.ranked = None
+        if merged == sorted(merged):  # ids are ranks of merges: a second encoder of the same entries is several times faster
+            special = {t["id"] for t in json.loads(data).get("added_tokens", [])}
+            ranks = {self.tokens[i]: i for i in entries.values() if i not in special}
+            self.ranked = tiktoken.Encoding("entries", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self._finish()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of a space and the text, for each text."""
-        return [e.ids for e in self.tokenizer.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        """Ids of a space and the text, for each text. Short texts of printable ASCII, in which encoders cannot differ about the kind of a character,
+        go to the faster encoder."""
+        out: list = [self.ranked.encode_ordinary(" " + t) if self.ranked and len(t) <= SHORT and t.isascii() and t.isprintable() else None for t in texts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([f" {texts[k]}" for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
 
 class PieceVocabulary(Vocabulary):
@@ -99,102 +115,120 @@ def _whole(text: str) -> list[str]:
     return [text]
 
 
-class Words(dict):
-    """Ids of each word in both vocabularies, remembered for a bounded number of words."""
-
-    def __init__(self, a: Vocabulary, b: Vocabulary):
-        self.a, self.b = a, b
-        self.split = GAP.split if a.words and b.words else _whole
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """The words of each text, all of them known from now on."""
-        found = [self.split(t) for t in texts]
-        if len(self) > REMEMBERED:
-            self.clear()
-        fresh = list({w for words in found for w in words if w not in self})
-        self.update(zip(fresh, zip(map(tuple, self.a.encode(fresh)), map(tuple, self.b.encode(fresh)), strict=True), strict=True))
-        return found
-
-
-class Windows(dict):
-    """Number of each pair of id tuples; what is known of a window stands in the lists at its number."""
+class Windows:
+    """Alignments of windows, remembered by their two id tuples. New ones are aligned together: their shared ends are found in one sorted array of
+    offsets, and their groups are written by one join of ready pieces."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
-        self.a, self.b = a.tokens, b.tokens
+        self.sides = (a, b)
+        self.size = max(len(a.tokens), len(b.tokens))
+        self.pieces = [f"{i}{end}" for end in ",|;\n" for i in range(self.size)]
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
+        self.numbers: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
         self.groups: list[str] = []
-        self.links: list[list[int]] = []  # id of a << 32 | id of b
-
-    def __missing__(self, ids: tuple[tuple, tuple]) -> int:
-        a, b = ids
-        ends_a, ends_b = ({}, {})
-        for tokens, of, ends in ((self.a, a, ends_a), (self.b, b, ends_b)):
-            at = 0
-            for k, i in enumerate(of):
-                at += len(tokens[i])
-                ends[at] = k
-        groups, links, x, y = [], [], 0, 0
-        for at, k in ends_a.items():
-            if (m := ends_b.get(at)) is not None:
-                groups.append(",".join(map(str, a[x : k + 1])) + "|" + ",".join(map(str, b[y : m + 1])))
-                links.append(a[k] << 32 | b[m])
-                x, y = k + 1, m + 1
-        self[ids] = n = len(self.groups)
-        self.groups.append(";".join(groups))
-        self.links.append(links)
-        return n
+        self.sizes: list[tuple[int, int]] = []
+        self.starts, self.links = array("q", [0]), array("q")  # of each window: where its links begin; id of a << 32 | id of b
+
+    def number(self, keys: list[tuple[tuple[int, ...], tuple[int, ...]]]) -> list[int]:
+        """The number of each window; all have the same bytes on both sides."""
+        fresh = [k for k in dict.fromkeys(keys) if k not in self.numbers]
+        if fresh:
+            self._align(fresh)
+            self.numbers.update(zip(fresh, range(len(self.groups) - len(fresh), len(self.groups)), strict=True))
+        return [self.numbers[k] for k in keys]
+
+    def _align(self, windows: list[tuple[tuple[int, ...], tuple[int, ...]]]) -> None:
+        flat = [np.fromiter(chain.from_iterable(w[side] for w in windows), np.int64) for side in (0, 1)]
+        count = [np.array([len(w[side]) for w in windows]) for side in (0, 1)]
+        ends = [np.cumsum(v.lengths[x]) for v, x in zip(self.sides, flat, strict=True)]
+        shared, last_a, last_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        window_end = np.zeros(len(shared), bool)
+        window_end[np.searchsorted(shared, ends[0][np.cumsum(count[0]) - 1])] = True
+        # pieces: ids of the first side end by , or |, of the second by , or ; or the end of the window
+        codes, order = [], []
+        for side, (x, last) in enumerate(zip(flat, (last_a, last_b), strict=True)):
+            code = x.copy()
+            code[last] += self.size if side == 0 else np.where(window_end, 3, 2) * self.size
+            codes.append(code)
+            order.append(np.searchsorted(last, np.arange(len(x))) * 2 + side)
+        line = np.concatenate(codes)[np.argsort(np.concatenate(order), kind="stable")]
+        text = "".join([self.pieces[c] for c in line.tolist()])
+        self.groups += text.split("\n")[:-1]
+        self.sizes += zip(*(c.tolist() for c in count), strict=True)
+        self.starts.extend((self.starts[-1] + np.flatnonzero(window_end) + 1).tolist())
+        self.links.frombytes((flat[0][last_a] << 32 | flat[1][last_b]).tobytes())
 
 
 class Aligner:
+    """Tokens and windows of texts; words and windows that were met are remembered until ``forget``."""
+
     def __init__(self, a: bytes, b: bytes):
         self.a, self.b = ByteVocabulary(a), PieceVocabulary(b)
-        self.words, self.windows = Words(self.a, self.b), Windows(self.a, self.b)
+        self.split = GAP.split if self.a.words and self.b.words else _whole
+        self.windows = Windows(self.a, self.b)
+        self.words: dict[str, tuple[int, ...] | None] = {}
+
+    @property
+    def full(self) -> bool:
+        return len(self.words) > REMEMBERED or len(self.windows.groups) > REMEMBERED
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.windows.forget()
 
     def parts(self, text: str) -> Iterator[str]:
         """A long text in parts, without the single space between letters at which it is cut."""
         at = 0
-        while len(text) - at > PART and self.words.split is GAP.split and (m := LETTERS.search(text, at + PART)):
+        while len(text) - at > PART and self.split is GAP.split and (m := LETTERS.search(text, at + PART)):
             yield text[at : m.start()]
             at = m.end()
         yield text[at:]
 
-    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        out = []
-        for words in self.words.learn(texts):
-            known = [self.words[w] for w in words]
-            out.append(([i for x, _ in known for i in x], [i for _, y in known for i in y]))
-        return out
+    def encoded(self, words: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            yield from zip(self.a.encode(part), self.b.encode(part), strict=True)
+
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text, all of them tokenised and cut into windows from now on."""
+        found = [self.split(t) for t in texts]
+        fresh = list(set(chain.from_iterable(found)).difference(self.words))
+        cuts = [self.cut(word, a, b) for word, (a, b) in zip(fresh, self.encoded(fresh), strict=True)]
+        numbers = iter(self.windows.number([w for c in cuts if c for w in c]))
+        self.words.update((word, tuple([next(numbers) for _ in c]) if c else None) for word, c in zip(fresh, cuts, strict=True))
+        return found
 
-    def cut(self, text: str, a: list[int], b: list[int]) -> list[int] | None:
-        """Numbers of the windows of a text; None if its bytes are not those of the tokens."""
-        whole = b" " + text.encode("utf-8", "surrogatepass")
-        if any(b"".join(map(v.tokens.__getitem__, ids)) != whole for v, ids in ((self.a, a), (self.b, b))):
+    def cut(self, word: str, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]] | None:
+        """Windows of a space and the word: cut at the anchors, ends of both token sequences before tokens that both begin with a space. None if
+        the tokens do not give back the bytes."""
+        whole = b" " + word.encode()
+        of_a, of_b = self.a.tokens, self.b.tokens
+        if b"".join([of_a[i] for i in a]) != whole or b"".join([of_b[i] for i in b]) != whole:
             return None
-        ends, marked = [], []
+        if b" " not in whole[1:]:  # no other token begins with a space
+            return [(tuple(a), tuple(b))]
+        marked = []
         for v, ids in ((self.a, a), (self.b, b)):
-            ids = np.array(ids, np.int64)
-            ends.append(np.cumsum(v.lengths[ids]))
-            marked.append(ends[-1][:-1][v.spaced[ids[1:]]])
-        anchors = np.intersect1d(*marked, assume_unique=True)
-        cuts = [[0, *(np.searchsorted(e, anchors) + 1).tolist(), len(ids)] for e, ids in zip(ends, (a, b), strict=True)]
-        known = self.windows
-        return [known[tuple(a[s:e]), tuple(b[u:v])] for s, e, u, v in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], strict=False)]
-
-    def document(self, text: str, known: tuple[list[int], list[int]] | None) -> tuple[int, int, str, array] | None:
-        """Tokens of either kind, digest of the groups, numbers of the windows."""
-        n_a, n_b, digest, windows = 0, 0, hashlib.sha256(), array("I")
-        for k, part in enumerate([text] if known else self.parts(text)):
-            a, b = known or self.tokens([part])[0]
-            found = self.cut(part, a, b)
-            if found is None:
+            ends = accumulate(len(v.tokens[i]) for i in ids)
+            marked.append({end: k for k, end in enumerate(ends, 1) if k < len(ids) and v.spaced[ids[k]]})
+        anchors = [(k, marked[1][end]) for end, k in marked[0].items() if end in marked[1]]
+        cuts = [(0, 0), *anchors, (len(a), len(b))]
+        return [(tuple(a[s:e]), tuple(b[u:v])) for (s, u), (e, v) in pairwise(cuts)]
+
+    def document(self, parts: Iterator[list[str]]) -> tuple[int, int, str, array] | None:
+        """Tokens of either kind, digest of the groups, numbers of the windows, of a text given as the words of its parts."""
+        digest, windows = hashlib.sha256(), array("I")
+        for k, words in enumerate(parts):
+            found = [self.words[w] for w in words]
+            if None in found:
                 return None
-            n_a, n_b = n_a + len(a), n_b + len(b)
-            digest.update(((";" if k else "") + ";".join(map(self.windows.groups.__getitem__, found))).encode())
+            found = list(chain.from_iterable(found))
+            digest.update(((";" if k else "") + ";".join([self.windows.groups[w] for w in found])).encode())
             windows.extend(found)
-        return n_a, n_b, digest.hexdigest(), windows
+        sizes = [self.windows.sizes[w] for w in windows]
+        return sum([x for x, _ in sizes]), sum([y for _, y in sizes]), digest.hexdigest(), windows
 
 
 _ROWS = "kind int, block long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, x binary, y binary, pair long, no long, n long"
@@ -221,10 +255,11 @@ class Block:
     def close(self, known: Windows) -> Iterator[pa.RecordBatch]:
         """Rows of the documents (x: their windows by number in the block, y: how often), of the pairs of each window (x: where they begin,
         y: their numbers in the block), and of the block's pairs."""
-        every = np.unique(np.concatenate([w for _, _, w, _ in self.rows])) if self.rows else np.empty(0, np.uint32)
-        links = [known.links[w] for w in every]
-        starts = np.concatenate(([0], np.cumsum([len(x) for x in links]))).astype(np.int64)
-        flat = np.fromiter((i for x in links for i in x), np.int64, int(starts[-1]))
+        every = np.unique(np.concatenate([w for _, _, w, _ in self.rows])).astype(np.int64)
+        begins = np.array(known.starts, np.int64)
+        n_links = begins[every + 1] - begins[every]
+        starts = np.concatenate(([0], np.cumsum(n_links))).astype(np.int64)
+        flat = np.array(known.links, np.int64)[np.repeat(begins[every] - starts[:-1], n_links) + np.arange(starts[-1])]
         pairs, numbers = np.unique(flat, return_inverse=True)
         times_of = np.zeros(len(every), np.int64)
         for at in range(0, len(self.rows), 1000):
@@ -259,15 +294,16 @@ def _align(a: bytes, b: bytes):
                     except UnicodeDecodeError:
                         texts.append("")
                 short = [bool(t) and len(t) <= PART for t in texts]
-                known = iter(aligner.tokens([t for t, ok in zip(texts, short, strict=True) if ok]))
+                known = iter(aligner.learn([t for t, ok in zip(texts, short, strict=True) if ok]))
                 for i, raw, t, ok in zip(ids, raws, texts, short, strict=True):
-                    block.add(i, len(raw or b""), aligner.document(t, next(known) if ok else None) if t else None)
-                if block.bytes >= BLOCK_BYTES or len(block.rows) >= BLOCK_ROWS or len(aligner.windows.groups) > REMEMBERED:
+                    words = iter([next(known)]) if ok else (aligner.learn([x])[0] for x in aligner.parts(t))
+                    block.add(i, len(raw or b""), aligner.document(words) if t else None)
+                if block.bytes >= BLOCK_BYTES or len(block.rows) >= BLOCK_ROWS or aligner.full:
                     yield from block.close(aligner.windows)
                     number += 1
                     block = Block(number)
-                    if len(aligner.windows.groups) > REMEMBERED:
-                        aligner.windows.forget()
+                    if aligner.full:
+                        aligner.forget()
         if block.rows:
             yield from block.close(aligner.windows)
 
@@ -327,21 +363,17 @@ def groups(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, piece_vocabu
                 for raw in batch.column("text").cast(pa.binary()).to_pylist():
                     found = []
                     try:
-                        for part in aligner.parts(raw.decode()) if raw else ():
-                            windows = aligner.cut(part, *aligner.tokens([part])[0])
-                            if windows is None:
-                                found = []
-                                break
-                            for w in windows:
-                                for g in aligner.windows.groups[w].split(";"):
-                                    x, y = g.split("|")
-                                    found.append({"a": [int(i) for i in x.split(",")], "b": [int(i) for i in y.split(",")]})
+                        done = aligner.document(aligner.learn([x])[0] for x in aligner.parts(raw.decode())) if raw else None
+                        for w in done[3] if done else ():
+                            for g in aligner.windows.groups[w].split(";"):
+                                x, y = g.split("|")
+                                found.append({"a": [int(i) for i in x.split(",")], "b": [int(i) for i in y.split(",")]})
                     except UnicodeDecodeError:
                         found = []
                     out.append(found)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "groups"])
-                if len(aligner.windows.groups) > REMEMBERED:
-                    aligner.windows.forget()
+                if aligner.full:
+                    aligner.forget()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, groups array<struct<a:array<int>,b:array<int>>>")
