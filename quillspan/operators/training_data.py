@@ -100,21 +100,6 @@ def sft_audit(records: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def preference_pairs(records: DataFrame) -> DataFrame:
-    """T4: 1 to 3 controlled rejections a record by decision type; chosen and rejected differ; ids from digests.
-
-    records: record_id, decision (tool, finish, recover), prompt, target (JSON text of an object), snapshot."""
-    make = lambda reason, text: F.struct(F.lit(reason).alias("reason"), text.alias("rejected"))
-    refuse = make("unneeded_refusal", F.lit('{"decision":"cannot_complete"}'))
-    early = make("premature_finish", F.lit('{"decision":"finish"}'))
-    altered = make("altered_arguments", F.concat(F.expr("substring(target, 1, length(target) - 1)"), F.lit(',"altered":true}')))
-    repeat = make("repeated_call", F.concat(F.lit('{"repeat":'), F.col("target"), F.lit("}")))
-    bad = make("bad_recovery", F.lit('{"decision":"retry_unchanged"}'))
-    options = F.when(F.col("decision") == "tool", F.array(refuse, altered, repeat)).when(F.col("decision") == "recover", F.array(bad, refuse)).otherwise(F.array(early, refuse))
-    e = records.withColumn("x", F.explode(options)).select("record_id", "prompt", F.col("target").alias("chosen"), "x.rejected", "x.reason", F.sha2("prompt", 256).alias("snapshot_sha256"))
-    return e.filter("chosen <> rejected").withColumn("pair_id", F.sha2(F.concat_ws("|", "record_id", "reason"), 256))
-
-
 def preference_audit(pairs: DataFrame) -> DataFrame:
     """T5: reason ('all' for all), n, duplicates, share of shorter chosen texts, mean length gap, and the least, median, 95 % (linear) and
     greatest length of chosen and of rejected texts."""
@@ -157,8 +142,8 @@ TERMINAL_KINDS = ("finish", "cannot_complete")
 
 
 def decision_kind(text: Column) -> Column:
-    """The ``decision`` of a candidate's JSON text; candidates without one are tool calls."""
-    return F.coalesce(F.get_json_object(text, "$.decision"), F.lit("tool"))
+    """The decision or recovery type of a candidate's JSON text; candidates without one are tool calls."""
+    return F.coalesce(F.get_json_object(text, "$.decision_type"), F.get_json_object(text, "$.recovery_type"), F.lit("tool"))
 
 
 def shortcut_audit(inputs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -311,7 +296,8 @@ def json_object(raw: Column) -> Column:
     return F.coalesce(F.when(is_object(first), first), F.when(is_object(second), second))
 
 
-UNSAFE = "(?i)rm -rf|os\\.system|subprocess|file://"
+# Texts that no action may hold.
+UNSAFE = r"(?i)shell|ffmpeg\s+-|powershell|cmd\.exe|/etc/|/root/|\.\.[\\/]"
 
 
 def score_rollouts(rollouts: DataFrame, kinds: list[str], terminal: tuple[str, ...] = ("finish", "cannot_complete", "cannot_recover")) -> DataFrame:

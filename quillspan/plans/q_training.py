@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.operators import contracts as C
 from quillspan.operators import training_data as T
 from quillspan.plans.registry import query
 
@@ -62,16 +63,76 @@ def t3_leaks(get):
     return T.sft_leaks(records(get), ("tion", "about", "ß"))
 
 
-PAIRED = """SELECT event_id AS record_id, CASE WHEN event_id % 3 = 0 THEN 'tool' WHEN event_id % 3 = 1 THEN 'recover' ELSE 'finish' END AS decision, concat('p', CAST(user_id AS STRING)) AS prompt, CASE WHEN event_id % 20 = 2 THEN '{{"decision":"finish"}}' ELSE props END AS target FROM {events}"""
-PREF = f"""
-b AS ({PAIRED}), o AS (SELECT *, unnest(CASE decision WHEN 'tool' THEN ['unneeded_refusal', 'altered_arguments', 'repeated_call'] WHEN 'recover' THEN ['bad_recovery', 'unneeded_refusal'] ELSE ['premature_finish', 'unneeded_refusal'] END) AS reason FROM b),
-x AS (SELECT record_id, prompt, target AS chosen, reason, CASE reason WHEN 'unneeded_refusal' THEN '{{{{"decision":"cannot_complete"}}}}' WHEN 'premature_finish' THEN '{{{{"decision":"finish"}}}}' WHEN 'bad_recovery' THEN '{{{{"decision":"retry_unchanged"}}}}'
-  WHEN 'altered_arguments' THEN left(target, length(target) - 1) || ',"altered":true}}}}' ELSE '{{{{"repeat":' || target || '}}}}' END AS rejected FROM o),
-pref AS (SELECT *, sha256(CAST(record_id AS VARCHAR) || '|' || reason) AS pair_id FROM x WHERE chosen <> rejected)"""
+def _braced(sql: str) -> str:
+    """« and » are the braces of JSON texts, doubled as table names stand in single ones."""
+    return sql.replace("«", "{{").replace("»", "}}")
+
+
+def _tool(name: str, arguments: str, more: str = "") -> str:
+    """SQL of the canonical text of a tool decision; ``more`` is a first field."""
+    return f"""concat('«{more}"decision_type":"tool","expected_observation":"e","rationale":"r","schema_version":"1.0","success_condition":"s","tool_call":«"arguments":', {arguments}, ',"schema_version":"1.0","tool_call_id":"c1","tool_name":"{name}"»»')"""
+
+
+def _times(start: str, length: str) -> str:
+    return f"""'«"end_ms":', CAST({start} + {length} AS STRING), ',"schema_version":"1.0","start_ms":', CAST({start} AS STRING), '»'"""
+
+
+_ID = "CAST(event_id AS STRING)"
+_STYLE = '«"alignment":"bottom","font_size":24,"outline_color":"black","schema_version":"1.0","text_color":"white"»'
+_CUE = lambda i, times: f"""'«"cue_id":"c{i}","schema_version":"1.0","text":"line {i}","time_range":', {times}, '»'"""
+# arguments made of the columns of events
+ARGUMENTS = {
+    "search_video": """concat('«"approximate_time_range":null,"query":"find ', event_type, '","required_evidence_types":["ocr"],"schema_version":"1.0","top_k":', CAST(event_id % 20 + 1 AS STRING), ',"video_id":null»')""",
+    "trim_video": f"""concat('«"input_artifact_id":"a', {_ID}, '","schema_version":"1.0","time_range":', {_times("event_id % 997", "1 + event_id % 40")}, '»')""",
+    "concat_videos": f"""concat('«"input_artifact_ids":["a', {_ID}, '","b', {_ID}, '"],"schema_version":"1.0"»')""",
+    "change_speed": f"""concat('«"input_artifact_id":"a', {_ID}, '","schema_version":"1.0","speed_factor":', CAST(event_id % 4 AS STRING), '.5»')""",
+    "add_subtitles": f"""concat('«"cues":[', {_CUE(1, _times("event_id % 50", "10"))}, ',', {_CUE(2, _times("event_id % 50 + 10", "5"))}, '],"input_artifact_id":"a', {_ID}, '","schema_version":"1.0","style":{_STYLE}»')""",
+    "reframe_video": f"""concat('«"fit":"crop","height":', CAST(64 + 2 * (event_id % 90) AS STRING), ',"input_artifact_id":"a', {_ID}, '","schema_version":"1.0","width":640»')""",
+    "validate_media": f"""concat('«"decode_entire_video":true,"input_artifact_id":"a', {_ID}, '","require_audio":', CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END, ',"schema_version":"1.0"»')""",
+}
+_FINISH = f"""concat('«"completion_summary":"done","decision_type":"finish","evidence_ids":["e1"],"output_artifact_id":"o', {_ID}, '","schema_version":"1.0"»')"""
+_GIVE_UP = """'«"attempted_action_ids":[],"decision_type":"cannot_complete","missing_evidence_or_capability":["sound"],"reason":"no sound","schema_version":"1.0"»'"""
+_RETRY = f"""concat('«"node_id":"n', {_ID}, '","preferred_capability":null,"reason":"again","recovery_type":"retry_current_node","schema_version":"1.0"»')"""
+_NO_RECOVERY = """'«"missing_evidence_or_capability":["none demonstrated"],"reason":"Refuse recovery although the observed failure is retryable.","recovery_type":"cannot_recover","schema_version":"1.0"»'"""
+_TARGETS = " ".join(f"WHEN event_id % 10 = {k} THEN {_tool(name, a)}" for k, (name, a) in enumerate(ARGUMENTS.items()))
+PAIRED = _braced(
+    f"""SELECT event_id AS record_id, CASE WHEN event_id % 10 = 8 THEN 'recover' ELSE 'decide' END AS operation, concat('p', CAST(user_id AS STRING)) AS prompt,
+  CASE {_TARGETS} WHEN event_id % 10 = 7 THEN {_FINISH} WHEN event_id % 20 = 8 THEN {_RETRY} WHEN event_id % 10 = 8 THEN {_NO_RECOVERY} ELSE {_GIVE_UP} END AS target FROM {{events}}"""
+)
+# the rejections, built from what a JSON reader finds in the chosen text
+_A = "chosen->>'$.tool_call.arguments."
+_INPUT = f"{_A}input_artifact_id'"
+_AGAIN = lambda times: f"""'«"end_ms":' || ({times}end_ms')::VARCHAR || ',"schema_version":"1.0","start_ms":' || ({times}start_ms')::VARCHAR || '»'"""
+_WRONG = f"""CASE chosen->>'$.tool_call.tool_name'
+  WHEN 'search_video' THEN '«"approximate_time_range":null,"query":"unrelated observable scene with a different entity and action","required_evidence_types":["ocr"],"schema_version":"1.0","top_k":1,"video_id":null»'
+  WHEN 'trim_video' THEN '«"input_artifact_id":"' || ({_INPUT}) || '","schema_version":"1.0","time_range":«"end_ms":' || (({_A}time_range.start_ms')::BIGINT + greatest(1, (({_A}time_range.end_ms')::BIGINT - ({_A}time_range.start_ms')::BIGINT) // 2))::VARCHAR
+    || ',"schema_version":"1.0","start_ms":' || ({_A}time_range.start_ms') || '»»'
+  WHEN 'concat_videos' THEN '«"input_artifact_ids":["' || ({_A}input_artifact_ids[1]') || '","' || ({_A}input_artifact_ids[0]') || '"],"schema_version":"1.0"»'
+  WHEN 'change_speed' THEN '«"input_artifact_id":"' || ({_INPUT}) || '","schema_version":"1.0","speed_factor":' || CASE WHEN ({_A}speed_factor')::DOUBLE >= 1 THEN '0.5' ELSE '2.0' END || '»'
+  WHEN 'add_subtitles' THEN '«"cues":[«"cue_id":"c1","schema_version":"1.0","text":"incorrect controlled subtitle","time_range":' || {_AGAIN(f"{_A}cues[0].time_range.")} || '»,«"cue_id":"c2","schema_version":"1.0","text":"line 2","time_range":'
+    || {_AGAIN(f"{_A}cues[1].time_range.")} || '»],"input_artifact_id":"' || ({_INPUT}) || '","schema_version":"1.0","style":{_STYLE}»'
+  WHEN 'reframe_video' THEN '«"fit":"crop","height":' || ({_A}width') || ',"input_artifact_id":"' || ({_INPUT}) || '","schema_version":"1.0","width":' || ({_A}height') || '»'
+  ELSE '«"decode_entire_video":true,"input_artifact_id":"' || ({_INPUT}) || '","require_audio":' || CASE {_A}require_audio' WHEN 'true' THEN 'false' ELSE 'true' END || ',"schema_version":"1.0"»' END"""
+_WRONG_TOOL = f"""'«"decision_type":"tool","expected_observation":"A real ToolObservation for the wrong behavior.","rationale":"Controlled schema-valid action that violates an observable task constraint.","schema_version":"1.0","success_condition":"The unrelated or altered constraint is applied.","tool_call":«"arguments":'
+  || ({_WRONG}) || ',"schema_version":"1.0","tool_call_id":"c1","tool_name":"' || (chosen->>'$.tool_call.tool_name') || '"»»'"""
+_REFUSAL = """'«"attempted_action_ids":[],"decision_type":"cannot_complete","missing_evidence_or_capability":["none established by observable state"],"reason":"Stop despite an executable public plan and available typed tools; this is a controlled premature refusal rather than a missing-capability conclusion.","schema_version":"1.0"»'"""
+_EARLY = """'«"completion_summary":"Claim completion before the required observable editing and validation criteria have been satisfied.","decision_type":"finish","evidence_ids":["unsupported-premature-evidence"],"output_artifact_id":"unverified-premature-artifact","schema_version":"1.0"»'"""
+_REPEATED = """'«"decision_type":"tool","expected_observation":"The same observable validation result repeats.","rationale":"Repeat a completed validation even though runtime completion criteria are already satisfied and no new evidence can be gained.","schema_version":"1.0","success_condition":"No new completion evidence is added.","tool_call":«"arguments":«"decode_entire_video":true,"input_artifact_id":"'
+  || (chosen->>'$.output_artifact_id') || '","require_audio":false,"schema_version":"1.0"»,"schema_version":"1.0","tool_call_id":"controlled-repeat-validation","tool_name":"validate_media"»»'"""
+_UNRELATED = """'«"node_id":"unrelated-' || coalesce(chosen->>'$.node_id', chosen->>'$.affected_node_id', 'active-node') || '","preferred_capability":null,"reason":"Retry an unrelated node and produce no useful local state change.","recovery_type":"retry_current_node","schema_version":"1.0"»'"""
+PREF = _braced(
+    f"""
+b AS (SELECT record_id, prompt, target AS chosen, operation FROM ({PAIRED})),
+o AS (SELECT *, unnest(CASE WHEN operation = 'recover' THEN ['invalid_recovery 0', 'invalid_recovery 1'] WHEN chosen->>'$.decision_type' = 'tool' THEN ['premature_refusal 0', 'premature_finish 1', 'wrong_tool_or_arguments 2']
+  WHEN chosen->>'$.decision_type' = 'finish' THEN ['premature_refusal 0', 'repeated_action 1'] ELSE ['premature_finish 0'] END) AS r FROM b),
+x AS (SELECT record_id, prompt, chosen, split_part(r, ' ', 1) AS reason, split_part(r, ' ', 2) AS nth, CASE r WHEN 'invalid_recovery 0' THEN {_NO_RECOVERY} WHEN 'invalid_recovery 1' THEN {_UNRELATED} ELSE CASE split_part(r, ' ', 1)
+  WHEN 'premature_refusal' THEN {_REFUSAL} WHEN 'premature_finish' THEN {_EARLY} WHEN 'repeated_action' THEN {_REPEATED} ELSE {_WRONG_TOOL} END END AS rejected FROM o),
+pref AS (SELECT *, sha256(CAST(record_id AS VARCHAR) || '|' || reason || '|' || nth) AS pair_id FROM x WHERE chosen <> rejected)"""
+)
 
 
 def pairs(get):
-    return T.preference_pairs(get(PAIRED))
+    return C.typed_rejections(get(PAIRED))
 
 
 @query("t4_preference_pairs", f"WITH {PREF} SELECT pair_id, record_id, reason, sha256(chosen) AS chosen, sha256(rejected) AS rejected, sha256(prompt) AS snapshot_sha256 FROM pref")
@@ -79,6 +140,68 @@ def t4(get):
     return pairs(get).select("pair_id", "record_id", "reason", F.sha2("chosen", 256).alias("chosen"), F.sha2("rejected", 256).alias("rejected"), "snapshot_sha256")
 
 
+@query("t4_rejections_valid", f"WITH {PREF} SELECT reason, count(*) AS n, 0 AS invalid FROM pref GROUP BY reason")
+def t4_valid(get):
+    """Every rejection is a valid decision of its target's own contract."""
+    contract = F.when(F.col("reason") == "invalid_recovery", "recovery_decision").otherwise("policy_decision")
+    p = C.with_validity(pairs(get).select("reason", F.try_parse_json("rejected").alias("v"), contract.alias("contract")))
+    return p.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("valid")).alias("invalid"))
+
+
+# actions of which some break their contract
+_BROKEN = [
+    _tool("trim_video", ARGUMENTS["trim_video"]),
+    _tool("trim_video", f"""concat('«"input_artifact_id":"a', {_ID}, '","time_range":', {_times("event_id % 9", "event_id % 3 - 1")}, '»')"""),
+    _tool("validate_media", ARGUMENTS["validate_media"], '"junk":5,'),
+    _tool("reframe_video", f"""concat('«"height":', CAST(60 + event_id % 9 AS STRING), ',"input_artifact_id":"a', {_ID}, '","width":"640"»')"""),
+    _FINISH,
+    f"""concat('«"completion_summary":" ","decision_type":"finish","evidence_ids":["e1"],"output_artifact_id":"o', {_ID}, '"»')""",
+    _RETRY,
+    _tool("change_speed", f"""concat('«"input_artifact_id":"a', {_ID}, '","speed_factor":', CAST((event_id % 50) AS STRING), 'e-1»')"""),
+    f"""concat('text ', {_tool("search_video", ARGUMENTS["search_video"])}, ' end')""",
+    """concat('powershell /etc/', event_type)""",
+    _tool("concat_videos", f"""concat('«"input_artifact_ids":["a', {_ID}, '","a', CAST(event_id + event_id % 3 AS STRING), '"]»')"""),
+]
+_RAW = "CASE " + " ".join(f"WHEN event_id % 11 = {k} THEN {x}" for k, x in enumerate(_BROKEN)) + " END"
+ACTED = _braced(
+    f"""SELECT event_id, event_id AS rollout_id, user_id AS sample_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, {_RAW} AS raw, {_tool("trim_video", ARGUMENTS["trim_video"])} AS expected,
+  CASE WHEN event_id % 5 = 0 THEN 'recovery_decision' ELSE 'policy_decision' END AS contract, CASE WHEN event_id % 5 = 0 THEN 'recover' WHEN event_id % 5 = 1 THEN 'replan' ELSE 'decide' END AS operation FROM {{events}}"""
+)
+# what a JSON reader finds in each action, and the rules of the contract that its decision names
+_ARG = lambda name: f"(j->>'$.tool_call.arguments.{name}')"
+_KNOWN = lambda path, names: f"list_has_all([{', '.join(repr(n) for n in (*names, 'schema_version'))}], json_keys(j, '{path}'))"
+JUDGED = f"""act AS ({ACTED}), js AS (SELECT *, CASE WHEN json_valid(raw) THEN raw WHEN json_valid(regexp_extract(raw, '(?s)\\{{{{.*\\}}}}')) AND regexp_extract(raw, '(?s)\\{{{{.*\\}}}}') <> '' THEN regexp_extract(raw, '(?s)\\{{{{.*\\}}}}') END AS j FROM act),
+jt AS (SELECT *, coalesce(j->>'$.decision_type', j->>'$.recovery_type') AS kind, j->>'$.tool_call.tool_name' AS tool FROM js),
+jv AS (SELECT *, j IS NOT NULL AND CASE WHEN contract = 'recovery_decision' THEN coalesce(kind = 'retry_current_node' AND {_KNOWN("$", ("recovery_type", "node_id", "reason", "preferred_capability"))}, false)
+  WHEN kind = 'finish' THEN trim(j->>'$.completion_summary') <> '' AND json_array_length(j, '$.evidence_ids') > 0
+  WHEN kind = 'tool' THEN {_KNOWN("$", ("decision_type", "expected_observation", "rationale", "success_condition", "tool_call"))} AND CASE tool
+    WHEN 'trim_video' THEN {_ARG("time_range.start_ms")}::BIGINT < {_ARG("time_range.end_ms")}::BIGINT AND {_ARG("time_range.end_ms")}::BIGINT > 0
+    WHEN 'reframe_video' THEN {_ARG("height")}::BIGINT BETWEEN 64 AND 4096 AND {_ARG("height")}::BIGINT % 2 = 0 AND {_ARG("width")}::BIGINT % 2 = 0
+    WHEN 'change_speed' THEN {_ARG("speed_factor")}::DOUBLE > 0.24 AND {_ARG("speed_factor")}::DOUBLE <= 4
+    WHEN 'concat_videos' THEN {_ARG("input_artifact_ids[0]")} <> {_ARG("input_artifact_ids[1]")}
+    ELSE true END
+  ELSE false END AS ok FROM jt),
+js2 AS (SELECT *, regexp_matches(raw, '(?i)shell|ffmpeg\\s+-|powershell|cmd\\.exe|/etc/|/root/|\\.\\.[\\\\/]') AS unsafe, coalesce(tool, kind) = 'trim_video' AS same_tool, kind = 'tool' AS same_kind, ok AND raw = expected AS exact,
+  CASE WHEN tool = 'trim_video' THEN (SELECT sum(coalesce((json_extract(j, '$.tool_call.arguments.' || k) = json_extract(expected, '$.tool_call.arguments.' || k))::INT, 0)) / 3.0 FROM (SELECT unnest(['input_artifact_id', 'schema_version', 'time_range']) AS k)) END AS alike FROM jv)"""
+
+
+@query("t2_contract_errors", f"WITH {JUDGED} SELECT rollout_id AS record_id, CASE WHEN NOT (ok AND raw = j) THEN 'not_a_decision' WHEN operation = 'replan' THEN 'replan_expected' END AS rule FROM jv WHERE NOT (ok AND raw = j) OR operation = 'replan'".replace("WHERE NOT (ok AND raw = j)", "WHERE NOT coalesce(ok AND raw = j, false)").replace("CASE WHEN NOT (ok AND raw = j)", "CASE WHEN NOT coalesce(ok AND raw = j, false)"))
+def t2_contracts(get):
+    """Targets that are no valid decision of their operation."""
+    return C.contract_errors(get(ACTED).select(F.col("rollout_id").alias("record_id"), "operation", F.col("raw").alias("target")))
+
+
+@query(
+    "t13_contract_rewards",
+    f"""WITH {JUDGED} SELECT rollout_id, n, coalesce(ok, false) AS valid, coalesce(exact, false) AS exact, round(CASE WHEN n > 0 THEN CASE WHEN unsafe THEN -3.0 ELSE -1.0 END ELSE
+    CASE WHEN ok THEN 0.25 ELSE -1.25 END + CASE WHEN same_kind THEN 0.4 ELSE 0 END + CASE WHEN same_tool THEN 0.6 + 0.5 * alike ELSE 0 END + CASE WHEN exact THEN 1.25 WHEN ok AND same_tool THEN 0.25 ELSE 0 END
+    + CASE WHEN kind = 'finish' THEN -0.75 ELSE 0 END + CASE WHEN unsafe THEN -2.0 ELSE 0 END END, 9)::DOUBLE AS total FROM js2""",
+)
+def t13_contracts(get):
+    """Rewards of completions under the contract of their row."""
+    return C.score_actions(get(ACTED)).select("rollout_id", "n", "valid", "exact", "total")
+
+
 _PA = "count(*) AS n, count(*) - count(DISTINCT prompt || chr(31) || chosen || chr(31) || rejected) AS duplicates, round(avg((length(chosen) < length(rejected))::INT), 9) AS chosen_shorter, round(avg(length(chosen) - length(rejected)), 9) AS mean_gap, min(length(chosen)) AS chosen_min, median(length(chosen)) AS chosen_median, round(quantile_cont(length(chosen), 0.95), 9) AS chosen_p95, max(length(chosen)) AS chosen_max, min(length(rejected)) AS rejected_min, median(length(rejected)) AS rejected_median, round(quantile_cont(length(rejected), 0.95), 9) AS rejected_p95, max(length(rejected)) AS rejected_max"
 
 
@@ -99,17 +222,17 @@ def t6(get):
 
 @query(
     "t6_reward_check",
-    f"""WITH {SIDES}, i AS (SELECT input_id FROM rm), l AS (SELECT input_id, reason FROM rm WHERE reason <> 'bad_recovery' UNION ALL SELECT input_id, reason FROM rm WHERE reason = 'premature_finish')
+    f"""WITH {SIDES}, i AS (SELECT input_id FROM rm), l AS (SELECT input_id, reason FROM rm WHERE reason <> 'invalid_recovery' UNION ALL SELECT input_id, reason FROM rm WHERE reason = 'premature_finish')
     SELECT 'without_label' AS "check", '' AS value, count(*) AS n FROM i WHERE input_id NOT IN (SELECT input_id FROM l) UNION ALL SELECT 'without_input', '', 0 UNION ALL SELECT 'repeated_input', '', count(*) FROM (SELECT 1 FROM i GROUP BY input_id HAVING count(*) > 1)
     UNION ALL SELECT 'repeated_label', '', count(*) FROM (SELECT 1 FROM l GROUP BY input_id HAVING count(*) > 1) UNION ALL SELECT 'class', reason, count(*) FROM l GROUP BY reason""",
 )
 def t6_check(get):
     """Labels of which one class is left out and another stands twice."""
     i, lab = T.reward_tables(pairs(get))
-    return T.reward_check(i, lab.filter("reason <> 'bad_recovery'").unionByName(lab.filter("reason = 'premature_finish'")))
+    return T.reward_check(i, lab.filter("reason <> 'invalid_recovery'").unionByName(lab.filter("reason = 'premature_finish'")))
 
 
-_KINDS = f"""{SIDES}, ty AS (SELECT *, coalesce(CASE WHEN json_valid(a) THEN json_extract_string(a, '$.decision') END, 'tool') AS ka, coalesce(CASE WHEN json_valid(b) THEN json_extract_string(b, '$.decision') END, 'tool') AS kb FROM rm),
+_KINDS = f"""{SIDES}, ty AS (SELECT *, coalesce(a->>'$.decision_type', a->>'$.recovery_type', 'tool') AS ka, coalesce(b->>'$.decision_type', b->>'$.recovery_type', 'tool') AS kb FROM rm),
 gu AS (SELECT side, ka, kb, CASE WHEN length(b) < length(a) THEN 'b' ELSE 'a' END AS shorter, CASE WHEN length(b) > length(a) THEN 'b' ELSE 'a' END AS longer, 'a' AS always_a, CASE WHEN ka NOT IN ('finish', 'cannot_complete') AND kb IN ('finish', 'cannot_complete') THEN 'a' WHEN ka IN ('finish', 'cannot_complete') AND kb NOT IN ('finish', 'cannot_complete') THEN 'b' END AS nonterminal,
   CASE WHEN ka = 'tool' AND kb <> 'tool' THEN 'a' WHEN ka <> 'tool' AND kb = 'tool' THEN 'b' END AS tool FROM ty)"""
 _GUESSES = " UNION ALL ".join(f"SELECT '{h}' AS heuristic, round(avg(({h} = side)::INT), 9) AS accuracy, coalesce(sum(({h} = side)::INT), 0)::BIGINT AS n_right, count({h}) AS n FROM gu" for h in ("shorter", "longer", "always_a", "nonterminal", "tool"))
@@ -222,7 +345,7 @@ def t11_rules(get):
 
 ROLL = """SELECT event_id AS rollout_id, user_id AS sample_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n,
   CASE WHEN event_id % 6 = 0 THEN 'not json' WHEN event_id % 6 = 1 THEN '{{"decision_type":"finish"}}' WHEN event_id % 6 = 2 THEN 'text {{"arguments":{{"x":"1"}},"decision_type":"tool","name":"trim"}} end' WHEN event_id % 6 = 3 THEN '{{"arguments":{{"x":"1","y":"2"}},"decision_type":"tool","name":"trim"}}'
-    WHEN event_id % 6 = 4 THEN '{{"decision_type":"odd","name":"trim"}}' ELSE '{{"arguments":{{"x":"file://"}},"decision_type":"tool","name":"cut"}}' END AS raw,
+    WHEN event_id % 6 = 4 THEN '{{"decision_type":"odd","name":"trim"}}' ELSE '{{"arguments":{{"x":"/etc/pw"}},"decision_type":"tool","name":"cut"}}' END AS raw,
   '{{"arguments":{{"x":"1","y":"2"}},"decision_type":"tool","name":"trim"}}' AS expected FROM {events}"""
 _TOTALS = "CASE WHEN n > 0 THEN CASE WHEN event_id % 6 = 5 THEN -3.0 ELSE -1.0 END ELSE CASE event_id % 6 WHEN 0 THEN -1.25 WHEN 1 THEN 0.25 - 0.75 WHEN 2 THEN 0.25 + 0.4 + 0.6 + 0.25 + 0.25 WHEN 3 THEN 0.25 + 0.4 + 0.6 + 0.5 + 1.25 WHEN 4 THEN 0.6 - 1.25 ELSE 0.25 + 0.4 - 2.0 END END"
 TOTALS = f"SELECT event_id AS rollout_id, user_id AS sample_id, n, ({_TOTALS})::DOUBLE AS total, event_id % 6 NOT IN (0, 4) AS valid FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM {{events}})"
