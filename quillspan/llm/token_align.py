@@ -128,7 +128,7 @@ class Windows:
     def forget(self) -> None:
         self.numbers: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
         self.groups: list[str] = []
-        self.sizes: list[tuple[int, int]] = []
+        self.sizes = array("q"), array("q")  # of each window: its ids on either side
         self.starts, self.links = array("q", [0]), array("q")  # of each window: where its links begin; id of a << 32 | id of b
 
     def number(self, keys: list[tuple[tuple[int, ...], tuple[int, ...]]]) -> list[int]:
@@ -156,7 +156,8 @@ class Windows:
         line = np.concatenate(codes)[np.argsort(np.concatenate(order), kind="stable")]
         text = "".join([self.pieces[c] for c in line.tolist()])
         self.groups += text.split("\n")[:-1]
-        self.sizes += zip(*(c.tolist() for c in count), strict=True)
+        for sizes, c in zip(self.sizes, count, strict=True):
+            sizes.extend(c.tolist())
         self.starts.extend((self.starts[-1] + np.flatnonzero(window_end) + 1).tolist())
         self.links.frombytes((flat[0][last_a] << 32 | flat[1][last_b]).tobytes())
 
@@ -195,11 +196,25 @@ class Aligner:
         """The words of each text, all of them tokenised and cut into windows from now on."""
         found = [self.split(t) for t in texts]
         fresh = list(set(chain.from_iterable(found)).difference(self.words))
-        cuts = [self.cut(word, a, b) for word, (a, b) in zip(fresh, self.encoded(fresh), strict=True)]
+        tokens = list(self.encoded(fresh))
+        plain = self.all_verified(fresh, tokens)
+        cuts = [[(tuple(a), tuple(b))] if plain and " " not in word else self.cut(word, a, b) for word, (a, b) in zip(fresh, tokens, strict=True)]
         numbers = iter(self.windows.number([w for c in cuts if c for w in c]))
         self.words.update((word, tuple([next(numbers) for _ in c]) if c else None) for word, c in zip(fresh, cuts, strict=True))
         return found
 
+    def all_verified(self, words: list[str], tokens: list[tuple[list[int], list[int]]]) -> bool:
+        """Whether the tokens of all words give back a space and the word, on both sides: the joined bytes are the same, and so is each length."""
+        wholes = [b" " + w.encode() for w in words]
+        joined, lengths = b"".join(wholes), np.array([len(w) for w in wholes], np.int64)
+        for side, v in enumerate((self.a, self.b)):
+            flat = list(chain.from_iterable([t[side] for t in tokens]))
+            ends = np.concatenate(([0], np.cumsum(v.lengths[np.array(flat, np.int64)])))
+            upto = np.concatenate(([0], np.cumsum([len(t[side]) for t in tokens]))).astype(np.int64)
+            if not np.array_equal(np.diff(ends[upto]), lengths) or b"".join([v.tokens[i] for i in flat]) != joined:
+                return False
+        return True
+
     def cut(self, word: str, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]] | None:
         """Windows of a space and the word: cut at the anchors, ends of both token sequences before tokens that both begin with a space. None if
         the tokens do not give back the bytes."""
@@ -217,8 +232,8 @@ class Aligner:
         cuts = [(0, 0), *anchors, (len(a), len(b))]
         return [(tuple(a[s:e]), tuple(b[u:v])) for (s, u), (e, v) in pairwise(cuts)]
 
-    def document(self, parts: Iterator[list[str]]) -> tuple[int, int, str, array] | None:
-        """Tokens of either kind, digest of the groups, numbers of the windows, of a text given as the words of its parts."""
+    def document(self, parts: Iterator[list[str]]) -> tuple[str, array] | None:
+        """Digest of the groups and numbers of the windows of a text, given as the words of its parts."""
         digest, windows = hashlib.sha256(), array("I")
         for k, words in enumerate(parts):
             found = [self.words[w] for w in words]
@@ -227,8 +242,7 @@ class Aligner:
             found = list(chain.from_iterable(found))
             digest.update(((";" if k else "") + ";".join([self.windows.groups[w] for w in found])).encode())
             windows.extend(found)
-        sizes = [self.windows.sizes[w] for w in windows]
-        return sum([x for x, _ in sizes]), sum([y for _, y in sizes]), digest.hexdigest(), windows
+        return digest.hexdigest(), windows
 
 
 _ROWS = "kind int, block long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, x binary, y binary, pair long, no long, n long"
@@ -247,10 +261,10 @@ class Block:
     def __init__(self, number: int):
         self.number, self.bytes, self.rows = number, 0, []
 
-    def add(self, doc_id, size: int, found: tuple[int, int, str, array] | None) -> None:
+    def add(self, doc_id, size: int, found: tuple[str, array] | None) -> None:
         self.bytes += size
-        windows, times = np.unique(np.frombuffer(found[3], np.uint32) if found else np.empty(0, np.uint32), return_counts=True)
-        self.rows.append((doc_id, found, windows, times))
+        windows, times = np.unique(np.frombuffer(found[1], np.uint32) if found else np.empty(0, np.uint32), return_counts=True)
+        self.rows.append((doc_id, found[0] if found else "", windows, times))
 
     def close(self, known: Windows) -> Iterator[pa.RecordBatch]:
         """Rows of the documents (x: their windows by number in the block, y: how often), of the pairs of each window (x: where they begin,
@@ -258,17 +272,19 @@ class Block:
         every = np.unique(np.concatenate([w for _, _, w, _ in self.rows])).astype(np.int64)
         begins = np.array(known.starts, np.int64)
         n_links = begins[every + 1] - begins[every]
+        sizes = [np.array(x, np.int64)[every] for x in known.sizes]
         starts = np.concatenate(([0], np.cumsum(n_links))).astype(np.int64)
         flat = np.array(known.links, np.int64)[np.repeat(begins[every] - starts[:-1], n_links) + np.arange(starts[-1])]
         pairs, numbers = np.unique(flat, return_inverse=True)
         times_of = np.zeros(len(every), np.int64)
         for at in range(0, len(self.rows), 1000):
             part, docs = self.rows[at : at + 1000], []
-            for doc_id, found, windows, times in part:
+            for doc_id, digest, windows, times in part:
                 w = np.searchsorted(every, windows)
                 times_of[w] += times
                 n_groups = int(((starts[w + 1] - starts[w]) * times).sum())
-                docs.append((doc_id, *(found[:2] if found else (0, 0)), n_groups, found[2] if found else "", w.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes()))
+                n_a, n_b = (int((x[w] * times).sum()) for x in sizes)
+                docs.append((doc_id, n_a, n_b, n_groups, digest, w.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes()))
             cols = dict(zip(("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "x", "y"), map(list, zip(*docs, strict=True)), strict=True))
             yield _columns(len(part), kind=[DOC] * len(part), block=[self.number] * len(part), **cols)
         yield _columns(1, kind=[DICTIONARY], block=[self.number], x=[starts.astype(np.uint32).tobytes()], y=[numbers.astype(np.uint32).tobytes()])
@@ -278,9 +294,21 @@ class Block:
             yield _columns(len(p), kind=np.full(len(p), PAIR, np.int32), block=np.full(len(p), self.number), pair=p, no=np.arange(at, at + len(p)), n=n[at : at + len(p)])
 
 
+_loaded: dict[bytes, Aligner] = {}
+
+
+def _aligner(a: bytes, b: bytes) -> Aligner:
+    """The vocabularies as this worker process holds them: loaded once, not once a task."""
+    key = hashlib.sha256(a + b).digest()
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Aligner(a, b)
+    return _loaded[key]
+
+
 def _align(a: bytes, b: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a, b)
+        aligner = _aligner(a, b)
         number = TaskContext.get().partitionId() << 32
         block = Block(number)
         for whole in batches:
@@ -355,7 +383,7 @@ def groups(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, piece_vocabu
     a, b = Path(byte_vocabulary).read_bytes(), Path(piece_vocabulary).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a, b)
+        aligner = _aligner(a, b)
         kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
         for whole in batches:
             for at in range(0, whole.num_rows, 20):
@@ -364,7 +392,7 @@ def groups(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, piece_vocabu
                     found = []
                     try:
                         done = aligner.document(aligner.learn([x])[0] for x in aligner.parts(raw.decode())) if raw else None
-                        for w in done[3] if done else ():
+                        for w in done[1] if done else ():
                             for g in aligner.windows.groups[w].split(";"):
                                 x, y = g.split("|")
                                 found.append({"a": [int(i) for i in x.split(",")], "b": [int(i) for i in y.split(",")]})
