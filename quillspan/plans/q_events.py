@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillspan.operators import event_log as E
-from quillspan.plans.registry import ORACLE, QUERIES, query
+from quillspan.plans.registry import ORACLE, QUERIES, adapt, query
 from quillspan.plans.scratch import scratch_root
 from quillspan.streaming import guards
 
@@ -154,3 +154,47 @@ ORACLE["st2_order_guard"] = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run
   FROM events WHERE event_id > 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
   SELECT run_id, event_id, CASE WHEN ended THEN 'after_terminal' ELSE 'gap' END AS violation FROM e WHERE ended OR event_id <> last + 1 UNION ALL SELECT run_id, event_id, 'over_budget' FROM e WHERE used > 100
   UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, 'duplicate' FROM events WHERE event_id = 0"""
+
+
+def _arrivals(spark, events, arrival, last=None):
+    """The rows of ``events`` in three arrivals, cut at thirds of the number ``arrival``, and ``last`` in a fourth, each taken up by the stream before
+    the next one comes: the folder that they are written to, and a function that runs a stream of it to its end so far."""
+    root = f"{scratch_root(spark)}/quillspan/stream-{uuid.uuid4().hex}"
+    dated = events.withColumn("__arrival", arrival.cast("double"))
+    low, high = dated.approxQuantile("__arrival", [1 / 3, 2 / 3], 0.01) or (0.0, 0.0)
+    at = F.col("__arrival")
+    parts = [dated.filter(at <= low), dated.filter((at > low) & (at <= high)), dated.filter(at > high)]
+    parts = [p.drop("__arrival") for p in parts] + ([last] if last is not None else [])
+
+    def run(build):
+        for p in parts:
+            p.write.mode("append").parquet(f"{root}/in")
+            out = guards.run_once(build(spark.readStream.schema(events.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/checkpoint")
+        return out
+
+    return run
+
+
+def st3(spark, sf_dir):
+    """No-gain alerts of a stream that comes in three micro batches; equal to W4."""
+    calls = adapt(spark, sf_dir, EDITS.replace("event_type,", "ts, event_type,"))
+    calls = guards.timestamps(calls, "ts").select(F.col("run_id").cast("string"), "event_id", "ts", F.col("event_type").alias("fingerprint"), F.col("artifact").cast("string"), F.col("verification").cast("string"))
+    run = _arrivals(spark, calls, F.col("event_id"))
+    return run(lambda s: guards.no_gain_alerts(s, 2, ttl_minutes=10**7, delay="3650 days")).select("event_id", "version", "no_gain")
+
+
+def st4(spark, sf_dir):
+    """Order audit of a stream whose events come up to four hours late, over micro batches; equal to the audit of the sorted log."""
+    events = guards.timestamps(adapt(spark, sf_dir, "SELECT * FROM {events}"), "ts")
+    kind = F.when(F.col("event_id") % 97 == 0, "terminal").otherwise("step")
+    log = events.select(F.col("user_id").cast("string").alias("run_id"), "event_id", "ts", F.col("event_id").alias("sequence_no"), kind.alias("kind"), (F.col("event_id") % 7).alias("delta"))
+    end = log.agg(F.max("ts").alias("ts")).select(F.lit("end of stream").alias("run_id"), F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(1).cast("long").alias("sequence_no"), F.lit("step").alias("kind"), F.lit(0).cast("long").alias("delta"))
+    run = _arrivals(spark, log, F.unix_timestamp("ts") + F.col("event_id") % 5 * 3600, end.select(log.columns))
+    out = run(lambda s: guards.ordered_audit(s, 100, ttl_minutes=10**7, delay="6 hours"))
+    return out.filter("event_id >= 0").select("run_id", "event_id", "violation")
+
+
+QUERIES["st3_no_gain_alerts"] = st3
+QUERIES["st4_late_events"] = st4
+ORACLE["st3_no_gain_alerts"] = f"SELECT event_id, version, no_gain FROM ({ORACLE['w4_no_gain_edits']}) WHERE alert"
+ORACLE["st4_late_events"] = ORACLE["st2_order_guard"]

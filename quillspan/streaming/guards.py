@@ -1,6 +1,7 @@
 """Online guards over an event stream (ST1, ST2).
 
-Both hold a few numbers a key in Spark's state store. A watermark on the event time bounds the state: a
+They hold a few numbers a key in Spark's state store; ``no_gain_alerts`` holds what a run has seen, and ``ordered_audit`` the events that may still be
+overtaken. A watermark on the event time bounds the state: a
 run that stays silent for ``ttl_minutes`` of event time is forgotten, and events later than the watermark are dropped by
 Spark. The policy for late events is ours; the batch forms are ``event_log.nth_repeat`` and ``event_log.audit_log``.
 """
@@ -19,6 +20,16 @@ ALERTS = "run_id string, event_id long, fingerprint string, occurrence long"
 GUARD = "run_id string, event_id long, violation string"
 
 
+def _dated(stream: DataFrame, delay: str) -> DataFrame:
+    """The stream with its watermark, and the event time in milliseconds as ``at``."""
+    return stream.withWatermark("ts", delay).withColumn("at", F.unix_millis("ts"))
+
+
+def _silent(state: GroupState, latest: int, ttl_minutes: int) -> int:
+    """When a key is forgotten: counted from its latest event, as the watermark of a first micro batch is not known yet."""
+    return max(int(latest), state.getCurrentWatermarkMs()) + ttl_minutes * 60_000
+
+
 def repeat_alerts(stream: DataFrame, limit: int, ttl_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
     """ST1: an alert for each event whose fingerprint occurred more than ``limit`` times in its run.
 
@@ -30,15 +41,16 @@ def repeat_alerts(stream: DataFrame, limit: int, ttl_minutes: int = 60, delay: s
             state.remove()
             return
         (seen,) = state.get if state.exists else (0,)
+        frames = list(frames)
         ids = np.sort(np.concatenate([f["event_id"].to_numpy() for f in frames]))
         state.update((seen + len(ids),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + ttl_minutes * 60_000)
+        state.setTimeoutTimestamp(_silent(state, max(f["at"].max() for f in frames), ttl_minutes))
         occurrence = seen + 1 + np.arange(len(ids))
         late = occurrence > limit
         if late.any():
             yield pd.DataFrame({"run_id": key[0], "event_id": ids[late], "fingerprint": key[1], "occurrence": occurrence[late]})
 
-    return stream.withWatermark("ts", delay).groupBy("run_id", "fingerprint").applyInPandasWithState(update, ALERTS, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _dated(stream, delay).groupBy("run_id", "fingerprint").applyInPandasWithState(update, ALERTS, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def order_guard(stream: DataFrame, budget: int, ttl_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
@@ -67,12 +79,91 @@ def order_guard(stream: DataFrame, budget: int, ttl_minutes: int = 60, delay: st
             "over_budget": fresh & (spent > budget),
         }
         state.update((int(highest[-1]), int(spent[-1]), bool(ended or ends.any())))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + ttl_minutes * 60_000)
+        state.setTimeoutTimestamp(_silent(state, batch["at"].max(), ttl_minutes))
         rows = [pd.DataFrame({"run_id": key[0], "event_id": ids[hit], "violation": name}) for name, hit in found.items() if hit.any()]
         if rows:
             yield pd.concat(rows)
 
-    return stream.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(update, GUARD, "last long, used long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return _dated(stream, delay).groupBy("run_id").applyInPandasWithState(update, GUARD, "last long, used long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+NO_GAIN = "run_id string, event_id long, fingerprint string, version long, no_gain long"
+AUDIT = "run_id string, event_id long, sequence_no long, violation string"
+
+
+def no_gain_alerts(stream: DataFrame, limit: int, ttl_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
+    """ST1 for W4: an alert for each edit that repeats an earlier one of its run ``limit`` times or more in a row without new information.
+
+    stream: run_id string, event_id long, ts timestamp, fingerprint string, artifact string, verification string. The information version is the
+    number of distinct artifacts and of distinct verifications of the run so far; the run is the key, and its state the sets of both and, for each
+    fingerprint, the last version and the count. Inside a micro batch events are taken by event_id; micro batches in the order in which they come."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        artifacts, verifications, names, versions, counts = (list(x) for x in state.get) if state.exists else ([], [], [], [], [])
+        seen, checked = set(artifacts), set(verifications)
+        of = {n: (v, c) for n, v, c in zip(names, versions, counts, strict=True)}
+        rows = []
+        batch = pd.concat(list(frames)).sort_values("event_id")
+        for e in batch.itertuples():
+            seen |= {e.artifact} - {None}
+            checked |= {e.verification} - {None}
+            version = len(seen) + len(checked)
+            last = of.get(e.fingerprint)
+            count = last[1] + 1 if last and version <= last[0] else 0
+            of[e.fingerprint] = version, count
+            if count >= limit:
+                rows.append((key[0], e.event_id, e.fingerprint, version, count))
+        state.update((sorted(seen), sorted(checked), list(of), [v for v, _ in of.values()], [c for _, c in of.values()]))
+        state.setTimeoutTimestamp(_silent(state, batch["at"].max(), ttl_minutes))
+        if rows:
+            yield pd.DataFrame(rows, columns=["run_id", "event_id", "fingerprint", "version", "no_gain"])
+
+    held = "artifacts array<string>, verifications array<string>, names array<string>, versions array<long>, counts array<long>"
+    return _dated(stream, delay).groupBy("run_id").applyInPandasWithState(update, NO_GAIN, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ordered_audit(stream: DataFrame, budget: int, ttl_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
+    """ST2 with late events: duplicate, gap, after_terminal and over_budget events in the order of sequence numbers, not of arrival.
+
+    stream as in ``order_guard``. An event is held back until the watermark has passed it, so whatever comes within the delay takes its place; events are
+    then judged by (sequence_no, event_id). A copy (an event_id that the run has among what it holds or has just judged) and any other event at or below the
+    last number are duplicates. Events later than the watermark are dropped by Spark. A run that stays silent for ``ttl_minutes`` is forgotten."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark, timed_out = state.getCurrentWatermarkMs(), state.hasTimedOut
+        names = ["event_id", "at", "sequence_no", "terminal", "delta"]
+        last, used, ended, latest, *held = state.get if state.exists else (0, 0, False, 0, [], [], [], [], [])
+        pending = pd.DataFrame(dict(zip(names, held, strict=True)))
+        if timed_out and pending.empty:
+            state.remove()
+            return
+        for f in [] if timed_out else frames:
+            fresh = pd.DataFrame({"event_id": f["event_id"], "at": f["at"], "sequence_no": f["sequence_no"], "terminal": f["kind"] == "terminal", "delta": f["delta"].fillna(0)})
+            pending = fresh if pending.empty else pd.concat([pending, fresh])
+        latest = max(latest, int(pending["at"].max())) if len(pending) else latest
+        due = pending["at"] < watermark
+        batch, pending = pending[due].sort_values(["sequence_no", "event_id"]), pending[~due]
+        seq, ids = batch["sequence_no"].to_numpy(np.int64), batch["event_id"].to_numpy(np.int64)
+        highest = np.maximum.accumulate(np.concatenate(([last], seq)))
+        new = seq > highest[:-1]
+        ends = new & batch["terminal"].to_numpy(bool)
+        before = np.concatenate(([ended], ended | np.logical_or.accumulate(ends)))[:-1]
+        spent = used + np.cumsum(np.where(new, batch["delta"].to_numpy(np.int64), 0))
+        found = {"duplicate": ~new, "after_terminal": new & before, "gap": new & ~before & (seq != highest[:-1] + 1), "over_budget": new & (spent > budget)}
+        spent_now = int(spent[-1]) if len(spent) else used
+        state.update((int(highest[-1]), spent_now, bool(ended or ends.any()), latest, *[pending[c].tolist() for c in names]))
+        # the watermark moves past the first held event, or the run falls silent
+        wake = int(pending["at"].min()) + 1 if len(pending) else latest + ttl_minutes * 60_000
+        state.setTimeoutTimestamp(max(wake, watermark + 1))
+        rows = [pd.DataFrame({"run_id": key[0], "event_id": ids[hit], "sequence_no": seq[hit], "violation": name}) for name, hit in found.items() if hit.any()]
+        if rows:
+            yield pd.concat(rows)
+
+    held = "last long, used long, ended boolean, latest long, ids array<long>, at array<long>, sequence_nos array<long>, terminals array<boolean>, deltas array<long>"
+    return _dated(stream, delay).groupBy("run_id").applyInPandasWithState(update, AUDIT, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
