@@ -20,6 +20,18 @@ def numbered(rows: DataFrame, order: list[str], name: str = "__n") -> DataFrame:
     return s.join(F.broadcast(offsets.select("__p", "__off", "__first")), "__p").withColumn(name, F.col("__off") + F.col("__i") - F.col("__first")).drop("__p", "__i", "__off", "__first")
 
 
+def sums_before(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """``rows`` with ``<column>_before``: the sum of each column over all rows before the row in the order of a column without ties. Rows are range
+    partitioned and summed per partition; what stands before a partition is one row each, so no task sees all rows."""
+    s = materialize(rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "ranges")
+    by = s.groupBy("__p").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = by.select("__p", *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in columns])
+    here = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = s.join(F.broadcast(offsets), "__p")
+    return out.withColumns({f"{c}_before": F.col(f"__{c}") + F.coalesce(F.sum(c).over(here), F.lit(0)) for c in columns}).drop("__p", *[f"__{c}" for c in columns])
+
+
 def even_sample(rows: DataFrame, m: int, order: str) -> DataFrame:
     """L2: rows at the positions ``round(i * (n - 1) / max(m - 1, 1))``, halves to even, each once."""
     n = numbered(rows.select(order), [order])

@@ -91,8 +91,8 @@ def missing_assets(references: DataFrame, assets: DataFrame, key: str) -> DataFr
 
 
 def relevance_sets(labels: DataFrame, min_scenes: int = 2) -> DataFrame:
-    """Normalised label -> its scenes (sorted), their number, and whether the evidence is held anywhere."""
-    norm = F.trim(F.regexp_replace(F.lower("label"), "[^a-z0-9]+", " "))
+    """Normalised label -> its scenes (sorted), their number, and whether the evidence is held anywhere. Letters and digits of every script count."""
+    norm = F.trim(F.regexp_replace(F.lower("label"), "[^\\p{L}\\p{N}]+", " "))
     g = labels.groupBy(norm.alias("label")).agg(F.array_sort(F.collect_set("scene_id")).alias("scenes"), F.max("has_evidence").alias("evidence_available"))
     return g.withColumn("n_scenes", F.size("scenes")).filter(F.col("n_scenes") >= min_scenes)
 

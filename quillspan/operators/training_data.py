@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import casefold, character_error_rate, word_error_rate, words
+from quillspan.operators.governance import sums_before
 
 
 def digest(*columns: Column | str) -> Column:
@@ -196,11 +197,10 @@ def reward_metrics(scores: DataFrame) -> DataFrame:
     """Metric, value of (input_id, label 0/1, score, length): accuracy at 0.5, AUC and Spearman with average ranks, concordance
     without ties, ECE of ten bins, correlation with length (0 for a constant)."""
     s = scores.select(F.col("label").cast("double").alias("y"), F.col("score").cast("double").alias("p"), F.col("length").cast("double").alias("n"))
-    # ranks from counts of distinct values: windows run over values, not over rows
+    # ranks from counts of distinct values, summed over ranges of values
     values = s.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("pos"))
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    v = values.withColumns({"below": F.coalesce(F.sum("c").over(w), F.lit(0)), "neg_below": F.coalesce(F.sum(F.col("c") - F.col("pos")).over(w), F.lit(0.0))})
-    v = v.withColumn("rank", F.col("below") + (F.col("c") + 1) / 2)
+    v = sums_before(values, "p", ["c", "pos"]).withColumnRenamed("c_before", "below")
+    v = v.withColumns({"neg_below": F.col("below") - F.col("pos_before"), "rank": F.col("below") + (F.col("c") + 1) / 2})
     auc = v.agg(F.sum("pos").alias("P"), F.sum(F.col("c") - F.col("pos")).alias("N"), F.sum(F.col("pos") * F.col("rank")).alias("R"), F.sum(F.col("pos") * F.col("neg_below")).alias("concordant"), F.sum("c").alias("m"))
     auc = auc.withColumn("discordant", F.col("P") * F.col("N") - F.col("concordant"))
     ties = v.agg(F.sum(F.col("pos") * (F.col("c") - F.col("pos"))).alias("tied"))

@@ -105,7 +105,7 @@ LABELS = "SELECT event_id AS scene_id, concat(event_type, '-', CAST(event_id % 7
 
 @query(
     "j12_relevance_sets",
-    f"""SELECT trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS label, string_agg(DISTINCT CAST(scene_id AS VARCHAR), ',' ORDER BY CAST(scene_id AS VARCHAR)) AS scenes, count(DISTINCT scene_id) AS n_scenes, bool_or(has_evidence) AS evidence_available
+    f"""SELECT trim(regexp_replace(lower(label), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', ' ', 'g')) AS label, string_agg(DISTINCT CAST(scene_id AS VARCHAR), ',' ORDER BY CAST(scene_id AS VARCHAR)) AS scenes, count(DISTINCT scene_id) AS n_scenes, bool_or(has_evidence) AS evidence_available
     FROM ({LABELS}) GROUP BY 1 HAVING count(DISTINCT scene_id) >= 2""",
 )
 def j12(get):

@@ -221,3 +221,18 @@ def test_sources_and_sinks(spark, tmp_path):
         records.read_ratings(spark, f"{p}/r.csv", "score int, rater string").collect()
     row = df.select(records.chat_row(F.col("x"), F.col("subsplit")).alias("j")).first()["j"]
     assert row == '{"messages":[{"role":"user","content":"in"},{"role":"assistant","content":"a"}]}'
+
+
+def test_labels_of_other_scripts_stay_apart(spark):
+    rows_ = [("红色 方块", 1, True), ("红色  方块!", 2, False), ("蓝色", 3, True), ("蓝色", 4, True), ("Red-Square", 5, True), ("red square", 6, False)]
+    got = {r["label"]: r["scenes"] for r in intervals.relevance_sets(spark.createDataFrame(rows_, "label string, scene_id int, has_evidence boolean")).collect()}
+    assert got == {"红色 方块": [1, 2], "蓝色": [3, 4], "red square": [5, 6]}
+
+
+def test_sums_before_every_value(spark):
+    rng = random.Random(2)
+    values = rng.sample(range(10_000), 500)
+    df = spark.createDataFrame([(float(v), i % 7, i) for i, v in enumerate(values)], "p double, c long, d long").repartition(5)
+    got = {r["p"]: (r["c_before"], r["d_before"]) for r in governance.sums_before(df, "p", ["c", "d"]).collect()}
+    ordered = sorted((v, i % 7, i) for i, v in enumerate(values))
+    assert got == {v: (sum(x[1] for x in ordered[:k]), sum(x[2] for x in ordered[:k])) for k, (v, _, _) in enumerate(ordered)}
