@@ -143,8 +143,8 @@ TERMINAL_KINDS = ("finish", "cannot_complete")
 
 
 def decision_kind(text: Column) -> Column:
-    """The decision or recovery type of a candidate's JSON text; candidates without one are tool calls."""
-    return F.coalesce(F.get_json_object(text, "$.decision_type"), F.get_json_object(text, "$.recovery_type"), F.lit("tool"))
+    """The decision or recovery type of a candidate's JSON text, or its ``decision``; candidates without one are tool calls."""
+    return F.coalesce(*[F.get_json_object(text, f"$.{c}") for c in ("decision_type", "recovery_type", "decision")], F.lit("tool"))
 
 
 def shortcut_audit(inputs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspan.operators import inverted_index as I
 from quillspan.operators import retrieval as R
 from quillspan.plans.registry import query
+from quillspan.plans.scratch import materialize
 
 DOCS = "SELECT source AS video_id, doc_id AS scene_id, text FROM {documents}"
 QUERIES_SQL = "SELECT item_id AS query_id, text FROM {benchmark}"
@@ -41,7 +42,8 @@ def channels(get, k=100):
     """Two rankings of each query from one index: BM25, and the number of shared terms."""
     index, queries = indexed(get), get(QUERIES_SQL)
     bm = I.search(index, queries, k=k).withColumn("channel", F.lit("bm25_combined"))
-    return bm.unionByName(R.ranked(I.matched_terms(index, queries), k).withColumn("channel", F.lit("dense_text")))
+    both = bm.unionByName(R.ranked(I.matched_terms(index, queries), k).withColumn("channel", F.lit("dense_text")))
+    return materialize(both, "channels")  # fusions and grids read the rankings more than once
 
 
 @query("r2_bm25_index", f"WITH {INDEX} SELECT term, count(*) AS postings, sum(tf) AS occurrences, min(df) AS df, min(n_docs) AS n_docs, round(min(mean_length), 9) AS mean_length, sum(length) AS lengths FROM p JOIN f USING (term), t GROUP BY term")
