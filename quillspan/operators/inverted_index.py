@@ -25,7 +25,7 @@ from quillspan.operators.retrieval import K1, B, allowed, ranked
 from quillspan.plans.scratch import scratch_root
 
 SPAN = 1024  # document numbers of a range
-SHARDS = 64  # of terms
+SHARDS = 8  # of terms: folders of the kept index; inside them files are sorted by term
 FIRST_TERMS = 3  # rarest terms of a query that give its bound
 
 # Latin words and digits, or a run of CJK characters.
