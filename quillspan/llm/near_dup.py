@@ -130,7 +130,7 @@ def sketch(texts: DataFrame, width: int) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(v, text) -> v, shingles (sorted distinct hashes as signed longs). A class that a task meets again is not repeated."""
+    """(v, sig, text) -> v, sig, shingles (sorted distinct hashes as signed longs). A class that a task meets again is not repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
@@ -140,9 +140,9 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(t.lower().split() if t else [], width, hashes).view(np.int64) for t in _texts(batch, "text")]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["v", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("sig"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["v", "sig", "shingles"])
 
-    return texts.mapInArrow(run, "v long, shingles array<long>")
+    return texts.mapInArrow(run, "v long, sig binary, shingles array<long>")
 
 
 def _labels(n: int) -> Callable:
@@ -301,8 +301,9 @@ def plan_regions(members: DataFrame, labels: DataFrame, classes: DataFrame, n: i
     """What is left to do in the regions of ``members`` (region, v) that hold several components of ``labels`` (v, comp):
     (region, v, comp, out, nr, nq) of those to be searched on this level, in ``nr`` blocks of all rows by ``nq`` of those outside the largest
     component, and the classes v of those to be split on the next."""
-    weight = classes.select("v", (F.col("n") + 64).alias("weight"))
-    placed = members.join(labels, "v", "left").join(weight, "v").select("region", "v", F.coalesce("comp", "v").alias("comp"), "weight")
+    # what a member needs of its class meets it in one join
+    known = classes.select("v", (F.col("n") + 64).alias("weight")).join(labels, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"), "weight")
+    placed = members.join(known, "v", "left").select("region", "v", "comp", "weight")
     by_comp = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     order = F.struct("n", "comp")
     mixed = by_comp.groupBy("region").agg(
@@ -317,7 +318,7 @@ def plan_regions(members: DataFrame, labels: DataFrame, classes: DataFrame, n: i
     return rows.filter("here").drop("here"), rows.filter("NOT here").select("v").distinct()
 
 
-def _search(rows: DataFrame, classes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+def _search(rows: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between components of the regions ``rows``: classes outside the largest component against all of the
     region, in blocks of bounded size."""
     dealt = rows.withColumn("h", F.xxhash64("v"))
@@ -327,7 +328,7 @@ def _search(rows: DataFrame, classes: DataFrame, sets: DataFrame, n: int, percen
     one = lambda n: F.pmod("h", F.col(n)).cast("int")
     all_rows = cut.select("region", "v", "comp", F.lit(True).alias("row"), F.lit(False).alias("query"), each("nq").alias("q"), one("nr").alias("r"))
     asked = cut.filter("out").select("region", "v", "comp", F.lit(False).alias("row"), F.lit(True).alias("query"), one("nq").alias("q"), each("nr").alias("r"))
-    work = alone.union(all_rows).union(asked).join(sets, "v").join(classes.select("v", "sig"), "v")
+    work = alone.union(all_rows).union(asked).join(sets, "v")
     return work.groupBy("region", "q", "r").applyInArrow(_search_region(percent, n), "a long, b long").distinct()
 
 
@@ -364,9 +365,9 @@ def _judge(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
             several = near.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
             members = materialize(near.join(several, "region").select("region", F.explode(F.array("a", "b")).alias("v")).distinct(), "members")
             wanted = agreeing.select(F.explode(F.array("a", "b")).alias("v")).union(members.select("v")).distinct()
-            wanted = materialize(wanted.join(classes.select("v", "doc_id", "h"), "v"), "wanted")
+            wanted = materialize(wanted.join(classes.select("v", "doc_id", "h", "sig"), "v"), "wanted")
             # the only time that texts move: by hash of (id, text), against a table of numbers
-            read = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "h"]).select("v", "text")
+            read = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "h"]).select("v", "sig", "text")
             sets = materialize(shingle_sets(read, width).dropDuplicates(["v"]), "sets")
             of_a, of_b = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"))
             inter = F.size(F.array_intersect("sa", "sb"))
@@ -376,7 +377,7 @@ def _judge(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
         else:
             members = forest_members(live, n)
         rows, split = plan_regions(members, labels, classes, n)
-        labels = _merge(labels, materialize(_search(rows, classes, sets, n, percent), "region-links"))
+        labels = _merge(labels, materialize(_search(rows, sets, n, percent), "region-links"))
         discard(members)
         if n + 1 == len(LEVELS):
             break
