@@ -25,50 +25,85 @@ ACTION_PATTERNS = {
 }
 
 
+# The action that stands for a direction.
+DIRECTIONS = {"left": "move_left", "right": "move_right", "up": "move_up", "down": "move_down", "toward": "approach", "away": "move_away"}
+
+
 def _plain(x: Column) -> Column:
     return squeeze(F.regexp_replace(casefold(F.coalesce(x, F.lit(""))), "_", " "))
 
 
 def _norm(x: Column) -> Column:
-    return F.array_join(words(x), " ")
+    """Letters and digits only, case-folded."""
+    return F.array_join(words(x), "")
+
+
+def _units(x: Column) -> Column:
+    return F.regexp_extract_all(casefold(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+|[\\x{3400}-\\x{9fff}]+"), 0)
 
 
 def _subset(a: Column, b: Column) -> Column:
     """All words of a (one at least) occur in b."""
-    return (F.size(words(a)) > 0) & (F.size(F.array_except(words(a), words(b))) == 0)
+    return (F.size(_units(a)) > 0) & (F.size(F.array_except(_units(a), _units(b))) == 0)
+
+
+def claimed_actions(text: Column) -> Column:
+    """The codes of all actions that a normalised text claims; the patterns are data, one small constant array."""
+    table = F.array(*[F.struct(F.lit(code).alias("code"), F.lit([list(p) for p in patterns]).alias("patterns")) for code, patterns in ACTION_PATTERNS.items()])
+    held = F.filter(table, lambda a: F.exists(a["patterns"], lambda p: F.forall(p, lambda t: text.contains(t))))
+    return F.transform(held, lambda a: a["code"])
+
+
+def _names(text: Column, terms: Column) -> Column:
+    """A term of the array occurs in the normalised text, or the text in a term."""
+    return F.exists(terms, lambda a: text.contains(_plain(a)) | _plain(a).contains(text))
+
 
+def _action_said(text: Column, action: Column) -> Column:
+    said = casefold(F.coalesce(text, F.lit("")))
+    right = (said.contains("move") & said.contains("right")) | said.contains("向右")
+    return F.when(action == "moves_right", right).otherwise(_norm(text).contains(_norm(action)))
 
-def action_claimed(text: Column, action: Column) -> Column:
-    out = F.lit(False)
-    for code, patterns in ACTION_PATTERNS.items():
-        any_of = F.lit(False)
-        for p in patterns:
-            held = F.lit(True)
-            for t in p:
-                held = held & text.contains(t)
-            any_of = any_of | held
-        out = out | ((action == code) & any_of)
-    return out
 
+def _text_evidence(refs: Column) -> Column:
+    """A reference of the span's own segment (or of none) saw it: at its time, inside its range, or over all of its range."""
 
-def visual_metrics(gold: DataFrame, entities: DataFrame, actions: DataFrame, texts: DataFrame, events: DataFrame) -> DataFrame:
+    def seen(r: Column) -> Column:
+        inside = (F.col("start_ms") <= r["observed_ms"]) & (r["observed_ms"] < F.col("end_ms"))
+        over = (r["start_ms"] <= F.col("start_ms")) & (r["end_ms"] >= F.col("end_ms"))
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        return (r["segment_id"].isNull() | r["segment_id"].eqNullSafe(F.col("segment_id"))) & (yes(r["observed_ms"] == F.col("observed_ms")) | yes(inside) | yes(over))
+
+    return F.coalesce(F.exists(refs, seen), F.lit(False))
+
+
+def visual_metrics(gold: DataFrame, entities: DataFrame, actions: DataFrame, texts: DataFrame, events: DataFrame, references: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row a case.
 
     gold: case_id, entities array (the first is the main one), action (or null), visible_text, event_start, event_end (or null);
-    entities, actions, texts: case_id, text; events: case_id, start_ms, end_ms. A predicted entity is hallucinated if it and no gold entity
-    hold each other's words."""
+    entities, actions: case_id, text (of an action: subject, action and object); texts: case_id, text, segment_id, observed_ms, start_ms, end_ms and
+    refs, an array of struct(segment_id, observed_ms, start_ms, end_ms); events: case_id, start_ms, end_ms; references and catalog: case_id,
+    artifact_id. A predicted entity is hallucinated if it and no gold entity hold each other's words. A text's evidence is right if a span
+    of the expected text has a reference that fits its time; evidence is whole if the catalog of the case has all references."""
     e = entities.join(gold.select("case_id", F.col("entities").alias("g")), "case_id")
     supported = F.exists("g", lambda x: _subset(x, F.col("text")) | _subset(F.col("text"), x))
     e = e.groupBy("case_id").agg(F.max(_subset(F.element_at("g", 1), F.col("text"))).alias("hit"), F.count_if(~supported).alias("n_hallucinated"), F.count(F.lit(1)).alias("n_entities"))
-    a = actions.join(gold.select("case_id", "action"), "case_id").groupBy("case_id").agg(F.max(_norm(F.col("text")).contains(_norm(F.col("action")))).alias("act"))
+    a = actions.join(gold.select("case_id", "action"), "case_id").groupBy("case_id").agg(F.max(_action_said(F.col("text"), F.col("action"))).alias("act"), F.lit(True).alias("some"))
+    same = _norm(F.col("text")) == _norm(F.col("visible_text"))
     t = texts.join(gold.select("case_id", "visible_text"), "case_id").groupBy("case_id").agg(
-        F.max(F.col("text") == F.col("visible_text")).alias("exact"), F.max(_norm(F.col("text")) == _norm(F.col("visible_text"))).alias("same"), F.min(character_error_rate(F.col("visible_text"), F.col("text"))).alias("cer")
+        F.max(F.col("text") == F.col("visible_text")).alias("exact"),
+        F.max(same).alias("same"),
+        F.min(character_error_rate(F.col("visible_text"), F.col("text"))).alias("cer"),
+        F.max(same & _text_evidence(F.col("refs"))).alias("evidence"),
     )
     v = events.join(gold.select("case_id", "event_start", "event_end"), "case_id").groupBy("case_id").agg(
         F.max(iou(F.col("start_ms"), F.col("end_ms"), F.col("event_start"), F.col("event_end"))).alias("x"), F.count(F.lit(1)).alias("n_events")
     )
-    has_action = actions.select("case_id").distinct().withColumn("some", F.lit(True))
-    j = gold.select("case_id", "action", "event_start").join(e, "case_id", "left").join(a, "case_id", "left").join(has_action, "case_id", "left").join(t, "case_id", "left").join(v, "case_id", "left")
+    known = catalog.select("case_id", "artifact_id").distinct()
+    broken = references.select("case_id", "artifact_id").distinct().join(known, ["case_id", "artifact_id"], "left_anti").groupBy("case_id").agg(F.lit(True).alias("broken"))
+    j = gold.select("case_id", "action", "event_start")
+    for part in (e, a, t, v, broken):
+        j = j.join(part, "case_id", "left")
     no = lambda c: F.coalesce(c, F.lit(False))
     return j.select(
         "case_id",
@@ -79,7 +114,9 @@ def visual_metrics(gold: DataFrame, entities: DataFrame, actions: DataFrame, tex
         no(F.col("exact")).alias("text_exact"),
         no(F.col("same")).alias("text_normalized"),
         F.coalesce("cer", F.lit(1.0)).alias("text_cer"),
+        no(F.col("evidence")).alias("text_evidence_correct"),
         F.when(F.col("event_start").isNull(), F.col("n_events").isNull()).otherwise(no(F.col("x") >= 0.5)).alias("event_correct"),
+        F.col("broken").isNull().alias("evidence_integrity"),
     )
 
 
@@ -109,36 +146,64 @@ def clip_costs(records: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def motion_metrics(gold: DataFrame, expected: DataFrame, claims: DataFrame) -> DataFrame:
-    """One row a case: action_correct, temporal_correct, localisation error, unsupported rate, direction and order.
-
-    gold: case_id, direction (an action code or null), first_actor, second_actor (or null); expected: case_id, n, actor, action, start_ms, end_ms;
-    claims: case_id, claim_id, text, start_ms, end_ms (null bounds: an action claim without a time)."""
-    c = claims.withColumn("t", _plain(F.col("text")))
-    term = lambda a: F.col("t").contains(_plain(F.col(a))) | _plain(F.col(a)).contains(F.col("t"))
-    x = expected.select("case_id", "n", "actor", "action", F.col("start_ms").alias("xs"), F.col("end_ms").alias("xe"))
-    pair = x.join(c, "case_id").withColumn("match", term("actor") & action_claimed(F.col("t"), F.col("action")))
-    timed = F.col("match") & F.col("start_ms").isNotNull()
-    err = (F.abs(F.col("xs") - F.col("start_ms")) + F.abs(F.col("xe") - F.col("end_ms"))) / 2
-    per = pair.groupBy("case_id", "n").agg(F.max("match").alias("hit"), F.min(F.when(timed, err)).alias("err"), F.max(F.when(timed, iou(F.col("xs"), F.col("xe"), F.col("start_ms"), F.col("end_ms")))).alias("best"))
-    per = x.select("case_id", "n").join(per, ["case_id", "n"], "left").groupBy("case_id").agg(
-        F.min(F.coalesce("hit", F.lit(False))).alias("hit"), F.min(F.coalesce(F.col("best") >= 0.3, F.lit(False))).alias("time_hit"), F.avg("err").alias("localisation_error")
+def motion_metrics(gold: DataFrame, entities: DataFrame, expected: DataFrame, claims: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row a case: entity score, actions, times, localisation error, unsupported rate, direction and order.
+
+    gold: case_id, direction (a key of DIRECTIONS or null), first_actor, second_actor (or null), supported (an array of more terms that may be
+    named, or null); entities: case_id, labels (a label and its aliases); expected: case_id, n, actors (an actor and its aliases), action,
+    start_ms, end_ms; claims: case_id, claim_id, text, start_ms, end_ms (null bounds: an action claim without a time); predicted: case_id, label.
+    Of a case without expected events the actions are right unless a claim names one of its entities together with any action. The unsupported
+    rate counts claims that no expected event backs and entities that no term supports. Gold is an annotation, so its rows of one case
+    are few and travel as arrays; claims and predictions of a case may be many and are only summed."""
+    events = expected.groupBy("case_id").agg(F.collect_list(F.struct("n", "actors", "action", F.col("start_ms").alias("xs"), F.col("end_ms").alias("xe"))).alias("events"))
+    labels = entities.groupBy("case_id").agg(F.collect_list("labels").alias("labels"))
+    g = gold.select("case_id", "direction", "first_actor", "second_actor", "supported").join(events, "case_id", "left").join(labels, "case_id", "left")
+    g = g.withColumns({"labels": F.coalesce("labels", F.expr("CAST(array() AS array<array<string>>)")), "supported": F.coalesce("supported", F.expr("CAST(array() AS array<string>)"))})
+    t, timed = F.col("t"), F.col("start_ms").isNotNull()
+    code = F.lit(None).cast("string")
+    for word, action in DIRECTIONS.items():
+        code = F.when(F.col("direction") == word, action).otherwise(code)
+
+    c = claims.select("case_id", "start_ms", "end_ms", _plain(F.col("text")).alias("t")).withColumn("codes", claimed_actions(t)).join(g, "case_id")
+    backs = F.transform("events", lambda e: F.array_contains("codes", e["action"]) & _names(t, e["actors"]))
+    c = c.withColumn("backs", F.coalesce(backs, F.expr("CAST(array() AS array<boolean>)")))
+    said = c.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("n_claims"),
+        F.count_if(~F.array_contains("backs", True)).alias("n_unbacked"),
+        F.count_if(timed).alias("n_timed"),
+        F.max((F.size("codes") > 0) & F.exists("labels", lambda x: _names(t, x))).alias("named"),
+        F.max(F.array_contains("codes", code)).alias("dir"),
+        F.min(F.when(_names(t, F.array("first_actor")), F.col("start_ms"))).alias("s1"),
+        F.min(F.when(_names(t, F.array("second_actor")), F.col("start_ms"))).alias("s2"),
     )
-    backed = pair.filter("match").select("case_id", "claim_id").distinct().withColumn("backed", F.lit(True))
-    n = c.join(backed, ["case_id", "claim_id"], "left").groupBy("case_id").agg(F.count(F.lit(1)).alias("n_claims"), F.count_if(F.col("backed").isNull()).alias("n_unsupported"), F.count_if(F.col("start_ms").isNotNull()).alias("n_timed"))
-    g = gold.join(c.select("case_id", "t", "start_ms"), "case_id", "left")
-    seen = g.groupBy("case_id").agg(
-        F.max(action_claimed(F.col("t"), F.col("direction"))).alias("dir"), F.min(F.when(term("first_actor"), F.col("start_ms"))).alias("s1"), F.min(F.when(term("second_actor"), F.col("start_ms"))).alias("s2")
+    pair = c.select("case_id", "start_ms", "end_ms", F.explode(F.arrays_zip("events", "backs")).alias("p")).filter("p.backs")
+    pair = pair.select("case_id", "start_ms", "end_ms", "p.events.n", "p.events.xs", "p.events.xe")
+    err = (F.abs(F.col("xs") - F.col("start_ms")) + F.abs(F.col("xe") - F.col("end_ms"))) / 2
+    met = pair.groupBy("case_id", "n").agg(F.lit(True).alias("hit"), F.min(err).alias("err"), F.max(iou(F.col("xs"), F.col("xe"), F.col("start_ms"), F.col("end_ms"))).alias("best"))
+    met = expected.select("case_id", "n").join(met, ["case_id", "n"], "left").groupBy("case_id").agg(
+        F.min(F.col("hit").isNotNull()).alias("hit"), F.min(F.coalesce(F.col("best") >= 0.3, F.lit(False))).alias("time_hit"), F.avg("err").alias("localisation_error")
     )
-    j = gold.join(per, "case_id", "left").join(n, "case_id", "left").join(seen, "case_id", "left")
+
+    p = predicted.select("case_id", _plain(F.col("label")).alias("t")).join(g.select("case_id", "labels", "supported"), "case_id")
+    p = p.withColumn("is", F.transform("labels", lambda x: _names(t, x)))
+    seen = p.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_predicted"), F.count_if(~F.array_contains("is", True) & ~_names(t, F.col("supported"))).alias("n_hallucinated"))
+    found = p.select("case_id", F.posexplode("is").alias("pos", "found")).groupBy("case_id", "pos").agg(F.max("found").alias("found")).groupBy("case_id").agg(F.avg(F.col("found").cast("int")).alias("score"))
+
+    j = g
+    for part in (met, said, seen, found):
+        j = j.join(part, "case_id", "left")
+    n = lambda x: F.coalesce(x, F.lit(0))
+    no = lambda x: F.coalesce(x, F.lit(False))
     return j.select(
         "case_id",
-        F.coalesce("hit", F.coalesce("n_claims", F.lit(0)) == 0).alias("action_correct"),
-        F.coalesce("time_hit", F.coalesce("n_timed", F.lit(0)) == 0).alias("temporal_correct"),
+        F.coalesce("score", F.lit(0.0)).alias("entity_correctness"),
+        F.coalesce("hit", ~no(F.col("named"))).alias("action_correct"),
+        F.coalesce("time_hit", n("n_timed") == 0).alias("temporal_correct"),
         "localisation_error",
-        (F.coalesce("n_unsupported", F.lit(0)) / F.greatest(F.lit(1), F.coalesce("n_claims", F.lit(0)))).alias("unsupported_rate"),
-        F.when(F.col("direction").isNotNull(), F.coalesce("dir", F.lit(False))).alias("direction_correct"),
-        F.when(F.col("first_actor").isNotNull(), F.coalesce(F.col("s1") < F.col("s2"), F.lit(False))).alias("order_correct"),
+        n("n_hallucinated").alias("n_hallucinated"),
+        ((n("n_hallucinated") + n("n_unbacked")) / F.greatest(F.lit(1), n("n_predicted") + n("n_claims"))).alias("unsupported_rate"),
+        F.when(F.col("direction").isNotNull(), no(F.col("dir"))).alias("direction_correct"),
+        F.when(F.col("first_actor").isNotNull(), no(F.col("s1") < F.col("s2"))).alias("order_correct"),
     )
 
 

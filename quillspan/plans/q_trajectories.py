@@ -393,23 +393,39 @@ def e20(get):
     return T.calibration(ev).withColumn("agreement", F.round("agreement", 9))
 
 
-VGOLD = f"SELECT user_id AS case_id, CASE WHEN user_id % 5 <> 0 THEN 'view' END AS action, 'SALE view' AS visible_text, CASE WHEN user_id % 4 <> 0 THEN user_id * 10 END AS event_start, CASE WHEN user_id % 4 <> 0 THEN user_id * 10 + 400 END AS event_end FROM {_U}"
+VGOLD = f"""SELECT user_id AS case_id, CASE user_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'moves_right' ELSE 'view' END AS action, 'SALE view' AS visible_text,
+  CASE WHEN user_id % 4 <> 0 THEN user_id * 10 END AS event_start, CASE WHEN user_id % 4 <> 0 THEN user_id * 10 + 400 END AS event_end FROM {_U}"""
 VENT = "SELECT user_id AS case_id, concat('a ', event_type) AS text FROM {events} WHERE event_id % 7 <> 0"
-VACT = "SELECT user_id AS case_id, concat('does ', event_type) AS text FROM {events} WHERE user_id % 10 <> 0"
-VTXT = "SELECT user_id AS case_id, concat('sale ', event_type) AS text FROM {events}"
+VACT = """SELECT user_id AS case_id, CASE WHEN event_id % 9 = 0 THEN 'Ball moves to the right' WHEN event_id % 9 = 1 THEN 'sphere goes right' ELSE concat('does ', event_type) END AS text
+  FROM {events} WHERE user_id % 10 <> 0"""
+VTXT = """SELECT user_id AS case_id, concat('sale ', event_type) AS text, event_id % 3 AS segment_id, CASE WHEN event_id % 2 = 0 THEN event_id % 100 END AS observed_ms,
+  CASE WHEN event_id % 2 = 1 THEN event_id % 100 END AS start_ms, CASE WHEN event_id % 2 = 1 THEN event_id % 100 + 20 END AS end_ms,
+  CASE WHEN event_id % 5 <> 0 THEN event_id % 4 END AS r_segment, CASE WHEN event_id % 11 < 4 THEN event_id % 90 END AS r_observed,
+  CASE WHEN event_id % 11 > 5 THEN event_id % 110 END AS r_start, CASE WHEN event_id % 11 > 5 THEN event_id % 110 + 40 END AS r_end FROM {events}"""
 VEVT = "SELECT user_id AS case_id, event_id AS start_ms, event_id + 300 AS end_ms FROM {events} WHERE user_id % 8 <> 0"
+VREF = "SELECT user_id AS case_id, event_id % 40 AS artifact_id FROM {events} WHERE user_id % 9 <> 0"
+VCAT = "SELECT DISTINCT user_id AS case_id, event_id % 40 AS artifact_id FROM {events} WHERE user_id % 6 <> 0 OR event_id % 40 > 3"
 VISUAL = f"""v AS (SELECT g.*, coalesce((SELECT bool_or(text = 'a view') FROM ({VENT}) e WHERE e.case_id = g.case_id), false) AS entity_correct, (SELECT count(*) FILTER (text NOT IN ('a view', 'a click')) FROM ({VENT}) e WHERE e.case_id = g.case_id) AS n_hallucinated, (SELECT count(*) FROM ({VENT}) e WHERE e.case_id = g.case_id) AS n_entities,
-  CASE WHEN action IS NULL THEN NOT EXISTS (SELECT 1 FROM ({VACT}) a WHERE a.case_id = g.case_id) ELSE coalesce((SELECT bool_or(contains(text, action)) FROM ({VACT}) a WHERE a.case_id = g.case_id), false) END AS action_correct, false AS text_exact, coalesce((SELECT bool_or(text = 'sale view') FROM ({VTXT}) t WHERE t.case_id = g.case_id), false) AS text_normalized,
+  CASE WHEN action IS NULL THEN NOT EXISTS (SELECT 1 FROM ({VACT}) a WHERE a.case_id = g.case_id)
+    ELSE coalesce((SELECT bool_or(CASE WHEN action = 'moves_right' THEN contains(text, 'move') AND contains(text, 'right') ELSE contains(replace(text, ' ', ''), action) END) FROM ({VACT}) a WHERE a.case_id = g.case_id), false) END AS action_correct,
+  false AS text_exact, coalesce((SELECT bool_or(text = 'sale view') FROM ({VTXT}) t WHERE t.case_id = g.case_id), false) AS text_normalized,
   coalesce((SELECT min(levenshtein('saleview', replace(text, ' ', '')) / 8) FROM ({VTXT}) t WHERE t.case_id = g.case_id), 1) AS text_cer,
+  EXISTS (SELECT 1 FROM ({VTXT}) t WHERE t.case_id = g.case_id AND text = 'sale view' AND (r_segment IS NULL OR r_segment = segment_id)
+    AND (r_observed = observed_ms OR (r_observed >= start_ms AND r_observed < end_ms) OR (r_start <= start_ms AND r_end >= end_ms))) AS text_evidence_correct,
+  NOT EXISTS (SELECT 1 FROM ({VREF}) r WHERE r.case_id = g.case_id AND (r.case_id, r.artifact_id) NOT IN (SELECT (case_id, artifact_id) FROM ({VCAT}))) AS evidence_integrity,
   CASE WHEN event_start IS NULL THEN NOT EXISTS (SELECT 1 FROM ({VEVT}) e WHERE e.case_id = g.case_id) ELSE coalesce((SELECT max(greatest(0, least(end_ms, event_end) - greatest(start_ms, event_start)) / (greatest(end_ms, event_end) - least(start_ms, event_start))) >= 0.5 FROM ({VEVT}) e WHERE e.case_id = g.case_id), false) END AS event_correct FROM ({VGOLD}) g)"""
 
 
 def visual(get):
     gold = get(VGOLD).withColumn("entities", F.array(F.lit("view"), F.lit("a click")))
-    return C.visual_metrics(gold, get(VENT), get(VACT), get(VTXT), get(VEVT))
+    ref = F.struct(*[F.col(c).alias(a) for c, a in (("r_segment", "segment_id"), ("r_observed", "observed_ms"), ("r_start", "start_ms"), ("r_end", "end_ms"))])
+    return C.visual_metrics(gold, get(VENT), get(VACT), get(VTXT).withColumn("refs", F.array(ref)), get(VEVT), get(VREF), get(VCAT))
 
 
-@query("a11_visual_claims", f"WITH {VISUAL} SELECT case_id, entity_correct, n_hallucinated, n_entities, action_correct, text_exact, text_normalized, round(text_cer, 9) AS text_cer, event_correct FROM v")
+@query(
+    "a11_visual_claims",
+    f"WITH {VISUAL} SELECT case_id, entity_correct, n_hallucinated, n_entities, action_correct, text_exact, text_normalized, round(text_cer, 9) AS text_cer, text_evidence_correct, event_correct, evidence_integrity FROM v",
+)
 def a11(get):
     return visual(get).withColumn("text_cer", F.round("text_cer", 9))
 
@@ -436,24 +452,47 @@ def a12_counts(get):
     return C.claim_counts(get("SELECT user_id AS clip_id, event_type AS kind FROM {events}"))
 
 
-MGOLD = f"SELECT user_id AS case_id, CASE WHEN user_id % 3 = 0 THEN 'move_left' END AS direction, CASE WHEN user_id % 2 = 0 THEN 'ball' END AS first_actor, CASE WHEN user_id % 2 = 0 THEN 'box' END AS second_actor FROM {_U}"
-MEXP = f"SELECT user_id AS case_id, 0 AS n, 'ball' AS actor, 'move_left' AS action, user_id * 20 AS start_ms, user_id * 20 + 500 AS end_ms FROM {_U} WHERE user_id % 5 <> 0"
-MCLAIM = "SELECT user_id AS case_id, event_id AS claim_id, CASE WHEN event_id % 3 = 0 THEN 'the ball is moving left' WHEN event_id % 3 = 1 THEN 'the box will vanish' ELSE 'Ball_halts' END AS text, CASE WHEN event_id % 4 <> 0 THEN event_id END AS start_ms, CASE WHEN event_id % 4 <> 0 THEN event_id + 450 END AS end_ms FROM {events} WHERE user_id % 50 <> 7"
-MOTION = f"""mc AS (SELECT *, claim_id % 3 = 0 AS m, claim_id % 3 <> 1 AS is_ball FROM ({MCLAIM})), mp AS (SELECT x.case_id, bool_or(m) AS hit, min((abs(x.start_ms - c.start_ms) + abs(x.end_ms - c.end_ms)) / 2) FILTER (m) AS err,
-   max(greatest(0, least(x.end_ms, c.end_ms) - greatest(x.start_ms, c.start_ms)) / (greatest(x.end_ms, c.end_ms) - least(x.start_ms, c.start_ms))) FILTER (m AND c.start_ms IS NOT NULL) AS best FROM ({MEXP}) x LEFT JOIN mc c USING (case_id) GROUP BY 1),
-mn AS (SELECT case_id, count(*) AS n, count(*) FILTER (start_ms IS NOT NULL) AS nt, count(*) FILTER (m) AS nm, min(start_ms) FILTER (is_ball) AS s1, min(start_ms) FILTER (NOT is_ball) AS s2, bool_or(m) AS dir FROM mc GROUP BY 1),
-mo AS (SELECT g.case_id, CASE WHEN p.case_id IS NULL THEN coalesce(n, 0) = 0 ELSE coalesce(hit, false) END AS action_correct, CASE WHEN p.case_id IS NULL THEN coalesce(nt, 0) = 0 ELSE coalesce(best >= 0.3, false) END AS temporal_correct, err AS localisation_error,
-   (coalesce(n, 0) - CASE WHEN p.case_id IS NULL THEN 0 ELSE coalesce(nm, 0) END) / greatest(1, coalesce(n, 0)) AS unsupported_rate, CASE WHEN direction IS NOT NULL THEN coalesce(dir, false) END AS direction_correct, CASE WHEN first_actor IS NOT NULL THEN coalesce(s1 < s2, false) END AS order_correct
-   FROM ({MGOLD}) g LEFT JOIN mp p USING (case_id) LEFT JOIN mn USING (case_id))"""
+MGOLD = f"""SELECT user_id AS case_id, CASE user_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'away' END AS direction, CASE WHEN user_id % 2 = 0 THEN 'ball' END AS first_actor,
+  CASE WHEN user_id % 2 = 0 THEN 'box' END AS second_actor, CASE WHEN user_id % 4 = 1 THEN 'shadow|wall' END AS supported FROM {_U}"""
+MENT = f"SELECT user_id AS case_id, 'ball|sphere' AS labels FROM {_U} UNION ALL SELECT user_id AS case_id, 'box|crate' AS labels FROM {_U} WHERE user_id % 3 <> 0"
+MEXP = f"""SELECT user_id AS case_id, 0 AS n, 'ball|sphere' AS actors, 'move_left' AS action, user_id * 20 AS start_ms, user_id * 20 + 500 AS end_ms FROM {_U} WHERE user_id % 5 <> 0
+  UNION ALL SELECT user_id AS case_id, 1 AS n, 'box|crate' AS actors, 'disappear' AS action, user_id * 10 AS start_ms, user_id * 10 + 300 AS end_ms FROM {_U} WHERE user_id % 5 = 2"""
+MCLAIM = """SELECT user_id AS case_id, event_id AS claim_id, CASE WHEN user_id % 15 = 5 AND event_id % 3 = 0 THEN 'the wall vanishes' WHEN user_id % 15 = 5 THEN 'Ball at rest' WHEN event_id % 7 = 0 THEN 'the ball is moving left' WHEN event_id % 7 = 1 THEN 'the CRATE will vanish' WHEN event_id % 7 = 2 THEN 'Ball_halts'
+  WHEN event_id % 7 = 3 THEN 'a sphere  moves to the left' WHEN event_id % 7 = 4 THEN 'nothing of note' WHEN event_id % 7 = 5 THEN 'box farther off' ELSE 'a shadow leftward' END AS text,
+  CASE WHEN event_id % 4 <> 0 THEN event_id END AS start_ms, CASE WHEN event_id % 4 <> 0 THEN event_id + 450 END AS end_ms FROM {events} WHERE user_id % 50 <> 7"""
+MPRED = "SELECT user_id AS case_id, CASE event_id % 5 WHEN 0 THEN 'red Ball' WHEN 1 THEN 'crate' WHEN 2 THEN 'long shadow' WHEN 3 THEN 'sph' ELSE 'dog' END AS label FROM {events} WHERE event_id % 3 = user_id % 3"
+_PATTERNS = ", ".join(f"('{code}', {list(p)})" for code, patterns in C.ACTION_PATTERNS.items() for p in patterns)
+_NAMES = "list_bool_or(list_transform(string_split({1}, '|'), lambda a: contains({0}, a) OR contains(a, {0})))"
+MOTION = f"""pat AS (SELECT * FROM (VALUES {_PATTERNS}) p(code, terms)), mt AS (SELECT *, trim(regexp_replace(lower(replace(text, '_', ' ')), '\\s+', ' ', 'g')) AS t FROM ({MCLAIM})),
+md AS (SELECT t, list(DISTINCT code) AS codes FROM (SELECT DISTINCT t FROM mt) JOIN pat ON list_bool_and(list_transform(terms, lambda w: contains(t, w))) GROUP BY 1),
+mc AS (SELECT mt.*, coalesce(codes, []) AS codes FROM mt LEFT JOIN md USING (t)),
+me AS (SELECT x.case_id, x.n, c.claim_id, x.start_ms AS xs, x.end_ms AS xe, c.start_ms AS cs, c.end_ms AS ce FROM ({MEXP}) x JOIN mc c ON c.case_id = x.case_id AND list_contains(c.codes, x.action) AND {_NAMES.format("c.t", "x.actors")}),
+mf AS (SELECT case_id, n, min((abs(xs - cs) + abs(xe - ce)) / 2) AS err, max(greatest(0, least(xe, ce) - greatest(xs, cs)) / (greatest(xe, ce) - least(xs, cs))) FILTER (cs IS NOT NULL) AS best FROM me GROUP BY ALL),
+mp AS (SELECT x.case_id, bool_and(f.n IS NOT NULL) AS hit, bool_and(coalesce(best >= 0.3, false)) AS timely, avg(err) AS err FROM ({MEXP}) x LEFT JOIN mf f ON f.case_id = x.case_id AND f.n = x.n GROUP BY 1),
+mb AS (SELECT case_id, count(DISTINCT claim_id) AS n_backed FROM me GROUP BY 1),
+ma AS (SELECT DISTINCT c.case_id FROM mc c JOIN ({MENT}) e ON e.case_id = c.case_id AND len(codes) > 0 AND {_NAMES.format("c.t", "e.labels")}),
+mn AS (SELECT case_id, count(*) AS n, count(start_ms) AS nt, min(start_ms) FILTER (contains(t, 'ball')) AS s1, min(start_ms) FILTER (contains(t, 'box')) AS s2, bool_or(list_contains(codes, 'move_left')) AS to_left, bool_or(list_contains(codes, 'move_away')) AS off FROM mc GROUP BY 1),
+mr AS (SELECT case_id, lower(label) AS t FROM ({MPRED})),
+mh AS (SELECT r.case_id, count(*) AS n, count(*) FILTER (NOT coalesce({_NAMES.format("r.t", "e.labels")}, false) AND NOT coalesce({_NAMES.format("r.t", "g.supported")}, false)) AS bad
+   FROM mr r JOIN (SELECT case_id, string_agg(labels, '|') AS labels FROM ({MENT}) GROUP BY 1) e ON e.case_id = r.case_id JOIN ({MGOLD}) g ON g.case_id = r.case_id GROUP BY 1),
+ms AS (SELECT case_id, avg(found::INT) AS score FROM (SELECT e.case_id, e.labels, coalesce(bool_or({_NAMES.format("r.t", "e.labels")}), false) AS found FROM ({MENT}) e LEFT JOIN mr r ON r.case_id = e.case_id GROUP BY 1, 2) GROUP BY 1),
+mo AS (SELECT g.case_id, coalesce(score, 0) AS entity_correctness, coalesce(hit, ma.case_id IS NULL) AS action_correct, coalesce(timely, coalesce(nt, 0) = 0) AS temporal_correct, err AS localisation_error, coalesce(bad, 0) AS n_hallucinated,
+   (coalesce(bad, 0) + coalesce(mn.n, 0) - coalesce(n_backed, 0)) / greatest(1, coalesce(mh.n, 0) + coalesce(mn.n, 0)) AS unsupported_rate,
+   CASE direction WHEN 'left' THEN coalesce(to_left, false) WHEN 'away' THEN coalesce(off, false) END AS direction_correct, CASE WHEN first_actor IS NOT NULL THEN coalesce(s1 < s2, false) END AS order_correct
+   FROM ({MGOLD}) g LEFT JOIN mp USING (case_id) LEFT JOIN mb USING (case_id) LEFT JOIN mn USING (case_id) LEFT JOIN mh USING (case_id) LEFT JOIN ms USING (case_id) LEFT JOIN ma ON ma.case_id = g.case_id)"""
 
 
 def motion(get):
-    return C.motion_metrics(get(MGOLD), get(MEXP), get(MCLAIM))
+    terms = lambda sql, c: get(sql).withColumn(c, F.split(c, "[|]"))
+    return C.motion_metrics(terms(MGOLD, "supported"), terms(MENT, "labels"), terms(MEXP, "actors"), get(MCLAIM), get(MPRED))
 
 
-@query("a13_motion_claims", f"WITH {MOTION} SELECT case_id, action_correct, temporal_correct, round(localisation_error, 9) AS localisation_error, round(unsupported_rate, 9) AS unsupported_rate, direction_correct, order_correct FROM mo")
+@query(
+    "a13_motion_claims",
+    f"WITH {MOTION} SELECT case_id, round(entity_correctness, 9) AS entity_correctness, action_correct, temporal_correct, round(localisation_error, 9) AS localisation_error, n_hallucinated, round(unsupported_rate, 9) AS unsupported_rate, direction_correct, order_correct FROM mo",
+)
 def a13(get):
-    return motion(get).withColumns({c: F.round(c, 9) for c in ("localisation_error", "unsupported_rate")})
+    return motion(get).withColumns({c: F.round(c, 9) for c in ("entity_correctness", "localisation_error", "unsupported_rate")})
 
 
 _FLAGS = ["action_correct", "temporal_correct", "direction_correct", "order_correct"]
