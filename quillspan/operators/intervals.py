@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.intervals import overlaps
+from quillspan.operators.governance import numbered
+from quillspan.plans.scratch import discard, materialize
 
 BUCKET_MS = 60_000
 
@@ -186,16 +188,51 @@ def sample_times(scenes: DataFrame, k: int) -> DataFrame:
     return e.withColumn("at_ms", F.least(F.col("end_ms") - 1, F.col("start_ms") + F.floor((2 * F.col("i") + 1) * d / (2 * k))).cast("long"))
 
 
+def _successors(points: DataFrame, least_ms: int) -> DataFrame:
+    """(video_id, ms, p) with p a position over (video_id, ms) -> p, next: the position of the first point of the video ``least_ms`` or more away.
+
+    Points are cut into buckets as wide as the gap, so the point looked for is in the next bucket or is the first one after it; a
+    bucket holds at most ``least_ms`` points, and no step sees a whole video."""
+    t = points.withColumn("k", F.floor(F.col("ms") / least_ms))
+    b = t.groupBy("video_id", "k").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.array_sort(F.collect_list("ms")).alias("ms_of"))
+    ahead = b.select("video_id", (F.col("k") - 1).alias("k"), F.col("first").alias("first_ahead"), F.col("last").alias("last_ahead"), "ms_of")
+    final = t.groupBy("video_id").agg(F.max("p").alias("final"))
+    j = t.join(b.select("video_id", "k", "last"), ["video_id", "k"]).join(ahead, ["video_id", "k"], "left").join(final, "video_id")
+    nearer = F.size(F.filter("ms_of", lambda m: m < F.col("ms") + least_ms))
+    n = F.when(F.col("ms_of").isNull(), F.col("last") + 1).otherwise(F.col("first_ahead") + nearer)
+    return j.withColumn("next", n).filter(F.col("next") <= F.col("final")).select("p", "next")
+
+
+def _reached(start: DataFrame, steps: DataFrame) -> DataFrame:
+    """All p that the steps (p, next) lead to from those of ``start``: steps double in length each round, so n points take log n rounds."""
+    found = materialize(start, "reached")
+    steps = materialize(steps, "steps")
+    while True:
+        new = materialize(found.join(steps, "p").select(F.col("next").alias("p")), "reached-new")
+        if new.isEmpty():
+            discard(new, steps)
+            return found
+        longer = materialize(steps.join(steps.select(F.col("p").alias("next"), F.col("next").alias("far")), "next").select("p", F.col("far").alias("next")), "steps")
+        both = materialize(found.unionByName(new), "reached")
+        discard(new, found, steps)
+        found, steps = both, longer
+
+
 def merge_boundaries(boundaries: DataFrame, durations: DataFrame, least_ms: int) -> DataFrame:
     """video_id, n, start_ms, end_ms: boundaries kept if ``least_ms`` or more after the last kept one; a short tail joins
-    its predecessor. The fold needs the boundaries of a video in order, in one row: numbers only, one a boundary."""
+    its predecessor. Rows without a video_id are left out.
+
+    Which boundary follows a kept one depends on that one alone, so the kept ones are what successor steps reach from 0; a video of any
+    number of boundaries is spread over ranges of (video, time), and no row or window holds one."""
+    durations = durations.filter(F.col("video_id").isNotNull())
     b = boundaries.join(durations, "video_id").filter((F.col("boundary_ms") > 0) & (F.col("boundary_ms") < F.col("duration_ms")))
-    lists = b.groupBy("video_id").agg(F.array_sort(F.collect_set("boundary_ms")).alias("b"))
-    j = durations.join(lists, "video_id", "left").withColumn("b", F.coalesce("b", F.array().cast("array<bigint>")))
-    zero = F.array(F.lit(0).cast("bigint"))
-    kept = F.aggregate("b", zero, lambda a, x: F.when(x - F.element_at(a, -1) >= least_ms, F.concat(a, F.array(x))).otherwise(a))
-    j = j.withColumn("s", kept)
-    short = (F.size("s") > 1) & (F.col("duration_ms") - F.element_at("s", -1) < least_ms)
-    j = j.withColumn("s", F.when(short, F.slice("s", 1, F.size("s") - 1)).otherwise(F.col("s")))
-    ends = F.concat(F.slice("s", 2, F.size("s")), F.array("duration_ms"))
-    return j.select("video_id", F.posexplode(F.arrays_zip(F.col("s").alias("start_ms"), ends.alias("end_ms")))).select("video_id", F.col("pos").alias("n"), "col.start_ms", "col.end_ms")
+    points = b.select("video_id", F.col("boundary_ms").cast("bigint").alias("ms")).unionByName(durations.select("video_id", F.lit(0).cast("bigint").alias("ms"))).distinct()
+    points = materialize(numbered(points, ["video_id", "ms"], "p"), "points")
+    kept = points.join(_reached(points.filter("ms = 0").select("p"), _successors(points, least_ms)), "p")
+    kept = materialize(numbered(kept.select("video_id", "ms"), ["video_id", "ms"], "i"), "kept")
+    ends = kept.groupBy("video_id").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.max("ms").alias("tail_ms")).join(durations.select("video_id", "duration_ms"), "video_id")
+    short = (F.col("last") > F.col("first")) & (F.col("duration_ms") - F.col("tail_ms") < least_ms)
+    ends = ends.withColumn("last", F.when(short, F.col("last") - 1).otherwise(F.col("last")))
+    following = kept.select((F.col("i") - 1).alias("i"), F.col("ms").alias("next_ms"))
+    j = kept.join(ends, "video_id").filter(F.col("i") <= F.col("last")).join(following, "i", "left")
+    return j.select("video_id", (F.col("i") - F.col("first")).cast("int").alias("n"), F.col("ms").alias("start_ms"), F.when(F.col("i") == F.col("last"), F.col("duration_ms")).otherwise(F.col("next_ms")).alias("end_ms"))

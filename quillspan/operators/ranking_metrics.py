@@ -10,16 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.intervals import iou
+from quillspan.operators.intervals import overlap_join
 
 SCENE = ["query_id", "video_id", "scene_id"]
 
 
 def best_match(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
-    """A2: each predicted interval with the best IoU among the gold intervals of its video (0 without one)."""
-    g = gold.select(*keys, F.col("start_ms").alias("gs"), F.col("end_ms").alias("ge"))
-    j = predicted.join(g, keys, "left")
-    by = [c for c in predicted.columns]
-    return j.groupBy(*by).agg(F.coalesce(F.max(iou(F.col("start_ms"), F.col("end_ms"), F.col("gs"), F.col("ge"))), F.lit(0.0)).alias("iou"))
+    """A2: each predicted interval with the best IoU among the gold intervals of its video (0 without one). Equal rows are one.
+
+    Only intervals that overlap have an IoU above 0, so pairs come from the bucket join of intervals and not from all pairs of a key."""
+    key = F.struct(*keys).alias("__key")
+    by = predicted.columns
+    pairs = overlap_join(predicted.select(*by, key), gold.select(key, "start_ms", "end_ms"), "__key")
+    pairs = pairs.select(*by, iou(F.col("start_ms"), F.col("end_ms"), F.col("scene_start_ms"), F.col("scene_end_ms")).cast("double").alias("iou"))
+    return pairs.unionByName(predicted.select(*by, F.lit(0.0).alias("iou"))).groupBy(*by).agg(F.max("iou").alias("iou"))
 
 
 def query_metrics(candidates: DataFrame, qrels: DataFrame, gold: DataFrame, mrr_depth: int | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def a1(get):
 
 
 PRED = "SELECT event_id, user_id, event_type AS video_id, event_id * 10 AS start_ms, event_id * 10 + 400 AS end_ms FROM {events}"
-TRUE = "SELECT user_id, event_type AS video_id, event_id * 10 + 100 AS start_ms, event_id * 10 + 350 AS end_ms FROM {events} WHERE event_id % 3 = 0"
+TRUE = "SELECT user_id, event_type AS video_id, event_id * 10 + event_id % 7 * 90 AS start_ms, event_id * 10 + event_id % 7 * 90 + 250 AS end_ms FROM {events}"
 
 
 @query(

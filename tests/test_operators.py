@@ -133,6 +133,24 @@ def test_boundaries_are_merged_whatever_their_order(spark):
     assert rows(intervals.merge_boundaries(b, d, 100), "video_id", "start_ms", "end_ms") == [("v", 0, 100), ("v", 100, 500), ("v", 500, 1000), ("w", 0, 100)]
 
 
+def test_boundaries_of_a_long_video(spark):
+    """One video with most of the boundaries, gaps far wider than a bucket, repeats and bounds outside, against a loop."""
+    cuts = [("long", (i * i * 7919) % 400_000) for i in range(6000)] + [("long", 900_000), ("long", 900_050), ("long", -5), ("tail", 950), ("tail", 300), ("none", 2000)]
+    lengths = {"long": 900_120, "tail": 1000, "none": 2000}
+    want = []
+    for v, d in lengths.items():
+        kept = [0]
+        for x in sorted({c for w, c in cuts if w == v and 0 < c < d}):
+            if x - kept[-1] >= 150:
+                kept.append(x)
+        if len(kept) > 1 and d - kept[-1] < 150:
+            kept.pop()
+        want += [(v, n, s, e) for n, (s, e) in enumerate(zip(kept, [*kept[1:], d], strict=True))]
+    b = spark.createDataFrame([*cuts, (None, 5)], "video_id string, boundary_ms long")
+    d = spark.createDataFrame([*lengths.items(), (None, 9)], "video_id string, duration_ms long")
+    assert rows(intervals.merge_boundaries(b, d, 150), "video_id", "n", "start_ms", "end_ms") == sorted(want)
+
+
 def test_overlaps_are_found_once_in_any_bucket(spark):
     a = spark.createDataFrame([(1, 1, 0, 250), (1, 2, 99, 101), (1, 3, 100, 100)], "k int, span_id int, start_ms long, end_ms long")
     b = spark.createDataFrame([(1, 7, 50, 300), (1, 8, 250, 260), (1, 9, 0, 100)], "k int, scene_id int, start_ms long, end_ms long")
