@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,18 +74,30 @@ def exact_duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("h").alias("n_distinct")).withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))
 
 
-def leak_scan(rows: DataFrame, key: str, text: str, tokens: list[str], private_keys: list[str]) -> DataFrame:
-    """Key, finding, detail: forbidden tokens in case-folded text, private JSON keys, file paths, hidden HTML.
+# What counts as a path of a machine and as hidden content of a page. The drive pattern also takes the end of a URL's scheme.
+PATHS = {"path": 'file://|["\\s](/home|/root|/users|/data|/mnt)/|/(home|root|users)/', "windows_path": "[a-z]:[\\\\/]"}
+HIDDEN = {"hidden_html": "<!--|<script|\\sdata-[a-z]"}
+
+
+def leak_scan(rows: DataFrame, key: str, text: str, tokens: DataFrame, private_keys: list[str], name: str | None = None) -> DataFrame:
+    """Key, location, finding, detail: forbidden tokens in case-folded text, private keys of nested JSON, paths, hidden HTML; with
+    ``name``, tokens and paths in that column too (location "filename").
+
+    tokens: a table (token) of the dataset, a list written by hand; it travels as one row. Empty and null tokens find nothing. A private key
+    is found at any depth, where a quoted name stands before a colon; inside a string value quotes are escaped, so a value is no key."""
+    listed = tokens.filter("token <> ''").agg(F.array_sort(F.collect_set("token")).alias("__tokens"))
+    finding = lambda f, d: F.struct(F.lit(f).alias("finding"), F.lit(d).alias("detail"))
+
+    def found(column: str, location: str, keys: list[str], patterns: dict[str, str]) -> Column:
+        t = F.lower(F.coalesce(F.col(column), F.lit("")))
+        flags = [F.when(t.rlike(f'(?<!\\\\)"{re.escape(k.lower())}"\\s*:'), finding("private_key", k)) for k in keys]
+        flags += [F.when(t.rlike(p), finding(f, "")) for f, p in patterns.items()]
+        said = F.transform(F.filter("__tokens", lambda x: t.contains(F.lower(x))), lambda x: F.struct(F.lit("token").alias("finding"), x.alias("detail")))
+        every = F.concat(said, F.array_compact(F.array(*flags)))
+        return F.transform(every, lambda x: F.struct(F.lit(location).alias("location"), x["finding"].alias("finding"), x["detail"].alias("detail")))
 
-    The token lists differ per dataset and are parameters; the scan is one pass of column expressions."""
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    found = [F.when(t.contains(x.lower()), F.struct(F.lit("token").alias("finding"), F.lit(x).alias("detail"))) for x in tokens]
-    found += [F.when(t.rlike(f'"{k}"\\s*:'), F.struct(F.lit("private_key").alias("finding"), F.lit(k).alias("detail"))) for k in private_keys]
-    found += [
-        F.when(t.rlike('file://|["\\s](/home|/root|/users|/data|/mnt)/'), F.struct(F.lit("path").alias("finding"), F.lit("").alias("detail"))),
-        F.when(t.rlike("<!--|<script|\\sdata-[a-z]"), F.struct(F.lit("hidden_html").alias("finding"), F.lit("").alias("detail"))),
-    ]
-    return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("f")).select(key, "f.finding", "f.detail")
+    parts = [found(text, "content", private_keys, PATHS | HIDDEN)] + ([found(name, "filename", [], PATHS)] if name else [])
+    return rows.join(F.broadcast(listed)).select(key, F.explode(F.concat(*parts)).alias("f")).select(key, "f.*")
 
 
 def cross_split(values: DataFrame) -> DataFrame:

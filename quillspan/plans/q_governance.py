@@ -53,19 +53,23 @@ def l6(get):
     return G.exact_duplicates(get(DOCS), ["text"])
 
 
-PAGES = "SELECT page_id, html FROM {pages}"
-TOKENS = ["license", "the", "token ="]
+PAGES = "SELECT page_id, html, regexp_replace(url, '^[a-z]+://', '') AS name FROM {pages}"
+TOKENS = "SELECT 'license' AS token UNION ALL SELECT 'the' AS token UNION ALL SELECT 'Token =' AS token UNION ALL SELECT '' AS token"
+_SEEN = "SELECT page_id, '{1}' AS location, '{2}' AS finding, '' AS detail FROM p WHERE regexp_matches({0}, '{3}')"
+_SCAN = " UNION ALL ".join(
+    [_SEEN.format(c, place, "path", 'file://|["\\s](/home|/root|/users|/data|/mnt)/|/(home|root|users)/') for c, place in (("t", "content"), ("u", "filename"))]
+    + [_SEEN.format(c, place, "windows_path", "[a-z]:[\\\\/]") for c, place in (("t", "content"), ("u", "filename"))]
+    + [f"SELECT page_id, '{place}', 'token', token FROM p JOIN ({TOKENS}) k ON token <> '' AND contains({c}, lower(token))" for c, place in (("t", "content"), ("u", "filename"))]
+)
 
 
 @query(
     "p3_leak_scan",
-    f"""WITH p AS (SELECT page_id, lower(html) AS t FROM ({PAGES}))
-    {" UNION ALL ".join(f"SELECT page_id, 'token' AS finding, '{x}' AS detail FROM p WHERE contains(t, '{x}')" for x in TOKENS)}
-    UNION ALL SELECT page_id, 'private_key', 'gold' FROM p WHERE regexp_matches(t, '"gold"\\s*:')
-    UNION ALL SELECT page_id, 'path', '' FROM p WHERE regexp_matches(t, 'file://|["\\s](/home|/root|/users|/data|/mnt)/') UNION ALL SELECT page_id, 'hidden_html', '' FROM p WHERE regexp_matches(t, '<!--|<script|\\sdata-[a-z]')""",
+    f"""WITH p AS (SELECT page_id, lower(html) AS t, lower(name) AS u FROM ({PAGES})) {_SCAN}
+    UNION ALL SELECT page_id, 'content', 'private_key', 'gold' FROM p WHERE regexp_matches(replace(t, '\\"', ''), '"gold"\\s*:') UNION ALL SELECT page_id, 'content', 'hidden_html', '' FROM p WHERE regexp_matches(t, '<!--|<script|\\sdata-[a-z]')""",
 )
 def p3(get):
-    return G.leak_scan(get(PAGES), "page_id", "html", TOKENS, ["gold"])
+    return G.leak_scan(get(PAGES), "page_id", "html", get(TOKENS), ["gold"], "name")
 
 
 HASH_SPLIT = "CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'dev' ELSE 'test' END"

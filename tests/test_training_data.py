@@ -111,6 +111,29 @@ def test_ticks_and_milliseconds_are_inverse_where_exact(spark, rounding):
         assert [r[0] for r in half.select(ticks).collect()] == [1, -1]
 
 
+def test_leaks_in_texts_keys_and_names(spark):
+    texts = [
+        (1, '{"a": [{"Gold" : 1}]}', "x"),
+        (2, '{"a": "she said \\"gold\\": yes", "b": "gold"}', "x"),
+        (3, "see C:\\\\data\\\\x.mp4", "runs/LOCKED_test.json"),
+        (4, "see /home/me/x", "d:/x"),
+        (5, None, None),
+        (6, "plain <!-- note -->", "x"),
+    ]
+    r = spark.createDataFrame(texts, "k int, text string, name string")
+    tokens = spark.createDataFrame([("locked_test",), ("",), (None,)], "token string")
+    got = rows(governance.leak_scan(r, "k", "text", tokens, ["gold"], "name"), "k", "location", "finding", "detail")
+    assert got == [
+        (1, "content", "private_key", "gold"),
+        (3, "content", "windows_path", ""),
+        (3, "filename", "token", "locked_test"),
+        (4, "content", "path", ""),
+        (4, "filename", "windows_path", ""),
+        (6, "content", "hidden_html", ""),
+    ]
+    assert rows(governance.leak_scan(r.filter("k = 3"), "k", "text", tokens.limit(0), [], "name"), "k", "finding") == [(3, "windows_path")]
+
+
 def test_costs_of_clips(spark):
     r = spark.createDataFrame([("c", "visual_a", 5, 1, 10, None, 7), ("c", "visual_b", 6, 2, None, 9, 3), ("c", "asr", 100, 0, 1, 99, 99)], "clip_id string, operation string, latency_ms long, frames long, input_tokens long, peak_allocated long, peak_reserved long")
     assert rows(claims.clip_costs(r, "visual"), "clip_id", "latency_ms", "frames", "input_tokens", "peak_allocated", "peak_reserved") == [("c", 11, 3, 10, 9, 7)]
