@@ -92,9 +92,9 @@ def j8(get):
     return E.ancestors(get(EDGES), get(STARTS)).groupBy("start").agg(F.count(F.lit(1)).alias("n_ancestors"), F.sum("node").alias("node_sum"))
 
 
-CITED = "SELECT user_id AS run_id, event_id % 50 AS evidence_id, event_id FROM {events} WHERE event_id % 2 = 0"
-SEEN_A = "SELECT user_id AS run_id, event_id % 50 AS evidence_id FROM {events} WHERE event_id % 3 = 1"
-SEEN_B = "SELECT user_id AS run_id, event_id % 70 AS evidence_id FROM {events} WHERE event_id % 5 = 1"
+CITED = "SELECT user_id AS run_id, event_id % 50 AS evidence_id, event_id FROM {events}"
+SEEN_A = "SELECT user_id AS run_id, event_id % 35 AS evidence_id FROM {events}"
+SEEN_B = "SELECT user_id AS run_id, event_id % 20 + 25 AS evidence_id FROM {events}"
 
 
 @query("j9_unknown_citations", f"SELECT event_id, run_id, evidence_id FROM ({CITED}) c WHERE NOT EXISTS (SELECT 1 FROM (({SEEN_A}) UNION ALL ({SEEN_B})) s WHERE s.run_id = c.run_id AND s.evidence_id = c.evidence_id)")

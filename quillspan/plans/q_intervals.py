@@ -8,7 +8,7 @@ from quillspan.operators import intervals as I
 from quillspan.plans.registry import query
 
 SPANS = "SELECT user_id AS video_id, event_id AS span_id, event_id * 37 % 500000 AS start_ms, event_id * 37 % 500000 + 1 + event_id * 7 % 90000 AS end_ms FROM {events}"
-SCENES = "SELECT user_id AS video_id, event_id AS scene_id, event_id * 53 % 500000 AS start_ms, event_id * 53 % 500000 + 1000 + event_id % 60000 AS end_ms FROM {events} WHERE event_id % 5 = 0"
+SCENES = "SELECT user_id AS video_id, event_id AS scene_id, event_id * 53 % 500000 AS start_ms, event_id * 53 % 500000 + 1000 + event_id % 12000 AS end_ms FROM {events}"
 
 
 @query("j1_overlap_join", f"SELECT a.video_id, a.span_id, b.scene_id FROM ({SPANS}) a JOIN ({SCENES}) b ON a.video_id = b.video_id AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms")
@@ -16,7 +16,7 @@ def j1(get):
     return I.overlap_join(get(SPANS), get(SCENES), "video_id").select("video_id", "span_id", "scene_id")
 
 
-PART = "SELECT user_id AS video_id, event_id % 6 AS scene_id, event_id AS pos, event_type AS value FROM {{events}} WHERE event_id % 3 = {0}"
+PART = "SELECT user_id AS video_id, event_id % 6 AS scene_id, event_id AS pos, event_type AS value FROM {{events}} WHERE event_id % 7 % 2 = {0}"
 KEYS = "SELECT DISTINCT user_id AS video_id, event_id % 6 AS scene_id FROM {events}"
 
 
@@ -34,7 +34,7 @@ def j2(get):
     return out.select("video_id", "scene_id", F.array_join("spans", ",").alias("spans"), F.array_join("ocr", ",").alias("ocr"), "summary")
 
 
-NOMINAL = "SELECT user_id AS video_id, event_id AS nominal_id, event_id * 37 % 500000 AS start_ms, event_id * 37 % 500000 + 5000 AS end_ms FROM {events} WHERE event_id % 2 = 0"
+NOMINAL = "SELECT user_id AS video_id, event_id AS nominal_id, event_id * 37 % 500000 AS start_ms, event_id * 37 % 500000 + 5000 AS end_ms FROM {events}"
 
 
 @query(

@@ -128,8 +128,8 @@ def a8(get):
     return M.verdict_quality(get(CALLS), get(QRELS)).withColumn("mean_latency", F.round("mean_latency", 9))
 
 
-LEFT = "SELECT user_id AS k FROM {events} WHERE event_id % 50 = 0"
-RIGHT = "SELECT user_id AS k FROM {events} WHERE event_id % 60 = 0"
+LEFT = "SELECT user_id * 1000 + event_id % 97 AS k FROM {events} WHERE event_id % 2 = 0"
+RIGHT = "SELECT user_id * 1000 + event_id % 97 AS k FROM {events} WHERE event_id % 2 = 1"
 
 
 @query(
