@@ -345,7 +345,8 @@ def analyse(queries: DataFrame) -> DataFrame:
     )
     scores = [F.col(f"s_{i}") for i in INTENTS]
     top = F.greatest(*scores)
-    primary = F.coalesce(*[F.when(s == top, F.lit(i)) for i, s in zip(INTENTS, scores, strict=True)])
+    # never null, so that joins on it infer no filter, which Spark would push through all the steps above, each written out anew
+    primary = F.coalesce(*[F.when(s == top, F.lit(i)) for i, s in zip(INTENTS[:-1], scores, strict=False)], F.lit(INTENTS[-1]))
     return q.withColumn("intent", primary).drop("normal", "heard")
 
 

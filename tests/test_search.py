@@ -112,3 +112,10 @@ def test_filters_inside_the_indexed_search(spark):
 
 def test_terms_of_two_scripts():
     assert inverted_index.terms_of("Straße SALE-42 红方块 x") == ["strasse", "sale", "42", "红", "方", "块", "红方", "方块", "x"]
+
+
+def test_routes_do_not_write_the_analysis_out_anew(spark):
+    asked = spark.createDataFrame([(1, "find the ball moving left"), (2, None)], "query_id long, text string")
+    routed = retrieval.route(retrieval.analyse(asked))
+    assert "isnotnull(coalesce" not in routed._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {(r["query_id"], r["channel"]) for r in routed.collect()} == {(1, c) for c in retrieval.WEIGHTS["action_or_motion"]} | {(2, c) for c in retrieval.WEIGHTS["ambiguous"]}
