@@ -183,8 +183,21 @@ def _get(v: str, path: str, kind: str = "variant") -> str:
 
 
 def _kind(v: str, path: str) -> str:
-    """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, ARRAY, OBJECT, VOID; null where there is nothing."""
-    return f"regexp_extract(schema_of_variant({_get(v, path)}), '^[A-Z]+', 0)"
+    """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID; null where there is nothing. Objects and lists have their own tests below, as this one
+    would write out the schema of all that they hold."""
+    return f"substring_index(schema_of_variant({_get(v, path)}), '(', 1)"
+
+
+def _is_text(v: str, path: str) -> str:
+    return f"schema_of_variant({_get(v, path)}) = 'STRING'"
+
+
+def _is_object(v: str, path: str) -> str:
+    return f"{_get(v, path, 'map<string,variant>')} IS NOT NULL"
+
+
+def _is_list(v: str, path: str) -> str:
+    return f"{_get(v, path, 'array<variant>')} IS NOT NULL"
 
 
 def _trimmed(v: str, path: str) -> str:
@@ -202,14 +215,16 @@ def _words(values: tuple[str, ...]) -> str:
 def _number(v: str, path: str) -> str:
     text, number = _trimmed(v, path), _get(v, path, "double")
     digits = f"CASE WHEN {text} RLIKE r'^[+-]?[0-9]+(\\.[0-9]*)?\\z' THEN try_cast({text} AS DOUBLE) END"
-    return f"CASE {_kind(v, path)} WHEN 'STRING' THEN {digits} WHEN 'BOOLEAN' THEN CAST({_get(v, path, 'boolean')} AS DOUBLE) WHEN 'BIGINT' THEN {number} WHEN 'DECIMAL' THEN {number} WHEN 'DOUBLE' THEN {number} END"
+    boolean = f"CAST({_get(v, path, 'boolean')} AS DOUBLE)"
+    return _let(_kind(v, path), lambda k: f"CASE WHEN {k} IN ('BIGINT', 'DECIMAL', 'DOUBLE') THEN {number} WHEN {k} = 'STRING' THEN {digits} WHEN {k} = 'BOOLEAN' THEN {boolean} END")
 
 
 def _truth(v: str, path: str) -> str:
     word, number = f"lower({_get(v, path, 'string')})", _get(v, path, "double")
     said = f"CASE WHEN {word} IN ({_words(TRUE_WORDS)}) THEN true WHEN {word} IN ({_words(FALSE_WORDS)}) THEN false END"
     digit = f"CASE {number} WHEN 1 THEN true WHEN 0 THEN false END"
-    return f"CASE {_kind(v, path)} WHEN 'STRING' THEN {said} WHEN 'BOOLEAN' THEN {_get(v, path, 'boolean')} WHEN 'BIGINT' THEN {digit} WHEN 'DECIMAL' THEN {digit} WHEN 'DOUBLE' THEN {digit} END"
+    boolean = _get(v, path, "boolean")
+    return _let(_kind(v, path), lambda k: f"CASE WHEN {k} = 'BOOLEAN' THEN {boolean} WHEN {k} = 'STRING' THEN {said} WHEN {k} IN ('BIGINT', 'DECIMAL', 'DOUBLE') THEN {digit} END")
 
 
 def _type(f: Field) -> str:
@@ -236,10 +251,10 @@ def _default(f: Field) -> str:
 def _normal(v: str, path: str, f: Field) -> str:
     """The value at ``path`` in its normal form: typed, trimmed, with defaults; null where it does not fit its kind."""
     if f.kind in ("id", "text"):
-        return f"CASE WHEN {_kind(v, path)} = 'STRING' THEN {_trimmed(v, path)} END"
+        return f"CASE WHEN {_is_text(v, path)} THEN {_trimmed(v, path)} END"
     if f.kind == "one":
         word = _get(v, path, "string")
-        return f"CASE WHEN {_kind(v, path)} = 'STRING' THEN " + (f"CASE {word} WHEN 'done' THEN 'succeeded' ELSE {word} END" if "done" in f.values else word) + " END"
+        return f"CASE WHEN {_is_text(v, path)} THEN " + (f"CASE {word} WHEN 'done' THEN 'succeeded' ELSE {word} END" if "done" in f.values else word) + " END"
     if f.kind == "int":
         return f"CAST({_number(v, path)} AS BIGINT)"
     if f.kind == "float":
@@ -249,7 +264,7 @@ def _normal(v: str, path: str, f: Field) -> str:
     if f.kind == "list":
         x = f"x{next(_fresh)}"
         return f"transform({_get(v, path, 'array<variant>')}, {x} -> {_normal(x, '$', f.item)})"
-    return f"CASE WHEN {_kind(v, path)} = 'OBJECT' THEN {_struct({n: _member(v, path, n, x) for n, x in f.fields.items()})} END"
+    return f"CASE WHEN {_is_object(v, path)} THEN {_struct({n: _member(v, path, n, x) for n, x in f.fields.items()})} END"
 
 
 def _member(v: str, path: str, name: str, f: Field) -> str:
@@ -264,9 +279,9 @@ def _holds(v: str, path: str, f: Field) -> str:
     if f.kind == "id":
         out = f"{_normal(v, path, f)} RLIKE r'{IDENTIFIER}'"
     elif f.kind == "text":
-        out = f"length({_normal(v, path, f)}) > 0"
+        out = f"{_is_text(v, path)} AND {_get(v, path, 'string')} RLIKE r'(?U)\\S'"
     elif f.kind == "one":
-        out = f"{_kind(v, path)} = 'STRING' AND {_get(v, path, 'string')} IN ({_words(f.values)})"
+        out = f"{_is_text(v, path)} AND {_get(v, path, 'string')} IN ({_words(f.values)})"
     elif f.kind == "bool":
         out = f"{_truth(v, path)} IS NOT NULL"
     elif f.kind in ("int", "float"):
@@ -280,7 +295,7 @@ def _holds(v: str, path: str, f: Field) -> str:
     elif f.kind == "list":
         x = f"x{next(_fresh)}"
         items = _get(v, path, "array<variant>")
-        out = f"{_kind(v, path)} = 'ARRAY' AND size({items}) >= {int(f.low or 0)} AND forall({items}, {x} -> {_holds(x, '$', f.item)})"
+        out = f"{_is_list(v, path)} AND size({items}) >= {int(f.low or 0)} AND forall({items}, {x} -> {_holds(x, '$', f.item)})"
         if f.high is not None:
             out += f" AND size({items}) <= {int(f.high)}"
         if f.distinct:
@@ -288,7 +303,7 @@ def _holds(v: str, path: str, f: Field) -> str:
     else:
         names = tuple(n for name, x in f.fields.items() for n in (name, *x.aliases))
         keys = f"map_keys({_get(v, path, 'map<string,variant>')})"
-        out = f"{_kind(v, path)} = 'OBJECT' AND size(array_except({keys}, array({_words(names)}))) = 0"
+        out = f"coalesce(forall({keys}, k -> k IN ({_words(names)})), false)"  # null where there is no object
         for name, x in f.fields.items():
             at = f"{path}.{name}"
             fits = _holds(v, at, x)
@@ -308,12 +323,12 @@ def _valid(v: str, contract: str) -> str:
 
     def decided(name: str, x: str) -> str:
         (tag, decisions), *_ = CONTRACTS[name].items()
-        named = lambda path: f"CASE WHEN {_kind(x, path)} = 'STRING' THEN {_get(x, path, 'string')} END"
+        named = lambda path: f"CASE WHEN {_is_text(x, path)} THEN {_get(x, path, 'string')} END"
         decision = named(f"$.{tag}")
         if name == "policy_decision":
             decision = f"CASE {decision} WHEN 'tool' THEN concat('tool/', {named('$.tool_call.tool_name')}) ELSE {decision} END"
-        cases = " ".join(f"WHEN '{d}' THEN {_holds(x, '$', f)}" for d, f in decisions.items())
-        return f"CASE {decision} {cases} ELSE false END"
+        # computed once: a CASE compares the value anew at each WHEN
+        return _let(decision, lambda d: f"CASE {d} " + " ".join(f"WHEN '{n}' THEN {_holds(x, '$', f)}" for n, f in decisions.items()) + " ELSE false END")
 
     cases = " ".join(f"WHEN '{name}' THEN {_let(v, lambda x, name=name: decided(name, x))}" for name in CONTRACTS)
     return f"coalesce(CASE {contract} {cases} ELSE false END, false)"
@@ -444,10 +459,10 @@ def typed_rejections(records: DataFrame) -> DataFrame:
         made = f"""CASE WHEN operation = 'recover' THEN {several((_constant(NO_RECOVERY), "invalid_recovery"), (_other_node(v), "invalid_recovery"))}
           WHEN {_get(v, "$.decision_type", "string")} = 'tool' THEN {several(refusal, finish, (_altered(v), "wrong_tool_or_arguments"))}
           WHEN {_get(v, "$.decision_type", "string")} = 'finish' THEN {several(refusal, (_checked_again(v), "repeated_action"))} ELSE {several(finish)} END"""
-        return f"CASE WHEN {_valid(v, contract)} THEN filter({made}, m -> m.rejected IS NOT NULL AND m.rejected <> CAST({v} AS STRING)) END"
+        return f"CASE WHEN {_valid(v, contract)} THEN {_let(f'CAST({v} AS STRING)', lambda own: f'filter({made}, m -> m.rejected IS NOT NULL AND m.rejected <> {own})')} END"
 
-    made = records.select("record_id", "prompt", F.col("target").alias("chosen"), F.expr(_let("try_parse_json(target)", options)).alias("made"))
-    e = made.select("record_id", "prompt", "chosen", F.explode("made").alias("x"))
+    # exploded as an expression: of a column Spark infers that it is not null and not empty, and computes it once more for each of the two
+    e = records.select("record_id", "prompt", F.col("target").alias("chosen"), F.explode(F.expr(_let("try_parse_json(target)", options))).alias("x"))
     return e.select(
         "record_id", "prompt", "chosen", "x.rejected", "x.reason", F.sha2("prompt", 256).alias("snapshot_sha256"), F.sha2(F.concat_ws("|", "record_id", "x.reason", "x.nth"), 256).alias("pair_id")
     )

@@ -150,8 +150,10 @@ def decision_kind(text: Column) -> Column:
 def shortcut_audit(inputs: DataFrame, labels: DataFrame) -> DataFrame:
     """Heuristic, accuracy, n_right, n: how well length alone tells the chosen side (ties count as side a), and, over the pairs where exactly one
     side is terminal, or a tool call, how often the other, or that, is the chosen one."""
-    j = inputs.join(labels, "input_id").withColumns({"ka": decision_kind(F.col("a")), "kb": decision_kind(F.col("b"))})
-    la, lb, side = F.length("a"), F.length("b"), F.col("chosen_side")
+    # the texts stay behind: the join moves kinds and lengths
+    seen = inputs.select("input_id", decision_kind(F.col("a")).alias("ka"), decision_kind(F.col("b")).alias("kb"), F.length("a").alias("la"), F.length("b").alias("lb"))
+    j = seen.join(labels, "input_id")
+    la, lb, side = F.col("la"), F.col("lb"), F.col("chosen_side")
     ta, tb = F.col("ka").isin(*TERMINAL_KINDS), F.col("kb").isin(*TERMINAL_KINDS)
     tool_a, tool_b = F.col("ka") == "tool", F.col("kb") == "tool"
     guesses = {

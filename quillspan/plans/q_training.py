@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspan.operators import contracts as C
 from quillspan.operators import training_data as T
 from quillspan.plans.registry import query
+from quillspan.plans.scratch import dealt, materialize
 
 R9 = lambda c: F.round(c, 9).alias(c)
 STEPS = """SELECT trajectory_id, pos, operation, decision, prompt, target FROM (SELECT conv_id AS trajectory_id, turn AS pos, CASE WHEN turn % 5 = 4 THEN 'plan' WHEN turn % 2 = 0 THEN 'decide' ELSE 'recover' END AS operation, CASE WHEN conv_id % 4 = 1 THEN 'tool' WHEN conv_id % 4 = 2 THEN 'finish' WHEN conv_id % 4 = 3 THEN 'cannot_complete' ELSE 'replan' END AS decision, role, text AS prompt,
@@ -132,7 +133,8 @@ pref AS (SELECT *, sha256(CAST(record_id AS VARCHAR) || '|' || reason || '|' ||
 
 
 def pairs(get):
-    return C.typed_rejections(get(PAIRED))
+    """Written once: the audits read the pairs more than once."""
+    return materialize(C.typed_rejections(dealt(get(PAIRED))), "preference-pairs")
 
 
 @query("t4_preference_pairs", f"WITH {PREF} SELECT pair_id, record_id, reason, sha256(chosen) AS chosen, sha256(rejected) AS rejected, sha256(prompt) AS snapshot_sha256 FROM pref")
@@ -144,7 +146,7 @@ def t4(get):
 def t4_valid(get):
     """Every rejection is a valid decision of its target's own contract."""
     contract = F.when(F.col("reason") == "invalid_recovery", "recovery_decision").otherwise("policy_decision")
-    p = C.with_validity(pairs(get).select("reason", F.try_parse_json("rejected").alias("v"), contract.alias("contract")))
+    p = C.with_validity(dealt(pairs(get).select("reason", "rejected")).select("reason", F.try_parse_json("rejected").alias("v"), contract.alias("contract")))
     return p.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("valid")).alias("invalid"))
 
 
@@ -188,7 +190,7 @@ js2 AS (SELECT *, regexp_matches(raw, '(?i)shell|ffmpeg\\s+-|powershell|cmd\\.ex
 @query("t2_contract_errors", f"WITH {JUDGED} SELECT rollout_id AS record_id, CASE WHEN NOT (ok AND raw = j) THEN 'not_a_decision' WHEN operation = 'replan' THEN 'replan_expected' END AS rule FROM jv WHERE NOT (ok AND raw = j) OR operation = 'replan'".replace("WHERE NOT (ok AND raw = j)", "WHERE NOT coalesce(ok AND raw = j, false)").replace("CASE WHEN NOT (ok AND raw = j)", "CASE WHEN NOT coalesce(ok AND raw = j, false)"))
 def t2_contracts(get):
     """Targets that are no valid decision of their operation."""
-    return C.contract_errors(get(ACTED).select(F.col("rollout_id").alias("record_id"), "operation", F.col("raw").alias("target")))
+    return C.contract_errors(dealt(get(ACTED)).select(F.col("rollout_id").alias("record_id"), "operation", F.col("raw").alias("target")))
 
 
 @query(
@@ -199,7 +201,7 @@ def t2_contracts(get):
 )
 def t13_contracts(get):
     """Rewards of completions under the contract of their row."""
-    return C.score_actions(get(ACTED)).select("rollout_id", "n", "valid", "exact", "total")
+    return C.score_actions(dealt(get(ACTED))).select("rollout_id", "n", "valid", "exact", "total")
 
 
 _PA = "count(*) AS n, count(*) - count(DISTINCT prompt || chr(31) || chosen || chr(31) || rejected) AS duplicates, round(avg((length(chosen) < length(rejected))::INT), 9) AS chosen_shorter, round(avg(length(chosen) - length(rejected)), 9) AS mean_gap, min(length(chosen)) AS chosen_min, median(length(chosen)) AS chosen_median, round(quantile_cont(length(chosen), 0.95), 9) AS chosen_p95, max(length(chosen)) AS chosen_max, min(length(rejected)) AS rejected_min, median(length(rejected)) AS rejected_median, round(quantile_cont(length(rejected), 0.95), 9) AS rejected_p95, max(length(rejected)) AS rejected_max"
@@ -217,7 +219,7 @@ rm AS (SELECT input_id, CASE WHEN odd THEN rejected ELSE chosen END AS a, CASE W
 @query("t6_reward_tables", f"WITH {SIDES} SELECT input_id, sha256(a) AS a, sha256(b) AS b, side AS chosen_side, reason FROM rm")
 def t6(get):
     i, lab = T.reward_tables(pairs(get))
-    return i.join(lab, "input_id").select("input_id", F.sha2("a", 256).alias("a"), F.sha2("b", 256).alias("b"), "chosen_side", "reason")
+    return i.select("input_id", F.sha2("a", 256).alias("a"), F.sha2("b", 256).alias("b")).join(lab, "input_id").select("input_id", "a", "b", "chosen_side", "reason")
 
 
 @query(

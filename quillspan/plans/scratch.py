@@ -36,6 +36,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in four even parts a core, for steps that cost far more than reading: Spark cuts files by their bytes, so a million narrow rows may be one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that ``materialize`` gave and that nothing reads any more."""
     for t in tables:

@@ -143,3 +143,13 @@ def test_targets_that_their_operation_does_not_allow(spark):
     rows = [(1, "decide", CHECK), (2, "replan", CHECK), (3, "replan", replan(STEPS)), (4, "decide", replan(STEPS)), (5, "recover", RECOVERY[0][0]), (6, "recover", CHECK), (7, "decide", BAD[0])]
     df = spark.createDataFrame([(i, o, json.dumps(t)) for i, o, t in rows], "record_id int, operation string, target string")
     assert {(r["record_id"], r["rule"]) for r in contracts.contract_errors(df).collect()} == {(2, "replan_expected"), (4, "replan_unexpected"), (6, "not_a_decision"), (7, "not_a_decision")}
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_checks_of_a_target_are_planned_once(spark):
+    rows = spark.createDataFrame([(1, "decide", "p", json.dumps(CHECK))], "record_id long, operation string, prompt string, target string")
+    plan = optimized(contracts.typed_rejections(rows))
+    assert "Filter" not in plan
