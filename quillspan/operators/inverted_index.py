@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators.retrieval import K1, B, allowed, ranked
-from quillspan.plans.scratch import scratch_root
+from quillspan.plans.scratch import materialize, scratch_root
 
 SPAN = 1024  # document numbers of a range
 SHARDS = 8  # of terms: folders of the kept index; inside them files are sorted by term
@@ -177,3 +177,49 @@ def matched_terms(index: Index, queries: DataFrame, field: str = "combined") ->
     """query_id, video_id, scene_id, score: the number of distinct terms that a document shares with a query."""
     found = _scored(index, asked_terms(index, queries, field), field)
     return _named(index, found, field).select("query_id", "video_id", "scene_id", F.col("matched").cast("double").alias("score"))
+
+
+class Counts(NamedTuple):
+    """forward: doc, video_id, scene_id, field, length, terms, tfs; totals: field, n_docs, mean_length."""
+
+    forward: DataFrame
+    totals: DataFrame
+
+
+def count_terms(docs: DataFrame, fields: list[str]) -> Counts:
+    """The term counts of ``docs`` alone, without posting lists: for searches that ask a set of queries once."""
+    numbered = docs.withColumn("doc", F.monotonically_increasing_id())
+    forward = materialize(_count(numbered, ["doc", "video_id", "scene_id"], fields), "term-counts")
+    return Counts(forward, materialize(forward.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length")), "totals"))
+
+
+def scores_by_document(counts: Counts, queries: DataFrame, field: str = "combined") -> DataFrame:
+    """query_id, video_id, scene_id, score, matched of all documents that share a term with a query.
+
+    The counts of a document move once, by its number; what its terms add up to stays in that task, however many queries ask for them, and a cut to the k
+    best of each query is made there too. Only the terms asked for and their weights go to the other tasks."""
+    forward = counts.forward.filter(F.col("field") == field).drop("field")
+    asked = _count(queries.select("query_id", F.col("text").alias(field)), ["query_id"], [field])
+    asked = asked.select("query_id", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("query_id", F.col("t.terms").alias("term"), F.col("t.tfs").alias("qtf"))
+    asked = materialize(asked, "asked-terms")
+    held = forward.select(F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    totals = counts.totals.filter(F.col("field") == field).select("n_docs", "mean_length")  # one row
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = materialize(asked.join(held, "term").join(F.broadcast(totals)).select("query_id", "term", (F.col("qtf") * idf).alias("weight"), "mean_length"), "term-weights")
+    spark = forward.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    postings = forward.repartition(parts, "doc").select("doc", "video_id", "scene_id", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+    postings = postings.select("doc", "video_id", "scene_id", "length", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
+    part = F.col("weight") * _part(F.col("tf"), F.col("length"), F.col("mean_length"))
+    scored = postings.join(weights, "term").groupBy("query_id", "doc", "video_id", "scene_id").agg(F.round(F.sum(part), 9).alias("score"), F.count(F.lit(1)).cast("double").alias("matched"))
+    return scored.drop("doc")
+
+
+def search_counts(counts: Counts, queries: DataFrame, field: str = "combined", k: int = 10) -> DataFrame:
+    """As ``search``, from term counts."""
+    return ranked(scores_by_document(counts, queries, field).filter("score > 0").drop("matched"), k)
+
+
+def matched_counts(counts: Counts, queries: DataFrame, field: str = "combined", k: int = 10) -> DataFrame:
+    """The k best documents of each query by the number of distinct terms that they share with it; the number is the score."""
+    return ranked(scores_by_document(counts, queries, field).drop("score").withColumnRenamed("matched", "score"), k)

@@ -119,3 +119,18 @@ def test_routes_do_not_write_the_analysis_out_anew(spark):
     routed = retrieval.route(retrieval.analyse(asked))
     assert "isnotnull(coalesce" not in routed._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {(r["query_id"], r["channel"]) for r in routed.collect()} == {(1, c) for c in retrieval.WEIGHTS["action_or_motion"]} | {(2, c) for c in retrieval.WEIGHTS["ambiguous"]}
+
+
+def test_scores_stay_in_the_task_of_their_document(spark):
+    docs = spark.createDataFrame([("v", i, f"common w{i % 7} x{i % 3}") for i in range(60)] + [("w", None, None)], "video_id string, scene_id long, text string")
+    asked = spark.createDataFrame([(1, "common w1 w1"), (2, "x2 common"), (3, "absent")], "query_id long, text string")
+    counts = inverted_index.count_terms(docs, ["text"])
+    got = inverted_index.search_counts(counts, asked, "text", 5)
+    index = inverted_index.build_index(docs, ["text"], span=8)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "video_id", "scene_id", "score", "rank").collect()))
+    assert rows(got) == rows(inverted_index.search(index, asked, "text", 5))
+    assert rows(inverted_index.matched_counts(counts, asked, "text", 5)) == rows(retrieval.ranked(inverted_index.matched_terms(index, asked, "text"), 5))
+    # pairs of query and document are summed and cut before they move: one exchange of documents, one of the k best
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
