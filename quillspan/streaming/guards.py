@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ALERTS = "run_id string, event_id long, fingerprint string, occurrence long"
 GUARD = "run_id string, event_id long, violation string"
+SHARDS = 1024  # groups of keys whose states lie together
 
 
 def _dated(stream: DataFrame, delay: str) -> DataFrame:
@@ -30,27 +31,43 @@ def _silent(state: GroupState, latest: int, ttl_minutes: int) -> int:
     return max(int(latest), state.getCurrentWatermarkMs()) + ttl_minutes * 60_000
 
 
-def repeat_alerts(stream: DataFrame, limit: int, ttl_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
+def repeat_alerts(stream: DataFrame, limit: int, ttl_minutes: int = 60, delay: str = "10 minutes", shards: int = SHARDS) -> DataFrame:
     """ST1: an alert for each event whose fingerprint occurred more than ``limit`` times in its run.
 
-    stream: run_id string, event_id long, ts timestamp, fingerprint string. The key is (run, fingerprint) and the state one counter, so that a run
-    with many fingerprints is spread like many runs. Inside a micro batch events are taken by event_id."""
+    stream: run_id string, event_id long, ts timestamp, fingerprint string. A key is a (run, fingerprint), with a counter and the time at which it is
+    forgotten. Keys are held by ``shards`` hashed groups, each judged in whole arrays: a call a key costs far more than the few events it
+    has, while a run with many fingerprints is still spread. Inside a micro batch events are taken by event_id."""
+    names = ["run_id", "fingerprint", "seen", "until"]
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        watermark = state.getCurrentWatermarkMs()
+        frames = [] if state.hasTimedOut else list(frames)
+        held = pd.DataFrame(dict(zip(names, map(list, state.get), strict=True))) if state.exists else pd.DataFrame({n: [] for n in names})
+        held = held.astype({"run_id": object, "fingerprint": object, "seen": np.int64, "until": np.int64})
+        if frames:
+            batch = pd.concat(frames)[["run_id", "fingerprint", "event_id", "at"]].sort_values("event_id", kind="stable")
+            on = ["run_id", "fingerprint"]
+            before = batch.merge(held[[*on, "seen"]], "left", on)["seen"].fillna(0).astype(np.int64).to_numpy()
+            occurrence = before + batch.groupby(on, dropna=False).cumcount().to_numpy() + 1
+            late = occurrence > limit
+            if late.any():
+                yield batch.loc[late, ["run_id", "event_id", "fingerprint"]].assign(occurrence=occurrence[late])
+            # keys of this batch live on from here; others go when the watermark has passed their time
+            batch = batch.assign(seen=occurrence)
+            fresh = batch.groupby(on, dropna=False, as_index=False).agg(seen=("seen", "max"), until=("at", "max"))
+            fresh["until"] = np.maximum(fresh["until"].astype(np.int64), watermark) + ttl_minutes * 60_000
+            held = pd.concat([held, fresh]).drop_duplicates(on, keep="last")
+        held = held[held["until"] >= watermark]
+        if held.empty:
             state.remove()
             return
-        (seen,) = state.get if state.exists else (0,)
-        frames = list(frames)
-        ids = np.sort(np.concatenate([f["event_id"].to_numpy() for f in frames]))
-        state.update((seen + len(ids),))
-        state.setTimeoutTimestamp(_silent(state, max(f["at"].max() for f in frames), ttl_minutes))
-        occurrence = seen + 1 + np.arange(len(ids))
-        late = occurrence > limit
-        if late.any():
-            yield pd.DataFrame({"run_id": key[0], "event_id": ids[late], "fingerprint": key[1], "occurrence": occurrence[late]})
-
-    return _dated(stream, delay).groupBy("run_id", "fingerprint").applyInPandasWithState(update, ALERTS, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+        text = lambda c: [None if pd.isna(x) else x for x in held[c]]
+        state.update((text("run_id"), text("fingerprint"), held["seen"].tolist(), held["until"].tolist()))
+        state.setTimeoutTimestamp(int(held["until"].min()))
+
+    kept = "runs array<string>, fingerprints array<string>, seen array<long>, until array<long>"
+    dated = _dated(stream, delay).withColumn("shard", F.pmod(F.xxhash64("run_id", "fingerprint"), F.lit(shards)))
+    return dated.groupBy("shard").applyInPandasWithState(update, ALERTS, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def order_guard(stream: DataFrame, budget: int, ttl_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:

@@ -63,3 +63,16 @@ def test_no_gain_across_batches(spark, tmp_path):
     got = batches(spark, tmp_path, lambda s: guards.no_gain_alerts(s, 2), *parts)
     # 1 starts, 2 and 3 repeat; 4 gains, 5 repeats; 6 gains, 7 and 10 repeat
     assert sorted((r["event_id"], r["version"], r["no_gain"]) for r in got.collect()) == [(3, 0, 2), (10, 2, 2)]
+
+
+def test_keys_of_one_shard_keep_their_own_counters_and_times(spark, tmp_path):
+    parts = (
+        [row("r", 1, 1), row("r", 2, 2), row("r", 3, 3), row("q", 4, 4), row("r", 5, 5, fingerprint="g"), row(None, 6, 6)],
+        [row("q", 7, 500)],
+        [row("q", 8, 501), row(None, 9, 502)],
+        [row("r", 600, 600), row("q", 601, 600), row("q", 602, 601)],
+    )
+
+    got = batches(spark, tmp_path, lambda s: guards.repeat_alerts(s, 3, shards=1), *parts)
+    # r fell silent for an hour, q came with the batch in which its time had passed
+    assert sorted((r["run_id"], r["event_id"], r["occurrence"]) for r in got.collect()) == [("q", 601, 4), ("q", 602, 5)]
