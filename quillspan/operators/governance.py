@@ -7,9 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.plans.scratch import materialize
+from quillspan.plans.scratch import dealt, materialize
 from quillspan.sources.records import manifest
 
+PIECE = 1 << 16  # draws that are made from one row
+SENT = 1 << 20  # sources whose sums (four numbers each) are sent to all tasks
+
 
 def numbered(rows: DataFrame, order: list[str], name: str = "__n") -> DataFrame:
     """Positions from 0 in a total order without a single-partition sort of wide rows: rows are range partitioned and sorted,
@@ -280,15 +283,18 @@ def paired_bootstrap(outcomes: DataFrame, resamples: int, seed: int) -> DataFram
     """Arm rates and their difference with 2.5 and 97.5 % limits (linear interpolation) over resampled sources.
 
     outcomes: task_id, source_id, base (0/1), other (0/1). Tasks are summed per source first, so the work is resamples x sources;
-    draws come from a hash of (seed, resample, draw), so that reruns agree."""
+    draws come from a hash of (seed, resample, draw), so that reruns agree. Draws are made in pieces and summed where they are made: the sums of
+    the sources go to them, up to ``SENT`` sources; more sources meet the draws by position. Spark takes the draws for one row a piece, so the side
+    that is held in memory is named here."""
     per = outcomes.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("base").alias("b"), F.sum("other").alias("o"))
-    per = numbered(per, ["source_id"], "at")
+    per = materialize(numbered(per, ["source_id"], "at").select("at", "n", "b", "o"), "sources")
     total = per.agg(F.count(F.lit(1)).alias("sources"))
-    draws = outcomes.sparkSession.range(resamples).select(F.col("id").alias("r")).join(F.broadcast(total)).select(
-        "r", "sources", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sources") - 1)).alias("i")
-    )
+    pieces = outcomes.sparkSession.range(resamples).select(F.col("id").alias("r")).join(F.broadcast(total)).filter("sources > 0")
+    pieces = dealt(pieces.select("r", "sources", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sources") - 1, F.lit(PIECE).cast("long"))).alias("first")))
+    draws = pieces.select("r", "sources", F.explode(F.sequence("first", F.least(F.col("first") + PIECE, F.col("sources")) - 1)).alias("i"))
     draws = draws.select("r", F.pmod(F.xxhash64(F.lit(seed), "r", "i"), F.col("sources")).alias("at"))
-    rates = draws.join(per, "at").groupBy("r").agg((F.sum("b") / F.sum("n")).alias("base"), (F.sum("o") / F.sum("n")).alias("other")).withColumn("difference", F.col("other") - F.col("base"))
+    held = F.broadcast(per) if per.count() <= SENT else per.hint("shuffle_hash")
+    rates = draws.join(held, "at").groupBy("r").agg((F.sum("b") / F.sum("n")).alias("base"), (F.sum("o") / F.sum("n")).alias("other")).withColumn("difference", F.col("other") - F.col("base"))
     point = outcomes.agg(F.avg("base").alias("base"), F.avg("other").alias("other")).withColumn("difference", F.col("other") - F.col("base"))
     names = ["base", "other", "difference"]
     limits = rates.agg(*[F.percentile(c, q).alias(f"{c}_{n}") for c in names for n, q in (("lo", 0.025), ("hi", 0.975))])

@@ -197,6 +197,23 @@ def test_bootstrap_of_equal_and_opposite_arms(spark):
     assert (got["base"]["value"], got["base"]["lo"], got["base"]["hi"]) == (0.5, 0, 1) and got["difference"]["value"] == -0.5
 
 
+def test_bootstrap_holds_the_sources_in_memory_and_not_the_draws(spark, monkeypatch):
+    n = 3000
+    outcomes = spark.range(2 * n).selectExpr("id AS task_id", "id % 3000 AS source_id", "CAST(id % 7 < 3 AS INT) AS base", "CAST(id % 5 < 3 AS INT) AS other")
+    out = governance.paired_bootstrap(outcomes, 20, 5)
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :|+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            inside = [x for x in lines[i + 1 :] if x][: next((j for j, x in enumerate(lines[i + 1 :]) if depth(x) <= depth(line)), None)]
+            assert not any("Generate" in x for x in inside)
+    want = out.collect()
+    monkeypatch.setattr(governance, "SENT", 10)
+    monkeypatch.setattr(governance, "PIECE", 700)
+    other = governance.paired_bootstrap(outcomes, 20, 5)
+    assert other.collect() == want and "ShuffledHashJoin" in other._jdf.queryExecution().executedPlan().toString()
+
+
 def test_even_sample_rounds_halves_to_even(spark):
     df = spark.range(10).select(F.col("id").alias("k"))
     assert rows(governance.even_sample(df, 4, "k"), "k") == [(0,), (3,), (6,), (9,)]
