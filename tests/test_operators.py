@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import _code, tokens, word_distance
+from quillspan.functions.text import _code, distance, edit_distance, tokens, word_distance
 from quillspan.operators import event_log, governance, intervals, ranking_metrics, retrieval, training_data
 from quillspan.sources import records
 
@@ -104,6 +105,18 @@ def test_word_distances_match_brute_force(spark):
     assert (codes["n"], codes["l"]) == (60_000, 60_000)
 
 
+def test_distances_of_long_texts_equal_levenshtein(spark):
+    rng = random.Random(5)
+    pairs = [("".join(rng.choice("abé😀 ") for _ in range(n)), "".join(rng.choice("abé😀 ") for _ in range(m))) for n, m in ((0, 0), (0, 9), (1, 1), (64, 65), (700, 31), (300, 900))]
+    df = spark.createDataFrame([*pairs, (None, "a")], "a string, b string")
+    assert all(r["d"] == r["l"] for r in df.select(edit_distance(F.col("a"), F.col("b")).alias("d"), F.levenshtein("a", "b").alias("l")).collect())
+    # 20,000 characters against as many others: 4e8 cells, a step of which is not a step of ours
+    a, b = ("".join(rng.choice("abcdefgh") for _ in range(20_000)) for _ in range(2))
+    began = time.perf_counter()
+    assert distance(a, "x" + a[:-1]) == 2 and distance(a, b) > 5_000
+    assert time.perf_counter() - began < 5
+
+
 def test_asr_table(spark):
     spans = spark.createDataFrame([("a", 1, "square", 600, 1100), ("a", 0, "red", 50, 500)], "case_id string, pos int, text string, start_ms long, end_ms long")
     gold = spark.createDataFrame([("a", "red square", 0, 1000), ("b", "x", 0, 10)], "case_id string, text string, start_ms long, end_ms long")
