@@ -1,6 +1,6 @@
 """Online guards over an event stream (ST1, ST2).
 
-They hold a few numbers a key in Spark's state store; ``no_gain_alerts`` holds what a run has seen, and ``ordered_audit`` the events that may still be
+They hold a few numbers a key in Spark's state store, many keys in a hashed group; ``no_gain_alerts`` holds what a run has seen, and ``ordered_audit`` the events that may still be
 overtaken. A watermark on the event time bounds the state: a
 run that stays silent for ``ttl_minutes`` of event time is forgotten, and events later than the watermark are dropped by
 Spark. The policy for late events is ours; the batch forms are ``event_log.nth_repeat`` and ``event_log.audit_log``.
@@ -8,7 +8,7 @@ Spark. The policy for late events is ours; the batch forms are ``event_log.nth_r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,9 +26,45 @@ def _dated(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withWatermark("ts", delay).withColumn("at", F.unix_millis("ts"))
 
 
-def _silent(state: GroupState, latest: int, ttl_minutes: int) -> int:
-    """When a key is forgotten: counted from its latest event, as the watermark of a first micro batch is not known yet."""
-    return max(int(latest), state.getCurrentWatermarkMs()) + ttl_minutes * 60_000
+def _sharded(stream: DataFrame, delay: str, shards: int, *keys: str) -> DataFrame:
+    return _dated(stream, delay).withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)))
+
+
+def _texts(values: Iterable) -> list:
+    return [None if pd.isna(x) else x for x in values]
+
+
+def _coded(held: list, came: Iterable) -> tuple[np.ndarray, list]:
+    """Numbers of the values that came, and all values by number: those held keep their places, new ones follow."""
+    codes, names = pd.factorize(np.array([*held, *came], dtype=object), use_na_sentinel=False)
+    return codes[len(held) :], _texts(names)
+
+
+def _grown(held: list, n: int, kind: type) -> np.ndarray:
+    return np.concatenate([np.array(held, dtype=kind), np.zeros(n - len(held), dtype=kind)])
+
+
+def _starts(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by a number: whether a row is the first of its number, and where that first row is."""
+    first = np.concatenate((np.ones(min(len(code), 1), bool), code[1:] != code[:-1]))
+    return first, np.maximum.accumulate(np.where(first, np.arange(len(code)), 0)) if len(code) else np.zeros(0, np.int64)
+
+
+def _in_order(code: np.ndarray, rows: pd.DataFrame, last: np.ndarray, used: np.ndarray, ended: np.ndarray, budget: int) -> dict[str, np.ndarray]:
+    """What is wrong with ``rows`` (sequence_no, terminal, delta), which are sorted by run and number; the state of the runs, one place a run, is moved on."""
+    if not len(code):
+        return {}
+    first, at = _starts(code)
+    seq, terminal, delta = (rows[c].to_numpy() for c in ("sequence_no", "terminal", "delta"))
+    before = np.where(first, last[code], np.maximum(last[code], np.concatenate(([0], seq[:-1]))))
+    new = seq > before
+    ends, cost = new & terminal, np.where(new, delta, 0)
+    n_ends, spent = np.cumsum(ends), np.cumsum(cost)
+    over = ended[code] | (n_ends - ends > n_ends[at] - ends[at])
+    spent = used[code] + spent - (spent[at] - cost[at])
+    tail = np.concatenate((first[1:], [True]))
+    last[code[tail]], used[code[tail]], ended[code[tail]] = np.maximum(before, seq)[tail], spent[tail], (over | ends)[tail]
+    return {"duplicate": ~new, "after_terminal": new & over, "gap": new & ~over & (seq != before + 1), "over_budget": new & (spent > budget)}
 
 
 def repeat_alerts(stream: DataFrame, limit: int, ttl_minutes: int = 60, delay: str = "10 minutes", shards: int = SHARDS) -> DataFrame:
@@ -61,126 +97,179 @@ def repeat_alerts(stream: DataFrame, limit: int, ttl_minutes: int = 60, delay: s
         if held.empty:
             state.remove()
             return
-        text = lambda c: [None if pd.isna(x) else x for x in held[c]]
-        state.update((text("run_id"), text("fingerprint"), held["seen"].tolist(), held["until"].tolist()))
+        state.update((_texts(held["run_id"]), _texts(held["fingerprint"]), held["seen"].tolist(), held["until"].tolist()))
         state.setTimeoutTimestamp(int(held["until"].min()))
 
     kept = "runs array<string>, fingerprints array<string>, seen array<long>, until array<long>"
-    dated = _dated(stream, delay).withColumn("shard", F.pmod(F.xxhash64("run_id", "fingerprint"), F.lit(shards)))
-    return dated.groupBy("shard").applyInPandasWithState(update, ALERTS, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return _sharded(stream, delay, shards, "run_id", "fingerprint").groupBy("shard").applyInPandasWithState(update, ALERTS, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def order_guard(stream: DataFrame, budget: int, ttl_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
+def order_guard(stream: DataFrame, budget: int, ttl_minutes: int = 60, delay: str = "10 minutes", shards: int = SHARDS) -> DataFrame:
     """ST2: duplicate, gap, after_terminal and over_budget events, as they arrive.
 
     stream: run_id string, event_id long, ts timestamp, sequence_no long, kind string, delta long. A sequence number at or below the last one
-    is a duplicate; a gap moves the expectation on, so that one gap is one alert. Order is a property of a run, so the run is the key; its state is three
-    values, and a micro batch of it is judged in whole arrays."""
+    (or none) is a duplicate; a gap moves the expectation on, so that one gap is one alert. Order is a property of a run, whose state is three values and
+    the time at which it is forgotten. Runs lie in ``shards`` hashed groups, each judged in whole arrays, as in ``repeat_alerts``."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        watermark = state.getCurrentWatermarkMs()
+        held = [list(x) for x in state.get] if state.exists else [[], [], [], [], []]
+        frames = [] if state.hasTimedOut else list(frames)
+        batch = pd.concat(frames) if frames else None
+        code, runs = _coded(held[0], [] if batch is None else batch["run_id"])
+        last, used, ended, until = (_grown(x, len(runs), kind) for x, kind in zip(held[1:], (np.int64, np.int64, bool, np.int64), strict=True))
+        if batch is not None:
+            rows = pd.DataFrame({
+                "run": code, "event_id": batch["event_id"].array, "sequence_no": batch["sequence_no"].fillna(np.iinfo(np.int64).min).astype(np.int64).array,
+                "terminal": (batch["kind"] == "terminal").array, "delta": batch["delta"].fillna(0).astype(np.int64).array, "at": batch["at"].array,
+            }).sort_values(["run", "sequence_no", "event_id"], kind="stable")
+            code = rows["run"].to_numpy()
+            found = _in_order(code, rows, last, used, ended, budget)
+            # runs of this batch live on from here; others go when the watermark has passed their time
+            latest = rows.groupby("run")["at"].max()
+            until[latest.index] = np.maximum(latest.to_numpy(np.int64), watermark) + ttl_minutes * 60_000
+            names = np.array(runs, dtype=object)
+            out = [pd.DataFrame({"run_id": names[code[hit]], "event_id": rows["event_id"][hit], "violation": name}) for name, hit in found.items() if hit.any()]
+            if out:
+                yield pd.concat(out)
+        stay = np.flatnonzero(until >= watermark)
+        if not len(stay):
             state.remove()
             return
-        last, used, ended = state.get if state.exists else (0, 0, False)
-        batch = pd.concat(list(frames)).sort_values(["sequence_no", "event_id"])
-        ids, seq = batch["event_id"].to_numpy(), batch["sequence_no"].to_numpy()
-        highest = np.maximum.accumulate(np.concatenate(([last], seq)))
-        fresh = seq > highest[:-1]
-        ends = fresh & (batch["kind"] == "terminal").to_numpy()
-        over_before = np.concatenate(([ended], ended | np.logical_or.accumulate(ends)))[:-1]
-        spent = used + np.cumsum(np.where(fresh, batch["delta"].fillna(0).to_numpy(), 0))
-        found = {
-            "duplicate": ~fresh,
-            "after_terminal": fresh & over_before,
-            "gap": fresh & ~over_before & (seq != highest[:-1] + 1),
-            "over_budget": fresh & (spent > budget),
-        }
-        state.update((int(highest[-1]), int(spent[-1]), bool(ended or ends.any())))
-        state.setTimeoutTimestamp(_silent(state, batch["at"].max(), ttl_minutes))
-        rows = [pd.DataFrame({"run_id": key[0], "event_id": ids[hit], "violation": name}) for name, hit in found.items() if hit.any()]
-        if rows:
-            yield pd.concat(rows)
-
-    return _dated(stream, delay).groupBy("run_id").applyInPandasWithState(update, GUARD, "last long, used long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        state.update(([runs[i] for i in stay], *[x[stay].tolist() for x in (last, used, ended, until)]))
+        state.setTimeoutTimestamp(int(until[stay].min()))
+
+    kept = "runs array<string>, last array<long>, used array<long>, ended array<boolean>, until array<long>"
+    return _sharded(stream, delay, shards, "run_id").groupBy("shard").applyInPandasWithState(update, GUARD, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 NO_GAIN = "run_id string, event_id long, fingerprint string, version long, no_gain long"
 AUDIT = "run_id string, event_id long, sequence_no long, violation string"
 
 
-def no_gain_alerts(stream: DataFrame, limit: int, ttl_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
+def _first_seen(code: np.ndarray, values: pd.Series, held: list) -> tuple[np.ndarray, list]:
+    """Whether a row, in order, is the first of its run with its value (null is none), and all (runs by number, values) seen so far."""
+    table = pd.DataFrame({"run": np.concatenate([np.array(held[0], np.int64), code]), "value": np.array([*held[1], *values], dtype=object)})
+    new = (table["value"].notna() & ~table.duplicated()).to_numpy()
+    return new[len(held[0]) :], [table["run"][new].tolist(), table["value"][new].tolist()]
+
+
+def no_gain_alerts(stream: DataFrame, limit: int, ttl_minutes: int = 60, delay: str = "10 minutes", shards: int = SHARDS) -> DataFrame:
     """ST1 for W4: an alert for each edit that repeats an earlier one of its run ``limit`` times or more in a row without new information.
 
     stream: run_id string, event_id long, ts timestamp, fingerprint string, artifact string, verification string. The information version is the
-    number of distinct artifacts and of distinct verifications of the run so far; the run is the key, and its state the sets of both and, for each
-    fingerprint, the last version and the count. Inside a micro batch events are taken by event_id; micro batches in the order in which they come."""
+    number of distinct artifacts and of distinct verifications of the run so far. The state of a run is the sets of both, for each
+    fingerprint the last version and the count, and the time at which it is forgotten; runs lie in ``shards`` hashed groups, each judged in whole arrays. Inside
+    a micro batch events are taken by event_id; micro batches in the order in which they come."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        watermark = state.getCurrentWatermarkMs()
+        held = [list(x) for x in state.get] if state.exists else [[] for _ in range(10)]
+        frames = [] if state.hasTimedOut else list(frames)
+        batch = pd.concat(frames).sort_values("event_id", kind="stable") if frames else None
+        code, runs = _coded(held[0], [] if batch is None else batch["run_id"])
+        until = _grown(held[1], len(runs), np.int64)
+        artifacts, verifications, prints = held[2:4], held[4:6], pd.DataFrame(dict(zip(("run", "name", "version", "count"), held[6:], strict=True)))
+        if batch is not None:
+            order = np.argsort(code, kind="stable")
+            batch, code = batch.iloc[order], code[order]
+            seen = np.bincount(np.array([*artifacts[0], *verifications[0]], np.int64), minlength=len(runs))
+            fresh, artifacts = _first_seen(code, batch["artifact"], artifacts)
+            checked, verifications = _first_seen(code, batch["verification"], verifications)
+            _, at = _starts(code)
+            gained = fresh.astype(np.int64) + checked
+            total = np.cumsum(gained)
+            version = seen[code] + total - (total[at] - gained[at])
+            # the rows of a fingerprint stand together, after what is held of it with a version and a count
+            rows = pd.DataFrame({"run": code, "name": batch["fingerprint"].array, "version": version, "count": 0, "place": np.arange(len(code))})
+            both = pd.concat([prints.assign(place=-1), rows]) if len(prints) else rows
+            both["group"] = pd.factorize(pd.MultiIndex.from_arrays([both["run"], _coded([], both["name"])[0]]))[0]
+            both = both.sort_values(["group", "place"], kind="stable")
+            first, _ = _starts(both["group"].to_numpy())
+            now, place = both["version"].to_numpy(np.int64), both["place"].to_numpy()
+            starts = first | (now > np.concatenate(([0], now[:-1])))
+            origin = np.maximum.accumulate(np.where(starts, np.arange(len(now)), 0))
+            both["count"] = np.arange(len(now)) - origin + both["count"].to_numpy(np.int64)[origin]
+            hit = (place >= 0) & (both["count"].to_numpy() >= limit)
+            if hit.any():
+                which = place[hit]
+                yield pd.DataFrame({"run_id": np.array(runs, dtype=object)[code[which]], "event_id": batch["event_id"].to_numpy()[which], "fingerprint": batch["fingerprint"].to_numpy()[which], "version": version[which], "no_gain": both["count"].to_numpy()[hit]})
+            prints = both[np.concatenate((first[1:], [True]))]
+            latest = pd.Series(batch["at"].to_numpy()).groupby(code).max()
+            until[latest.index] = np.maximum(latest.to_numpy(np.int64), watermark) + ttl_minutes * 60_000
+        stay = until >= watermark
+        if not stay.any():
             state.remove()
             return
-        artifacts, verifications, names, versions, counts = (list(x) for x in state.get) if state.exists else ([], [], [], [], [])
-        seen, checked = set(artifacts), set(verifications)
-        of = {n: (v, c) for n, v, c in zip(names, versions, counts, strict=True)}
-        rows = []
-        batch = pd.concat(list(frames)).sort_values("event_id")
-        for e in batch.itertuples():
-            seen |= {e.artifact} - {None}
-            checked |= {e.verification} - {None}
-            version = len(seen) + len(checked)
-            last = of.get(e.fingerprint)
-            count = last[1] + 1 if last and version <= last[0] else 0
-            of[e.fingerprint] = version, count
-            if count >= limit:
-                rows.append((key[0], e.event_id, e.fingerprint, version, count))
-        state.update((sorted(seen), sorted(checked), list(of), [v for v, _ in of.values()], [c for _, c in of.values()]))
-        state.setTimeoutTimestamp(_silent(state, batch["at"].max(), ttl_minutes))
-        if rows:
-            yield pd.DataFrame(rows, columns=["run_id", "event_id", "fingerprint", "version", "no_gain"])
-
-    held = "artifacts array<string>, verifications array<string>, names array<string>, versions array<long>, counts array<long>"
-    return _dated(stream, delay).groupBy("run_id").applyInPandasWithState(update, NO_GAIN, held, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def ordered_audit(stream: DataFrame, budget: int, ttl_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
+        number = np.cumsum(stay) - 1
+        kept = lambda rows, *columns: [number[np.array(rows, np.int64)[stay[np.array(rows, np.int64)]]].tolist(), *[[x for x, i in zip(c, rows, strict=True) if stay[i]] for c in columns]]
+        lists = prints["run"].tolist(), _texts(prints["name"]), prints["version"].tolist(), prints["count"].tolist()
+        state.update(([x for x, here in zip(runs, stay, strict=True) if here], until[stay].tolist(), *kept(*artifacts), *kept(*verifications), *kept(*lists)))
+        state.setTimeoutTimestamp(int(until[stay].min()))
+
+    kept = (
+        "runs array<string>, until array<long>, artifact_runs array<long>, artifacts array<string>, verification_runs array<long>, verifications array<string>, "
+        "print_runs array<long>, prints array<string>, versions array<long>, counts array<long>"
+    )
+    return _sharded(stream, delay, shards, "run_id").groupBy("shard").applyInPandasWithState(update, NO_GAIN, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ordered_audit(stream: DataFrame, budget: int, ttl_minutes: int = 60, delay: str = "10 minutes", shards: int = SHARDS) -> DataFrame:
     """ST2 with late events: duplicate, gap, after_terminal and over_budget events in the order of sequence numbers, not of arrival.
 
     stream as in ``order_guard``. An event is held back until the watermark has passed it, so whatever comes within the delay takes its place; events are
     then judged by (sequence_no, event_id). A copy (an event_id that the run has among what it holds or has just judged) and any other event at or below the
-    last number are duplicates. Events later than the watermark are dropped by Spark. A run that stays silent for ``ttl_minutes`` is forgotten."""
+    last number are duplicates. Events later than the watermark are dropped by Spark. A run that stays silent for ``ttl_minutes`` is forgotten. Runs lie in
+    ``shards`` hashed groups, each judged in whole arrays."""
+    names = ["run", "event_id", "at", "sequence_no", "terminal", "delta"]
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        watermark, timed_out = state.getCurrentWatermarkMs(), state.hasTimedOut
-        names = ["event_id", "at", "sequence_no", "terminal", "delta"]
-        last, used, ended, latest, *held = state.get if state.exists else (0, 0, False, 0, [], [], [], [], [])
-        pending = pd.DataFrame(dict(zip(names, held, strict=True)))
-        if timed_out and pending.empty:
+        watermark = state.getCurrentWatermarkMs()
+        held = [list(x) for x in state.get] if state.exists else [[] for _ in range(11)]
+        frames = [] if state.hasTimedOut else list(frames)
+        batch = pd.concat(frames) if frames else None
+        code, runs = _coded(held[0], [] if batch is None else batch["run_id"])
+        last, used, ended, latest = (_grown(x, len(runs), kind) for x, kind in zip(held[1:5], (np.int64, np.int64, bool, np.int64), strict=True))
+        pending = pd.DataFrame({c: np.array(x, bool if c == "terminal" else np.int64) for c, x in zip(names, held[5:], strict=True)})
+        heard = np.zeros(len(runs), bool)
+        heard[pending["run"]] = True
+        heard[code] = True
+        if batch is not None:
+            numbers = {c: batch[c].astype(np.int64).array for c in ("event_id", "at")}
+            fresh = pd.DataFrame({
+                "run": code, **numbers, "sequence_no": batch["sequence_no"].fillna(np.iinfo(np.int64).min).astype(np.int64).array,
+                "terminal": (batch["kind"] == "terminal").array, "delta": batch["delta"].fillna(0).astype(np.int64).array,
+            })
+            pending = pd.concat([pending, fresh], ignore_index=True)
+            np.maximum.at(latest, code, fresh["at"].to_numpy())
+        due = (pending["at"] < watermark).to_numpy()
+        rows, pending = pending[due].sort_values(["run", "sequence_no", "event_id"], kind="stable"), pending[~due]
+        code, title = rows["run"].to_numpy(), np.array(runs, dtype=object)
+        out = [
+            pd.DataFrame({"run_id": title[code[hit]], "event_id": rows["event_id"][hit], "sequence_no": rows["sequence_no"][hit], "violation": name})
+            for name, hit in _in_order(code, rows, last, used, ended, budget).items()
+            if hit.any()
+        ]
+        if out:
+            yield pd.concat(out)
+        # a run goes when it holds nothing, nothing came, and the watermark has passed its time
+        silent = latest + ttl_minutes * 60_000
+        stay = heard | (silent >= watermark)
+        if not stay.any():
             state.remove()
             return
-        for f in [] if timed_out else frames:
-            fresh = pd.DataFrame({"event_id": f["event_id"], "at": f["at"], "sequence_no": f["sequence_no"], "terminal": f["kind"] == "terminal", "delta": f["delta"].fillna(0)})
-            pending = fresh if pending.empty else pd.concat([pending, fresh])
-        latest = max(latest, int(pending["at"].max())) if len(pending) else latest
-        due = pending["at"] < watermark
-        batch, pending = pending[due].sort_values(["sequence_no", "event_id"]), pending[~due]
-        seq, ids = batch["sequence_no"].to_numpy(np.int64), batch["event_id"].to_numpy(np.int64)
-        highest = np.maximum.accumulate(np.concatenate(([last], seq)))
-        new = seq > highest[:-1]
-        ends = new & batch["terminal"].to_numpy(bool)
-        before = np.concatenate(([ended], ended | np.logical_or.accumulate(ends)))[:-1]
-        spent = used + np.cumsum(np.where(new, batch["delta"].to_numpy(np.int64), 0))
-        found = {"duplicate": ~new, "after_terminal": new & before, "gap": new & ~before & (seq != highest[:-1] + 1), "over_budget": new & (spent > budget)}
-        spent_now = int(spent[-1]) if len(spent) else used
-        state.update((int(highest[-1]), spent_now, bool(ended or ends.any()), latest, *[pending[c].tolist() for c in names]))
-        # the watermark moves past the first held event, or the run falls silent
-        wake = int(pending["at"].min()) + 1 if len(pending) else latest + ttl_minutes * 60_000
+        number = np.cumsum(stay) - 1
+        pending = pending.assign(run=number[pending["run"]])
+        state.update(([x for x, here in zip(runs, stay, strict=True) if here], *[x[stay].tolist() for x in (last, used, ended, latest)], *[pending[c].tolist() for c in names]))
+        # the watermark moves past the first held event, or a run falls silent
+        wake = min(int(silent[stay].min()), int(pending["at"].min()) + 1 if len(pending) else np.iinfo(np.int64).max)
         state.setTimeoutTimestamp(max(wake, watermark + 1))
-        rows = [pd.DataFrame({"run_id": key[0], "event_id": ids[hit], "sequence_no": seq[hit], "violation": name}) for name, hit in found.items() if hit.any()]
-        if rows:
-            yield pd.concat(rows)
 
-    held = "last long, used long, ended boolean, latest long, ids array<long>, at array<long>, sequence_nos array<long>, terminals array<boolean>, deltas array<long>"
-    return _dated(stream, delay).groupBy("run_id").applyInPandasWithState(update, AUDIT, held, "append", GroupStateTimeout.EventTimeTimeout)
+    kept = (
+        "runs array<string>, last array<long>, used array<long>, ended array<boolean>, latest array<long>, "
+        "held array<long>, ids array<long>, at array<long>, sequence_nos array<long>, terminals array<boolean>, deltas array<long>"
+    )
+    return _sharded(stream, delay, shards, "run_id").groupBy("shard").applyInPandasWithState(update, AUDIT, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

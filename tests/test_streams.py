@@ -76,3 +76,30 @@ def test_keys_of_one_shard_keep_their_own_counters_and_times(spark, tmp_path):
     got = batches(spark, tmp_path, lambda s: guards.repeat_alerts(s, 3, shards=1), *parts)
     # r fell silent for an hour, q came with the batch in which its time had passed
     assert sorted((r["run_id"], r["event_id"], r["occurrence"]) for r in got.collect()) == [("q", 601, 4), ("q", 602, 5)]
+
+
+def test_runs_of_one_shard_keep_their_own_order_budget_and_time(spark, tmp_path):
+    parts = (
+        [row("r", 1, 1, delta=6), row("q", 2, 2), row("r", 3, 3), row(None, 1, 4), row("q", 1, 5, event_id=51)],
+        [row("r", 4, 6, "terminal", delta=6), row("q", 3, 500)],
+        [row("r", 5, 501), row("q", 4, 501), row(None, 2, 501)],
+    )
+    got = batches(spark, tmp_path, lambda s: guards.order_guard(s, 10, ttl_minutes=10_000, shards=1), *parts)
+    assert sorted((str(r["run_id"]), r["event_id"], r["violation"]) for r in got.collect()) == [("r", 3, "gap"), ("r", 4, "over_budget"), ("r", 5, "after_terminal"), ("r", 5, "over_budget")]
+
+
+def test_no_gain_of_runs_in_one_shard(spark, tmp_path):
+    parts = (
+        [row("r", 1, 1, artifact="a"), row("q", 2, 2, artifact="a"), row("r", 3, 3), row("q", 4, 4, fingerprint=None), row(None, 5, 5)],
+        [row("q", 6, 6, fingerprint=None), row("r", 7, 7), row("q", 8, 8, fingerprint=None, artifact="a"), row(None, 9, 9), row("q", 10, 10, artifact="b")],
+        [row("r", 11, 11, artifact="a"), row(None, 12, 12), row("q", 13, 13), row("q", 14, 14, fingerprint=None)],
+    )
+    got = batches(spark, tmp_path, lambda s: guards.no_gain_alerts(s, 2, shards=1), *parts)
+    assert sorted((str(r["run_id"]), r["event_id"], r["version"], r["no_gain"]) for r in got.collect()) == [("None", 12, 0, 2), ("q", 8, 1, 2), ("r", 7, 1, 2), ("r", 11, 1, 3)]
+
+
+def test_late_events_of_runs_in_one_shard(spark, tmp_path):
+    parts = [row("r", 1, 1, delta=6), row("q", 1, 1), row("r", 3, 3), row(None, 2, 3)], [row("r", 2, 2, delta=6), row("q", 3, 12), row("r", 4, 4, "terminal")], [row("q", 2, 11), row("r", 5, 12)], END
+    got = batches(spark, tmp_path, lambda s: guards.ordered_audit(s, 10, shards=1), *parts)
+    assert sorted((str(r["run_id"]), r["sequence_no"], r["violation"]) for r in got.filter("run_id IS NULL OR run_id <> 'end'").collect()) == [
+        ("None", 2, "gap"), ("r", 2, "over_budget"), ("r", 3, "over_budget"), ("r", 4, "over_budget"), ("r", 5, "after_terminal"), ("r", 5, "over_budget")]
