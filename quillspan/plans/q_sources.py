@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillspan.plans.registry import ORACLE, QUERIES, plain, query
-from quillspan.plans.scratch import scratch_root
+from quillspan.plans.scratch import dealt, scratch_root
 from quillspan.plans.tables import table
 from quillspan.sources import records as S
 
@@ -27,7 +27,8 @@ def s2(spark, sf_dir):
     """One folder a conversation, one record a file; stems that occur twice are rejected."""
     path = _folder(spark, "one-per-file")
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
-    c.repartition(16, "conv_id").write.option("maxRecordsPerFile", 1).json(path)
+    # a file a row: tasks move their own files to the folder when they are done, or else the driver moves them one by one
+    dealt(c).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).json(path)
     good, twice = S.read_one_per_file(spark, path, "conv_id long, turns long")
     return good.select("conv_id", "turns").unionByName(twice.select(F.col("n").alias("conv_id"), F.lit(-1).cast("long").alias("turns")))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.plans.scratch import materialize
+
 IDENTIFIER = "^[A-Za-z0-9][A-Za-z0-9_.:-]*$"
 
 
@@ -15,9 +17,10 @@ def read_records(spark: SparkSession, path: str, schema: str | T.StructType) ->
 
 
 def read_one_per_file(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
-    """One JSON record a file, keyed by the file's stem: (records with ``stem``, stems that occur twice)."""
+    """One JSON record a file, keyed by the file's stem: (records with ``stem``, stems that occur twice). Each file is opened once, when this is called:
+    a file costs far more than its record, so the records are kept as a table."""
     raw = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
-    rows = raw.select("*", F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1).alias("stem"))
+    rows = materialize(raw.select("*", F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1).alias("stem")), "records")
     twice = rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return rows.join(twice.select("stem"), "stem", "left_anti"), twice
 

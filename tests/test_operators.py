@@ -271,6 +271,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert row == '{"messages":[{"role":"user","content":"in"},{"role":"assistant","content":"a"}]}'
 
 
+def test_one_record_a_file_opens_each_file_once(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text('{"k": 1}')
+    good, twice = records.read_one_per_file(spark, str(tmp_path), "k int")
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (good, twice)]
+    assert rows(good, "k", "stem") == [(1, "a"), (1, "b")] and not any("FileScan json" in p for p in plans)
+
+
 def test_labels_of_other_scripts_stay_apart(spark):
     rows_ = [("红色 方块", 1, True), ("红色  方块!", 2, False), ("蓝色", 3, True), ("蓝色", 4, True), ("Red-Square", 5, True), ("red square", 6, False)]
     got = {r["label"]: r["scenes"] for r in intervals.relevance_sets(spark.createDataFrame(rows_, "label string, scene_id int, has_evidence boolean")).collect()}
