@@ -29,7 +29,9 @@ def tokens(x: Column) -> Column:
         two = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         return F.when(t.rlike("^[a-z0-9]"), F.array(t)).otherwise(F.concat(one, two))
 
-    return F.flatten(F.transform(runs, units))
+    # a function over the elements of an array is interpreted, and a match costs more than a cut: only texts that need them pay for them
+    latin = F.array_remove(F.split(casefold(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"), "")
+    return F.when(F.coalesce(x, F.lit("")).rlike("[\\x{3400}-\\x{9fff}]"), F.flatten(F.transform(runs, units))).otherwise(latin)
 
 
 def words(x: Column) -> Column:

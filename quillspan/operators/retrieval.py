@@ -47,14 +47,16 @@ def scene_documents(parts: DataFrame) -> DataFrame:
 
 
 def bm25_index(docs: DataFrame, text: str = "text") -> DataFrame:
-    """R2: term, video_id, scene_id, tf, length, df, n_docs, mean_length. Empty documents count in the means."""
-    split = docs.select("video_id", "scene_id", tokens(F.col(text)).alias("terms")).withColumn("length", F.size("terms").cast("long"))
+    """R2: term, video_id, scene_id, tf, length, df, n_docs, mean_length. Empty documents count in the means. Texts are split once and postings
+    counted once; both are written, as totals and document frequencies read them again."""
+    split = materialize(docs.select("video_id", "scene_id", tokens(F.col(text)).alias("terms")), "terms").withColumn("length", F.size("terms").cast("long"))
     totals = split.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
     postings = (
         split.select("video_id", "scene_id", "length", F.explode("terms").alias("term"))
         .groupBy("term", "video_id", "scene_id", "length")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    postings = materialize(postings, "postings")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row of totals
     return postings.join(df, "term").join(F.broadcast(totals))

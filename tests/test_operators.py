@@ -78,6 +78,18 @@ def test_routing_needs_a_channel(spark):
         retrieval.route(a, disabled=("bm25_combined", "dense_text", "visual"))
 
 
+def test_texts_of_one_script_and_of_several_give_the_same_tokens(spark):
+    df = spark.createDataFrame([("Straße 7, A-b",), ("红色 ab方块c",), ("",), (None,), ("é!",)], "text string")
+    assert [r["t"] for r in df.select(tokens(F.col("text")).alias("t")).collect()] == [["strasse", "7", "a", "b"], ["红", "色", "红色", "ab", "方", "块", "方块", "c"], [], [], []]
+
+
+def test_index_splits_the_texts_once(spark):
+    docs = spark.createDataFrame([("v", 1, "a b a"), ("v", 1, "a b a"), ("v", 2, "b"), ("w", 1, None)], "video_id string, scene_id int, text string")
+    index = retrieval.bm25_index(docs)
+    assert rows(index, "term", "video_id", "scene_id", "tf", "length", "df", "n_docs", "mean_length") == [("a", "v", 1, 4, 3, 1, 4, 1.75), ("b", "v", 1, 2, 3, 2, 4, 1.75), ("b", "v", 2, 1, 1, 2, 4, 1.75)]
+    assert "regexp_extract_all" not in index._jdf.queryExecution().executedPlan().toString()
+
+
 def test_error_rates(spark):
     p = spark.createDataFrame([("red square", "red circle"), ("Red square.", "red square"), ("CASE 01", "case01"), ("", "a b"), ("kitten", "sitting")], "reference string, hypothesis string")
     got = [(r["wer"], r["cer"]) for r in training_data.error_rates(p).collect()]
