@@ -2,7 +2,8 @@
 
 1. *Tokenise* every whole text with both vocabularies. A word between two single spaces is encoded once a task and remembered: neither
    vocabulary has an entry that runs from a visible character into a space (checked when they are loaded, else texts are encoded in one
-   piece), so this gives the tokens of the whole text.
+   piece), so this gives the tokens of the whole text. For the same reason new words are encoded many at once, joined by single spaces, and
+   the tokens are dealt back by their bytes.
 2. *Anchors*: ends that both token sequences share just before a token that begins with a space. They cut a document into windows of token
    ids. A window's alignment depends on its ids alone, so it is remembered by the two id tuples.
 3. *Counts*: a block of documents gives one row for each id pair that it links; these are added up over the corpus, the highest
@@ -41,10 +42,12 @@ BLOCK_BYTES = 8_000_000  # text of one block, about
 BLOCK_ROWS = 20_000
 REMEMBERED = 150_000  # words, and windows, that a task remembers, about
 PART = 1 << 20  # characters of a long text that are aligned at once, about
+JOINED = (1000, 50)  # words that are encoded as one text; the fewer where the tokens of the more do not give back the bytes
 SHORT = 100  # characters
 # Fixed value: how byte-level entries of this kind split a text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 GAP = re.compile(r"(?<=\S) (?=\S)")
+ODD = re.compile(r"[^\S \n]")  # white space other than spaces and line ends
 LETTERS = re.compile(r"(?<=[a-z]) (?=[a-z])")
 
 
@@ -97,6 +100,14 @@ class ByteVocabulary(Vocabulary):
             out[k] = e.ids
         return out
 
+    def quick(self, word: str) -> bool:
+        """Whether a word without spaces may go to the faster encoder."""
+        return self.ranked is not None and len(word) <= SHORT and word.isascii() and word.isprintable()
+
+    def encode_text(self, text: str, quick: bool) -> list[int]:
+        """Ids of a space and the text; quick: all its words are."""
+        return self.ranked.encode_ordinary(f" {text}") if quick else self.tokenizer.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids
+
 
 class PieceVocabulary(Vocabulary):
     def __init__(self, data: bytes):
@@ -110,14 +121,24 @@ class PieceVocabulary(Vocabulary):
         """Ids of each text; the processor adds the space."""
         return self.processor.encode(texts, num_threads=1)
 
+    def encode_text(self, text: str) -> list[int]:
+        return self.processor.encode(text)
+
+
+def _words(text: str) -> list[str]:
+    """The text cut at the single spaces between visible characters."""
+    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or ODD.search(text):
+        return GAP.split(text)
+    return text.split(" ")
+
 
 def _whole(text: str) -> list[str]:
     return [text]
 
 
 class Windows:
-    """Alignments of windows, remembered by their two id tuples. New ones are aligned together: their shared ends are found in one sorted array of
-    offsets, and their groups are written by one join of ready pieces."""
+    """Alignments of windows, by number. New ones are aligned together: their shared ends are found in two sorted arrays of offsets, and their
+    groups are written by one join of ready pieces. Windows that can be met in several words are remembered by their two id tuples."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
         self.sides = (a, b)
@@ -135,31 +156,35 @@ class Windows:
         """The number of each window; all have the same bytes on both sides."""
         fresh = [k for k in dict.fromkeys(keys) if k not in self.numbers]
         if fresh:
-            self._align(fresh)
-            self.numbers.update(zip(fresh, range(len(self.groups) - len(fresh), len(self.groups)), strict=True))
+            flat = [np.fromiter(chain.from_iterable(w[side] for w in fresh), np.int64) for side in (0, 1)]
+            numbers = self.add(flat, [np.array([len(w[side]) for w in fresh]) for side in (0, 1)])
+            self.numbers.update(zip(fresh, numbers, strict=True))
         return [self.numbers[k] for k in keys]
 
-    def _align(self, windows: list[tuple[tuple[int, ...], tuple[int, ...]]]) -> None:
-        flat = [np.fromiter(chain.from_iterable(w[side] for w in windows), np.int64) for side in (0, 1)]
-        count = [np.array([len(w[side]) for w in windows]) for side in (0, 1)]
-        ends = [np.cumsum(v.lengths[x]) for v, x in zip(self.sides, flat, strict=True)]
-        shared, last_a, last_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
-        window_end = np.zeros(len(shared), bool)
-        window_end[np.searchsorted(shared, ends[0][np.cumsum(count[0]) - 1])] = True
+    def add(self, flat: list[np.ndarray], count: list[np.ndarray]) -> range:
+        """Numbers of new windows, given as the ids of all of them and how many are of each, on either side."""
+        (a, b), ends = flat, [np.cumsum(v.lengths[x]) for v, x in zip(self.sides, flat, strict=True)]
+        at = np.searchsorted(ends[1], ends[0])  # both end with the last window, so none lies behind
+        last_a = np.flatnonzero(ends[1][at] == ends[0])
+        last_b = at[last_a]
+        window_end = np.zeros(len(last_a), bool)
+        window_end[np.searchsorted(last_a, np.cumsum(count[0]) - 1)] = True
         # pieces: ids of the first side end by , or |, of the second by , or ; or the end of the window
-        codes, order = [], []
-        for side, (x, last) in enumerate(zip(flat, (last_a, last_b), strict=True)):
-            code = x.copy()
-            code[last] += self.size if side == 0 else np.where(window_end, 3, 2) * self.size
-            codes.append(code)
-            order.append(np.searchsorted(last, np.arange(len(x))) * 2 + side)
-        line = np.concatenate(codes)[np.argsort(np.concatenate(order), kind="stable")]
-        text = "".join([self.pieces[c] for c in line.tolist()])
+        of_a, of_b = a.copy(), b.copy()
+        of_a[last_a] += self.size
+        of_b[last_b] += np.where(window_end, 3, 2) * self.size
+        group_a, group_b = (np.searchsorted(last, np.arange(len(x))) for x, last in ((a, last_a), (b, last_b)))
+        line = np.empty(len(a) + len(b), np.int64)
+        line[np.arange(len(a)) + np.concatenate(([0], last_b + 1))[group_a]] = of_a
+        line[np.arange(len(b)) + (last_a + 1)[group_b]] = of_b
+        text = "".join(map(self.pieces.__getitem__, line.tolist()))
+        before = len(self.groups)
         self.groups += text.split("\n")[:-1]
         for sizes, c in zip(self.sizes, count, strict=True):
-            sizes.extend(c.tolist())
-        self.starts.extend((self.starts[-1] + np.flatnonzero(window_end) + 1).tolist())
-        self.links.frombytes((flat[0][last_a] << 32 | flat[1][last_b]).tobytes())
+            sizes.frombytes(c.astype(np.int64).tobytes())
+        self.starts.frombytes((self.starts[-1] + np.flatnonzero(window_end) + 1).astype(np.int64).tobytes())
+        self.links.frombytes((a[last_a] << 32 | b[last_b]).tobytes())
+        return range(before, len(self.groups))
 
 
 class Aligner:
@@ -167,54 +192,77 @@ class Aligner:
 
     def __init__(self, a: bytes, b: bytes):
         self.a, self.b = ByteVocabulary(a), PieceVocabulary(b)
-        self.split = GAP.split if self.a.words and self.b.words else _whole
+        self.by_word = self.a.words and self.b.words
+        self.split = _words if self.by_word else _whole
         self.windows = Windows(self.a, self.b)
-        self.words: dict[str, tuple[int, ...] | None] = {}
+        self.forget()
 
     @property
     def full(self) -> bool:
         return len(self.words) > REMEMBERED or len(self.windows.groups) > REMEMBERED
 
     def forget(self) -> None:
-        self.words.clear()
+        # word -> its window; -1 if the tokens do not give back its bytes; below that, -2 - its place in ``several``
+        self.words: dict[str, int] = {}
+        self.several: list[tuple[int, ...]] = []
         self.windows.forget()
 
     def parts(self, text: str) -> Iterator[str]:
         """A long text in parts, without the single space between letters at which it is cut."""
         at = 0
-        while len(text) - at > PART and self.split is GAP.split and (m := LETTERS.search(text, at + PART)):
+        while len(text) - at > PART and self.by_word and (m := LETTERS.search(text, at + PART)):
             yield text[at : m.start()]
             at = m.end()
         yield text[at:]
 
-    def encoded(self, words: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            yield from zip(self.a.encode(part), self.b.encode(part), strict=True)
-
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The words of each text, all of them tokenised and cut into windows from now on."""
         found = [self.split(t) for t in texts]
-        fresh = list(set(chain.from_iterable(found)).difference(self.words))
-        tokens = list(self.encoded(fresh))
-        plain = self.all_verified(fresh, tokens)
-        cuts = [[(tuple(a), tuple(b))] if plain and " " not in word else self.cut(word, a, b) for word, (a, b) in zip(fresh, tokens, strict=True)]
-        numbers = iter(self.windows.number([w for c in cuts if c for w in c]))
-        self.words.update((word, tuple([next(numbers) for _ in c]) if c else None) for word, c in zip(fresh, cuts, strict=True))
+        fresh = set(chain.from_iterable(found)).difference(self.words)
+        quick, slow, rest = [], [], []
+        for word in fresh:
+            # words that begin or end with white space are not what they are alone when they stand in a row
+            kind = rest if not self.by_word or " " in word or word.strip() != word else quick if self.a.quick(word) else slow
+            kind.append(word)
+        rest += self.learn_rows(quick, True) + self.learn_rows(slow, False)
+        for at in range(0, len(rest), 2000):
+            self.learn_words(rest[at : at + 2000])
         return found
 
-    def all_verified(self, words: list[str], tokens: list[tuple[list[int], list[int]]]) -> bool:
-        """Whether the tokens of all words give back a space and the word, on both sides: the joined bytes are the same, and so is each length."""
-        wholes = [b" " + w.encode() for w in words]
-        joined, lengths = b"".join(wholes), np.array([len(w) for w in wholes], np.int64)
-        for side, v in enumerate((self.a, self.b)):
-            flat = list(chain.from_iterable([t[side] for t in tokens]))
-            ends = np.concatenate(([0], np.cumsum(v.lengths[np.array(flat, np.int64)])))
-            upto = np.concatenate(([0], np.cumsum([len(t[side]) for t in tokens]))).astype(np.int64)
-            if not np.array_equal(np.diff(ends[upto]), lengths) or b"".join([v.tokens[i] for i in flat]) != joined:
+    def learn_rows(self, words: list[str], quick: bool) -> list[str]:
+        """Learn words without inner or outer spaces, many as one text; those of texts whose tokens do not give back the bytes are returned."""
+        for size in JOINED:
+            words = [w for at in range(0, len(words), size) if not self.learn_row(words[at : at + size], quick) for w in words[at : at + size]]
+        return words
+
+    def learn_row(self, words: list[str], quick: bool) -> bool:
+        """Learn the words of a text that they make with single spaces, if its tokens give back the bytes, on both sides and word by word."""
+        joined = " ".join(words)
+        whole = b" " + joined.encode()
+        ends = np.cumsum([len(w) + 1 for w in (words if quick else whole[1:].split(b" "))])
+        flat, count = [], []
+        for v, ids in ((self.a, self.a.encode_text(joined, quick)), (self.b, self.b.encode_text(joined))):
+            ids_at = np.array(ids, np.int64)
+            upto = np.cumsum(v.lengths[ids_at])
+            last = np.searchsorted(upto, ends)
+            if b"".join(map(v.tokens.__getitem__, ids)) != whole or not np.array_equal(upto[last], ends):
                 return False
+            flat.append(ids_at)
+            count.append(np.diff(last, prepend=-1))
+        self.words.update(zip(words, self.windows.add(flat, count), strict=True))
         return True
 
+    def learn_words(self, words: list[str]) -> None:
+        """Learn words of any kind, each of them encoded alone."""
+        cuts = [self.cut(word, a, b) for word, a, b in zip(words, self.a.encode(words), self.b.encode(words), strict=True)]
+        numbers = iter(self.windows.number([w for c in cuts if c for w in c]))
+        for word, c in zip(words, cuts, strict=True):
+            if c and len(c) > 1:
+                self.words[word] = -2 - len(self.several)
+                self.several.append(tuple([next(numbers) for _ in c]))
+            else:
+                self.words[word] = next(numbers) if c else -1
+
     def cut(self, word: str, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]] | None:
         """Windows of a space and the word: cut at the anchors, ends of both token sequences before tokens that both begin with a space. None if
         the tokens do not give back the bytes."""
@@ -236,11 +284,12 @@ class Aligner:
         """Digest of the groups and numbers of the windows of a text, given as the words of its parts."""
         digest, windows = hashlib.sha256(), array("I")
         for k, words in enumerate(parts):
-            found = [self.words[w] for w in words]
-            if None in found:
-                return None
-            found = list(chain.from_iterable(found))
-            digest.update(((";" if k else "") + ";".join([self.windows.groups[w] for w in found])).encode())
+            found = list(map(self.words.__getitem__, words))
+            if min(found) < 0:
+                if -1 in found:
+                    return None
+                found = list(chain.from_iterable([self.several[-2 - w] if w < 0 else (w,) for w in found]))
+            digest.update(((";" if k else "") + ";".join(map(self.windows.groups.__getitem__, found))).encode())
             windows.extend(found)
         return digest.hexdigest(), windows
 

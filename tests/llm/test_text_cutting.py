@@ -210,3 +210,37 @@ def test_words_are_encoded_as_in_the_whole_text(first):
         words = token_align.GAP.split(text)
         for v in (a, b):
             assert [i for ids in v.encode(words) for i in ids] == v.encode([text])[0]
+
+
+def test_new_words_are_encoded_in_rows():
+    """New words go to both encoders many at once; the tokens are those of each word alone, also beside words whose bytes are not given back."""
+    rng = random.Random(10)
+    aligner = token_align.Aligner(open(token_align.BYTE_VOCABULARY, "rb").read(), open(token_align.PIECE_VOCABULARY, "rb").read())
+    odd = ["▁", "x▁y", "　", "a　b", "ﬁ①", "\x00", "᠎b", "\x85", "é\nb", "a  b", "​", "'s", "<|endoftext|>", "中文", "x" * 300, "a\n b"]
+    words = sorted({"".join(rng.choice("abcdefgé'.9中") for _ in range(rng.randint(1, 12))) for _ in range(6000)})
+    calls = collections.Counter()
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            calls[name] += name.startswith("encode")
+            return getattr(self.inner, name)
+
+    aligner.a.tokenizer, aligner.a.ranked, aligner.b.processor = Counted(aligner.a.tokenizer), Counted(aligner.a.ranked), Counted(aligner.b.processor)
+    aligner.learn([" ".join(words)])
+    assert 0 < sum(calls.values()) < len(words) / 50
+    mixed = words[:3000] + [f"{w}{x}" for w in words[:40] for x in odd]
+    rng.shuffle(mixed)
+    aligner.forget()
+    aligner.learn([" ".join(mixed)])
+    for text in [" ".join(mixed), *odd, *mixed]:
+        for word in aligner.learn([text])[0]:
+            ids = [list(aligner.a.encode([word])[0]), list(aligner.b.encode([word])[0])]
+            n = aligner.words[word]
+            if any(b"".join(v.tokens[i] for i in x) != b" " + word.encode() for v, x in zip((aligner.a, aligner.b), ids, strict=True)):
+                assert n == -1
+                continue
+            found = [g.split("|") for w in ([n] if n >= 0 else aligner.several[-2 - n]) for g in aligner.windows.groups[w].split(";")]
+            assert [[int(i) for g in found for i in g[side].split(",")] for side in (0, 1)] == ids
