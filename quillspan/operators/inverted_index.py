@@ -1,8 +1,8 @@
 """A kept inverted index of several fields, and BM25 search that skips document ranges by their upper bounds.
 
-Building reads the texts once: a row of term counts for each document and field is written, and everything else is made from it. Postings
-lie in blocks: one row for each field, term and range of ``span`` document numbers, with the largest part that a posting of the block can
-add to a score for one unit of the term's weight. No row outgrows the span, however frequent the term. Blocks are partitioned by field and by a
+Building reads the texts once. Postings lie in blocks: one row for each field, term and range of ``span`` document numbers, with the largest part
+that a posting of the block can add to a score for one unit of the term's weight. A range of numbers lies in one task, so its blocks are made where its
+texts are read, and postings move once, as whole blocks. No row outgrows the span, however frequent the term. Blocks are partitioned by field and by a
 hash of the term, so a search reads the shards of its own terms only.
 
 A search first scores the rarest terms of each query alone: the k-th best of these partial scores is a bound that the k best documents reach.
@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, pairwise
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,16 +29,24 @@ from quillspan.plans.scratch import materialize, scratch_root
 
 SPAN = 1024  # document numbers of a range
 SHARDS = 8  # of terms: folders of the kept index; inside them files are sorted by term
+DOCUMENTS = -1  # the shard of the rows of documents
+FILES = 32  # of a field and shard, at most
 FIRST_TERMS = 3  # rarest terms of a query that give its bound
+HELD = 4_000_000  # postings of a field that a task holds before it writes them, about: a range with more has more than one row a term
 
 # Latin words and digits, or a run of CJK characters.
 TOKEN = re.compile("[a-z0-9]+|[㐀-䶿一-鿿]+", re.IGNORECASE)
+BEYOND = re.compile("[㐀-䶿一-鿿ı]")  # what TOKEN takes of a folded text beside ASCII
+WORDS = bytes(b if chr(b).isalnum() and b < 128 else 32 for b in range(256))
 
 
 def terms_of(text: str) -> list[str]:
     """Words of the folded text; of a CJK run each character, then each pair of neighbours."""
+    text = text.casefold()
+    if text.isascii() or not BEYOND.search(text):
+        return text.encode("ascii", "replace").translate(WORDS).decode().split()
     out: list[str] = []
-    for t in TOKEN.findall(text.casefold()):
+    for t in TOKEN.findall(text):
         if "㐀" <= t[0] <= "鿿":
             out += [*t, *map("".join, zip(t, t[1:], strict=False))]
         else:
@@ -64,9 +75,91 @@ def _count(texts: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     return texts.select(*keys, *fields).mapInArrow(run, schema)
 
 
+class _Held:
+    """Postings of one field and range, by document: numbers of terms, and how often they occur."""
+
+    def __init__(self):
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        self.terms, self.tfs = array("q"), array("i")
+        self.docs, self.lengths, self.sizes = [], [], []
+
+    def add(self, doc: int, text: str) -> int:
+        terms = terms_of(text)
+        counts = Counter(terms)
+        self.terms.extend(map(self.numbers.__getitem__, counts))
+        self.tfs.extend(counts.values())
+        self.docs.append(doc)
+        self.lengths.append(len(terms))
+        self.sizes.append(len(counts))
+        return len(terms)
+
+    def blocks(self) -> Iterator[list[pa.Array]]:
+        """term, number of its postings, sum of their tf, postings by document number, and of each different tf the least length (tf << 32 | length): one
+        of these adds most to a score, whatever the mean length is."""
+        terms, words = np.array(self.terms, np.int64), pa.array(list(self.numbers), pa.string())
+        doc, length = (np.repeat(np.array(x, np.int64), self.sizes) for x in (self.docs, self.lengths))
+        tf = np.array(self.tfs, np.int32)
+        peaks = np.lexsort((length, tf, terms))
+        new = np.concatenate(([True], (np.diff(terms[peaks]) != 0) | (np.diff(tf[peaks]) != 0)))[: len(terms)]
+        peaks, order = peaks[new], np.argsort(terms, kind="stable")
+        starts, peak_starts = (np.concatenate(([0], np.cumsum(np.bincount(terms[x], minlength=len(words))))) for x in (order, peaks))
+        occurrences = np.diff(np.concatenate(([0], np.cumsum(tf[order], dtype=np.int64)))[starts])
+        listed = lambda begins, a, b, values: pa.ListArray.from_arrays(pa.array((begins[a : b + 1] - begins[a]).astype(np.int32)), values)
+        # rows of about 100,000 postings at once
+        for a, b in pairwise([*np.unique(np.searchsorted(starts, np.arange(0, starts[-1], 100_000))).tolist(), len(words)]):
+            some, top = order[starts[a] : starts[b]], peaks[peak_starts[a] : peak_starts[b]]
+            postings = pa.StructArray.from_arrays([pa.array(doc[some]), pa.array(tf[some]), pa.array(length[some])], ["doc", "tf", "length"])
+            highest = listed(peak_starts, a, b, pa.array(tf[top].astype(np.int64) << 32 | length[top]))
+            yield [words[a:b], pa.array(np.diff(starts[a : b + 1])), pa.array(occurrences[a:b]), highest, listed(starts, a, b, postings)]
+
+
+def _invert(docs: DataFrame, fields: list[str], span: int) -> DataFrame:
+    """Rows of two kinds, from documents numbered in order in each partition: of a document and field (doc, video_id, scene_id, length), and of a
+    field, term and range (term, span, n, occurrences, peaks, docs)."""
+    long = pa.int64()
+    types = {"term": pa.string(), "span": long, "n": long, "occurrences": long, "peaks": pa.list_(long)}
+    types["docs"] = pa.list_(pa.struct([("doc", long), ("tf", pa.int32()), ("length", long)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, ids = {f: _Held() for f in fields}, None, []
+        names = ["field", "doc", "video_id", "scene_id", "length", *types]
+
+        def written() -> Iterator[pa.RecordBatch]:
+            for field, h in held.items():
+                for term, *columns in h.blocks():
+                    rows = len(term)
+                    empty = [pa.nulls(rows, k) for k in (long, *ids, long)]
+                    yield pa.RecordBatch.from_arrays([pa.array([field] * rows), *empty, term, pa.array([at] * rows, long), *columns], names)
+                held[field] = _Held()
+
+        for whole in batches:
+            ids = [whole.column(c).type for c in ("video_id", "scene_id")]
+            for begin in range(0, whole.num_rows, 500):
+                some = whole.slice(begin, 500)
+                ranges = some.column("doc").to_numpy() // span
+                for a, b in pairwise([0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]):
+                    batch = some.slice(a, b - a)
+                    if at is not None and (at != ranges[a] or max(len(h.terms) for h in held.values()) > HELD):
+                        yield from written()
+                    at, numbers, keys = int(ranges[a]), batch.column("doc").to_pylist(), [batch.column(c) for c in ("doc", "video_id", "scene_id")]
+                    for field in fields:
+                        lengths = [held[field].add(i, t or "") for i, t in zip(numbers, batch.column(field).to_pylist(), strict=True)]
+                        empty = [pa.nulls(len(lengths), k) for k in types.values()]
+                        yield pa.RecordBatch.from_arrays([pa.array([field] * len(lengths)), *keys, pa.array(lengths, long), *empty], names)
+        if at is not None:
+            yield from written()
+
+    return docs.select("doc", "video_id", "scene_id", *fields).mapInArrow(run, _rows(docs))
+
+
+def _rows(docs: DataFrame) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return f"field string, doc long, video_id {kinds['video_id']}, scene_id {kinds['scene_id']}, length long, term string, span long, n long, occurrences long, peaks array<long>, docs array<struct<doc:long,tf:int,length:long>>"
+
+
 class Index(NamedTuple):
-    """documents: doc, video_id, scene_id, field, length; totals: field, n_docs, mean_length; terms: field, term, df; blocks: field, shard, term,
-    span, most, docs (doc, tf, length)."""
+    """documents: doc, video_id, scene_id, field, length; totals: field, n_docs, mean_length; terms: field, term, df, occurrences; blocks: field, shard,
+    term, span, most, n and occurrences (postings, and the sum of their tf), docs (doc, tf, length)."""
 
     documents: DataFrame
     totals: DataFrame
@@ -87,31 +180,32 @@ def write_index(docs: DataFrame, path: str, fields: list[str], span: int = SPAN)
     """R2: write the index of ``docs`` (video_id, scene_id, and a text column for each field) to a folder. Documents without a term in a field
     count in its mean length; null texts are empty ones."""
     spark = docs.sparkSession
-    numbered = docs.withColumn("doc", F.monotonically_increasing_id())
-    _count(numbered, ["doc", "video_id", "scene_id"], fields).write.parquet(f"{path}/forward")
-    forward = spark.read.parquet(f"{path}/forward")
-    forward.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length")).write.parquet(f"{path}/totals")
-    totals = spark.read.parquet(f"{path}/totals")
-    # one row a field
-    postings = forward.join(F.broadcast(totals), "field").select("field", "doc", "length", "mean_length", F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
-    postings = postings.select("field", F.col("t.terms").alias("term"), F.floor(F.col("doc") / span).alias("span"), "doc", F.col("t.tfs").alias("tf"), "length", "mean_length")
-    blocks = postings.groupBy("field", "term", "span").agg(
-        F.max(_part(F.col("tf"), F.col("length"), F.col("mean_length"))).alias("most"), F.collect_list(F.struct("doc", "tf", "length")).alias("docs")
-    )
-    blocks = blocks.withColumn("shard", _shard(F.col("term")))
-    blocks.repartitionByRange("field", "shard", "term", "span").sortWithinPartitions("field", "shard", "term", "span").write.partitionBy("field", "shard").parquet(f"{path}/blocks")
-    blocks = spark.read.schema(blocks.schema).parquet(f"{path}/blocks")
-    blocks.groupBy("field", "term").agg(F.sum(F.size("docs")).alias("df")).write.parquet(f"{path}/terms")
+    rows = _invert(docs.withColumn("doc", F.monotonically_increasing_id()), fields, span)
+    rows = rows.withColumn("shard", F.when(F.col("term").isNull(), DOCUMENTS).otherwise(_shard(F.col("term"))))
+    even = F.pmod(F.xxhash64("term", "span", "doc"), F.lit(FILES))
+    rows.repartition("field", "shard", even).sortWithinPartitions("field", "shard", "term", "span").write.partitionBy("field", "shard").parquet(f"{path}/rows")
+    docs.select("video_id", "scene_id").limit(0).write.parquet(f"{path}/keys")  # their types, also where there are no rows
+    kept = _kept(spark, path)
+    documents, blocks = kept.filter(F.col("shard") == DOCUMENTS), kept.filter(F.col("shard") != DOCUMENTS)
+    documents.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length")).write.parquet(f"{path}/totals")
+    blocks.groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("occurrences").alias("occurrences")).write.parquet(f"{path}/terms")
+
+
+def _kept(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{_rows(spark.read.parquet(f'{path}/keys'))}, shard int").parquet(f"{path}/rows")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    forward = spark.read.parquet(f"{path}/forward").select("doc", "video_id", "scene_id", "field", "length")
+    rows, totals = _kept(spark, path), read("totals", "field string, n_docs long, mean_length double")
+    documents = rows.filter(F.col("shard") == DOCUMENTS).select("doc", "video_id", "scene_id", "field", "length")
+    blocks = rows.filter(F.col("shard") != DOCUMENTS).join(F.broadcast(totals.select("field", "mean_length")), "field")  # one row a field
+    most = F.array_max(F.transform("peaks", lambda p: _part(F.shiftright(p, 32), p.bitwiseAND(0xFFFFFFFF), F.col("mean_length"))))
     return Index(
-        forward,
-        read("totals", "field string, n_docs long, mean_length double"),
-        read("terms", "field string, term string, df long"),
-        read("blocks", "term string, span long, most double, docs array<struct<doc:long,tf:int,length:long>>, field string, shard int"),
+        documents,
+        totals,
+        read("terms", "field string, term string, df long, occurrences long"),
+        blocks.select("term", "span", most.alias("most"), "n", "occurrences", "docs", "field", "shard"),
     )
 
 

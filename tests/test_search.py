@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillspan.operators import inverted_index, retrieval, vector_search
 
@@ -134,3 +135,47 @@ def test_scores_stay_in_the_task_of_their_document(spark):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_blocks_are_made_in_the_task_of_their_texts(spark, tmp_path, monkeypatch):
+    """Postings are not grouped by a shuffle: a kept row holds a whole block. Blocks say how much they hold, and a full task writes a range in several rows."""
+    rng = random.Random(7)
+    docs = [("a", i, " ".join(rng.choice(["the", "of", f"w{rng.randint(0, 30)}", "é", "Straße"]) for _ in range(rng.randint(0, 20)))) for i in range(300)]
+    df = spark.createDataFrame(docs, "video_id string, scene_id int, text string").repartition(3)
+    plan = inverted_index._invert(df.withColumn("doc", F.monotonically_increasing_id()), ["text"], 64)._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan
+    q = spark.createDataFrame([(1, "the w1 w2"), (2, "strasse of w3"), (3, "w4")], "query_id int, text string")
+    kept = []
+    for held in (inverted_index.HELD, 40):
+        monkeypatch.setattr(inverted_index, "HELD", held)
+        path = f"{tmp_path}/{held}"
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+        try:
+            inverted_index.write_index(df, path, ["text"], span=2048)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        index = inverted_index.read_index(spark, path)
+        mean = index.totals.first()["mean_length"]
+        for b in index.blocks.collect():
+            assert (b["n"], b["occurrences"]) == (len(b["docs"]), sum(d["tf"] for d in b["docs"]))
+            assert [d["doc"] for d in b["docs"]] == sorted(d["doc"] for d in b["docs"])
+            assert math.isclose(b["most"], max(d["tf"] * 2.5 / (d["tf"] + 1.5 * (0.25 + 0.75 * d["length"] / mean)) for d in b["docs"]), rel_tol=1e-12)
+        counts = [Counter(inverted_index.terms_of(t)) for *_, t in docs]
+        want = {(t, sum(t in c for c in counts), sum(c[t] for c in counts)) for t in set().union(*counts)}
+        assert {(r["term"], r["df"], r["occurrences"]) for r in index.terms.collect()} == want
+        assert {tuple(r) for r in inverted_index.search(index, q, "text", 5).select("query_id", "video_id", "scene_id", "rank").collect()} == bm25_by_hand(docs, [(1, "the w1 w2"), (2, "strasse of w3"), (3, "w4")], 5)
+        kept.append(index.blocks.count())
+    assert kept[0] < kept[1]
+
+
+def test_an_index_of_no_documents(spark):
+    index = inverted_index.build_index(spark.createDataFrame([], "video_id string, scene_id int, text string"), ["text"])
+    assert (index.documents.count(), index.blocks.count(), index.terms.count()) == (0, 0, 0)
+
+
+def test_terms_are_those_of_the_pattern():
+    for at in range(0, 0x110000, 64):
+        text = "".join(f"a{chr(c)}B{chr(c)} " for c in range(at, at + 64) if not 0xD800 <= c < 0xE000)
+        runs = inverted_index.TOKEN.findall(text.casefold())
+        want = [x for t in runs for x in ([*t, *map("".join, zip(t, t[1:]))] if "㐀" <= t[0] <= "鿿" else [t])]
+        assert inverted_index.terms_of(text) == want
