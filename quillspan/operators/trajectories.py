@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.intervals import iou
 from quillspan.operators.intervals import differences
+from quillspan.plans.scratch import materialize
 
 
 def _iou(a: str, b: str) -> Column:
@@ -531,7 +532,8 @@ def mutate(runs: DataFrame, tools: DataFrame, candidates: DataFrame, gold_scenes
     failed = t.filter(x.isin("recovery_success", "recovery_failure") & (F.col("pos") == F.col("first_pos")))
     failed = failed.withColumns({"pos": F.col("pos") - 1, "tool_name": F.lit("trim_video"), "status": F.lit("error")})
     hits = candidates.join(of, "run_id").filter(~moved)
-    return changed, t.unionByName(failed).select(tools.columns), hits.select(candidates.columns)
+    # written once: the evaluator reads them many times, by run; joined anew each time, all its joins and sums would lie in the tasks of these joins
+    return changed, materialize(t.unionByName(failed).select(tools.columns), "mutated-tools"), materialize(hits.select(candidates.columns), "mutated-candidates")
 
 
 def calibration(evaluations: DataFrame) -> DataFrame:

@@ -148,6 +148,15 @@ def test_known_faults_are_told_from_success(spark, one):
     assert t.filter("run_id = 11 AND status = 'error'").count() == 1 and [x["start_ms"] for x in t.filter("run_id = 1 AND tool_name = 'trim_video'").collect()] == [3000]
 
 
+def test_known_faults_are_written_once(spark, one):
+    """The evaluator reads tables, not the joins that made them: else all its joins by run lie in the same tasks, each with its own memory."""
+    runs, tools, cands, _, scenes, _ = one([run(i) for i in range(3)], sum((good(i) for i in range(3)), []), [(i, "v", 7, 0, 2000, 1) for i in range(3)])
+    for before, after in zip((tools, cands), T.mutate(runs, tools, cands, scenes, "run_id")[1:], strict=True):
+        plan = after._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        assert after.columns == before.columns
+
+
 def test_public_view_and_facts(spark):
     rows = lambda part, n: spark.createDataFrame([(1, i, "k", f"{part} {i}") for i in range(n)], "run_id int, seq int, kind string, summary string")
     frames = spark.createDataFrame([(1, i, "k", f"frame {i % 5}") for i in range(20)], "run_id int, seq int, kind string, summary string")
