@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+CJK = re.compile("[\u3400-\u9fff]")
+RUNS = re.compile("[a-z0-9]+|[\u3400-\u9fff]+")
+LATIN = bytes(b if chr(b).isalnum() and b < 128 else 32 for b in range(256))
+
+
 def casefold(x: Column) -> Column:
     """Lower case with the German sharp s as ss."""
     return F.regexp_replace(F.lower(x), "ß", "ss")
@@ -34,6 +40,14 @@ def tokens(x: Column) -> Column:
     return F.when(F.coalesce(x, F.lit("")).rlike("[\\x{3400}-\\x{9fff}]"), F.flatten(F.transform(runs, units))).otherwise(latin)
 
 
+def tokens_of(text: str) -> list[str]:
+    """As ``tokens``, of one text."""
+    text = text.lower().replace("ß", "ss")
+    if text.isascii() or not CJK.search(text):
+        return text.encode("ascii", "replace").translate(LATIN).decode().split()
+    return [x for t in RUNS.findall(text) for x in ([*t, *map("".join, zip(t, t[1:], strict=False))] if CJK.match(t) else [t])]
+
+
 def words(x: Column) -> Column:
     """Case-folded alphanumeric words, for word error rates."""
     return F.regexp_extract_all(casefold(F.coalesce(x, F.lit(""))), F.lit("[\\p{L}\\p{N}]+"), 0)

@@ -6,17 +6,20 @@ scene up. Scores are rounded to 9 digits before they are compared, so that the o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.intervals import overlaps
-from quillspan.functions.text import casefold, squeeze, tokens
-from quillspan.plans.scratch import materialize
+from quillspan.functions.text import casefold, squeeze, tokens, tokens_of
+from quillspan.plans.scratch import discard, materialize
 
 def small(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Slices of ``rows`` rows of the batches."""
@@ -28,6 +31,10 @@ def small(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
 K1, B = 1.5, 0.75
 RRF = 60
 DEPTH = 100
+SENT_TERMS = 500_000  # asked terms that go to the tasks that read texts; where queries use more, all terms are kept
+UNITS, QUERIES, HITS = 1024, 256, 200_000  # rows of a block of documents or queries, and terms in a block, about, at most
+PLACES = 1024  # rows of one repeated key that lie in one unit, about
+EXPANDED = 500_000  # products of one step
 
 
 def scene_documents(parts: DataFrame) -> DataFrame:
@@ -156,8 +163,158 @@ def ranked(scores: DataFrame, k: int | None = None, by: tuple[str, ...] = ("quer
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", filtered: bool = False) -> DataFrame:
     """The k best documents of each query; with ``filtered``, of those that the query's own filters permit."""
-    scores = bm25_scores(docs, queries, text)
-    return ranked(allowed(scores, docs, queries) if filtered else scores, k)
+    return filtered_bm25_search(docs, queries, k, text) if filtered else ranked(bm25_scores(docs, queries, text), k)
+
+
+def _counts(docs: DataFrame, text: str, used: frozenset[str] | None) -> DataFrame:
+    """The rows of ``docs`` with their length and the counts (terms, tfs) of the terms in ``used``, or of all terms."""
+    keys = ["video_id", "scene_id", "start_ms", "end_ms", "evidence_types"]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 500):
+            counts = [Counter(tokens_of(t or "")) for t in batch.column(text).to_pylist()]
+            lengths = pa.array([c.total() for c in counts], pa.int64())
+            if used is not None:
+                counts = [{t: n for t, n in c.items() if t in used} for c in counts]
+            terms, tfs = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], lengths, terms, tfs], [*keys, "length", "terms", "tfs"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", length long, terms array<string>, tfs array<int>"
+    return docs.select(*keys, text).mapInArrow(run, schema)
+
+
+def _blocks(rows: DataFrame, prefix: str, block: int, lists: list[str]) -> DataFrame:
+    """One row a block of ``block`` rows and about HITS terms, or fewer: all columns as arrays. Of the columns ``lists`` the elements lie one after another,
+    with their numbers in ``_n``; terms are numbers into ``words``."""
+    columns, kinds = rows.columns, {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, block):
+            if not batch.num_rows:
+                continue
+            # a place is looked at by each query
+            size = sum(w * pc.list_value_length(batch.column(c)).to_numpy().astype(np.int64) for c, w in (("terms", 1), ("places", 16)) if c in lists)
+            for a, b in pairwise([0, *(np.flatnonzero(np.diff(np.cumsum(size) // HITS)) + 1).tolist(), batch.num_rows]):
+                of = {c: pa.concat_arrays([batch.column(c).slice(a, b - a)]) for c in columns}
+                of |= {f"{c}_n": pc.list_value_length(of[c]).cast(pa.int32()) for c in lists} | {c: of[c].flatten() for c in lists}
+                coded = of["terms"].dictionary_encode()
+                of |= {"terms": coded.indices, "words": coded.dictionary}
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in of.values()], [prefix + c for c in of])
+
+    types = {c: kinds[c] if c in lists else f"array<{kinds[c]}>" for c in columns} | {f"{c}_n": "array<int>" for c in lists} | {"terms": "array<int>", "words": "array<string>"}
+    return rows.mapInArrow(run, ", ".join(f"{prefix}{c} {t}" for c, t in types.items()))
+
+
+def _sums(term: np.ndarray, of_unit: np.ndarray, parts: np.ndarray, units: int, asked: np.ndarray, of_query: np.ndarray, weights: np.ndarray, queries: int) -> np.ndarray:
+    """Units x queries: sums of part times weight over the terms that they share; a term of a unit that no query has is -1."""
+    order, begins = np.argsort(asked, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(asked))))
+    of_query, weights = of_query[order], weights[order]
+    known = np.flatnonzero(term >= 0)
+    term, of_unit, parts = term[known], of_unit[known], parts[known]
+    each = np.diff(begins)[term]
+    ends, out = np.cumsum(each), np.zeros(units * queries)
+    for a, b in pairwise([*np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, EXPANDED))).tolist(), len(ends)]):
+        n = each[a:b]
+        to = np.repeat(begins[term[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(of_unit[a:b] * queries, n) + of_query[to], np.repeat(parts[a:b], n) * weights[to], units * queries)
+    return out.reshape(units, queries)
+
+
+def _permitted(of: dict[str, pa.Array], video: pa.Array, places: pa.StructArray) -> np.ndarray:
+    """Which places (columns) each query (rows) permits, as ``_permits``."""
+
+    def known(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return pc.fill_null(x, 0).to_numpy(zero_copy_only=False), x.is_valid().to_numpy(zero_copy_only=False)
+
+    asked = of["q_qv"]
+    wanted, found = (pc.fill_null(pc.index_in(x, value_set=asked.unique()), -1).to_numpy() for x in (asked, video))
+    out = asked.is_null().to_numpy(zero_copy_only=False)[:, None] | (wanted[:, None] == found[None])
+    (start, a), (end, b) = (known(places.field(c)) for c in ("start_ms", "end_ms"))
+    (lo, ranged), (hi, ended) = (known(of[c]) for c in ("q_qs", "q_qe"))
+    out &= ~ranged[:, None] | ((start[None] < hi[:, None]) & (lo[:, None] < end[None]) & (a & b)[None] & ended[:, None])
+    need = [frozenset(x or ()) for x in of["q_required_evidence_types"].to_pylist()]
+    types = [frozenset(x or ()) for x in places.field("evidence_types").to_pylist()]
+    for each in set(need) - {frozenset()}:
+        holds = np.array([None not in each and x >= each for x in types], bool)
+        out[np.array([x == each for x in need])] &= holds[None]
+    return out
+
+
+def filtered_bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text") -> DataFrame:
+    """R3 with P1: query_id, video_id, scene_id, score, rank of the k best documents that each query permits.
+
+    Counts of the terms asked for are made in the task of their text and written. Blocks of them meet blocks of queries, which are a stated set; a pair of
+    blocks is scored, filtered and cut to the k best of each query in one task, so no table of pairs moves or is written. Rows of docs with one
+    key (video_id, scene_id) are one document with several places: counts are summed where lengths are equal too, what they add to a score is summed by
+    term, and each place that a query permits counts as a row. A row of queries with the id of another shares its terms and has filters of its own."""
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = materialize(asked, "asked-terms")
+    used = [r["term"] for r in asked.select("term").distinct().limit(SENT_TERMS + 1).collect()]
+    counts = materialize(_counts(docs, text, frozenset(used) if len(used) <= SENT_TERMS else None), "term-counts")
+    totals = counts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))  # one row
+
+    keys = counts.groupBy(F.col("video_id").alias("v"), F.col("scene_id").alias("s")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    keys = materialize(keys, "repeated-keys")
+    same = F.col("video_id").eqNullSafe(F.col("v")) & F.col("scene_id").eqNullSafe(F.col("s"))
+    once, repeated = counts.join(keys, same, "left_anti"), counts.join(keys, same)
+    merged = repeated.select("video_id", "scene_id", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+    merged = merged.groupBy("video_id", "scene_id", "length", F.col("t.terms").alias("term")).agg(F.sum("t.tfs").alias("tf"))
+    merged = materialize(merged, "merged-counts")
+
+    held = once.select(F.explode("terms").alias("term")).unionByName(merged.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(held, "term").join(F.broadcast(totals)).select("query_id", F.struct("term", (F.col("qtf") * idf).alias("weight")).alias("t"), "mean_length")
+    weighted = weighted.groupBy("query_id", "mean_length").agg(F.collect_list("t").alias("t"))
+    wanted = weighted.join(_filters(queries), "query_id").select("query_id", "qv", "qs", "qe", "required_evidence_types", "mean_length", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+    wanted = materialize(wanted, "query-terms")
+    query_blocks = materialize(_blocks(wanted.repartition(1 + wanted.count() // (8 * QUERIES)), "q_", QUERIES, ["terms", "weights"]), "query-blocks")
+
+    # tfs: counts of one length, or where that is null what a unit of weight adds to the score
+    place = F.struct("start_ms", "end_ms", "evidence_types")
+    alone = once.filter("video_id IS NOT NULL AND scene_id IS NOT NULL AND size(terms) > 0").select(
+        "video_id", "scene_id", "length", "terms", F.col("tfs").cast("array<double>").alias("tfs"), F.array(place).alias("places")
+    )
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("copies") / PLACES))
+    placed = counts.withColumn("id", F.monotonically_increasing_id()).join(keys, same).withColumn("part", part).groupBy("video_id", "scene_id", "part").agg(F.collect_list(place).alias("places"))
+    tf = F.col("tf")
+    added = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.greatest("mean_length", F.lit(1e-9))))
+    whole = merged.join(F.broadcast(totals)).groupBy("video_id", "scene_id", "term").agg(F.sum(added).alias("part")).groupBy("video_id", "scene_id").agg(F.collect_list(F.struct("term", "part")).alias("t"))
+    shared = placed.join(whole, ["video_id", "scene_id"]).select(
+        "video_id", "scene_id", F.lit(None).cast("long").alias("length"), F.col("t.term").alias("terms"), F.col("t.part").alias("tfs"), "places"
+    )
+    blocks = _blocks(alone.unionByName(materialize(shared, "repeated-counts")), "d_", UNITS, ["terms", "tfs", "places"])
+    discard(asked, merged, wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in small(batches, 1):
+            of = {c: one.column(c).flatten() for c in one.schema.names}
+            flat = {c: of[c].to_numpy(zero_copy_only=False) for c in of if pa.types.is_integer(of[c].type) or pa.types.is_floating(of[c].type)}
+            # units are numbered in the order that settles ties
+            by_key = pc.sort_indices(pa.table({"v": of["d_video_id"], "s": of["d_scene_id"]}), [("v", "ascending"), ("s", "ascending")]).to_numpy()
+            units, n, terms = len(by_key), len(of["q_query_id"]), flat["d_terms_n"]
+            number = np.empty(units, np.int64)
+            number[by_key] = np.arange(units)
+            tf, length = flat["d_tfs"], np.repeat(flat["d_length"].astype(np.float64), terms)
+            parts = np.where(np.isnan(length), tf, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(of["q_mean_length"][0].as_py(), 1e-9))))
+            term = pc.fill_null(pc.index_in(of["d_words"], value_set=of["q_words"]), -1).to_numpy()[flat["d_terms"]]
+            score = _sums(term, np.repeat(number, terms), parts, units, flat["q_terms"], np.repeat(np.arange(n), flat["q_terms_n"]), flat["q_weights"], n)
+            score, unit = np.round(score, 9).T, np.repeat(number, flat["d_places_n"])
+            order = np.argsort(unit, kind="stable")
+            unit, places = unit[order], of["d_places"].take(pa.array(order))
+            able = _permitted(of, of["d_video_id"].take(pa.array(by_key[unit])), places)
+            best = [p[np.argsort(-score[q, unit[p]], kind="stable")[:k]] for q in range(n) for p in [np.flatnonzero(able[q] & (score[q] > 0)[unit])]]
+            query, row = np.repeat(np.arange(n), [len(p) for p in best]), unit[np.concatenate(best)]
+            score, row = score[query, row], by_key[row]
+            yield pa.RecordBatch.from_arrays(
+                [of["q_query_id"].take(pa.array(query)), of["d_video_id"].take(pa.array(row)), of["d_scene_id"].take(pa.array(row)), pa.array(score)],
+                ["query_id", "video_id", "scene_id", "score"],
+            )
+
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString()} | {c: docs.schema[c].dataType.simpleString() for c in ("video_id", "scene_id")}
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", score double"
+    # a stated set of queries against all documents, block by block
+    return ranked(blocks.crossJoin(query_blocks).mapInArrow(run, schema), k)
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:

@@ -6,9 +6,12 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillspan import queries
+from quillspan.functions.text import tokens, tokens_of
 from quillspan.operators import inverted_index, retrieval, vector_search
 
 ITEMS = "video_id string, scene_id int, item int, start_ms int, end_ms int, evidence_types array<string>, embedding array<float>"
@@ -179,3 +182,58 @@ def test_terms_are_those_of_the_pattern():
         runs = inverted_index.TOKEN.findall(text.casefold())
         want = [x for t in runs for x in ([*t, *map("".join, zip(t, t[1:]))] if "㐀" <= t[0] <= "鿿" else [t])]
         assert inverted_index.terms_of(text) == want
+
+
+def test_pairs_of_a_filtered_search_do_not_move(spark):
+    """Scores are filtered and cut in the task of their block: only the k best move, once."""
+    docs = [("ab"[i % 2], i, f"common w{i % 7} x{i % 3}", i, i + 5, ["ocr"][: i % 2]) for i in range(60)]
+    df = spark.createDataFrame(docs, "video_id string, scene_id int, text string, start_ms int, end_ms int, evidence_types array<string>")
+    q = spark.createDataFrame([(1, "common w1", None, None, None, ["ocr"]), (2, "x2", "a", 10, 30, None)], "query_id int, text string, video_id string, start_ms int, end_ms int, required_evidence_types array<string>")
+    plan = retrieval.bm25_search(df, q, 5, filtered=True)._jdf.queryExecution()
+    assert plan.sparkPlan().toString().count("WindowGroupLimit") == 2 and "Aggregate" not in plan.sparkPlan().toString()
+    assert plan.executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_filtered_search_of_repeated_and_null_keys(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)] + ["the"] * 10 + ["Straße", "é", "x-1"]
+    text = lambda n: rng.choice([None, "", *[" ".join(rng.choice(words) for _ in range(rng.randint(1, n))) for _ in range(12)]])
+    docs = [(rng.choice([None, *range(150)]) if rng.random() < 0.5 else 200 + i, text(12), rng.choice(["en", "de", None]), rng.choice(["src0", "src1", None])) for i in range(500)]
+    docs += [(7, "w1 w2 the", "en", "src0")] * 40 + [(None, "w1 w2 the", "en", None)] * 5 + [(1000 + i, "w3 the", "en", "src1") for i in range(30)]
+    asked = [(i, text(6)) for i in range(40)] + [(4, "w1 the"), (4, "w5"), (6, "w2 w2"), (None, "w1"), (50, "nowhere"), (51, "w3"), (52, "w3 the"), (54, "w1 w2")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    sql = con.execute(queries.ORACLE["p1_filtered_search"])
+    names = [c[0] for c in sql.description]
+    rows = lambda found: sorted((r["query_id"], r["rank"], r["video_id"], r["scene_id"], round(r["score"], 7)) for r in found)
+    want = rows(dict(zip(names, r)) for r in sql.fetchall())
+    assert len(want) > 200 and len({x[0] for x in want}) > 30
+    run = lambda: rows(queries.QUERIES["p1_filtered_search"](spark, str(tmp_path)).collect())
+    assert run() == want
+    for name, least in (("UNITS", 16), ("QUERIES", 3), ("HITS", 60), ("PLACES", 4), ("SENT_TERMS", 1)):
+        monkeypatch.setattr(retrieval, name, least)
+    assert run() == want
+
+
+def test_sums_of_a_block_in_several_steps(monkeypatch):
+    rng = np.random.default_rng(1)
+    term, unit, part = rng.integers(-1, 6, 200), np.sort(rng.integers(0, 20, 200)), rng.random(200)
+    asked, query, weight = rng.permutation(np.arange(30) % 6), rng.integers(0, 4, 30), rng.random(30)
+    want = np.zeros((20, 4))
+    for t, u, p in zip(term, unit, part):
+        for a, q, w in zip(asked, query, weight):
+            want[u, q] += p * w * (t == a)
+    for least in (1, 17, 10**6):
+        monkeypatch.setattr(retrieval, "EXPANDED", least)
+        assert np.allclose(retrieval._sums(term, unit, part, 20, asked, query, weight, 4), want)
+    assert not retrieval._sums(term[:0], unit[:0], part[:0], 20, asked, query, weight, 4).any()
+
+
+def test_terms_of_one_text_are_those_of_the_column(spark):
+    texts = ["".join(f"a{chr(c)}B{chr(c)} " for c in range(at, at + 64) if not 0xD800 <= c < 0xE000) for at in range(0, 0x30000, 64)] + ["Straße SALE-42 红方块 x", "", "红色"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in df.select("i", tokens(F.col("text")).alias("terms")).collect():
+        assert Counter(r["terms"]) == Counter(tokens_of(texts[r["i"]]))
