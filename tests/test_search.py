@@ -218,6 +218,22 @@ def test_filtered_search_of_repeated_and_null_keys(spark, tmp_path, monkeypatch)
     assert run() == want
 
 
+def test_filters_of_blocks_are_those_of_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    types = ["ocr", "keyframe", "transcript"]
+    some = lambda x, p=0.2: None if rng.random() < p else x
+    docs = [(some(rng.choice("abé"), 0.05), some(i // 2, 0.05), " ".join(rng.choices(["red", "ball", "box"], k=rng.randint(0, 5))), some(t := 2**53 + rng.randint(0, 90)), some(t + 9), some([some(x) for x in rng.sample(types, rng.randint(0, 3))])) for i in range(200)]
+    asked = [(i, rng.choice(["red", "ball box", "red red box"]), some(rng.choice("aé"), 0.6), some(t := 2**53 + rng.randint(0, 90), 0.5), some(t + 5, 0.3), some([some(x, 0.1) for x in rng.sample(types, rng.randint(0, 2))], 0.4)) for i in range(30)]
+    df = spark.createDataFrame(docs, "video_id string, scene_id int, text string, start_ms long, end_ms long, evidence_types array<string>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id int, text string, video_id string, start_ms long, end_ms long, required_evidence_types array<string>")
+    monkeypatch.setattr(retrieval, "UNITS", 16)
+    rows = lambda x: sorted((r["query_id"], r["rank"], r["video_id"], r["scene_id"], round(r["score"], 7)) for r in x.collect())
+    got = rows(retrieval.bm25_search(df, q, 7, filtered=True))
+    assert got == rows(retrieval.ranked(retrieval.allowed(retrieval.bm25_scores(df, q), df, q), 7)) and len({x[0] for x in got}) > 10
+    assert retrieval.bm25_search(df.limit(0), q, 7, filtered=True).count() == 0
+    assert retrieval.bm25_search(df, q.limit(0), 7, filtered=True).count() == 0
+
+
 def test_sums_of_a_block_in_several_steps(monkeypatch):
     rng = np.random.default_rng(1)
     term, unit, part = rng.integers(-1, 6, 200), np.sort(rng.integers(0, 20, 200)), rng.random(200)
