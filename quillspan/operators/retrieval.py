@@ -33,6 +33,7 @@ RRF = 60
 DEPTH = 100
 SENT_TERMS = 500_000  # asked terms that go to the tasks that read texts; where queries use more, all terms are kept
 UNITS, QUERIES, HITS = 1024, 256, 200_000  # rows of a block of documents or queries, and terms in a block, about, at most
+SENT_BLOCKS = 8  # of queries that go to the tasks that pack documents; more of them are joined
 PLACES = 1024  # rows of one repeated key that lie in one unit, about
 EXPANDED = 500_000  # products of one step
 
@@ -184,10 +185,9 @@ def _counts(docs: DataFrame, text: str, used: frozenset[str] | None) -> DataFram
     return docs.select(*keys, text).mapInArrow(run, schema)
 
 
-def _blocks(rows: DataFrame, prefix: str, block: int, lists: list[str]) -> DataFrame:
+def _packing(columns: list[str], prefix: str, block: int, lists: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One row a block of ``block`` rows and about HITS terms, or fewer: all columns as arrays. Of the columns ``lists`` the elements lie one after another,
     with their numbers in ``_n``; terms are numbers into ``words``."""
-    columns, kinds = rows.columns, {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, block):
@@ -202,8 +202,19 @@ def _blocks(rows: DataFrame, prefix: str, block: int, lists: list[str]) -> DataF
                 of |= {"terms": coded.indices, "words": coded.dictionary}
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in of.values()], [prefix + c for c in of])
 
-    types = {c: kinds[c] if c in lists else f"array<{kinds[c]}>" for c in columns} | {f"{c}_n": "array<int>" for c in lists} | {"terms": "array<int>", "words": "array<string>"}
-    return rows.mapInArrow(run, ", ".join(f"{prefix}{c} {t}" for c, t in types.items()))
+    return run
+
+
+def _blocks(rows: DataFrame, prefix: str, block: int, lists: list[str]) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    types = {c: t if c in lists else f"array<{t}>" for c, t in kinds.items()} | {f"{c}_n": "array<int>" for c in lists} | {"terms": "array<int>", "words": "array<string>"}
+    return rows.mapInArrow(_packing(rows.columns, prefix, block, lists), ", ".join(f"{prefix}{c} {t}" for c, t in types.items()))
+
+
+def _columns(blocks: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+    """Of each block, or pair of blocks, the elements of its arrays."""
+    for one in small(blocks, 1):
+        yield {c: one.column(c).flatten() for c in one.schema.names}
 
 
 def _sums(term: np.ndarray, of_unit: np.ndarray, parts: np.ndarray, units: int, asked: np.ndarray, of_query: np.ndarray, weights: np.ndarray, queries: int) -> np.ndarray:
@@ -283,38 +294,40 @@ def filtered_bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, text:
     shared = placed.join(whole, ["video_id", "scene_id"]).select(
         "video_id", "scene_id", F.lit(None).cast("long").alias("length"), F.col("t.term").alias("terms"), F.col("t.part").alias("tfs"), "places"
     )
-    blocks = _blocks(alone.unionByName(materialize(shared, "repeated-counts")), "d_", UNITS, ["terms", "tfs", "places"])
+    units, lists = alone.unionByName(materialize(shared, "repeated-counts")), ["terms", "tfs", "places"]
     discard(asked, merged, wanted)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in small(batches, 1):
-            of = {c: one.column(c).flatten() for c in one.schema.names}
-            flat = {c: of[c].to_numpy(zero_copy_only=False) for c in of if pa.types.is_integer(of[c].type) or pa.types.is_floating(of[c].type)}
-            # units are numbered in the order that settles ties
-            by_key = pc.sort_indices(pa.table({"v": of["d_video_id"], "s": of["d_scene_id"]}), [("v", "ascending"), ("s", "ascending")]).to_numpy()
-            units, n, terms = len(by_key), len(of["q_query_id"]), flat["d_terms_n"]
-            number = np.empty(units, np.int64)
-            number[by_key] = np.arange(units)
-            tf, length = flat["d_tfs"], np.repeat(flat["d_length"].astype(np.float64), terms)
-            parts = np.where(np.isnan(length), tf, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(of["q_mean_length"][0].as_py(), 1e-9))))
-            term = pc.fill_null(pc.index_in(of["d_words"], value_set=of["q_words"]), -1).to_numpy()[flat["d_terms"]]
-            score = _sums(term, np.repeat(number, terms), parts, units, flat["q_terms"], np.repeat(np.arange(n), flat["q_terms_n"]), flat["q_weights"], n)
-            score, unit = np.round(score, 9).T, np.repeat(number, flat["d_places_n"])
-            order = np.argsort(unit, kind="stable")
-            unit, places = unit[order], of["d_places"].take(pa.array(order))
-            able = _permitted(of, of["d_video_id"].take(pa.array(by_key[unit])), places)
-            best = [p[np.argsort(-score[q, unit[p]], kind="stable")[:k]] for q in range(n) for p in [np.flatnonzero(able[q] & (score[q] > 0)[unit])]]
-            query, row = np.repeat(np.arange(n), [len(p) for p in best]), unit[np.concatenate(best)]
-            score, row = score[query, row], by_key[row]
-            yield pa.RecordBatch.from_arrays(
-                [of["q_query_id"].take(pa.array(query)), of["d_video_id"].take(pa.array(row)), of["d_scene_id"].take(pa.array(row)), pa.array(score)],
-                ["query_id", "video_id", "scene_id", "score"],
-            )
+    def best(of: dict[str, pa.Array]) -> pa.RecordBatch:
+        flat = {c: of[c].to_numpy(zero_copy_only=False) for c in of if pa.types.is_integer(of[c].type) or pa.types.is_floating(of[c].type)}
+        # units are numbered in the order that settles ties
+        by_key = pc.sort_indices(pa.table({"v": of["d_video_id"], "s": of["d_scene_id"]}), [("v", "ascending"), ("s", "ascending")]).to_numpy()
+        size, n, terms = len(by_key), len(of["q_query_id"]), flat["d_terms_n"]
+        number = np.empty(size, np.int64)
+        number[by_key] = np.arange(size)
+        tf, length = flat["d_tfs"], np.repeat(flat["d_length"].astype(np.float64), terms)
+        parts = np.where(np.isnan(length), tf, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(of["q_mean_length"][0].as_py(), 1e-9))))
+        term = pc.fill_null(pc.index_in(of["d_words"], value_set=of["q_words"]), -1).to_numpy()[flat["d_terms"]]
+        score = _sums(term, np.repeat(number, terms), parts, size, flat["q_terms"], np.repeat(np.arange(n), flat["q_terms_n"]), flat["q_weights"], n)
+        score, unit = np.round(score, 9).T, np.repeat(number, flat["d_places_n"])
+        order = np.argsort(unit, kind="stable")
+        unit, places = unit[order], of["d_places"].take(pa.array(order))
+        able = _permitted(of, of["d_video_id"].take(pa.array(by_key[unit])), places)
+        picked = [p[np.argsort(-score[q, unit[p]], kind="stable")[:k]] for q in range(n) for p in [np.flatnonzero(able[q] & (score[q] > 0)[unit])]]
+        query, row = np.repeat(np.arange(n), [len(p) for p in picked]), unit[np.concatenate(picked)]
+        score, row = score[query, row], by_key[row]
+        return pa.RecordBatch.from_arrays(
+            [of["q_query_id"].take(pa.array(query)), of["d_video_id"].take(pa.array(row)), of["d_scene_id"].take(pa.array(row)), pa.array(score)],
+            ["query_id", "video_id", "scene_id", "score"],
+        )
 
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString()} | {c: docs.schema[c].dataType.simpleString() for c in ("video_id", "scene_id")}
     schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", score double"
     # a stated set of queries against all documents, block by block
-    return ranked(blocks.crossJoin(query_blocks).mapInArrow(run, schema), k)
+    if query_blocks.count() <= SENT_BLOCKS:
+        sent, pack = list(_columns(iter(query_blocks.toArrow().to_batches()))), _packing(units.columns, "d_", UNITS, lists)
+        return ranked(units.mapInArrow(lambda batches: (best(of | asked) for of in _columns(pack(batches)) for asked in sent), schema), k)
+    pairs = _blocks(units, "d_", UNITS, lists).crossJoin(query_blocks)
+    return ranked(pairs.mapInArrow(lambda batches: map(best, _columns(batches)), schema), k)
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
